@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def texts_of(array: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def slices(batches: Iterable[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice has about ``most`` bytes of text, or one row."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             if held and held + (n or 0) > most:
@@ -111,7 +112,7 @@ def gathered(batches: Iterable[pa.RecordBatch], most: int, column: str = "text")
     """Join batches until about ``most`` bytes of text are held; a text is never cut."""
     held, size = [], 0
     for batch in slices(batches, most, column):
-        n = pa.compute.sum(pa.compute.binary_length(batch.column(column))).as_py() or 0
+        n = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
         if held and size + n > most:
             yield pa.Table.from_batches(held)
             held, size = [], 0
