@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import op5_exact_dedup as op5
+from . import op8_line_dedup as op8
+from . import op10_packing as op10
 
-QUERIES = {"op5_exact_dedup": op5.op5_exact_dedup}
-SQL = {"op5_exact_dedup": op5.SQL}
+QUERIES = {f.__name__: f for f in (op5.op5_exact_dedup, op8.op8_line_dedup, op10.op10_best_fit_packing)}
+SQL = {"op5_exact_dedup": op5.SQL, "op8_line_dedup": op8.SQL}
