@@ -7,10 +7,11 @@ from . import op2_warc as op2
 from . import op3_quality as op3
 from . import op4_ctw as op4
 from . import op5_exact_dedup as op5
+from . import op6_jaccard_join as op6
 from . import op7_pii as op7
 from . import op8_line_dedup as op8
 from . import op9_decontaminate as op9
 from . import op10_packing as op10
 
-QUERIES = {f.__name__: f for f in (op1.op1_language_id, op2.op2_warc, op3.op3_quality, op4.op4_lm_scoring, op5.op5_exact_dedup, op7.op7_pii, op8.op8_line_dedup, op9.op9_decontaminate, op10.op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1.op1_language_id, op2.op2_warc, op3.op3_quality, op4.op4_lm_scoring, op5.op5_exact_dedup, op6.op6_jaccard_join, op7.op7_pii, op8.op8_line_dedup, op9.op9_decontaminate, op10.op10_best_fit_packing)}
 SQL = {"op2_warc": op2.SQL, "op5_exact_dedup": op5.SQL, "op8_line_dedup": op8.SQL, "op9_decontaminate": op9.SQL}
