@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("text_queries", "graph_queries", "retrieval_queries", "decision_queries", "stream_queries", "source_queries", "classify_queries"):
+    for name in ("text_queries", "graph_queries", "retrieval_queries", "decision_queries", "stream_queries", "source_queries", "classify_queries", "composite_queries"):
         import_module(f"quillgraph.plans.{name}")
 
 
