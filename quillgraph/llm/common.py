@@ -58,12 +58,16 @@ def _clean() -> None:
             return
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage and survives lost executors. Shuffle files that led to it go at once."""
     spark = df.sparkSession
-    path = work_path(spark, name)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    path, key = work_path(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

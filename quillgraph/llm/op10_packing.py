@@ -15,6 +15,7 @@ no rows; extra columns are ignored. A piece must fit the capacities by itself, e
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,8 +31,8 @@ from . import common as C
 GROUP_BYTES, MIN_GROUPS, LEFTOVER_ROWS = 16 << 20, 16, 20_000
 #: Bins filled below this share are dissolved once.
 DISSOLVE = 0.97
-#: Chunks that a worker remembers.
-CACHE = 400_000
+#: Chunks and words that a worker remembers in each of two generations.
+CACHE = 500_000
 
 #: The pre-tokenizer's pattern, for text of ASCII and Latin letters that is in lower case.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
@@ -52,20 +53,30 @@ class ChunkCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters, self.words = _byte_letters(), {}
+        self.letters, self.old = _byte_letters(), {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _word(self, piece: str) -> bytes:
         found = self.words.get(piece)
         if found is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            found = self.words[piece] = np.array(ids, "<u4").tobytes()
+            found = self.old_words.get(piece)
+            if found is None:
+                ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.words) >= CACHE:
+                self.old_words, self.words = self.words, {}
+            self.words[piece] = found
         return found
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) > CACHE:
+        if len(self) >= CACHE:  # what is in use is found in the old generation and moves to the new one
+            self.old = dict(self)
             self.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
+        ids = self.old.get(chunk)
+        if ids is not None:
+            self[chunk] = ids
+            return ids
         text = chunk.decode()
         if b"<|" not in chunk and chunk.isascii():
             ids = b"".join(map(self._word, _ASCII.findall(text.lower())))

@@ -65,13 +65,16 @@ def _gram_keys(codes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())])
 
 
-def _codes(keys: pa.Array) -> np.ndarray:
-    """The grams of gram keys."""
-    raw = np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, DEPTH + 2)
-    out = np.zeros(len(raw), np.uint64)
+def _codes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are grams, and the grams of these; read from the array's buffers, without a Python object for each."""
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    raw = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
+    start = offsets[:-1]
+    gram = raw[start] == GRAM[0] if len(keys) else np.zeros(0, bool)
+    out = np.zeros(int(gram.sum()), np.uint64)
     for k in range(1, DEPTH + 2):
-        out = out << np.uint64(8) | raw[:, k]
-    return out
+        out = out << np.uint64(8) | raw[start[gram] + k]
+    return gram, out
 
 
 def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,13 +191,21 @@ def mixed(levels: list[Level], first: int, codes: np.ndarray) -> tuple[np.ndarra
     return p, left, last
 
 
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    """A binary column as one array."""
+    joined = column.combine_chunks()
+    joined = pa.concat_arrays(joined.chunks) if isinstance(joined, pa.ChunkedArray) else joined
+    return joined.cast(pa.binary())
+
+
 def _deep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Subtrees of this partition's contexts: grams with their deep mixture, and what the top of the tree needs of them."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held).combine_chunks()
-    codes, n = _codes(table["key"].combine_chunks() if isinstance(table["key"], pa.ChunkedArray) else table["key"]), table["n"].to_numpy()
+    _, codes = _codes(_whole(table["key"]))
+    n = table["n"].to_numpy()
     levels = deep_levels(codes, n)
     p, left, last = mixed(levels, TOP + 1, codes)
     q = p + left * np.where(np.isnan(last), 0, last)  # what is left goes to the longest known context
@@ -261,15 +272,13 @@ def _ask(table: pa.Table) -> pa.Table:
 
 
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    keys = answers["key"].combine_chunks()
-    keys = keys.cast(pa.binary()) if isinstance(keys, pa.Array) else keys
-    values, seen = answers["value"].to_numpy(), answers["seen"].to_numpy()
-    gram = np.array([k[:1] == GRAM for k in keys.to_pylist()], bool)
-    codes = _codes(keys.filter(pa.array(gram))) if gram.any() else np.zeros(0, np.uint64)
+    keys, values, seen = _whole(answers["key"]), answers["value"].to_numpy(), answers["seen"].to_numpy()
+    gram, codes = _codes(keys)
     order = np.argsort(codes)
     codes, log_p = codes[order], values[gram][order]
-    words = {k[1:]: v for k, v, g in zip(keys.to_pylist(), values.tolist(), gram) if not g}
-    unseen = {k[1:] for k, s, g in zip(keys.to_pylist(), seen, gram) if not g and not s}
+    found = [k[1:] for k in keys.filter(pa.array(~gram)).to_pylist()]
+    words = dict(zip(found, values[~gram].tolist()))
+    unseen = {w for w, s in zip(found, seen[~gram]) if not s}
     out = []
     for part in C.gathered(docs.to_batches(), CHUNK // 2):
         texts = [t.lower() for t in C.texts_of(part["text"])]
@@ -278,7 +287,7 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         for doc_id, held_out, text, score in zip(part["doc_id"].to_pylist(), part["held_out"].to_pylist(), texts, scores):
             tokens = [*text.split(), b""]
             known = len(tokens) - (sum(map(unseen.__contains__, tokens)) if unseen else 0)
-            out.append((doc_id, held_out, len(tokens), known, math.fsum(map(words.__getitem__, tokens)), float(score)))
+            out.append((doc_id, held_out, len(tokens), known, sum(map(words.__getitem__, tokens)), float(score)))
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

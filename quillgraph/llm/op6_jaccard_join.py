@@ -22,7 +22,6 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,8 +35,8 @@ from . import common as C
 WORDS, BANDS = 5, 4
 #: Anchors in a list before its token is moved, times that it is done, entries in a block.
 LIST, ROUNDS, BLOCK = 64, 3, 8
-#: Documents sampled for frequent tokens, and the share of them that makes a token frequent.
-SAMPLE_DOCS, FREQUENT = 4000, 0.01
+#: Documents sampled for frequent tokens, and how many of them make a token frequent.
+SAMPLE_DOCS, FREQUENT = 16_000, 8
 _NO_ID = -(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -79,11 +78,11 @@ def prefix_length(n: int) -> int:
 
 
 def ordered_prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The first tokens of a set in the order (in ``last`` or not, hash)."""
+    """The first tokens of a set in the order (in ``last`` or not, hash); ``last`` is sorted."""
     p = prefix_length(len(s))
     if not len(last):
         return s[:p]
-    late = np.isin(s, last)
+    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
     first = s[~late]
     return first[:p] if len(first) >= p else np.concatenate([first, s[late][: p - len(first)]])
 
@@ -95,7 +94,7 @@ def _profile(frequent: np.ndarray):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch.column("text"))):
                 s = shingles(text)
-                mins = [int(_scatter(s * _MIX[k]).min().astype(np.int64)) for k in range(BANDS)] if len(s) else []
+                mins = [int((s * _MIX[k]).min().astype(np.int64)) for k in range(BANDS)] if len(s) else []
                 sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 rows.append((_NO_ID if doc_id is None else doc_id, len(s), sig, mins, ordered_prefix(s, frequent).tobytes() if len(s) else b""))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
@@ -105,7 +104,7 @@ def _profile(frequent: np.ndarray):
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Tokens of at least a hundredth of a bounded sample: at most a hundred times a mean set."""
+    """Tokens of at least ``FREQUENT`` documents of a bounded sample: at most ``SAMPLE_DOCS / FREQUENT`` times a mean set."""
     total = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("jaccard")), F.lit(1 << 30))
     sample = docs.where(draw < F.lit(int(min(1.0, SAMPLE_DOCS / max(1, total)) * (1 << 30)))).select("text")
@@ -116,8 +115,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
             values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts)], ["token", "n"])
 
-    least = max(8, int(FREQUENT * min(total, SAMPLE_DOCS)))
-    rows = sample.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token").toArrow()
+    rows = sample.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token").toArrow()
     return np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -140,34 +138,23 @@ def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact overlap o of every pair (a, b) of ids; only the texts of these ids are read into sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(ids, "id")
-    sets = _kept(texts.mapInArrow(_sets, "id long, tokens binary"), "jaccard-sets")
+    sets = C.materialize(texts.mapInArrow(_sets, "id long, tokens binary"), "jaccard-sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     found = both.mapInArrow(_overlaps, "a long, b long, o long").groupBy("a", "b").agg(F.max("o").alias("o"))
-    out = _kept(found, "jaccard-overlaps")
+    out = C.materialize(found, "jaccard-overlaps")
     C.remove(docs.sparkSession, sets.inputFiles()[0].rpartition("/")[0]) if sets.inputFiles() else None
     return out
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder; shuffle files that led to it go at once."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
-        return C.materialize(df, name)
-    finally:
-        conf.set(key, before)
-
-
 # ---- components ----------------------------------------------------------------------------------------
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest id of its component) for every id that has an edge (a, b)."""
-    both = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
+    both = C.materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("c")).select("node", F.least("node", "c").alias("comp"))
-    labels, before = _kept(labels, "cc-labels"), None
+    labels, before = C.materialize(labels, "cc-labels"), None
     while True:
         total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
         if total == before:
@@ -176,7 +163,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "m").alias("to"))
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        labels = _kept(step.join(jump, "to").select("node", F.col("further").alias("comp")), "cc-labels")
+        labels = C.materialize(step.join(jump, "to").select("node", F.col("further").alias("comp")), "cc-labels")
 
 
 # ---- the index -----------------------------------------------------------------------------------------
@@ -248,43 +235,80 @@ def list_pairs(anchors: np.ndarray, meta: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _merged(token: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each token and anchor of rows in that order; bounds are widened to hold all."""
+    first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (anchor[1:] != anchor[:-1])])
+    if len(first) < len(token):
+        n_low, n_high = np.minimum.reduceat(meta >> 44 & _SIZE, first), np.maximum.reduceat(meta >> 24 & _SIZE, first)
+        meta = n_low << 44 | n_high << 24 | np.minimum.reduceat(meta >> 12 & 4095, first) << 12 | np.maximum.reduceat(meta & 4095, first)
+        token, anchor = token[first], anchor[first]
+    return token, anchor, meta
+
+
+def _pairs_of(anchor: np.ndarray, meta: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Pairs of many lists (a, b rows): short lists of one size together, long ones block by block."""
+    out, bounds = [], unpacked(meta)
+    for size in np.unique(sizes[sizes <= 2 * BLOCK]):
+        at = starts[sizes == size]
+        i, j = np.triu_indices(int(size), 1)
+        x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        hit = can_link(tuple(v[x] for v in bounds), tuple(v[y] for v in bounds))
+        out.append(np.stack([anchor[x[hit]], anchor[y[hit]]]))
+    for start, size in zip(starts[sizes > 2 * BLOCK], sizes[sizes > 2 * BLOCK]):
+        found = list_pairs(anchor[start : start + size], meta[start : start + size])
+        if found:
+            out.append(np.array(found, np.int64).T)
+    return out
+
+
 def _lists(most: int | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From postings in order of token: pairs (a, b, shared tokens), and tokens (a, null) in too many anchors."""
-        tally, hot = Counter(), []
-        open_token, held, anchors_held = None, [], set()
-
-        def close() -> None:
-            if most is not None and len(anchors_held) > most:
-                hot.append(open_token)
-            elif len(anchors_held) > 1:
-                anchors, meta = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                tally.update(set(list_pairs(anchors, meta)))
+        """From postings in order of token and anchor: pairs (a, b, shared tokens), and tokens (a, null) in too many anchors."""
+        held = tuple(np.zeros(0, np.int64) for _ in range(3))  # rows of the token that the last batch ended in
+        pairs, hot, over = [], [], None
+
+        def take(token: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> None:
+            cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            sizes = np.diff(np.r_[cuts, len(token)])
+            if most is not None:
+                hot.extend(token[cuts[sizes > most]].tolist())
+                cuts, sizes = cuts[sizes <= most], sizes[sizes <= most]
+            pairs.extend(_pairs_of(anchor, meta, cuts[sizes > 1], sizes[sizes > 1]))
 
         def emit() -> pa.RecordBatch:
-            rows = [(a, b, c) for (a, b), c in tally.items()] + [(t, None, 0) for t in hot]
-            tally.clear()
+            both = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+            both = np.sort(both, axis=0)
+            order = np.lexsort(both[::-1])
+            both = both[:, order]
+            first = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)]) if both.shape[1] else np.zeros(0, np.int64)
+            counts = np.diff(np.r_[first, both.shape[1]])
+            a = np.concatenate([both[0, first], np.array(hot, np.int64)])
+            b = pa.concat_arrays([pa.array(both[1, first]), pa.nulls(len(hot), pa.int64())])
+            c = np.concatenate([counts, np.zeros(len(hot), np.int64)]).astype(np.int64)
+            pairs.clear()
             hot.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(c)], ["a", "b", "c"])
 
         for batch in batches:
-            token, anchor, meta = (batch.column(c).to_numpy() for c in ("token", "anchor", "meta"))
+            token, anchor, meta = _merged(*(np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("token", "anchor", "meta"))))
+            if over is not None:  # the rest of a token that is known to be in too many anchors
+                rest = token != over
+                token, anchor, meta = token[rest], anchor[rest], meta[rest]
             if not len(token):
+                held = (token, anchor, meta)
                 continue
-            cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-            sizes = np.diff(cuts)
-            wanted = np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1))
-            for k in wanted:
-                a, b = cuts[k], cuts[k + 1]
-                if int(token[a]) != open_token:
-                    close()
-                    open_token, held, anchors_held = int(token[a]), [], set()
-                if most is None or len(anchors_held) <= most:  # of a list that is too long already, no more is kept
-                    held.append((anchor[a:b], meta[a:b]))
-                    anchors_held.update(anchor[a:b].tolist())
-            if len(tally) > 50_000:
+            last = np.searchsorted(token, token[-1])
+            take(token[:last], anchor[:last], meta[:last])
+            held = (token[last:], anchor[last:], meta[last:])
+            over = None
+            if most is not None and len(held[0]) > most:
+                over = int(token[-1])
+                hot.append(over)
+                held = tuple(np.zeros(0, np.int64) for _ in range(3))
+            if sum(p.shape[1] for p in pairs) > 2_000_000:
                 yield emit()
-        close()
+        if len(held[0]):
+            take(*held)
         yield emit()
 
     return run
@@ -296,8 +320,8 @@ def index_pairs(prefixes: DataFrame, most: int | None) -> DataFrame:
     total = prefixes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 8 // 1_000_000))
     rows = prefixes.mapInArrow(_postings, "token long, anchor long, meta long")
-    lists = rows.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_lists(most), "a long, b long, c long")
-    return _kept(lists.groupBy("a", "b").agg(F.sum("c").alias("c")), "jaccard-pairs")
+    lists = rows.repartition(parts, "token").sortWithinPartitions("token", "anchor").mapInArrow(_lists(most), "a long, b long, c long")
+    return C.materialize(lists.groupBy("a", "b").agg(F.sum("c").alias("c")), "jaccard-pairs")
 
 
 def _redraw(frequent: np.ndarray):
@@ -305,8 +329,11 @@ def _redraw(frequent: np.ndarray):
         for batch in C.slices(batches, 8 << 20):
             out = []
             for text, hot in zip(C.texts_of(batch.column("text")), batch.column("hot").to_pylist()):
-                last = np.concatenate([frequent, np.array(hot, np.int64).view(np.uint64)])
-                out.append(ordered_prefix(shingles(text), last).tobytes())
+                s = shingles(text)
+                moved = np.array(hot, np.int64).view(np.uint64)
+                if len(frequent):
+                    moved = np.concatenate([moved, s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s]])
+                out.append(ordered_prefix(s, np.sort(moved)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "prefix"])
 
     return run
@@ -330,16 +357,16 @@ def anchor_pairs(docs: DataFrame, prefixes: DataFrame, frequent: np.ndarray) ->
         if known is not None and not hot.join(known, "token", "left_anti").head(1):  # nothing is left to move
             return index_pairs(prefixes, None)
         # all tokens moved so far, so that every prefix that holds one is drawn in the same order
-        known = _kept(hot if known is None else known.unionByName(hot).distinct(), "jaccard-hot")
+        known = C.materialize(hot if known is None else known.unionByName(hot).distinct(), "jaccard-hot")
         held = prefixes.select("doc_id", "prefix").mapInArrow(_tokens, "doc_id long, token long").join(known, "token")
         held = held.groupBy("doc_id").agg(F.collect_set("token").alias("hot"))
         texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
         if k:  # what a prefix had to give up before counts as well
             held = held.unionByName(given).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hot"))).alias("hot"))
-        given = _kept(held, "jaccard-given")
-        fresh = _kept(texts.join(given, "doc_id").mapInArrow(_redraw(frequent), "doc_id long, prefix binary"), "jaccard-redrawn")
+        given = C.materialize(held, "jaccard-given")
+        fresh = C.materialize(texts.join(given, "doc_id").mapInArrow(_redraw(frequent), "doc_id long, prefix binary"), "jaccard-redrawn")
         old = prefixes.join(fresh.select("doc_id", F.col("prefix").alias("fresh")), "doc_id", "left")
-        prefixes = _kept(old.withColumn("prefix", F.coalesce("fresh", "prefix")).drop("fresh"), "jaccard-prefixes")
+        prefixes = C.materialize(old.withColumn("prefix", F.coalesce("fresh", "prefix")).drop("fresh"), "jaccard-prefixes")
 
 
 # ---- the join ------------------------------------------------------------------------------------------
@@ -355,43 +382,43 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
     frequent = frequent_tokens(docs)
-    profiles = _kept(docs.mapInArrow(_profile(frequent), "doc_id long, n long, sig binary, bands array<long>, prefix binary"), "jaccard-profiles")
-    classes = _kept(profiles.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    profiles = C.materialize(docs.mapInArrow(_profile(frequent), "doc_id long, n long, sig binary, bands array<long>, prefix binary"), "jaccard-profiles")
+    classes = C.materialize(profiles.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     of_rep = profiles.where("n > 0").select("doc_id", "sig", "bands").join(classes, "sig").where("doc_id = rep")
-    reps = _kept(of_rep.select("rep", "n", "bands"), "jaccard-reps")
+    reps = C.materialize(of_rep.select("rep", "n", "bands"), "jaccard-reps")
     sizes = reps.groupBy("rep").agg(F.max("n").alias("n"))
 
     # stars around the smallest of those that share a minimum hash
     bands = reps.select("rep", "n", F.posexplode("bands").alias("band", "value"))
     hubs = bands.groupBy("band", "value").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "value", "hub")
     tried = bands.join(hubs, ["band", "value"]).where("rep <> hub.rep and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
-    tried = _kept(tried.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct(), "jaccard-tried")
-    starred = _kept(_links(overlaps(docs, tried), sizes).where("linked"), "jaccard-stars")
+    tried = C.materialize(tried.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct(), "jaccard-tried")
+    starred = C.materialize(_links(overlaps(docs, tried), sizes).where("linked"), "jaccard-stars")
     comps = components(starred)
     hub_ids = starred.select(F.col("b").alias("a")).distinct()
     best = starred.join(hub_ids, "a", "left_anti").groupBy("a").agg(F.max(F.struct("o", "b")).alias("best")).select(F.col("a").alias("rep"), F.col("best.b").alias("anchor"), F.col("best.o").alias("o"))
     info = sizes.join(best, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     info = info.select("rep", "n", F.coalesce("anchor", "rep").alias("anchor"), (F.col("n") - F.coalesce("o", "n")).alias("extra"), F.coalesce("comp", "rep").alias("comp"))
-    info = _kept(info, "jaccard-info")
+    info = C.materialize(info, "jaccard-info")
 
     # anchors that share enough of the index
     of_rep = profiles.where("n > 0").select("doc_id", "sig", "prefix").join(classes.select("sig", "rep"), "sig").where("doc_id = rep").select("doc_id", "prefix")
-    prefixes = _kept(of_rep.join(info.select(F.col("rep").alias("doc_id"), "n", "anchor"), "doc_id"), "jaccard-prefixes")
+    prefixes = C.materialize(of_rep.join(info.select(F.col("rep").alias("doc_id"), "n", "anchor"), "doc_id"), "jaccard-prefixes")
     listed = anchor_pairs(docs, prefixes, frequent)
     rest = F.col("n") - (F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)
     slack = F.col("extra") - 3 * F.col("n") / 7
     groups = info.groupBy("anchor").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"), F.max(slack).alias("slack"), F.min("comp").alias("comp"))
     side = lambda s: groups.select(F.col("anchor").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "rest", "slack", "comp")])
     near = listed.join(side("a"), "a").join(side("b"), "b").where("comp_a <> comp_b and 4 * high_a >= 3 * low_b and 4 * high_b >= 3 * low_a and 7 * (c + greatest(rest_a, rest_b)) >= 3 * (low_a + low_b)")
-    near = _kept(near.select("a", "b", "slack_a", "slack_b"), "jaccard-near")
-    compared = _kept(_links(overlaps(docs, near.select("a", "b")), sizes), "jaccard-compared")
+    near = C.materialize(near.select("a", "b", "slack_a", "slack_b"), "jaccard-near")
+    compared = C.materialize(_links(overlaps(docs, near.select("a", "b")), sizes), "jaccard-compared")
 
     # sets of two anchors that do not link themselves: derived from the anchors' overlap where that settles it
     open_ = compared.where("not linked").join(near, ["a", "b"]).where("o + slack_a + slack_b >= -1e-6")
     member = lambda s: info.select(F.col("anchor").alias(s), F.col("rep").alias(f"x_{s}"), F.col("n").alias(f"n_{s}"), slack.alias(f"s_{s}"))
     left = open_.join(member("a"), "a").where("o + s_a + slack_b >= -1e-6")
     both = left.join(member("b"), "b").where("o + s_a + s_b >= -1e-6 and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a and not (x_a = a and x_b = b)")
-    further = _kept(both.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).distinct(), "jaccard-further")
+    further = C.materialize(both.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).distinct(), "jaccard-further")
     derived = _links(overlaps(docs, further), sizes).where("linked")
 
     links = starred.select("a", "b").unionByName(compared.where("linked").select("a", "b")).unionByName(derived.select("a", "b"))
