@@ -71,6 +71,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/quillgraph/" in folder:
+            remove(df.sparkSession, folder)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column, from one narrow scan."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

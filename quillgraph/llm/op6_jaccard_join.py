@@ -6,10 +6,11 @@ Sets are distinct hashes of five-word shingles; two link when ``100 * |x & y| >=
 2. Stars: representatives that share a minimum hash are compared with the smallest of their group. A set that links is
    anchored there, and its answers are later derived from the anchor's: it differs from the anchor by few
    elements, so with ``|h & k|`` of two anchors known, ``|x & y| <= |h & k| + |x - h| + |y - k|`` settles most pairs of their sets unseen.
-3. Index: the prefixes (rarely the whole set) of all representatives, as lists of anchors by token, in one total order. Lists lie in
+3. Index: the prefixes (rarely the whole set) of all representatives, as lists of anchors by token, in one total order. Pairs within a
+   component that the stars have found are skipped, and so are lists of one component. Lists lie in
    blocks by size and position; pairs of blocks that no qualifying pair can be in are skipped. Pairs of anchors are kept if
    the tokens they share leave enough room, and are then compared exactly.
-4. A token in more than ``LIST`` anchors goes to the end of the order, and the prefixes that had it are drawn anew, until no list is long or
+4. A token in more than ``LIST`` components goes to the end of the order, and the prefixes that had it are drawn anew, until no list is long or
    ``ROUNDS`` are over; what is long then is compared like the rest. Tokens that are
    frequent in a bounded sample are at the end from the start. The order decides the work alone, never the result.
 5. Components of all links, by minimum labels with pointer jumping.
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WORDS, BANDS = 5, 4
-#: Anchors in a list before its token is moved, times that it is done, entries in a block.
-LIST, ROUNDS, BLOCK = 64, 3, 8
+#: Components in a list before its token is moved, times that it is done, entries in a block.
+LIST, ROUNDS, BLOCK = 16, 3, 8
 #: Documents sampled for frequent tokens, and how many of them make a token frequent.
 SAMPLE_DOCS, FREQUENT = 16_000, 8
 _NO_ID = -(1 << 63)
@@ -137,13 +138,13 @@ def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact overlap o of every pair (a, b) of ids; only the texts of these ids are read into sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(ids, "id")
+    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(ids.hint("merge"), "id")  # the same plan at every size
     sets = C.materialize(texts.mapInArrow(_sets, "id long, tokens binary"), "jaccard-sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     found = both.mapInArrow(_overlaps, "a long, b long, o long").groupBy("a", "b").agg(F.max("o").alias("o"))
     out = C.materialize(found, "jaccard-overlaps")
-    C.remove(docs.sparkSession, sets.inputFiles()[0].rpartition("/")[0]) if sets.inputFiles() else None
+    C.discard(sets)
     return out
 
 
@@ -172,22 +173,23 @@ _SIZE = (1 << 20) - 1
 
 
 def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, anchor, meta); sets of one anchor in a batch share a row. meta: sizes (20 bits each) and positions in 4096ths, least and most."""
+    """Rows (token, comp, anchor, meta); sets of one anchor in a batch share a row. meta: sizes (20 bits each) and positions in 4096ths, least and most."""
     for batch in C.slices(batches, 2 << 20, "prefix"):
         prefixes = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
         lengths = np.array([len(p) for p in prefixes], np.int64)
         token = np.concatenate(prefixes).astype(np.int64)
         anchor = np.repeat(batch.column("anchor").to_numpy(), lengths)
+        comp = np.repeat(batch.column("comp").to_numpy(), lengths)
         n = np.repeat(batch.column("n").to_numpy(), lengths)
         at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         low, high = at * 4096 // n, np.minimum(-(-(at + 1) * 4096 // n), 4095)
         order = np.lexsort((anchor, token))
-        token, anchor, n, low, high = (x[order] for x in (token, anchor, n, low, high))
+        token, anchor, comp, n, low, high = (x[order] for x in (token, anchor, comp, n, low, high))
         first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (anchor[1:] != anchor[:-1])]) if len(token) else np.zeros(0, np.int64)
         if len(first):
             n_low, n_high = np.minimum(np.minimum.reduceat(n, first), _SIZE), np.minimum(np.maximum.reduceat(n, first), _SIZE)
             meta = n_low << 44 | n_high << 24 | np.minimum.reduceat(low, first) << 12 | np.maximum.reduceat(high, first)
-            yield pa.RecordBatch.from_arrays([pa.array(token[first]), pa.array(anchor[first]), pa.array(meta)], ["token", "anchor", "meta"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[first], comp[first], anchor[first], meta)], ["token", "comp", "anchor", "meta"])
 
 
 def unpacked(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,14 +212,11 @@ def can_link(x: tuple, y: tuple) -> np.ndarray:
     return fits & (7 * most >= 3 * (x_low + y_low))
 
 
-def list_pairs(anchors: np.ndarray, meta: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a list's anchors that may hold a link; the list lies in blocks by size and position, and blocks are skipped whole."""
-    if len(anchors) == 2:
-        a, b = (tuple(v[k : k + 1] for v in unpacked(meta)) for k in (0, 1))
-        return [tuple(sorted(anchors.tolist()))] if can_link(a, b)[0] else []
+def list_pairs(anchors: np.ndarray, comps: np.ndarray, meta: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a list's anchors, of different components, that may hold a link; the list lies in blocks by size and position, and blocks are skipped whole."""
     bounds = unpacked(meta)
     order = np.lexsort((bounds[2], bounds[0]))
-    anchors, bounds = anchors[order], tuple(v[order] for v in bounds)
+    anchors, comps, bounds = anchors[order], comps[order], tuple(v[order] for v in bounds)
     cuts = np.arange(0, len(anchors), BLOCK)
     block = (np.minimum.reduceat(bounds[0], cuts), np.maximum.reduceat(bounds[1], cuts), np.minimum.reduceat(bounds[2], cuts), np.maximum.reduceat(bounds[3], cuts))
     out = []
@@ -228,34 +227,36 @@ def list_pairs(anchors: np.ndarray, meta: np.ndarray) -> list[tuple[int, int]]:
             continue
         right = np.concatenate([np.arange(cuts[j], min(cuts[j] + BLOCK, len(anchors))) for j in near])
         for i in range(start, min(start + BLOCK, len(anchors))):
-            later = right[right > i]
+            later = right[(right > i) & (comps[right] != comps[i])]
             if len(later):
                 hit = later[can_link(tuple(v[i] for v in bounds), tuple(v[later] for v in bounds))]
-                out += [(min(p), max(p)) for p in ((int(anchors[i]), int(anchors[j])) for j in hit) if p[0] != p[1]]
+                out += [(min(p), max(p)) for p in ((int(anchors[i]), int(anchors[j])) for j in hit)]
     return out
 
 
-def _merged(token: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(token: np.ndarray, comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, ...]:
     """One row for each token and anchor of rows in that order; bounds are widened to hold all."""
     first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (anchor[1:] != anchor[:-1])])
     if len(first) < len(token):
         n_low, n_high = np.minimum.reduceat(meta >> 44 & _SIZE, first), np.maximum.reduceat(meta >> 24 & _SIZE, first)
         meta = n_low << 44 | n_high << 24 | np.minimum.reduceat(meta >> 12 & 4095, first) << 12 | np.maximum.reduceat(meta & 4095, first)
-        token, anchor = token[first], anchor[first]
-    return token, anchor, meta
+        token, comp, anchor = token[first], comp[first], anchor[first]
+    return token, comp, anchor, meta
 
 
-def _pairs_of(anchor: np.ndarray, meta: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+def _pairs_of(comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Pairs of many lists (a, b rows): short lists of one size together, long ones block by block."""
     out, bounds = [], unpacked(meta)
     for size in np.unique(sizes[sizes <= 2 * BLOCK]):
         at = starts[sizes == size]
         i, j = np.triu_indices(int(size), 1)
         x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        apart = comp[x] != comp[y]
+        x, y = x[apart], y[apart]
         hit = can_link(tuple(v[x] for v in bounds), tuple(v[y] for v in bounds))
         out.append(np.stack([anchor[x[hit]], anchor[y[hit]]]))
     for start, size in zip(starts[sizes > 2 * BLOCK], sizes[sizes > 2 * BLOCK]):
-        found = list_pairs(anchor[start : start + size], meta[start : start + size])
+        found = list_pairs(anchor[start : start + size], comp[start : start + size], meta[start : start + size])
         if found:
             out.append(np.array(found, np.int64).T)
     return out
@@ -263,17 +264,22 @@ def _pairs_of(anchor: np.ndarray, meta: np.ndarray, starts: np.ndarray, sizes: n
 
 def _lists(most: int | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From postings in order of token and anchor: pairs (a, b, shared tokens), and tokens (a, null) in too many anchors."""
-        held = tuple(np.zeros(0, np.int64) for _ in range(3))  # rows of the token that the last batch ended in
+        """From postings in order of token, component and anchor: pairs (a, b, shared tokens), and tokens (a, null) in too many components."""
+        held = tuple(np.zeros(0, np.int64) for _ in range(4))  # rows of the token that the last batch ended in
         pairs, hot, over = [], [], None
 
-        def take(token: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> None:
-            cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        def take(token: np.ndarray, comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> None:
+            if not len(token):
+                return
+            fresh = np.r_[True, token[1:] != token[:-1]]
+            cuts = np.flatnonzero(fresh)
             sizes = np.diff(np.r_[cuts, len(token)])
+            kinds = np.add.reduceat((fresh | np.r_[True, comp[1:] != comp[:-1]]).astype(np.int64), cuts)
+            keep = kinds > 1
             if most is not None:
-                hot.extend(token[cuts[sizes > most]].tolist())
-                cuts, sizes = cuts[sizes <= most], sizes[sizes <= most]
-            pairs.extend(_pairs_of(anchor, meta, cuts[sizes > 1], sizes[sizes > 1]))
+                hot.extend(token[cuts[kinds > most]].tolist())
+                keep &= kinds <= most
+            pairs.extend(_pairs_of(comp, anchor, meta, cuts[keep], sizes[keep]))
 
         def emit() -> pa.RecordBatch:
             both = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
@@ -290,21 +296,21 @@ def _lists(most: int | None):
             return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(c)], ["a", "b", "c"])
 
         for batch in batches:
-            token, anchor, meta = _merged(*(np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("token", "anchor", "meta"))))
-            if over is not None:  # the rest of a token that is known to be in too many anchors
-                rest = token != over
-                token, anchor, meta = token[rest], anchor[rest], meta[rest]
+            rows = _merged(*(np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("token", "comp", "anchor", "meta"))))
+            if over is not None:  # the rest of a token that is known to be in too many components
+                rows = tuple(x[rows[0] != over] for x in rows)
+            token = rows[0]
             if not len(token):
-                held = (token, anchor, meta)
+                held = rows
                 continue
             last = np.searchsorted(token, token[-1])
-            take(token[:last], anchor[:last], meta[:last])
-            held = (token[last:], anchor[last:], meta[last:])
+            take(*(x[:last] for x in rows))
+            held = tuple(x[last:] for x in rows)
             over = None
-            if most is not None and len(held[0]) > most:
+            if most is not None and len(np.unique(held[1])) > most:
                 over = int(token[-1])
                 hot.append(over)
-                held = tuple(np.zeros(0, np.int64) for _ in range(3))
+                held = tuple(x[:0] for x in rows)
             if sum(p.shape[1] for p in pairs) > 2_000_000:
                 yield emit()
         if len(held[0]):
@@ -315,12 +321,12 @@ def _lists(most: int | None):
 
 
 def index_pairs(prefixes: DataFrame, most: int | None) -> DataFrame:
-    """a, b, c: pairs of anchors and how many listed tokens they share; b null: a token in more than ``most`` anchors."""
+    """a, b, c: pairs of anchors and how many listed tokens they share; b null: a token in more than ``most`` components."""
     spark = prefixes.sparkSession
     total = prefixes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 8 // 1_000_000))
-    rows = prefixes.mapInArrow(_postings, "token long, anchor long, meta long")
-    lists = rows.repartition(parts, "token").sortWithinPartitions("token", "anchor").mapInArrow(_lists(most), "a long, b long, c long")
+    rows = prefixes.mapInArrow(_postings, "token long, comp long, anchor long, meta long")
+    lists = rows.repartition(parts, "token").sortWithinPartitions("token", "comp", "anchor").mapInArrow(_lists(most), "a long, b long, c long")
     return C.materialize(lists.groupBy("a", "b").agg(F.sum("c").alias("c")), "jaccard-pairs")
 
 
@@ -355,6 +361,7 @@ def anchor_pairs(docs: DataFrame, prefixes: DataFrame, frequent: np.ndarray) ->
         if k == ROUNDS or not hot.head(1):
             return pairs.where("b is not null")
         if known is not None and not hot.join(known, "token", "left_anti").head(1):  # nothing is left to move
+            C.discard(pairs)
             return index_pairs(prefixes, None)
         # all tokens moved so far, so that every prefix that holds one is drawn in the same order
         known = C.materialize(hot if known is None else known.unionByName(hot).distinct(), "jaccard-hot")
@@ -364,9 +371,12 @@ def anchor_pairs(docs: DataFrame, prefixes: DataFrame, frequent: np.ndarray) ->
         if k:  # what a prefix had to give up before counts as well
             held = held.unionByName(given).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hot"))).alias("hot"))
         given = C.materialize(held, "jaccard-given")
-        fresh = C.materialize(texts.join(given, "doc_id").mapInArrow(_redraw(frequent), "doc_id long, prefix binary"), "jaccard-redrawn")
+        fresh = C.materialize(texts.join(given.hint("merge"), "doc_id").mapInArrow(_redraw(frequent), "doc_id long, prefix binary"), "jaccard-redrawn")
         old = prefixes.join(fresh.select("doc_id", F.col("prefix").alias("fresh")), "doc_id", "left")
-        prefixes = C.materialize(old.withColumn("prefix", F.coalesce("fresh", "prefix")).drop("fresh"), "jaccard-prefixes")
+        redrawn = C.materialize(old.withColumn("prefix", F.coalesce("fresh", "prefix")).drop("fresh"), "jaccard-prefixes")
+        for done in (prefixes, fresh, pairs):
+            C.discard(done)
+        prefixes = redrawn
 
 
 # ---- the join ------------------------------------------------------------------------------------------
@@ -403,7 +413,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # anchors that share enough of the index
     of_rep = profiles.where("n > 0").select("doc_id", "sig", "prefix").join(classes.select("sig", "rep"), "sig").where("doc_id = rep").select("doc_id", "prefix")
-    prefixes = C.materialize(of_rep.join(info.select(F.col("rep").alias("doc_id"), "n", "anchor"), "doc_id"), "jaccard-prefixes")
+    prefixes = C.materialize(of_rep.join(info.select(F.col("rep").alias("doc_id"), "n", "anchor", "comp"), "doc_id"), "jaccard-prefixes")
     listed = anchor_pairs(docs, prefixes, frequent)
     rest = F.col("n") - (F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)
     slack = F.col("extra") - 3 * F.col("n") / 7
