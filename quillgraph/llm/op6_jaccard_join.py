@@ -6,13 +6,14 @@ Sets are distinct hashes of five-word shingles; two link when ``100 * |x & y| >=
 2. Stars: representatives that share a minimum hash are compared with the smallest of their group. A set that links is
    anchored there, and its answers are later derived from the anchor's: it differs from the anchor by few
    elements, so with ``|h & k|`` of two anchors known, ``|x & y| <= |h & k| + |x - h| + |y - k|`` settles most pairs of their sets unseen.
-3. Index: the prefixes (rarely the whole set) of all representatives, as lists of anchors by token, in one total order. Pairs within a
+3. Shares: how many documents have each token is counted over all rows. Documents are dealt to blocks; a block sends its distinct tokens,
+   four bytes each, to the token's bucket and gets back the class (logarithm of the count) of those that others have as well. Sets are in the order of
+   class and hash, so tokens of one document alone come first and need no list, and a set unlike all others has none. The order
+   decides the work alone, never the result.
+4. Index: the prefixes of all representatives, without tokens of one document, as lists of anchors by token. Pairs within a
    component that the stars have found are skipped, and so are lists of one component. Lists lie in
    blocks by size and position; pairs of blocks that no qualifying pair can be in are skipped. Pairs of anchors are kept if
    the tokens they share leave enough room, and are then compared exactly.
-4. A token in more than ``LIST`` components goes to the end of the order, and the prefixes that had it are drawn anew, until no list is long or
-   ``ROUNDS`` are over; what is long then is compared like the rest. Tokens that are
-   frequent in a bounded sample are at the end from the start. The order decides the work alone, never the result.
 5. Components of all links, by minimum labels with pointer jumping.
 
 Cases: null, empty and wordless texts have the empty set, link with nothing and are their own component; fewer than five words
@@ -34,10 +35,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WORDS, BANDS = 5, 4
-#: Components in a list before its token is moved, times that it is done, entries in a block.
-LIST, ROUNDS, BLOCK = 16, 3, 8
-#: Documents sampled for frequent tokens, and how many of them make a token frequent.
-SAMPLE_DOCS, FREQUENT = 16_000, 8
+#: Entries in a block of a list.
+BLOCK = 8
+#: Buckets of tokens at least and at most, and bytes of text for each between.
+BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1024, 1 << 16, 32 << 20
 _NO_ID = -(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -78,73 +79,138 @@ def prefix_length(n: int) -> int:
     return n + (-3 * n // 4) + 1
 
 
-def ordered_prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The first tokens of a set in the order (in ``last`` or not, hash); ``last`` is sorted."""
-    p = prefix_length(len(s))
-    if not len(last):
-        return s[:p]
-    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-    first = s[~late]
-    return first[:p] if len(first) >= p else np.concatenate([first, s[late][: p - len(first)]])
+def ordered_prefix(s: np.ndarray, kinds: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first tokens of a set in the order (class, hash): how many are in no other set (class 0), and the others."""
+    order = np.argsort(kinds, kind="stable")[: prefix_length(len(s))]
+    alone = int((kinds[order] == 0).sum())
+    return alone, s[order[alone:]]
 
 
-def _profile(frequent: np.ndarray):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Size, digest, minimum hashes and prefix of each document's set."""
-        for batch in C.slices(batches, 8 << 20):
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch.column("text"))):
-                s = shingles(text)
-                mins = [int((s * _MIX[k]).min().astype(np.int64)) for k in range(BANDS)] if len(s) else []
-                sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                rows.append((_NO_ID if doc_id is None else doc_id, len(s), sig, mins, ordered_prefix(s, frequent).tobytes() if len(s) else b""))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n", "sig", "bands", "prefix"])
+def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, digest and minimum hashes of each document's set."""
+    for batch in C.slices(batches, 8 << 20):
+        rows = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch.column("text"))):
+            s = shingles(text)
+            mins = [int((s * _MIX[k]).min().astype(np.int64)) for k in range(BANDS)] if len(s) else []
+            rows.append((_NO_ID if doc_id is None else doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), mins))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n", "sig", "bands"])
 
-    return run
 
+# ---- which tokens are shared ---------------------------------------------------------------------------
 
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """Tokens of at least ``FREQUENT`` documents of a bounded sample: at most ``SAMPLE_DOCS / FREQUENT`` times a mean set."""
-    total = docs.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("jaccard")), F.lit(1 << 30))
-    sample = docs.where(draw < F.lit(int(min(1.0, SAMPLE_DOCS / max(1, total)) * (1 << 30)))).select("text")
 
-    def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t) for t in C.texts_of(batch.column("text"))]
-            values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts)], ["token", "n"])
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Slices of an array as binary values."""
+    offsets = np.r_[cuts, len(values)].astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
-    rows = sample.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token").toArrow()
-    return np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
 
+def _cut(bits: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of sorted keys (the first ``bits + 32`` bits of tokens) and where each begins."""
+    bucket = (keys >> np.uint64(32)).astype(np.int32)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[cuts], cuts
 
-# ---- exact comparison --------------------------------------------------------------------------------
 
+def _offer(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A block's distinct tokens by bucket, and how many of its documents have each (255 at most)."""
+        found = [np.zeros(0, np.uint64)]
+        for part in C.gathered(table.to_batches(), 4 << 20):
+            found += [shingles(t) >> np.uint64(32 - bits) for t in C.texts_of(part["text"])]
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        bucket, cuts = _cut(bits, keys)
+        block = np.full(len(bucket), table["block"][0].as_py(), np.int32)
+        return pa.table([pa.array(block), pa.array(bucket), _packed(keys.astype(np.uint32), cuts), _packed(np.minimum(n, 255).astype(np.uint8), cuts)], ["block", "bucket", "tokens", "n"])
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.slices(batches, 8 << 20):
-        sets = pa.array([shingles(t).tobytes() for t in C.texts_of(batch.column("text"))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), sets], ["id", "tokens"])
+    return run
+
+
+def _classes(table: pa.Table) -> pa.Table:
+    """From a bucket's offers: for each block its tokens that are in two documents or more, with the logarithm of their number."""
+    sizes = [len(x) // 4 for x in table["tokens"].to_pylist()]
+    tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32)
+    counts = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint8)
+    _, at = np.unique(tokens, return_inverse=True)
+    total = np.bincount(at, counts)[at]
+    shared = total > 1
+    kind = np.log2(np.maximum(total, 1)).astype(np.uint8)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[shared]
+    rows, cuts = np.unique(owner, return_index=True)
+    return pa.table([table["block"].combine_chunks().take(pa.array(rows)), table["bucket"].combine_chunks().take(pa.array(rows)), _packed(tokens[shared], cuts), _packed(kind[shared], cuts)], ["block", "bucket", "tokens", "kinds"])
+
+
+def _draw(bits: int):
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        """Prefixes of a block's representatives: ``skip`` tokens of this document alone, then those in ``prefix``."""
+        known, kinds, info = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], {}
+        for row in side.to_batches():
+            for bucket, tokens, kind, rep, anchor, comp in zip(*(row.column(c).to_pylist() for c in ("bucket", "tokens", "kinds", "rep", "anchor", "comp"))):
+                if tokens is None:
+                    info[rep] = anchor, comp
+                else:
+                    known.append(np.frombuffer(tokens, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+                    kinds.append(np.frombuffer(kind, np.uint8))
+        known, kinds = np.concatenate(known), np.concatenate(kinds)
+        order = np.argsort(known)
+        known, kinds, out = known[order], kinds[order], []
+        for part in C.gathered(docs.to_batches(), 4 << 20):
+            for doc_id, text in zip(part["doc_id"].to_pylist(), C.texts_of(part["text"])):
+                if doc_id not in info or not len(known):
+                    continue
+                s = shingles(text)
+                keys = s >> np.uint64(32 - bits)
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                skip, prefix = ordered_prefix(s, np.where(known[at] == keys, kinds[at], 0))
+                if len(prefix):
+                    out.append((doc_id, len(s), *info[doc_id], skip, prefix.tobytes()))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, types)], ["doc_id", "n", "anchor", "comp", "skip", "prefix"])
+
+    return run
+
+
+def shared_prefixes(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """doc_id, n, anchor, comp, skip, prefix of the representatives (``rep`` of info) whose prefix has tokens that others have."""
+    total = C.text_bytes(docs)
+    bits = (min(MOST_BUCKETS, max(BUCKETS, total // BUCKET_BYTES)) - 1).bit_length()
+    n = C.block_count(total)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
+    blocks = keyed.withColumn("block", C.block_of(n, "doc_id")).repartition(n, "block")
+    offers = blocks.select("text", "block").groupBy("block").applyInArrow(_offer(bits), "block int, bucket int, tokens binary, n binary")
+    shared = C.materialize(offers.groupBy("bucket").applyInArrow(_classes, "block int, bucket int, tokens binary, kinds binary"), "jaccard-shared")
+    side = shared.unionByName(info.select(C.block_of(n, "rep").alias("block"), "rep", "anchor", "comp"), allowMissingColumns=True)
+    drawn = blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_draw(bits), "doc_id long, n long, anchor long, comp long, skip long, prefix binary")
+    out = C.materialize(drawn, "jaccard-prefixes")
+    C.discard(shared)
+    return out
+
+
+# ---- exact comparison --------------------------------------------------------------------------------
 
 
 def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, y = None, np.zeros(0, np.uint64)
     for batch in batches:
-        out = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        out = []
+        for a, b in zip(C.texts_of(batch.column("x")), C.texts_of(batch.column("y"))):
+            if b != last:  # rows come in order of b
+                last, y = b, shingles(b)
+            out.append(len(np.intersect1d(shingles(a), y, assume_unique=True)))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.int64())], ["a", "b", "o"])
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact overlap o of every pair (a, b) of ids; only the texts of these ids are read into sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text").join(ids.hint("merge"), "id")  # the same plan at every size
-    sets = C.materialize(texts.mapInArrow(_sets, "id long, tokens binary"), "jaccard-sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    """Exact overlap o of every pair (a, b) of ids. Texts are dealt, as they compress better than sets of hashes, and each side only those of its ids."""
+    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
+    side = lambda s, name: texts.join(pairs.select(F.col(s).alias("id")).distinct().hint("merge"), "id").select(F.col("id").alias(s), F.col("text").alias(name))  # noqa: E731  # the same plan at every size
+    left = C.materialize(pairs.select("a", "b").join(side("a", "x"), "a"), "jaccard-left")
+    both = left.join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
     found = both.mapInArrow(_overlaps, "a long, b long, o long").groupBy("a", "b").agg(F.max("o").alias("o"))
     out = C.materialize(found, "jaccard-overlaps")
-    C.discard(sets)
+    C.discard(left)
     return out
 
 
@@ -173,7 +239,7 @@ _SIZE = (1 << 20) - 1
 
 
 def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, comp, anchor, meta); sets of one anchor in a batch share a row. meta: sizes (20 bits each) and positions in 4096ths, least and most."""
+    """Rows (token, comp, anchor, meta) of prefixes; sets of one anchor in a batch share a row. meta: sizes (20 bits each) and positions in 4096ths, least and most."""
     for batch in C.slices(batches, 2 << 20, "prefix"):
         prefixes = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
         lengths = np.array([len(p) for p in prefixes], np.int64)
@@ -181,7 +247,7 @@ def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = np.repeat(batch.column("anchor").to_numpy(), lengths)
         comp = np.repeat(batch.column("comp").to_numpy(), lengths)
         n = np.repeat(batch.column("n").to_numpy(), lengths)
-        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths - batch.column("skip").to_numpy(), lengths)
         low, high = at * 4096 // n, np.minimum(-(-(at + 1) * 4096 // n), 4095)
         order = np.lexsort((anchor, token))
         token, anchor, comp, n, low, high = (x[order] for x in (token, anchor, comp, n, low, high))
@@ -262,123 +328,48 @@ def _pairs_of(comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray, starts: np
     return out
 
 
-def _lists(most: int | None):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From postings in order of token, component and anchor: pairs (a, b, shared tokens), and tokens (a, null) in too many components."""
-        held = tuple(np.zeros(0, np.int64) for _ in range(4))  # rows of the token that the last batch ended in
-        pairs, hot, over = [], [], None
-
-        def take(token: np.ndarray, comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> None:
-            if not len(token):
-                return
-            fresh = np.r_[True, token[1:] != token[:-1]]
-            cuts = np.flatnonzero(fresh)
-            sizes = np.diff(np.r_[cuts, len(token)])
-            kinds = np.add.reduceat((fresh | np.r_[True, comp[1:] != comp[:-1]]).astype(np.int64), cuts)
-            keep = kinds > 1
-            if most is not None:
-                hot.extend(token[cuts[kinds > most]].tolist())
-                keep &= kinds <= most
-            pairs.extend(_pairs_of(comp, anchor, meta, cuts[keep], sizes[keep]))
-
-        def emit() -> pa.RecordBatch:
-            both = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
-            both = np.sort(both, axis=0)
-            order = np.lexsort(both[::-1])
-            both = both[:, order]
-            first = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)]) if both.shape[1] else np.zeros(0, np.int64)
-            counts = np.diff(np.r_[first, both.shape[1]])
-            a = np.concatenate([both[0, first], np.array(hot, np.int64)])
-            b = pa.concat_arrays([pa.array(both[1, first]), pa.nulls(len(hot), pa.int64())])
-            c = np.concatenate([counts, np.zeros(len(hot), np.int64)]).astype(np.int64)
-            pairs.clear()
-            hot.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(c)], ["a", "b", "c"])
-
-        for batch in batches:
-            rows = _merged(*(np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("token", "comp", "anchor", "meta"))))
-            if over is not None:  # the rest of a token that is known to be in too many components
-                rows = tuple(x[rows[0] != over] for x in rows)
-            token = rows[0]
-            if not len(token):
-                held = rows
-                continue
-            last = np.searchsorted(token, token[-1])
-            take(*(x[:last] for x in rows))
-            held = tuple(x[last:] for x in rows)
-            over = None
-            if most is not None and len(np.unique(held[1])) > most:
-                over = int(token[-1])
-                hot.append(over)
-                held = tuple(x[:0] for x in rows)
-            if sum(p.shape[1] for p in pairs) > 2_000_000:
-                yield emit()
-        if len(held[0]):
-            take(*held)
-        yield emit()
+def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings in order of token, component and anchor: pairs (a, b, shared tokens)."""
+    held = tuple(np.zeros(0, np.int64) for _ in range(4))  # rows of the token that the last batch ended in
+    pairs = []
 
-    return run
+    def take(token: np.ndarray, comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> None:
+        if not len(token):
+            return
+        fresh = np.r_[True, token[1:] != token[:-1]]
+        cuts = np.flatnonzero(fresh)
+        sizes = np.diff(np.r_[cuts, len(token)])
+        keep = np.add.reduceat((fresh | np.r_[True, comp[1:] != comp[:-1]]).astype(np.int64), cuts) > 1
+        pairs.extend(_pairs_of(comp, anchor, meta, cuts[keep], sizes[keep]))
 
+    def emit() -> pa.RecordBatch:
+        both = np.sort(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=0)
+        both = both[:, np.lexsort(both[::-1])]
+        first = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)]) if both.shape[1] else np.zeros(0, np.int64)
+        pairs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(both[0, first]), pa.array(both[1, first]), pa.array(np.diff(np.r_[first, both.shape[1]]).astype(np.int64))], ["a", "b", "c"])
 
-def index_pairs(prefixes: DataFrame, most: int | None) -> DataFrame:
-    """a, b, c: pairs of anchors and how many listed tokens they share; b null: a token in more than ``most`` components."""
+    for batch in batches:
+        rows = _merged(*(np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("token", "comp", "anchor", "meta"))))
+        last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
+        take(*(x[:last] for x in rows))
+        held = tuple(x[last:] for x in rows)
+        if sum(p.shape[1] for p in pairs) > 2_000_000:
+            yield emit()
+    take(*held)
+    yield emit()
+
+
+def index_pairs(prefixes: DataFrame) -> DataFrame:
+    """a, b, c: pairs of anchors and how many listed tokens they share."""
     spark = prefixes.sparkSession
     total = prefixes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 8 // 1_000_000))
     rows = prefixes.mapInArrow(_postings, "token long, comp long, anchor long, meta long")
-    lists = rows.repartition(parts, "token").sortWithinPartitions("token", "comp", "anchor").mapInArrow(_lists(most), "a long, b long, c long")
+    lists = rows.repartition(parts, "token").sortWithinPartitions("token", "comp", "anchor").mapInArrow(_lists, "a long, b long, c long")
     return C.materialize(lists.groupBy("a", "b").agg(F.sum("c").alias("c")), "jaccard-pairs")
 
 
-def _redraw(frequent: np.ndarray):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, 8 << 20):
-            out = []
-            for text, hot in zip(C.texts_of(batch.column("text")), batch.column("hot").to_pylist()):
-                s = shingles(text)
-                moved = np.array(hot, np.int64).view(np.uint64)
-                if len(frequent):
-                    moved = np.concatenate([moved, s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s]])
-                out.append(ordered_prefix(s, np.sort(moved)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "prefix"])
-
-    return run
-
-
-def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.slices(batches, 2 << 20, "prefix"):
-        prefixes = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
-        ids = np.repeat(batch.column("doc_id").to_numpy(), [len(p) for p in prefixes])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(prefixes))], ["doc_id", "token"])
-
-
-def anchor_pairs(docs: DataFrame, prefixes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Pairs of anchors from the index, after tokens with long lists have gone to the end of the order."""
-    known = None
-    for k in range(ROUNDS + 1):
-        pairs = index_pairs(prefixes, LIST if k < ROUNDS else None)
-        hot = pairs.where("b is null").select(F.col("a").alias("token"))
-        if k == ROUNDS or not hot.head(1):
-            return pairs.where("b is not null")
-        if known is not None and not hot.join(known, "token", "left_anti").head(1):  # nothing is left to move
-            C.discard(pairs)
-            return index_pairs(prefixes, None)
-        # all tokens moved so far, so that every prefix that holds one is drawn in the same order
-        known = C.materialize(hot if known is None else known.unionByName(hot).distinct(), "jaccard-hot")
-        held = prefixes.select("doc_id", "prefix").mapInArrow(_tokens, "doc_id long, token long").join(known, "token")
-        held = held.groupBy("doc_id").agg(F.collect_set("token").alias("hot"))
-        texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
-        if k:  # what a prefix had to give up before counts as well
-            held = held.unionByName(given).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hot"))).alias("hot"))
-        given = C.materialize(held, "jaccard-given")
-        fresh = C.materialize(texts.join(given.hint("merge"), "doc_id").mapInArrow(_redraw(frequent), "doc_id long, prefix binary"), "jaccard-redrawn")
-        old = prefixes.join(fresh.select("doc_id", F.col("prefix").alias("fresh")), "doc_id", "left")
-        redrawn = C.materialize(old.withColumn("prefix", F.coalesce("fresh", "prefix")).drop("fresh"), "jaccard-prefixes")
-        for done in (prefixes, fresh, pairs):
-            C.discard(done)
-        prefixes = redrawn
-
-
 # ---- the join ------------------------------------------------------------------------------------------
 
 
@@ -391,8 +382,7 @@ def _links(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    frequent = frequent_tokens(docs)
-    profiles = C.materialize(docs.mapInArrow(_profile(frequent), "doc_id long, n long, sig binary, bands array<long>, prefix binary"), "jaccard-profiles")
+    profiles = C.materialize(docs.mapInArrow(_profile, "doc_id long, n long, sig binary, bands array<long>"), "jaccard-profiles")
     classes = C.materialize(profiles.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     of_rep = profiles.where("n > 0").select("doc_id", "sig", "bands").join(classes, "sig").where("doc_id = rep")
     reps = C.materialize(of_rep.select("rep", "n", "bands"), "jaccard-reps")
@@ -412,9 +402,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     info = C.materialize(info, "jaccard-info")
 
     # anchors that share enough of the index
-    of_rep = profiles.where("n > 0").select("doc_id", "sig", "prefix").join(classes.select("sig", "rep"), "sig").where("doc_id = rep").select("doc_id", "prefix")
-    prefixes = C.materialize(of_rep.join(info.select(F.col("rep").alias("doc_id"), "n", "anchor", "comp"), "doc_id"), "jaccard-prefixes")
-    listed = anchor_pairs(docs, prefixes, frequent)
+    listed = index_pairs(shared_prefixes(docs, info))
     rest = F.col("n") - (F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)
     slack = F.col("extra") - 3 * F.col("n") / 7
     groups = info.groupBy("anchor").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"), F.max(slack).alias("slack"), F.min("comp").alias("comp"))

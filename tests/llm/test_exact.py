@@ -144,12 +144,11 @@ def test_jaccard_components(spark, docs, rows, empty):
     assert op6.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [2, 64])
-def test_jaccard_families(spark, monkeypatch, most):
-    """Chains of near copies around the threshold and a passage that unrelated texts share; short lists force tokens to move."""
-    monkeypatch.setattr(op6, "LIST", most)
-    monkeypatch.setattr(op6, "FREQUENT", 1000)
-    r = random.Random(most)
+@pytest.mark.parametrize("buckets, seed", [(2, 2), (1024, 64)])
+def test_jaccard_families(spark, monkeypatch, buckets, seed):
+    """Chains of near copies around the threshold and a passage that unrelated texts share."""
+    monkeypatch.setattr(op6, "BUCKETS", buckets)
+    r = random.Random(seed)
     passage, out = [f"p{i}" for i in range(25)], []
     for f in range(6):
         base = [f"w{r.randint(0, 5000)}" for _ in range(60)]
