@@ -254,7 +254,10 @@ def model(docs: DataFrame) -> tuple[DataFrame, int, int]:
     of_grams = deep.where("q is not null").select("code", "q").mapInArrow(finish, "key binary, value double").withColumn("seen", F.lit(True))
     share = F.log10((F.col("n") + 0.1) / F.lit(total + 0.1 * (kinds + 1)))
     of_words = counts.where(is_word).select("key", share.alias("value"), (F.col("n") > 0).alias("seen"))
-    return of_words.unionByName(of_grams), total, kinds
+    values = C.materialize(of_words.unionByName(of_grams), "lm-values")
+    for done in (counts, deep):  # a value a gram is left of a count and eight mixtures
+        C.discard(done)
+    return values, total, kinds
 
 
 def _ask(table: pa.Table) -> pa.Table:
