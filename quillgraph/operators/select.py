@@ -40,7 +40,7 @@ def greedy(candidates: DataFrame, k: int, gain, key: str = "id", utility: str =
     for _ in range(k):
         rest = candidates.where(~F.col(key).isin([c[key] for c in chosen])) if chosen else candidates
         best = rest.withColumn("gain", F.round(gain(chosen), 10)).orderBy(F.desc("gain"), F.desc(utility), key).first()
-        if best is None:
+        if best is None or best["gain"] == -np.inf:
             break
         chosen.append(best.asDict())
     return chosen
@@ -56,8 +56,40 @@ def submodular(candidates: DataFrame, k: int, sets: list[str], weights: dict[str
     return greedy(candidates, k, lambda chosen: 0.65 * F.col(utility) + 0.35 * coverage(chosen, weights) - 0.15 * (F.greatest(F.lit(0.0), *[_similarity(c, sets) for c in chosen]) if chosen else F.lit(0.0)), key, utility)
 
 
+def determinantal(candidates: DataFrame, k: int, tokens: str, key: str = "id", utility: str = "utility") -> list[dict]:
+    """Greedy log-determinant gain over all candidates: quality times token cosine, with a small ridge.
+
+    The gain of a candidate is the log of its Schur complement in the kernel of the chosen rows, of which there are k at most: one
+    forward substitution with their Cholesky factor, as columns.
+    """
+    quality = F.greatest(F.lit(0.05), F.coalesce(F.col(utility), F.lit(0.0)))
+    own = F.array_distinct(F.coalesce(F.col(tokens), F.array().cast("array<string>")))
+
+    def cosine(sets: list[set], i: int) -> Column:
+        seen = F.array(*[F.lit(x) for x in sorted(sets[i])]) if sets[i] else F.array().cast("array<string>")
+        size = F.size(own) * F.lit(len(sets[i]))
+        return F.when(size > 0, F.size(F.array_intersect(own, seen)) / F.sqrt(size)).otherwise(0.0)
+
+    def gain(chosen: list[dict]) -> Column:
+        q = [max(0.05, c[utility] or 0.0) for c in chosen]
+        sets = [set(c[tokens] or []) for c in chosen]
+        cos = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b)) if a and b else 0.0
+        m = np.array([[q[i] * q[j] * (cos(sets[i], sets[j]) if i != j else 1.0) for j in range(len(q))] for i in range(len(q))]).reshape(len(q), len(q))
+        factor = np.linalg.cholesky(m + (1e-6 + 1e-8) * np.eye(len(q))) if chosen else m
+        rest = quality * quality + F.lit(1e-6 + 1e-8)
+        if chosen:
+            kernel = F.array(*[quality * F.lit(q[i]) * cosine(sets, i) for i in range(len(q))])
+            inverse = np.linalg.inv(factor)
+            for row in inverse:
+                y = F.aggregate(F.zip_with(kernel, F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+                rest = rest - y * y
+        return F.when(rest > 0, F.ln(rest)).otherwise(F.lit(float("-inf")))
+
+    return greedy(candidates, k, gain, key, utility)
+
+
 def dpp(candidates: list[dict], k: int, tokens: str, key: str = "id", utility: str = "utility") -> list[dict]:
-    """Greedy log-determinant gain on a short list: quality times token cosine, with a small ridge."""
+    """The selection of ``determinantal`` by determinants of rows on the driver."""
 
     def kernel(x: dict, y: dict) -> float:
         q = max(0.05, x[utility]) * max(0.05, y[utility])
@@ -80,7 +112,7 @@ def dpp(candidates: list[dict], k: int, tokens: str, key: str = "id", utility: s
         best = max(g for g, _ in gains)
         if not np.isfinite(best):
             break
-        pick = min((c for g, c in gains if g == best), key=lambda c: c[key])
+        pick = min((c for g, c in gains if g == best), key=lambda c: (-c[utility], c[key]))
         chosen.append(pick)
         rest.remove(pick)
     return chosen

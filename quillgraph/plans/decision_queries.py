@@ -38,9 +38,8 @@ def select_submodular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select_dpp")
 def select_dpp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Determinantal selection of five among the fifty best; a short list is the operator's definition (O140)."""
-    short = [r.asDict() for r in _candidates(spark, sf_dir).orderBy(F.desc("utility"), "id").limit(50).collect()]
-    return _frame(spark, L.dpp(short, 5, "aspects"))
+    """Determinantal selection of five candidates (O140)."""
+    return _frame(spark, L.determinantal(_candidates(spark, sf_dir), 5, "aspects"))
 
 
 @query("select_topk", """

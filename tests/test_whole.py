@@ -1,9 +1,11 @@
 """Queries take all rows of their tables, on small fixtures against brute force."""
 
+import random
 from collections import Counter
 from itertools import combinations
 
 from quillgraph.operators import community as Y
+from quillgraph.operators import select as L
 from quillgraph.plans import registry
 
 
@@ -17,3 +19,22 @@ def test_communities_count_every_order_and_line(spark, tmp_path):
     edges = [(a, b, 0.35 + min(0.35, 0.18 * (c - 1))) for (a, b), c in sorted(together.items(), key=lambda x: (-min(x[1], 3), x[0]))]
     got = dict(registry.queries()["communities"](spark, str(tmp_path)).collect())
     assert got == Y.leiden(edges) and set(got) == set(names.values())
+
+
+def test_select_dpp_looks_past_the_fifty_best(spark, tmp_path):
+    """60 suppliers of one brand and a worse one of another brand, which adds more than any further copy."""
+    keys = range(1, 62)
+    spark.createDataFrame([(k, 9000.0 - 10 * k if k < 61 else 3000.0, 1) for k in keys], "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(1, "t", "same"), (2, "t", "other")], "p_partkey long, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k, 1, 2 if k == 61 else 1, k) for k in keys], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [r["id"] for r in registry.queries()["select_dpp"](spark, str(tmp_path)).orderBy("place").collect()]
+    assert got[:2] == ["1", "61"]
+
+
+def test_determinantal_equals_determinants_of_all_rows(spark):
+    r = random.Random(3)
+    rows = [(f"c{i:03}", round(r.uniform(-0.1, 1), 4), sorted(r.sample("abcdefgh", r.randint(0, 5)))) for i in range(90)]
+    c = spark.createDataFrame(rows, "id string, utility double, tokens array<string>")
+    expected = L.dpp([x.asDict() for x in c.collect()], 6, "tokens")
+    assert [x["id"] for x in L.determinantal(c, 6, "tokens")] == [x["id"] for x in expected]
+    assert L.determinantal(c.limit(0), 3, "tokens") == []
