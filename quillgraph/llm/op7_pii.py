@@ -83,6 +83,8 @@ def base_spans(text: str) -> list[Span]:
 _AT = r"(?:@|\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
 _MAIL_REGION = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+#: Wherever the pattern finds an address, its at sign is one of these.
+_MAIL_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s", re.I)
 _DIGIT_REGION = re.compile(r"[+(]{0,2}[0-9](?:[ ().\[\]/_+-]{0,3}[0-9])+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _HINTS = (re.compile(r"mail|contact|write", re.I), re.compile(r"\bip\b|host|server|address", re.I), re.compile(r"card|visa|pay", re.I), re.compile(r"phone|tel|call|fax|mobile", re.I))
@@ -94,7 +96,7 @@ def regions(text: str) -> list[tuple[int, int]]:
     """Where segments are looked for; merged and in order."""
     low = text.lower()
     found = [m.span() for m in _DIGIT_REGION.finditer(text) if len(digits_of(m[0])) >= 4] if any(c in low for c in "0123456789") else []
-    if "@" in low or "[at]" in low or "(at)" in low or "{at}" in low or " dot " in low:
+    if _MAIL_SIGN.search(text):
         found += [m.span() for m in _MAIL_REGION.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -234,7 +236,7 @@ def added_spans(text: str, w: np.ndarray, base: list[Span]) -> list[Span]:
 def disguised(kind: str, value: str, way: int) -> str:
     """A known way to write a value so that the base pattern misses it."""
     if kind == "email":
-        at, dot = ((" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."))[way % 4]
+        at, dot = ((" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" [ at ] ", "."), (" <at> ", "."), (" ( at ) ", " [dot] "), (" at ", "."))[way % 8]
         user, _, host = value.partition("@")
         return f"{user}{at}{host.replace('.', dot)}"
     if kind == "ip":
