@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K1, B, RRF_K = 1.2, 0.75, 60  #: Fixed values.
+COLUMNS = 256  #: Queries whose scores a task holds at once.
 
 
 def token_counts(docs: DataFrame, doc: str, tokens: str) -> DataFrame:
@@ -51,9 +52,22 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFr
     return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best rows of each column by (score rounded to 6 decimals, row), so rows stand in order of id."""
+    scores = np.trunc(scores * 1e6 + np.copysign(0.5, scores)) / 1e6
+    if k >= len(scores):
+        keep = np.ones(scores.shape, bool)
+    else:
+        last = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+        above, equal = scores > last, scores == last
+        keep = above | (equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0)))
+    rows, cols = np.nonzero(keep)
+    return rows, cols, scores[rows, cols]
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, doc: str, query: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """Best k vectors of each query by dot product. The queries are the explicit query set, taken in blocks of ``block`` rows;
-    each task keeps its own best k, so the shuffle carries k rows a query and task."""
+    each batch keeps its own best k (and one, for the query itself) by the order of ``top_k``, so the shuffle carries few rows a query and batch."""
     total = queries.count()
     blocks = max(1, -(-total // block))
     found = None
@@ -65,11 +79,11 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, doc: str, query: str, ve
 
         def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                scores = np.stack(pdf[vector].to_numpy()).astype(np.float64) @ matrix.T
-                keep = min(k + 1, len(pdf))
-                rows = np.argpartition(-scores, keep - 1, axis=0)[:keep] if keep < len(pdf) else np.tile(np.arange(len(pdf))[:, None], len(ids))
-                cols = np.broadcast_to(np.arange(len(ids)), rows.shape)
-                yield pd.DataFrame({query: ids[cols.ravel()], doc: pdf[doc].to_numpy()[rows.ravel()], "score": scores[rows.ravel(), cols.ravel()]})
+                pdf = pdf.sort_values(doc, kind="stable")
+                e = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                for at in range(0, len(ids), COLUMNS):
+                    rows, cols, scores = best_rows(e @ matrix[at : at + COLUMNS].T, k + 1)
+                    yield pd.DataFrame({query: ids[at + cols], doc: pdf[doc].to_numpy()[rows], "score": scores})
 
         kinds = dict(vectors.dtypes) | dict(queries.dtypes)
         scored = vectors.select(doc, vector).mapInPandas(best, f"{query} {kinds[query]}, {doc} {kinds[doc]}, score double")

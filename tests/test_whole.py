@@ -4,7 +4,11 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from quillgraph.operators import community as Y
+from quillgraph.operators import retrieval as R
 from quillgraph.operators import select as L
 from quillgraph.plans import registry
 
@@ -38,3 +42,28 @@ def test_determinantal_equals_determinants_of_all_rows(spark):
     expected = L.dpp([x.asDict() for x in c.collect()], 6, "tokens")
     assert [x["id"] for x in L.determinantal(c, 6, "tokens")] == [x["id"] for x in expected]
     assert L.determinantal(c.limit(0), 3, "tokens") == []
+
+
+def test_dense_top_k_of_copies_has_the_smallest_ids(spark):
+    """40 copies and 40 rows that are equal to them after rounding, whatever the batches and the order of rows."""
+    ids = random.Random(5).sample(range(1, 81), 80)
+    v = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [1.0 - 1e-9 * i, 0.0]) for i in ids] + [(100, [0.5, 0.5]), (200, [1.0, 0.0])], "id int, e array<double>")
+    q = v.where("id in (7, 200)").select(F.col("id").alias("q"), "e")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows, parts in ((10000, 1), (13, 1), (10000, 6)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            got = R.dense_top_k(v.repartition(parts), q, "id", "q", "e", 5).orderBy("q", "rank").collect()
+            assert [(r["q"], r["id"]) for r in got] == [(7, i) for i in (1, 2, 3, 4, 5)] + [(200, i) for i in (1, 2, 3, 4, 5)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_best_rows_equal_a_full_sort():
+    r = np.random.default_rng(1)
+    scores = r.integers(-4, 5, (60, 300)) / 128 + r.choice([0, 1e-9], (60, 300))
+    rows, cols, kept = R.best_rows(scores, 7)
+    rounded = np.trunc(scores * 1e6 + np.copysign(0.5, scores)) / 1e6
+    for c in range(300):
+        assert sorted(rows[cols == c]) == sorted(np.lexsort((np.arange(60), -rounded[:, c]))[:7])
+    assert (kept == rounded[rows, cols]).all()
