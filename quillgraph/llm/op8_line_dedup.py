@@ -5,7 +5,8 @@ number of its documents and the smallest id, to the shard of the key's digest, s
 everywhere costs a row a block. A shard keeps a cuckoo filter in front of an exact table of
 reference counts and owners: a key that the filter does not know is new and goes to the table without a look-up; one that it may know is
 confirmed there. Keys with two or more documents go back to the blocks that asked, where the texts are rebuilt.
-``LineTable`` keeps the references, so that documents can be inserted and deleted later and the result is that of the remaining ones.
+``LineTable`` keeps the references, so that documents can be inserted and deleted later and the result is that of the remaining ones. It works by
+union, anti join and counts over all references, without the filters.
 
 Cases: null or empty text is one empty line; keys under the least length always stay; a repeated line within
 one document counts once but goes or stays as a whole; rows with equal ids are one document; a null id is
