@@ -287,16 +287,17 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = [t.lower() for t in C.texts_of(part["text"])]
         g, lengths = gram_codes(texts)
         scores = np.add.reduceat(log_p[np.searchsorted(codes, g)], np.cumsum(lengths) - lengths)
-        for doc_id, held_out, text, score in zip(part["doc_id"].to_pylist(), part["held_out"].to_pylist(), texts, scores):
+        bits = -scores * math.log2(10) / lengths
+        for doc_id, held_out, text, score, per_byte in zip(part["doc_id"].to_pylist(), part["held_out"].to_pylist(), texts, scores, bits):
             tokens = [*text.split(), b""]
             known = len(tokens) - (sum(map(unseen.__contains__, tokens)) if unseen else 0)
-            out.append((doc_id, held_out, len(tokens), known, sum(map(words.__getitem__, tokens)), float(score)))
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            out.append((doc_id, held_out, len(tokens), known, sum(map(words.__getitem__, tokens)), float(score), float(per_byte)))
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (the end counts as a byte)."""
     docs = docs.select("doc_id", "text")
     values, total, _ = model(docs)
     n = C.block_count(C.text_bytes(docs))
@@ -304,8 +305,8 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = docs.select("doc_id", "text", held_out.alias("held_out"), C.block_of(n, "doc_id").alias("block")).repartition(n, "block")
     asked = blocks.select("text", "block").groupBy("block").applyInArrow(_ask, "block int, key binary")
     answers = asked.join(values, "key").select("block", "key", "value", "seen")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from quillgraph.runtime import table
 
 @query("communities")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leiden communities of part names that occur in the same orders; the projection's caps are its definition (O101, O102, O103)."""
+    """Leiden communities of part names that occur in the same orders; the projection's caps are its definition (O101 without sub-communities, O102)."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("concept"))
     m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), "l_partkey").join(part, "l_partkey")
     seeds = m.groupBy("concept").agg(F.count("*").alias("score"))

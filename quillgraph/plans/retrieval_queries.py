@@ -46,7 +46,7 @@ bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DES
 
 @query("bm25_topk", _BM25 + "SELECT item_id, doc_id, score, rank FROM bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten best documents of each benchmark item by BM25 (O134, O135, O136, O154)."""
+    """Ten best documents of each benchmark item by BM25 over one field (O134, O135)."""
     return R.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir), "doc_id", "item_id", "tokens", 10).select("item_id", "doc_id", "score", "rank")
 
 
@@ -192,7 +192,7 @@ p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.tok = y.tok AN
 SELECT a, b, round({S.jaccard("list_distinct(x.t)", "list_distinct(y.t)")}, 3) AS score FROM p JOIN t x ON x.id = a JOIN t y ON y.id = b WHERE {S.jaccard("list_distinct(x.t)", "list_distinct(y.t)")} >= 0.35
 """)
 def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar names among those that share a token of two to 48 nodes."""
+    """Similar names among those that share a token of two to 48 nodes."""
     first = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey < 60").select((F.col("l_suppkey") % 60).alias("id"), "l_partkey").distinct()
     named = first.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("name"))
     return X.blocked_pairs(named, "id", T.content_tokens(T.normalize(F.col("name"))), 0.35, per_node=None)
@@ -235,7 +235,7 @@ WITH r AS (SELECT DISTINCT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name EL
 SELECT p_partkey, title, t.p_name AS target, CASE WHEN title = t.p_name THEN 'exact' ELSE 'contained' END AS how FROM r JOIN t ON title = t.p_name OR (p_partkey % 2 = 1 AND title = t.p_name || ' revisited')
 """)
 def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to titles: exact, else a title contained in the other among those that share tokens."""
+    """References to titles: exact, else a title contained in the other among those that share tokens."""
     part = table(spark, sf_dir, "part")
     refs = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" revisited"))).alias("title"))
     return X.title_links(refs, part.select(F.col("p_name").alias("target")).distinct(), "p_partkey", "title", "target")
