@@ -17,5 +17,3 @@ def spark():
     yield session
     session.stop()
 
-
-SF = "/root/testdata/sf0.001"

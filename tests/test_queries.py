@@ -1,6 +1,5 @@
 import pytest
-from compare import connect, rows
-from conftest import SF
+from compare import SF, connect, rows
 
 from quillgraph.plans import registry
 
