@@ -7,6 +7,7 @@ Texts are handled as UTF-8 bytes on the Python side: ``bytes.lower`` folds A-Z a
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,9 +26,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else a temporary one, if all run in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -78,6 +81,14 @@ def discard(df: DataFrame) -> None:
             remove(df.sparkSession, folder)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column, from one narrow scan."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

@@ -1,24 +1,29 @@
 """Exact Jaccard join of shingle sets with set-relation skipping, and its components.
 
-Sets are distinct hashes of five-word shingles; two link when ``100 * |x & y| >= 75 * |x | y|``, that is ``7 * |x & y| >= 3 * (|x| + |y|)``.
-
-1. Equal sets are one class, whose smallest doc_id represents it.
-2. Stars: representatives that share a minimum hash are compared with the smallest of their group. A set that links is
-   anchored there, and its answers are later derived from the anchor's: it differs from the anchor by few
-   elements, so with ``|h & k|`` of two anchors known, ``|x & y| <= |h & k| + |x - h| + |y - k|`` settles most pairs of their sets unseen.
-3. Shares: how many documents have each token is counted over all rows. Documents are dealt to blocks; a block sends its distinct tokens,
-   four bytes each, to the token's bucket and gets back the class (logarithm of the count) of those that others have as well. Sets are in the order of
-   class and hash, so tokens of one document alone come first and need no list, and a set unlike all others has none. The order
-   decides the work alone, never the result.
-4. Index: the prefixes of all representatives, without tokens of one document, as lists of anchors by token. Pairs within a
-   component that the stars have found are skipped, and so are lists of one component. Lists lie in
-   blocks by size and position; pairs of blocks that no qualifying pair can be in are skipped. Pairs of anchors are kept if
-   the tokens they share leave enough room, and are then compared exactly.
-5. Components of all links, by minimum labels with pointer jumping.
+Sets are distinct hashes of five-word shingles, 64 bits each: "exact" holds up to collisions of those. Two sets link when
+``100 * |x & y| >= 75 * |x | y|``, that is ``7 * |x & y| >= 3 * (|x| + |y|)``, or ``7 * d <= |x| + |y|`` with d the elements in one of them alone.
+
+1. Texts with the same words are one node; the smallest doc_id represents it.
+2. Shares: how many nodes have each token is counted over all of them. Documents are dealt to blocks; a block sends its distinct
+   tokens, four bytes each, to the token's bucket and gets back the class (logarithm of the count) of those that others have as
+   well. Sets are in the order of class and hash, so tokens of one node alone come first and need no list; a set with more than
+   a quarter of such tokens links with nothing and leaves here. Overlaps are counted on the shared tokens, as no others can meet.
+3. Stars: of the sets that share a minimum hash, the one with the fewest tokens of its own is the hub, and the others are compared with it.
+   One that links is anchored there, and what sets it apart from the hub is kept.
+4. Index: the listed tokens of all sets, by token. Sets of one component need no comparison. Lists lie in blocks by
+   size and position; pairs of blocks that no qualifying pair can be in are skipped. A pair is settled unseen by its
+   positions, by the tokens of its own, by distances to a common hub (``d(x, y) >= |d(x, hub) - d(y, hub)|``), or by parity bitmaps of the
+   shared tokens (each differing bit is an element in one set alone). Tokens that very many sets have are split over cells that each pair meets in.
+5. What is left is compared exactly, and a set's answer is derived from its hub's: ``|x & y| = |x & hub| - |x & (hub - y)| + |x & (y - hub)|``.
+   First the best pair of every two components that meet in a part, so that components merge; then all pairs that are left
+   between components. Pairs whose components have merged are never written.
+6. Components of all links, by minimum labels with pointer jumping.
+
+The answer is each document's component: links within one are not counted, as in a group of near copies they are quadratic.
 
 Cases: null, empty and wordless texts have the empty set, link with nothing and are their own component; fewer than five words
-are one shingle; repeated rows get the same answer each; a null id is smaller than all others (its component_id is null); an
-empty table gives no rows; extra columns are ignored.
+are one shingle; repeated rows get the same answer each; rows of one id and different texts are compared like any others; a null id is
+smaller than all others (its component_id is null); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,18 +34,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WORDS, BANDS = 5, 4
-#: Entries in a block of a list.
-BLOCK = 8
+#: Entries in a block of a list, and pairs that are looked at together.
+BLOCK, TOGETHER = 32, 1 << 18
 #: Buckets of tokens at least and at most, and bytes of text for each between.
 BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1024, 1 << 16, 32 << 20
+#: Tokens of more than 2 ** HOT sets have their lists split.
+HOT = 12
+#: Bytes of lists in a part, and of sets in a block of comparisons.
+PART_BYTES, COMPARE_BYTES = 2 << 20, 8 << 20
+#: Bits of the parity maps, and the largest set for each but the last.
+MAP_BITS, MAP_SIZES = (512, 2048, 8192), (256, 1024)
 _NO_ID = -(1 << 63)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_NONE = np.zeros(0, np.uint64)
 
 
 class _Words(dict):
@@ -60,11 +72,10 @@ def _scatter(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
-    words = text.lower().split()
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text's words."""
     if not words:
-        return np.zeros(0, np.uint64)
+        return _NONE
     if len(words) < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
     w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -75,27 +86,25 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(_scatter(h))
 
 
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def prefix_length(n: int) -> int:
     return n + (-3 * n // 4) + 1
 
 
-def ordered_prefix(s: np.ndarray, kinds: np.ndarray) -> tuple[int, np.ndarray]:
-    """The first tokens of a set in the order (class, hash): how many are in no other set (class 0), and the others."""
-    order = np.argsort(kinds, kind="stable")[: prefix_length(len(s))]
-    alone = int((kinds[order] == 0).sum())
-    return alone, s[order[alone:]]
+def parity_map(tokens: np.ndarray, n: int) -> bytes:
+    """One bit a bucket: whether it holds an odd number of the tokens. n: size of the whole set, which decides the width."""
+    bits = MAP_BITS[sum(n > m for m in MAP_SIZES)]
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, digest and minimum hashes of each document's set."""
+def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest of each document's words, null without any."""
     for batch in C.slices(batches, 8 << 20):
-        rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch.column("text"))):
-            s = shingles(text)
-            mins = [int((s * _MIX[k]).min().astype(np.int64)) for k in range(BANDS)] if len(s) else []
-            rows.append((_NO_ID if doc_id is None else doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), mins))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n", "sig", "bands"])
+        split = (t.lower().split() for t in C.texts_of(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array([digest(w) if w else None for w in split], pa.binary())], ["doc_id", "block", "digest"])
 
 
 # ---- which tokens are shared ---------------------------------------------------------------------------
@@ -107,29 +116,39 @@ def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
-def _cut(bits: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of sorted keys (the first ``bits + 32`` bits of tokens) and where each begins."""
+def _cut(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of sorted keys (the first bits of tokens, 32 and those of the bucket) and where each begins."""
     bucket = (keys >> np.uint64(32)).astype(np.int32)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
     return bucket[cuts], cuts
 
 
+def _nodes(docs: pa.Table, nodes: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """The sets of a block's nodes; ``nodes`` by (doc_id, digest), each taken once."""
+    for part in C.gathered(docs.to_batches(), 4 << 20):
+        for doc_id, text in zip(part["doc_id"].to_pylist(), C.texts_of(part["text"])):
+            words = text.lower().split()
+            node = nodes.pop((doc_id, digest(words)), None) if words else None
+            if node is not None:
+                yield node, shingles(words)
+
+
 def _offer(bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        """A block's distinct tokens by bucket, and how many of its documents have each (255 at most)."""
-        found = [np.zeros(0, np.uint64)]
-        for part in C.gathered(table.to_batches(), 4 << 20):
-            found += [shingles(t) >> np.uint64(32 - bits) for t in C.texts_of(part["text"])]
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        """A block's distinct tokens by bucket, and how many of its nodes have each (255 at most)."""
+        found = [_NONE]
+        for _, s in _nodes(docs, dict(zip(zip(side["rep"].to_pylist(), side["digest"].to_pylist()), side["node"].to_pylist()))):
+            found.append(s >> np.uint64(32 - bits))
         keys, n = np.unique(np.concatenate(found), return_counts=True)
-        bucket, cuts = _cut(bits, keys)
-        block = np.full(len(bucket), table["block"][0].as_py(), np.int32)
+        bucket, cuts = _cut(keys)
+        block = np.full(len(bucket), docs["block"][0].as_py() if docs.num_rows else 0, np.int32)
         return pa.table([pa.array(block), pa.array(bucket), _packed(keys.astype(np.uint32), cuts), _packed(np.minimum(n, 255).astype(np.uint8), cuts)], ["block", "bucket", "tokens", "n"])
 
     return run
 
 
 def _classes(table: pa.Table) -> pa.Table:
-    """From a bucket's offers: for each block its tokens that are in two documents or more, with the logarithm of their number."""
+    """From a bucket's offers: for each block its tokens that two nodes or more have, with the logarithm of their number."""
     sizes = [len(x) // 4 for x in table["tokens"].to_pylist()]
     tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32)
     counts = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint8)
@@ -142,48 +161,52 @@ def _classes(table: pa.Table) -> pa.Table:
     return pa.table([table["block"].combine_chunks().take(pa.array(rows)), table["bucket"].combine_chunks().take(pa.array(rows)), _packed(tokens[shared], cuts), _packed(kind[shared], cuts)], ["block", "bucket", "tokens", "kinds"])
 
 
+SETS = "node long, n long, alone long, prefix binary, kinds binary, bands array<long>, map binary, shared binary"
+
+
+def described(node: int, s: np.ndarray, kinds: np.ndarray) -> tuple:
+    """A row of SETS: all but the sizes are null if the set links with nothing. The listed tokens begin at position ``alone`` in the set's order."""
+    alone, n = int((kinds == 0).sum()), len(s)
+    if alone >= prefix_length(n):
+        return node, n, alone, None, None, None, None, None
+    order = np.argsort(kinds, kind="stable")[alone : prefix_length(n)]
+    shared = s[kinds > 0]
+    mins = [int((shared * _MIX[k]).min().astype(np.int64)) for k in range(BANDS)]
+    return node, n, alone, s[order].tobytes(), kinds[order].tobytes(), mins, parity_map(shared, n), shared.tobytes()
+
+
 def _draw(bits: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        """Prefixes of a block's representatives: ``skip`` tokens of this document alone, then those in ``prefix``."""
-        known, kinds, info = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], {}
+        """The sets of a block's nodes, described by the classes that its tokens got."""
+        known, kinds, nodes = [_NONE], [np.zeros(0, np.uint8)], {}
         for row in side.to_batches():
-            for bucket, tokens, kind, rep, anchor, comp in zip(*(row.column(c).to_pylist() for c in ("bucket", "tokens", "kinds", "rep", "anchor", "comp"))):
+            for bucket, tokens, kind, rep, sig, node in zip(*(row.column(c).to_pylist() for c in ("bucket", "tokens", "kinds", "rep", "digest", "node"))):
                 if tokens is None:
-                    info[rep] = anchor, comp
+                    nodes[rep, sig] = node
                 else:
                     known.append(np.frombuffer(tokens, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
                     kinds.append(np.frombuffer(kind, np.uint8))
         known, kinds = np.concatenate(known), np.concatenate(kinds)
         order = np.argsort(known)
-        known, kinds, out = known[order], kinds[order], []
-        for part in C.gathered(docs.to_batches(), 4 << 20):
-            for doc_id, text in zip(part["doc_id"].to_pylist(), C.texts_of(part["text"])):
-                if doc_id not in info or not len(known):
-                    continue
-                s = shingles(text)
-                keys = s >> np.uint64(32 - bits)
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                skip, prefix = ordered_prefix(s, np.where(known[at] == keys, kinds[at], 0))
-                if len(prefix):
-                    out.append((doc_id, len(s), *info[doc_id], skip, prefix.tobytes()))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, types)], ["doc_id", "n", "anchor", "comp", "skip", "prefix"])
+        known, kinds, out = np.r_[known[order], ~np.uint64(0)], np.r_[kinds[order], np.uint8(0)], []
+        for node, s in _nodes(docs, nodes):
+            keys = s >> np.uint64(32 - bits)
+            at = np.searchsorted(known, keys)
+            out.append(described(node, s, np.where(known[at] == keys, kinds[at], 0).astype(np.uint8)))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 8, types)], ["node", "n", "alone", "prefix", "kinds", "bands", "map", "shared"])
 
     return run
 
 
-def shared_prefixes(docs: DataFrame, info: DataFrame) -> DataFrame:
-    """doc_id, n, anchor, comp, skip, prefix of the representatives (``rep`` of info) whose prefix has tokens that others have."""
-    total = C.text_bytes(docs)
+def described_sets(blocks: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """SETS of all nodes (rep, block, digest, node)."""
     bits = (min(MOST_BUCKETS, max(BUCKETS, total // BUCKET_BYTES)) - 1).bit_length()
-    n = C.block_count(total)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
-    blocks = keyed.withColumn("block", C.block_of(n, "doc_id")).repartition(n, "block")
-    offers = blocks.select("text", "block").groupBy("block").applyInArrow(_offer(bits), "block int, bucket int, tokens binary, n binary")
+    by_block = lambda df: df.groupBy("block")
+    offers = by_block(blocks).cogroup(by_block(nodes)).applyInArrow(_offer(bits), "block int, bucket int, tokens binary, n binary")
     shared = C.materialize(offers.groupBy("bucket").applyInArrow(_classes, "block int, bucket int, tokens binary, kinds binary"), "jaccard-shared")
-    side = shared.unionByName(info.select(C.block_of(n, "rep").alias("block"), "rep", "anchor", "comp"), allowMissingColumns=True)
-    drawn = blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(_draw(bits), "doc_id long, n long, anchor long, comp long, skip long, prefix binary")
-    out = C.materialize(drawn, "jaccard-prefixes")
+    side = shared.unionByName(nodes, allowMissingColumns=True)
+    out = C.materialize(by_block(blocks).cogroup(by_block(side)).applyInArrow(_draw(bits), SETS), "jaccard-sets")
     C.discard(shared)
     return out
 
@@ -191,26 +214,55 @@ def shared_prefixes(docs: DataFrame, info: DataFrame) -> DataFrame:
 # ---- exact comparison --------------------------------------------------------------------------------
 
 
-def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, y = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        out = []
-        for a, b in zip(C.texts_of(batch.column("x")), C.texts_of(batch.column("y"))):
-            if b != last:  # rows come in order of b
-                last, y = b, shingles(b)
-            out.append(len(np.intersect1d(shingles(a), y, assume_unique=True)))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.int64())], ["a", "b", "o"])
-
-
-def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact overlap o of every pair (a, b) of ids. Texts are dealt, as they compress better than sets of hashes, and each side only those of its ids."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
-    side = lambda s, name: texts.join(pairs.select(F.col(s).alias("id")).distinct().hint("merge"), "id").select(F.col("id").alias(s), F.col("text").alias(name))  # noqa: E731  # the same plan at every size
-    left = C.materialize(pairs.select("a", "b").join(side("a", "x"), "a"), "jaccard-left")
-    both = left.join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
-    found = both.mapInArrow(_overlaps, "a long, b long, o long").groupBy("a", "b").agg(F.max("o").alias("o"))
-    out = C.materialize(found, "jaccard-overlaps")
-    C.discard(left)
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def _compare(apart: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """Overlaps of a block's pairs. An anchored b is derived from its hub's answer; with ``apart``, a pair that links gets what sets a apart from b."""
+        sets, deltas, pairs, answers, out = {}, {}, [], {}, []
+        as_set = lambda x: np.frombuffer(x, np.uint64)
+        for batch in table.to_batches():
+            for a, b, bound, shared, rem, add in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "bound", "shared", "rem", "add"))):
+                if shared is not None:
+                    sets[a] = as_set(shared)
+                elif rem is not None:
+                    deltas[a] = b, as_set(rem), as_set(add)
+                else:
+                    pairs.append((a, b, bound))
+        for a, b, bound in pairs:
+            x = sets[a]
+            if b in deltas:
+                hub, rem, add = deltas[b]
+                if (a, hub) not in answers:
+                    answers[a, hub] = common(x, sets[hub])
+                o = answers[a, hub] - common(x, rem) + common(x, add)
+            else:
+                o = common(x, sets[b])
+            linked = 7 * o >= bound
+            out.append((a, b, o, linked, *((np.setdiff1d(sets[b], x, True).tobytes(), np.setdiff1d(x, sets[b], True).tobytes()) if apart and linked else (None, None))))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, types)], ["a", "b", "o", "linked", "rem", "add"])
+
+    return run
+
+
+def compared(sets: DataFrame, pairs: DataFrame, block: Column, anchors: DataFrame | None, name: str) -> DataFrame:
+    """a, b, o, linked (and rem, add where no anchors are given) of pairs (a, b, bound). A block asks once for each set and delta that it needs, so a hub costs a row a block."""
+    dealt = C.materialize(pairs.select(block.alias("block"), "a", "b", "bound"), f"{name}-dealt")
+    wants = dealt.select("block", "a").union(dealt.select("block", "b")).distinct()
+    rows = dealt
+    if anchors is not None:
+        b = dealt.select("block", F.col("b").alias("a")).distinct().join(anchors, "a")
+        rows = rows.unionByName(b.select("block", "a", F.col("hub").alias("b"), "rem", "add"), allowMissingColumns=True)
+        plain = dealt.select("block", F.col("b").alias("a")).join(anchors.select("a"), "a", "left_anti").select("block", "a")
+        wants = dealt.select("block", "a").union(plain).union(b.select("block", "hub")).distinct()
+    else:
+        rows = rows.select("*", F.lit(None).cast("binary").alias("rem"), F.lit(None).cast("binary").alias("add"))
+    rows = rows.unionByName(wants.join(sets.select(F.col("node").alias("a"), "shared"), "a"), allowMissingColumns=True)
+    out = C.materialize(rows.groupBy("block").applyInArrow(_compare(anchors is None), "a long, b long, o long, linked boolean, rem binary, add binary"), name)
+    C.discard(dealt)
     return out
 
 
@@ -225,211 +277,218 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
         if total == before:
+            C.discard(both)
             return labels
         before = total
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "m").alias("to"))
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        labels = C.materialize(step.join(jump, "to").select("node", F.col("further").alias("comp")), "cc-labels")
+        old, labels = labels, C.materialize(step.join(jump, "to").select("node", F.col("further").alias("comp")), "cc-labels")
+        C.discard(old)
 
 
 # ---- the index -----------------------------------------------------------------------------------------
 
-_SIZE = (1 << 20) - 1
-
-
-def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, comp, anchor, meta) of prefixes; sets of one anchor in a batch share a row. meta: sizes (20 bits each) and positions in 4096ths, least and most."""
-    for batch in C.slices(batches, 2 << 20, "prefix"):
-        prefixes = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
-        lengths = np.array([len(p) for p in prefixes], np.int64)
-        token = np.concatenate(prefixes).astype(np.int64)
-        anchor = np.repeat(batch.column("anchor").to_numpy(), lengths)
-        comp = np.repeat(batch.column("comp").to_numpy(), lengths)
-        n = np.repeat(batch.column("n").to_numpy(), lengths)
-        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths - batch.column("skip").to_numpy(), lengths)
-        low, high = at * 4096 // n, np.minimum(-(-(at + 1) * 4096 // n), 4095)
-        order = np.lexsort((anchor, token))
-        token, anchor, comp, n, low, high = (x[order] for x in (token, anchor, comp, n, low, high))
-        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (anchor[1:] != anchor[:-1])]) if len(token) else np.zeros(0, np.int64)
-        if len(first):
-            n_low, n_high = np.minimum(np.minimum.reduceat(n, first), _SIZE), np.minimum(np.maximum.reduceat(n, first), _SIZE)
-            meta = n_low << 44 | n_high << 24 | np.minimum.reduceat(low, first) << 12 | np.maximum.reduceat(high, first)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[first], comp[first], anchor[first], meta)], ["token", "comp", "anchor", "meta"])
-
-
-def unpacked(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Least and most size, least and most share of the set before the token."""
-    n_high = (meta >> 24 & _SIZE).astype(float)
-    n_high[n_high == _SIZE] = np.inf
-    return (meta >> 44 & _SIZE).astype(float), n_high, (meta >> 12 & 4095) / 4096, np.where((meta & 4095) == 4095, 1.0, (meta & 4095) / 4096)
-
-
-def can_link(x: tuple, y: tuple) -> np.ndarray:
-    """False where no set within bounds x and none within bounds y can link through a token at these positions.
-
-    Sizes must be within 3 : 4. With i and j the shares of the sets before the token, the overlap
-    is at most min(i * nx, j * ny) + 1 + min((1 - i) * nx, (1 - j) * ny).
-    """
-    x_low, x_high, x_i, x_j = x
-    y_low, y_high, y_i, y_j = y
-    fits = (4 * x_high >= 3 * y_low) & (4 * y_high >= 3 * x_low)
-    most = np.minimum(x_j * x_high, y_j * y_high) + np.minimum((1 - x_i) * x_high, (1 - y_i) * y_high) + 2
-    return fits & (7 * most >= 3 * (x_low + y_low))
-
-
-def list_pairs(anchors: np.ndarray, comps: np.ndarray, meta: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a list's anchors, of different components, that may hold a link; the list lies in blocks by size and position, and blocks are skipped whole."""
-    bounds = unpacked(meta)
-    order = np.lexsort((bounds[2], bounds[0]))
-    anchors, comps, bounds = anchors[order], comps[order], tuple(v[order] for v in bounds)
-    cuts = np.arange(0, len(anchors), BLOCK)
-    block = (np.minimum.reduceat(bounds[0], cuts), np.maximum.reduceat(bounds[1], cuts), np.minimum.reduceat(bounds[2], cuts), np.maximum.reduceat(bounds[3], cuts))
-    out = []
-    for k, start in enumerate(cuts):
-        # sizes rise from block to block: a later block is skipped if its least size is over 4/3 of this one's most
-        near = [j for j in range(k, len(cuts)) if 3 * block[0][j] <= 4 * block[1][k]]
-        if not near:
-            continue
-        right = np.concatenate([np.arange(cuts[j], min(cuts[j] + BLOCK, len(anchors))) for j in near])
-        for i in range(start, min(start + BLOCK, len(anchors))):
-            later = right[(right > i) & (comps[right] != comps[i])]
-            if len(later):
-                hit = later[can_link(tuple(v[i] for v in bounds), tuple(v[later] for v in bounds))]
-                out += [(min(p), max(p)) for p in ((int(anchors[i]), int(anchors[j])) for j in hit)]
-    return out
+_ENTRY = "part int, node long, comp long, n long, alone long, hub long, far long, map binary, keys binary, at binary"
+
+
+def _entries(parts: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A set's listed tokens by part, with their positions. Tokens of very many sets go to the cells of the set's share of the list."""
+        names = ("node", "comp", "n", "alone", "hub", "far", "map", "prefix", "kinds")
+        for batch in C.slices(batches, 1 << 20, "prefix"):
+            out = []
+            for *head, prefix, kinds in zip(*(batch.column(c).to_pylist() for c in names)):
+                keys, hot = np.frombuffer(prefix, np.uint64), np.frombuffer(kinds, np.uint8)
+                at = (np.arange(len(keys)) + head[3]).astype(np.int32)
+                keys, at = [keys[hot <= HOT]], [at[hot <= HOT]]
+                for k, t, p in zip(hot[hot > HOT].tolist(), np.frombuffer(prefix, np.uint64)[hot > HOT], np.flatnonzero(hot > HOT)):
+                    shares = 1 << (k - HOT)
+                    own = int(_scatter(np.array([head[0]], np.int64).view(np.uint64))[0]) % shares
+                    cells = np.array([min(own, j) * shares + max(own, j) for j in range(shares)], np.uint64)
+                    keys.append(_scatter(t + (cells + np.uint64(1)) * _MIX[1]))
+                    at.append(np.full(shares, p + head[3], np.int32))
+                keys, at = np.concatenate(keys), np.concatenate(at)
+                part = (keys % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                keys, at, part = keys[order], at[order], part[order]
+                cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+                out += [(int(part[i]), *head, keys[i:j].tobytes(), at[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
+            kinds = (pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * 3)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in _ENTRY.split(", ")])
 
+    return run
 
-def _merged(token: np.ndarray, comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One row for each token and anchor of rows in that order; bounds are widened to hold all."""
-    first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (anchor[1:] != anchor[:-1])])
-    if len(first) < len(token):
-        n_low, n_high = np.minimum.reduceat(meta >> 44 & _SIZE, first), np.maximum.reduceat(meta >> 24 & _SIZE, first)
-        meta = n_low << 44 | n_high << 24 | np.minimum.reduceat(meta >> 12 & 4095, first) << 12 | np.maximum.reduceat(meta & 4095, first)
-        token, comp, anchor = token[first], comp[first], anchor[first]
-    return token, comp, anchor, meta
-
-
-def _pairs_of(comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """Pairs of many lists (a, b rows): short lists of one size together, long ones block by block."""
-    out, bounds = [], unpacked(meta)
-    for size in np.unique(sizes[sizes <= 2 * BLOCK]):
-        at = starts[sizes == size]
-        i, j = np.triu_indices(int(size), 1)
-        x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        apart = comp[x] != comp[y]
-        x, y = x[apart], y[apart]
-        hit = can_link(tuple(v[x] for v in bounds), tuple(v[y] for v in bounds))
-        out.append(np.stack([anchor[x[hit]], anchor[y[hit]]]))
-    for start, size in zip(starts[sizes > 2 * BLOCK], sizes[sizes > 2 * BLOCK]):
-        found = list_pairs(anchor[start : start + size], comp[start : start + size], meta[start : start + size])
-        if found:
-            out.append(np.array(found, np.int64).T)
-    return out
 
+class Lists:
+    """The lists of a part."""
+
+    def __init__(self, table: pa.Table) -> None:
+        ints = {c: np.array(table[c].to_pylist(), np.int64) for c in ("node", "comp", "n", "alone", "hub", "far")}
+        self.node, self.comp, self.n, self.alone, self.hub, self.far = ints.values()
+        maps = table["map"].to_pylist()
+        self.wide = np.array([MAP_BITS.index(8 * len(m)) for m in maps], np.int64)
+        self.maps = []  # for each width, the maps folded to it and where each set's is
+        for w, bits in enumerate(MAP_BITS):
+            own = np.flatnonzero(self.wide >= w)
+            folded = [np.bitwise_xor.reduce(np.frombuffer(maps[i], np.uint64).reshape(-1, bits // 64), axis=0) for i in own]
+            place = np.zeros(len(maps), np.int64)
+            place[own] = np.arange(len(own))
+            self.maps.append((np.array(folded, np.uint64).reshape(-1, bits // 64), place))
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+        owner = np.repeat(np.arange(len(maps)), [len(k) // 8 for k in table["keys"].to_pylist()])
+        at = np.frombuffer(b"".join(table["at"].to_pylist()), np.int32).astype(np.int64)
+        order = np.lexsort((at, self.n[owner], keys))
+        keys, self.owner, self.at = keys[order], owner[order], at[order]
+        self.cuts = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64), len(keys)]
+
+    def bounds(self, start: int, end: int) -> tuple[np.ndarray, ...]:
+        """For each block of a list: least and most size, most tokens before and after the position, fewest tokens of a set's own."""
+        cuts, o, at = np.arange(0, end - start, BLOCK), self.owner[start:end], self.at[start:end]
+        return (np.minimum.reduceat(self.n[o], cuts), np.maximum.reduceat(self.n[o], cuts), np.maximum.reduceat(at - self.alone[o], cuts),
+                np.maximum.reduceat(self.n[o] - at - 1, cuts), np.minimum.reduceat(self.alone[o], cuts))
+
+    def block_pairs(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of blocks of a list that a qualifying pair may be in."""
+        low, high, before, after, alone = self.bounds(start, end)
+        i, j = np.triu_indices(len(low))
+        most = np.minimum(before[i], before[j]) + 1 + np.minimum(after[i], after[j])
+        may = (4 * high[i] >= 3 * low[j]) & (4 * high[j] >= 3 * low[i]) & (7 * most >= 3 * (low[i] + low[j])) & (7 * (alone[i] + alone[j]) <= high[i] + high[j])
+        return i[may], j[may]
+
+    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in lists of two components or more: short lists of one size together, long ones block by block."""
+        sizes = np.diff(self.cuts)
+        comp = self.comp[self.owner]
+        mixed = np.array([len(np.unique(comp[a:b])) > 1 for a, b in zip(self.cuts[:-1], self.cuts[1:])], bool) if len(sizes) else np.zeros(0, bool)
+        starts, sizes = self.cuts[:-1][mixed], sizes[mixed]
+        for size in np.unique(sizes[sizes <= BLOCK]):
+            i, j = np.triu_indices(int(size), 1)
+            few = max(1, TOGETHER // len(i))
+            own = starts[sizes == size]
+            for k in range(0, len(own), few):
+                yield (own[k : k + few, None] + i).ravel(), (own[k : k + few, None] + j).ravel()
+        square = np.arange(BLOCK)
+        for start, size in zip(starts[sizes > BLOCK], sizes[sizes > BLOCK]):
+            p, q = self.block_pairs(start, start + size)
+            few = TOGETHER // BLOCK**2
+            for k in range(0, len(p), few):
+                x = (p[k : k + few, None, None] * BLOCK + square[:, None] + 0 * square).ravel()
+                y = (q[k : k + few, None, None] * BLOCK + square + 0 * square[:, None]).ravel()
+                inside = (x < y) & (y < size)
+                yield start + x[inside], start + y[inside]
+
+    def survivors(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of places: the sets that may link, of different components, and how near at best (least d, less is nearer)."""
+        px, py, x, y = self.at[x], self.at[y], self.owner[x], self.owner[y]
+        keep = (self.comp[x] != self.comp[y]) & (4 * self.n[x] >= 3 * self.n[y]) & (4 * self.n[y] >= 3 * self.n[x])
+        px, py, x, y = px[keep], py[keep], x[keep], y[keep]
+        both, alone = self.n[x] + self.n[y], self.alone[x] + self.alone[y]
+        most = np.minimum(px - self.alone[x], py - self.alone[y]) + 1 + np.minimum(self.n[x] - px, self.n[y] - py) - 1
+        derived = np.where(self.hub[x] == self.hub[y], np.abs(self.far[x] - self.far[y]), 0)
+        keep = (7 * most >= 3 * both) & (7 * np.maximum(alone, derived) <= both)
+        x, y, both, alone = x[keep], y[keep], both[keep], alone[keep]
+        wide, least = np.minimum(self.wide[x], self.wide[y]), alone.copy()
+        for w, (maps, place) in enumerate(self.maps):
+            own = np.flatnonzero(wide == w)
+            for k in range(0, len(own), TOGETHER // 8):
+                some = own[k : k + TOGETHER // 8]
+                least[some] += np.bitwise_count(maps[place[x[some]]] ^ maps[place[y[some]]]).sum(axis=1, dtype=np.int64)
+        keep = 7 * least <= both
+        return x[keep], y[keep], least[keep]
+
+
+def _candidates(best: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """a, b, bound: pairs of a part that may link; with ``best`` the nearest of every two components."""
+        lists = Lists(table)
+        held = [np.zeros((3, 0), np.int64)]
+
+        def distinct() -> np.ndarray:
+            x, y, least = np.concatenate(held, axis=1)
+            c, d = (lists.comp[x], lists.comp[y]) if best else (x, y)
+            low, high = np.minimum(c, d), np.maximum(c, d)
+            order = np.lexsort((lists.node[x] + lists.node[y], least, high, low))
+            first = np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])][: len(order)]
+            return np.stack([x, y, least])[:, order[first]]
+
+        for places in lists.places():
+            found = lists.survivors(*places)
+            if len(found[0]):
+                held.append(np.stack(found))
+                if sum(h.shape[1] for h in held) > 4 * TOGETHER:
+                    held = [distinct()]
+        x, y, _ = distinct()
+        a, b = np.minimum(lists.node[x], lists.node[y]), np.maximum(lists.node[x], lists.node[y])
+        return pa.table([pa.array(a), pa.array(b), pa.array(3 * (lists.n[x] + lists.n[y]))], ["a", "b", "bound"])
 
-def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings in order of token, component and anchor: pairs (a, b, shared tokens)."""
-    held = tuple(np.zeros(0, np.int64) for _ in range(4))  # rows of the token that the last batch ended in
-    pairs = []
-
-    def take(token: np.ndarray, comp: np.ndarray, anchor: np.ndarray, meta: np.ndarray) -> None:
-        if not len(token):
-            return
-        fresh = np.r_[True, token[1:] != token[:-1]]
-        cuts = np.flatnonzero(fresh)
-        sizes = np.diff(np.r_[cuts, len(token)])
-        keep = np.add.reduceat((fresh | np.r_[True, comp[1:] != comp[:-1]]).astype(np.int64), cuts) > 1
-        pairs.extend(_pairs_of(comp, anchor, meta, cuts[keep], sizes[keep]))
-
-    def emit() -> pa.RecordBatch:
-        both = np.sort(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=0)
-        both = both[:, np.lexsort(both[::-1])]
-        first = np.flatnonzero(np.r_[True, (both[:, 1:] != both[:, :-1]).any(0)]) if both.shape[1] else np.zeros(0, np.int64)
-        pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(both[0, first]), pa.array(both[1, first]), pa.array(np.diff(np.r_[first, both.shape[1]]).astype(np.int64))], ["a", "b", "c"])
-
-    for batch in batches:
-        rows = _merged(*(np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("token", "comp", "anchor", "meta"))))
-        last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
-        take(*(x[:last] for x in rows))
-        held = tuple(x[last:] for x in rows)
-        if sum(p.shape[1] for p in pairs) > 2_000_000:
-            yield emit()
-    take(*held)
-    yield emit()
-
-
-def index_pairs(prefixes: DataFrame) -> DataFrame:
-    """a, b, c: pairs of anchors and how many listed tokens they share."""
-    spark = prefixes.sparkSession
-    total = prefixes.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 8 // 1_000_000))
-    rows = prefixes.mapInArrow(_postings, "token long, comp long, anchor long, meta long")
-    lists = rows.repartition(parts, "token").sortWithinPartitions("token", "comp", "anchor").mapInArrow(_lists, "a long, b long, c long")
-    return C.materialize(lists.groupBy("a", "b").agg(F.sum("c").alias("c")), "jaccard-pairs")
+    return run
 
 
-# ---- the join ------------------------------------------------------------------------------------------
+def candidates(listed: DataFrame, labels: DataFrame, best: bool, total: int) -> DataFrame:
+    """Pairs of sets in different components that the index leaves open. labels: node, comp."""
+    spark = listed.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // PART_BYTES)
+    rows = listed.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    entries = rows.select("node", "comp", "n", "alone", "hub", "far", "map", "prefix", "kinds").mapInArrow(_entries(parts), _ENTRY)
+    found = entries.groupBy("part").applyInArrow(_candidates(best), "a long, b long, bound long")
+    return C.materialize(found.distinct(), "jaccard-candidates")
 
 
-def _links(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds na, nb and whether the pair links."""
-    out = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    return out.withColumn("linked", 7 * F.col("o") >= 3 * (F.col("na") + F.col("nb")))
+# ---- the join ------------------------------------------------------------------------------------------
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    docs = docs.select("doc_id", "text")
-    profiles = C.materialize(docs.mapInArrow(_profile, "doc_id long, n long, sig binary, bands array<long>"), "jaccard-profiles")
-    classes = C.materialize(profiles.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    of_rep = profiles.where("n > 0").select("doc_id", "sig", "bands").join(classes, "sig").where("doc_id = rep")
-    reps = C.materialize(of_rep.select("rep", "n", "bands"), "jaccard-reps")
-    sizes = reps.groupBy("rep").agg(F.max("n").alias("n"))
-
-    # stars around the smallest of those that share a minimum hash
-    bands = reps.select("rep", "n", F.posexplode("bands").alias("band", "value"))
-    hubs = bands.groupBy("band", "value").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "value", "hub")
-    tried = bands.join(hubs, ["band", "value"]).where("rep <> hub.rep and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
-    tried = C.materialize(tried.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct(), "jaccard-tried")
-    starred = C.materialize(_links(overlaps(docs, tried), sizes).where("linked"), "jaccard-stars")
-    comps = components(starred)
-    hub_ids = starred.select(F.col("b").alias("a")).distinct()
-    best = starred.join(hub_ids, "a", "left_anti").groupBy("a").agg(F.max(F.struct("o", "b")).alias("best")).select(F.col("a").alias("rep"), F.col("best.b").alias("anchor"), F.col("best.o").alias("o"))
-    info = sizes.join(best, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    info = info.select("rep", "n", F.coalesce("anchor", "rep").alias("anchor"), (F.col("n") - F.coalesce("o", "n")).alias("extra"), F.coalesce("comp", "rep").alias("comp"))
-    info = C.materialize(info, "jaccard-info")
-
-    # anchors that share enough of the index
-    listed = index_pairs(shared_prefixes(docs, info))
-    rest = F.col("n") - (F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)
-    slack = F.col("extra") - 3 * F.col("n") / 7
-    groups = info.groupBy("anchor").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(rest).alias("rest"), F.max(slack).alias("slack"), F.min("comp").alias("comp"))
-    side = lambda s: groups.select(F.col("anchor").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "rest", "slack", "comp")])
-    near = listed.join(side("a"), "a").join(side("b"), "b").where("comp_a <> comp_b and 4 * high_a >= 3 * low_b and 4 * high_b >= 3 * low_a and 7 * (c + greatest(rest_a, rest_b)) >= 3 * (low_a + low_b)")
-    near = C.materialize(near.select("a", "b", "slack_a", "slack_b"), "jaccard-near")
-    compared = C.materialize(_links(overlaps(docs, near.select("a", "b")), sizes), "jaccard-compared")
-
-    # sets of two anchors that do not link themselves: derived from the anchors' overlap where that settles it
-    open_ = compared.where("not linked").join(near, ["a", "b"]).where("o + slack_a + slack_b >= -1e-6")
-    member = lambda s: info.select(F.col("anchor").alias(s), F.col("rep").alias(f"x_{s}"), F.col("n").alias(f"n_{s}"), slack.alias(f"s_{s}"))
-    left = open_.join(member("a"), "a").where("o + s_a + slack_b >= -1e-6")
-    both = left.join(member("b"), "b").where("o + s_a + s_b >= -1e-6 and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a and not (x_a = a and x_b = b)")
-    further = C.materialize(both.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).distinct(), "jaccard-further")
-    derived = _links(overlaps(docs, further), sizes).where("linked")
-
-    links = starred.select("a", "b").unionByName(compared.where("linked").select("a", "b")).unionByName(derived.select("a", "b"))
-    comps = components(links).withColumnRenamed("node", "rep")
-    answers = profiles.select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig", "left").join(comps, "rep", "left")
+    total = C.text_bytes(docs)
+    n = C.block_count(total)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text").withColumn("block", C.block_of(n, "doc_id", "text"))
+    words = C.materialize(keyed.mapInArrow(_digests, "doc_id long, block int, digest binary"), "jaccard-words")
+    first = words.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "block")).alias("first"))
+    nodes = C.materialize(first.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.block").alias("block"), F.monotonically_increasing_id().alias("node")), "jaccard-nodes")
+    sets = described_sets(keyed.repartition(n, "block"), nodes, total)
+    may = sets.where("prefix is not null")
+    listed_bytes, shared_bytes = may.agg(F.coalesce(F.sum(F.octet_length("prefix") + F.octet_length("map")), F.lit(0)), F.coalesce(F.sum(F.octet_length("shared")), F.lit(0))).first()
+    blocks = C.block_count(shared_bytes, COMPARE_BYTES)
+
+    # stars around the set with the fewest tokens of its own among those that share a minimum hash
+    bands = may.select("node", "n", "alone", F.posexplode("bands").alias("band", "value"))
+    hubs = bands.groupBy("band", "value").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "node", "n", "alone")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "value", "hub")
+    tried = bands.join(hubs, ["band", "value"]).where("node <> hub.node and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n) and 7 * (alone + hub.alone) <= n + hub.n")
+    tried = tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), (3 * (F.col("n") + F.col("hub.n"))).alias("bound")).distinct()
+    stars = compared(may, tried, C.block_of(blocks, "a"), None, "jaccard-stars")
+    labels = components(stars.where("linked"))
+    anchors = stars.where("linked").groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("hub"), "rem", "add"), F.struct("o", "b")).alias("best")).select("a", "best.*")
+    anchors = C.materialize(anchors, "jaccard-anchors")
+    sizes = may.select("node", "n")
+    nearest = stars.select("a", "b", "o").join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("o")).alias("far"))
+    is_hub = nearest.select(F.col("b").alias("a"), "b", F.lit(0).cast("long").alias("far"))
+    nearest = nearest.union(is_hub).groupBy(F.col("a").alias("node")).agg(F.min(F.struct("far", F.col("b").alias("hub"))).alias("near")).select("node", "near.hub", "near.far")
+    listed = may.drop("bands", "shared").join(nearest, "node", "left").withColumns({"hub": F.coalesce("hub", "node"), "far": F.coalesce("far", F.lit(0).cast("long"))})
+    listed = C.materialize(listed, "jaccard-listed")
+
+    # the index: first what merges components, then all that is left between them
+    links = stars.where("linked").select("a", "b")
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for best in (True, False):
+        pairs = candidates(listed, labels, best, int(listed_bytes)).join(done, ["a", "b"], "left_anti")
+        found = compared(may, pairs, C.block_of(blocks, "a", "b"), anchors, "jaccard-compared")
+        links, done = links.union(found.where("linked").select("a", "b")), done.union(found.select("a", "b"))
+        labels = components(links)
+    comp = nodes.join(labels, "node", "left").select("node", "digest", "rep", F.coalesce("comp", "node").alias("comp"))
+    least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
+    by_digest = comp.join(sets.select("node", "n"), "node").join(least, "comp").select("digest", "n", "least")
+    answers = words.select("doc_id", "digest").join(by_digest, "digest", "left")
     given = lambda c: F.when(c != _NO_ID, c)
-    return answers.select(given(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), given(F.coalesce("comp", "rep", "doc_id")).alias("component_id"))
+    return answers.select(given(F.col("doc_id")).alias("doc_id"), F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), given(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component, columns as they were."""
-    found = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id"))).select([docs[c] for c in docs.columns])
+    """The documents whose id is the smallest of their component, columns as they were; rows that repeat that id all stay."""
+    key = C.free_name(docs, "kept")
+    found = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[key]), "left_semi")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
