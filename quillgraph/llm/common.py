@@ -89,6 +89,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def schema_of(df: DataFrame) -> str:
+    """The columns as DDL."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column, from one narrow scan."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
