@@ -7,7 +7,7 @@ language in training) times the logistic loss of the bit's margin; the nearest c
 whose two nearest codewords are close is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` in all, shared evenly by the languages, chosen
-by a hash of the row); every whole text is predicted. The languages are all that occur in the learnable rows.
+by a hash of the row); every whole text is predicted. The languages are those of the learnable rows, the ``MOST_LANGUAGES`` commonest if there are more.
 
 Cases: null texts and texts without a letter give ``und`` with score 0; with no learnable row all texts do; with one
 language that language is predicted; empty tables give no rows; repeated rows get the same prediction each; ties go
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS, GRAMS = 4096, 3
-SAMPLE_ROWS = 4000
+#: The fit: labelled rows in all, and languages, the commonest first.
+SAMPLE_ROWS, MOST_LANGUAGES = 4000, 500
 FOLDS, HELD_OUT = 4, 2
 #: Probability of the nearest codeword minus that of the second, below which a text is ambiguous.
 AMBIGUOUS = 0.2
@@ -128,7 +129,8 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     rows = docs.where(learnable()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     if not counts:
         return None
     each = max(1, sample_rows // len(counts))
