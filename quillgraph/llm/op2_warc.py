@@ -6,7 +6,8 @@ frame and offset within the decompressed frame, so one record costs one frame. B
 executors reach that through Spark alone; ``export_bundles`` writes them as files where a folder is mounted.
 Of equal payloads (SHA-1 and length) the record with the largest page_id is the response, the others revisit it.
 
-Cases: null html is an empty payload; repeated rows with the largest page_id of their group are all responses; a null
+Cases: null html is an empty payload; repeated rows with the largest page_id of their group are all responses, of which one has the identifier
+that revisits refer to; identifiers are unique in the archive, also of rows that repeat; a null
 page_id is smaller than all others and is a revisit if its group has another id, else a response; very long payloads get a frame of their own; an empty table
 gives no bundles; extra columns are ignored.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
+#: Parts that the copies of a payload are spread over.
+SALTS = 16
 #: Payloads of at least so many bytes can be revisits.
 LEAST_BYTES = 0
 #: Fixed values of the seekable format and the WARC standard.
@@ -39,19 +42,19 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, copy: int = 0) -> str:
-    """The same for every attempt of a task."""
-    return f"urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{copy}')}"
+def record_id(page_id: int | None, digest: str, row: int | None = None) -> str:
+    """Of the record that stands for a payload, or with ``row``, the row's number in the table, of any other."""
+    return f"urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}' + ('' if row is None else f'/{row}'))}"
 
 
-def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, rid: str) -> bytes:
+def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, rid: str, digest: str) -> bytes:
     """A response, or a revisit whose HTTP header alone is kept; both give digest and length of the full payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     uri = "".join(c for c in url or "" if c >= " ") or f"urn:page:{page_id}"
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{rid}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Page-ID: {'' if page_id is None else page_id}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{rid}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(refers_to)}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -143,27 +146,49 @@ def _write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [dict(zip(("record_id", "page_id", "frame", "offset", "length"), x)) for x in index]
         return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(data).hexdigest()]), pa.array([data], pa.binary()), pa.array([rows], _INDEX)], ["bundle", "data", "index"])
 
-    bundle, copies = Bundle(), {}
+    bundle = Bundle()
     for batch in C.slices(batches, 4 << 20, "html"):
-        for page_id, url, payload, refers_to in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), C.texts_of(batch.column("html")), batch.column("refers_to").to_pylist()):
-            copies[page_id] = copy = copies.get(page_id, -1) + 1
-            rid = record_id(page_id, copy)
-            bundle.add(rid, page_id, write_record(page_id, url, payload, refers_to, rid))
+        for page_id, url, refers_to, row, payload in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "row")), C.texts_of(batch.column("html"))):
+            digest = base32_sha1(payload)
+            rid = record_id(page_id, digest, row)
+            bundle.add(rid, page_id, write_record(page_id, url, payload, refers_to, rid, digest))
             if bundle.total > BUNDLE_BYTES:
                 yield closed(bundle)
-                bundle, copies = Bundle(), {}
+                bundle = Bundle()
     if bundle.index:
         yield closed(bundle)
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def write_bundles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """The archive as a table of bundles in the shared folder."""
+    """The archive as a table of bundles in the shared folder.
+
+    Roles are folded from narrow rows before any exchange; the rows with their html meet them by payload and salt, so that copies
+    of one payload are spread. Only where a page_id repeats with its payload, the rows of that payload are written once more, with numbers that tell them apart.
+    """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("__sha"), F.octet_length(html).alias("__n"))
-    groups = rows.where(F.col("__n") >= least_bytes).groupBy("__sha", "__n").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1")
-    roles = rows.join(groups.select("__sha", "__n", "top"), ["__sha", "__n"], "left")
-    refers = F.when(F.col("top").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("top"))), F.col("top"))
-    return C.materialize(roles.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_write, BUNDLES), "warc")
+    rows = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n"))
+    once = rows.groupBy("sha", "n", "page_id").agg(F.count("*").alias("rows"))
+    groups = once.groupBy("sha", "n").agg(F.max("page_id").alias("top"), F.sum("rows").alias("copies"), F.max("rows").alias("most")).where("copies > 1")
+    groups = C.materialize(groups.select("sha", "n", F.when(F.col("n") >= least_bytes, F.col("top")).alias("top"), "most"), "warc-roles")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    roles = rows.withColumn("salt", salt).join(_salted(groups), ["sha", "n", "salt"], "left")
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("top")), F.col("top"))
+    named = roles.where("coalesce(most, 1) = 1").select("page_id", "url", "html", refers.alias("refers_to"), F.lit(None).cast("long").alias("row"))
+    again = None
+    if (groups.agg(F.max("most")).first()[0] or 1) > 1:
+        again = roles.where("most > 1").select("page_id", "url", "html", "sha", "n", "top", refers.alias("refers_to"), F.monotonically_increasing_id().alias("row"))
+        again = C.materialize(again.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")), "warc-again")
+        first = again.where("page_id = top").groupBy("sha", "n").agg(F.min("row").alias("first"))
+        told = again.join(_salted(first), ["sha", "n", "salt"], "left")
+        named = named.unionByName(told.select("page_id", "url", "html", "refers_to", F.when(~F.coalesce(F.col("row") == F.col("first"), F.lit(False)), F.col("row")).alias("row")))
+    out = C.materialize(named.mapInArrow(_write, BUNDLES), "warc")
+    for done in [groups] + [again] * (again is not None):
+        C.discard(done)
+    return out
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
