@@ -133,46 +133,50 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Mo
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = [np.array(features(t), "<f8").tobytes() for t in C.texts_of(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__positive"), pa.array(x, pa.binary())], ["doc_id", "__positive", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(x, pa.binary())], ["doc_id", "positive", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    ids = docs.select(F.col("doc_id").alias("__id")).where(C.held_in("__id", FOLDS) != 0)
-    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__q"))
-    rows = ids.join(known, "__id", "left")
-    n, ones, marked = rows.agg(F.count("*"), F.count(F.when(F.col("__q") == 1, 1)), F.count("__q")).first()
+    ids = docs.select(F.col("doc_id").alias("id")).where(C.held_in("id", FOLDS) != 0)
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q"))
+    rows = ids.join(known, "id", "left")
+    n, ones, marked = rows.agg(F.count("*"), F.count(F.when(F.col("q") == 1, 1)), F.count("q")).first()
     if not ones:
         return fit(np.zeros((0, WIDTH)), np.zeros((0, WIDTH)), 0.0 if marked else None)
-    draw = lambda salt: F.pmod(F.xxhash64("__id", F.lit(salt)), F.lit(1 << 30))
+    draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30))
     below = lambda most, total: F.lit(int(min(1.0, 0.9 * most / total if total > most else 1.0) * (1 << 30)))
-    chosen = rows.where((F.col("__q") == 1) & (draw("p") < below(positives, ones))).select("__id", F.lit(True).alias("__positive"))
-    chosen = chosen.unionByName(rows.where(draw("u") < below(unlabelled, n)).select("__id", F.lit(False).alias("__positive"))).distinct()
+    chosen = rows.where((F.col("q") == 1) & (draw("p") < below(positives, ones))).select("id", F.lit(True).alias("positive"))
+    chosen = chosen.unionByName(rows.where(draw("u") < below(unlabelled, n)).select("id", F.lit(False).alias("positive"))).distinct()
     chosen = chosen.limit(positives + unlabelled)  # so many ids at most, which bounds the broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__positive")
-    table = sample.mapInArrow(_features, "doc_id long, __positive boolean, x binary").limit(4 * (positives + unlabelled)).toArrow()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "positive")
+    table = sample.mapInArrow(_features, "doc_id long, positive boolean, x binary").limit(4 * (positives + unlabelled)).toArrow()
     x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f8").reshape(table.num_rows, WIDTH)
-    flag = np.array(table["__positive"].to_pylist(), bool)
+    flag = np.array(table["positive"].to_pylist(), bool)
     order = np.lexsort((x[:, 20], x[:, 0], np.array(table["doc_id"].to_pylist(), float)))
     x, flag = x[order], flag[order]
     return fit(x[flag], x[~flag], ones / marked if ones < marked else None)
 
 
+def score_name(docs: DataFrame) -> str:
+    """The column that score adds: __score, with more underscores where the table has it."""
+    return C.free_name(docs, "__score")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with __score added."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousands of weights
+    """The documents with their score added."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), score_name(docs)  # some thousands of weights
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t) for t in C.texts_of(batch.column("text"))], float).reshape(batch.num_rows, WIDTH)
-            yield batch.append_column("__score", pa.array(np.clip(shared.value.score(x), 0, 1), pa.float64()))
+            yield batch.append_column(name, pa.array(np.clip(shared.value.score(x), 0, 1), pa.float64()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, f"{C.schema_of(docs)}, `{name}` double")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, columns as they were."""
-    return score(docs, train(docs, labels)).where(F.col("__score") >= THRESHOLD).select(docs.columns)
+    return score(docs, train(docs, labels)).where(F.col(score_name(docs)) >= THRESHOLD).select(docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
