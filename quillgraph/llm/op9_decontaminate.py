@@ -6,8 +6,8 @@ phrase. On it: suffix array by prefix doubling, Burrows-Wheeler transform, wavel
 every eighth word and at the start of each run. All phrases are searched backward at once; occurrences are located by walking
 back to a sampled position, and the spans of a document are merged. No row is shuffled.
 
-Phrases come in blocks of at most ``PHRASE_BYTES`` of benchmark text, each of which is broadcast; the documents
-stream through one pass a block, so a large benchmark costs passes and not memory.
+Windows are cut from the items where these lie and made distinct; they come in blocks of about ``PHRASE_BYTES``, each of which is broadcast. The
+documents stream through one pass a block, and each pass is written before the next, so a large benchmark or item costs passes and not memory.
 
 Cases: null text has no words and no hits; an item with null or wordless text has no window; equal windows belong to all
 their items; a repeated item id counts once; a null item id is listed as the empty text; an empty benchmark or an empty document table gives zeros or no rows; extra columns are carried
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW = 10
-#: Benchmark text that one pass takes; the broadcast is at most some tens of times that.
-PHRASE_BYTES = 4 << 20
+#: Bytes of windows (ten words each, so about ten times the benchmark's text) that one pass takes; the broadcast is a few times that.
+PHRASE_BYTES = 32 << 20
 SHARD_BYTES = 8 << 20
 SAMPLE = 8
 #: Word bytes map to themselves in lower case, all others to a space.
@@ -142,20 +142,33 @@ class FMIndex:
         return found
 
 
+def _windows(window: int):
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each item, words joined by a space, ten thousand at a time."""
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), C.texts_of(batch.column("text"))):
+                words = words_of(text)
+                last = max(1, len(words) - window + 1) if words else 0
+                for k in range(0, last, 10_000):
+                    rows = [b" ".join(words[i : i + window]) for i in range(k, min(k + 10_000, last))]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([item] * len(rows), pa.string())], ["win", "item"])
+
+    return windows
+
+
 class Phrases:
-    """The windows of a block of items, coded by their own vocabulary (codes from 1)."""
-
-    def __init__(self, items: Iterable[tuple], window: int = WINDOW) -> None:
-        windows: dict[tuple, set] = {}
-        for item_id, text in items:
-            words = words_of((text or "").encode())
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                windows.setdefault(tuple(words[i : i + window]), set()).add("" if item_id is None else str(item_id))
+    """A block of windows (words joined by a space, item), coded by their own vocabulary (codes from 1)."""
+
+    def __init__(self, rows: Iterable[tuple[bytes, str]], window: int = WINDOW) -> None:
+        found: dict[bytes, set] = {}
+        for win, item in rows:
+            found.setdefault(bytes(win), set()).add(item)
+        windows = [w.split(b" ") for w in found]
         self.code: dict[bytes, int] = {}
         for w in windows:
             for x in w:
                 self.code.setdefault(x, len(self.code) + 1)
-        self.items = [sorted(x) for x in windows.values()]
+        self.items = [sorted(x) for x in found.values()]
         self.lengths = np.array([len(w) for w in windows], np.int64)
         self.words = np.zeros((len(windows), window), np.int64)
         for i, w in enumerate(windows):
@@ -212,21 +225,26 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_ADDED = "__n_words long, __spans array<struct<start: bigint, end: bigint>>, __items array<string>"
+_ADDED = ("long", "array<struct<start: bigint, end: bigint>>", "array<string>")
+
+
+def added_names(docs: DataFrame) -> list[str]:
+    """The columns that find_benchmark adds: __n_words, __spans, __items, with more underscores where the table has these."""
+    return [C.free_name(docs, x) for x in ("__n_words", "__spans", "__items")]
 
 
-def _pass(broadcast, first: bool):
+def _pass(broadcast, first: bool, added: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = broadcast.value
         for table in C.gathered(batches, SHARD_BYTES):
             found = _shard(C.texts_of(table["text"]), phrases)
             counts, spans, items = zip(*found)
             if not first:
-                spans = [merge_spans([*s, *((x["start"], x["end"]) for x in old)]) for s, old in zip(spans, table["__spans"].to_pylist())]
-                items = [sorted({*i, *old}) for i, old in zip(items, table["__items"].to_pylist())]
-                table = table.drop_columns(["__n_words", "__spans", "__items"])
+                spans = [merge_spans([*s, *((x["start"], x["end"]) for x in old)]) for s, old in zip(spans, table[added[1]].to_pylist())]
+                items = [sorted({*i, *old}) for i, old in zip(items, table[added[2]].to_pylist())]
+                table = table.drop_columns(added)
             spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
-            for name, values, kind in (("__n_words", counts, pa.int64()), ("__spans", spans, _SPANS), ("__items", items, pa.list_(pa.string()))):
+            for name, values, kind in zip(added, (counts, spans, items), (pa.int64(), _SPANS, pa.list_(pa.string()))):
                 table = table.append_column(name, pa.array(values, kind))
             yield from table.combine_chunks().to_batches()
 
@@ -234,30 +252,37 @@ def _pass(broadcast, first: bool):
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
-    """The documents with __n_words, __spans (merged, in words) and __items."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text")
-    blocks = C.block_count(C.text_bytes(items), phrase_bytes, 1)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + _ADDED
+    """The documents with the columns of added_names: words, spans (merged, in words) and items."""
+    spark, added = docs.sparkSession, added_names(docs)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    windows = C.materialize(items.mapInArrow(_windows(window), "win binary, item string").distinct(), "decontaminate-windows")
+    blocks = C.block_count(int(windows.agg(F.sum(F.octet_length("win") + F.octet_length("item"))).first()[0] or 0), phrase_bytes, 1)
+    schema = f"{C.schema_of(docs)}, " + ", ".join(f"`{name}` {kind}" for name, kind in zip(added, _ADDED))
+    before = None
     for k in range(blocks):
-        rows = (items if blocks == 1 else items.where(C.block_of(blocks, "item_id") == k)).collect()  # at most about phrase_bytes
-        docs = docs.mapInArrow(_pass(spark.sparkContext.broadcast(Phrases(rows, window)), k == 0), schema)
+        rows = windows.where(C.block_of(blocks, "win") == k).collect()  # about phrase_bytes, by hash of short rows
+        docs = docs.mapInArrow(_pass(spark.sparkContext.broadcast(Phrases(rows, window)), k == 0, added), schema)
+        if k + 1 < blocks:
+            docs = C.materialize(docs, "decontaminate-pass")
+            if before is not None:
+                C.discard(before)
+            before = docs
     return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, columns as they were."""
-    return find_benchmark(docs, benchmark).where(F.size("__spans") == 0).select(docs.columns)
+    return find_benchmark(docs, benchmark).where(F.size(added_names(docs)[1]) == 0).select(docs.columns)
 
 
-def _clean(names: list[str]):
+def _clean(names: list[str], spans_name: str):
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
         for batch in batches:
             texts = []
-            for text, spans in zip(C.texts_of(batch.column("text")), batch.column("__spans").to_pylist()):
+            for text, spans in zip(C.texts_of(batch.column("text")), batch.column(spans_name).to_pylist()):
                 if spans:
                     at = [m.span() for m in word.finditer(text.lower())]
                     for s in reversed(spans):
@@ -271,16 +296,15 @@ def _clean(names: list[str]):
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with the merged spans cut out of their texts."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return find_benchmark(docs, benchmark).mapInArrow(_clean(docs.columns), schema)
+    return find_benchmark(docs, benchmark).mapInArrow(_clean(docs.columns, added_names(docs)[1]), C.schema_of(docs))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select(
-        "doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.size("__spans") > 0).alias("contaminated")
+    n_words, spans, items = added_names(docs)
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
+        "doc_id", F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(spans) > 0).alias("contaminated")
     )
 
 
