@@ -6,8 +6,8 @@ any spelling are scored as wholes (digit groups, check sums, separators, what st
 dynamic programming over the segment ends chooses boundaries and kinds jointly. A chosen segment is added if it overlaps no base span
 and its log odds against plain text exceed ``MARGIN``.
 
-The weights are learned by maximum likelihood on a bounded sample of windows around base spans, as found and
-disguised in known ways, and around digits that are no personal data; every whole text is searched.
+The weights are learned by maximum likelihood on a bounded sample of windows, drawn by hash from whole texts, around base spans, as found and
+disguised in known ways, and around digits that are no personal data; every whole text is searched, in time proportional to its length.
 
 Cases: null text counts as empty and has no spans; offsets are code points; repeated rows get the same spans each; without any window to
 learn from nothing is added; an empty table gives no rows; extra columns are ignored.
@@ -33,8 +33,12 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-MOST_TOKENS, MARGIN = 24, 2.0
-SAMPLE_DOCS, WINDOWS = 20_000, 1500
+#: The same matches as IP: within a run of digits no later start can match where the first does not, so each run is read once.
+_IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+
+MOST_TOKENS, MOST_DIGITS, MARGIN = 24, 20, 2.0
+#: The fit: texts that windows are drawn from, windows, and characters that a window has at most.
+SAMPLE_DOCS, WINDOWS, WINDOW_CHARS = 20_000, 1500, 400
 
 Span = tuple[str, int, int]
 
@@ -61,11 +65,11 @@ def base_spans(text: str) -> list[Span]:
         while start > done and (c := text[start - 1]) < "\x80" and (c.isalnum() or c in "._%+-"):
             start -= 1
         m = EMAIL.match(text, start) if start < at else None
-        if m and m.start() + text[start:].index("@") == at:
+        if m and text.index("@", start) == at:
             out.append(("email", start, m.end()))
             done = m.end()
         at = text.find("@", max(at + 1, done))
-    for m in IP.finditer(text):
+    for m in _IP_RUNS.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
@@ -82,12 +86,14 @@ def base_spans(text: str) -> list[Span]:
 
 _AT = r"(?:@|\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
-_MAIL_REGION = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+_MAIL_REGION = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 #: Wherever the pattern finds an address, its at sign is one of these.
 _MAIL_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s", re.I)
 _DIGIT_REGION = re.compile(r"[+(]{0,2}[0-9](?:[ ().\[\]/_+-]{0,3}[0-9])+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _HINTS = (re.compile(r"mail|contact|write", re.I), re.compile(r"\bip\b|host|server|address", re.I), re.compile(r"card|visa|pay", re.I), re.compile(r"phone|tel|call|fax|mobile", re.I))
+#: An address goes on behind its end, or before its start.
+_MORE_AFTER, _MORE_BEFORE = re.compile(_DOT + "[A-Za-z0-9]", re.I), re.compile(rf"(?:[A-Za-z0-9]{_DOT}|[._%+-])\Z", re.I)
 _MAIL_WHOLE = re.compile(_MAIL_REGION.pattern + r"\Z", re.I)
 FEATURES = 24
 
@@ -114,7 +120,11 @@ def candidates(text: str, start: int, end: int) -> tuple[list[tuple[int, int]],
     for i, (a, _) in enumerate(tokens):
         if not (text[a].isalnum() or text[a] in "+("):
             continue
-        for _, b in tokens[i : i + MOST_TOKENS]:
+        digits, letters = 0, False
+        for c, b in tokens[i : i + MOST_TOKENS]:
+            digits, letters = digits + (b - c) * ("0" <= text[c] <= "9"), letters or text[c].isalpha()
+            if digits > MOST_DIGITS and not letters:
+                break  # no kind has so many
             if text[b - 1].isalnum() and b - a >= 7:
                 segments.append((a, b))
                 rows.append(_features(text, a, b))
@@ -135,6 +145,9 @@ def _features(text: str, a: int, b: int) -> list[float]:
     wider_left = bool(before) and (before[-1:].isalnum() or before[-1:] in "+" or (len(before) == 2 and before[0].isdigit() and before[1] in " .-()_/"))
     wider_right = bool(after) and (after[0].isalnum() or (len(after) == 2 and after[1].isdigit() and after[0] in " .-()_/"))
     context = text[max(0, a - 24) : a]
+    if mail:
+        wider_left = wider_left or bool(_MORE_BEFORE.search(context[-9:]))
+        wider_right = wider_right or bool(_MORE_AFTER.match(text, b))
     return [float(x) for x in (
         1, 16 <= n <= 19, 16 <= n <= 19 and luhn(digits) and not letters, 16 <= n <= 19 and not luhn(digits), n >= 20, 8 <= n <= 15, n < 8,
         four, dotted, four and not dotted, plus and not letters, plus and not letters and 8 <= n <= 15, letters, mail, mail and "@" not in s,
@@ -218,18 +231,36 @@ def fit(windows: list[tuple[str, list[Span]]], steps: int = 120, rate: float = 0
     return w
 
 
+def overlapping(spans: list[Span], places: list[tuple[int, int]]) -> Iterator[tuple[tuple[int, int], list[Span]]]:
+    """Each place, in order and apart from the others, with the spans that overlap it; one sweep over both."""
+    waiting, live = sorted(spans, key=lambda s: s[1], reverse=True), []
+    for a, b in places:
+        while waiting and waiting[-1][1] < b:
+            live.append(waiting.pop())
+        live = [s for s in live if s[2] > a]
+        yield (a, b), [s for s in live if s[1] < b]
+
+
+def gaps(a: int, b: int, inside: list[Span]) -> Iterator[tuple[int, int]]:
+    """What spans leave of a place."""
+    for _, s, e in sorted(inside, key=lambda s: s[1]):
+        if s > a:
+            yield a, s
+        a = max(a, e)
+    if a < b:
+        yield a, b
+
+
 def added_spans(text: str, w: np.ndarray, base: list[Span]) -> list[Span]:
-    """Segments that the model chooses beside the base spans."""
+    """Segments that the model chooses in what the base spans leave of the regions."""
     out: list[Span] = []
-    for a, b in regions(text):
-        inside = [(s, e) for _, s, e in base if s < b and e > a]
-        if any(s <= a and e >= b for s, e in inside):
-            continue
-        segments, x = candidates(text, a, b)
-        keep = [k for k, (s, e) in enumerate(segments) if not any(s < q and e > p for p, q in inside)]
-        if keep:
-            segments, scores = [segments[k] for k in keep], x[keep] @ w
-            out += [(KINDS[y], *segments[k]) for k, y in forward(segments, scores, best=True) if scores[k, y] > MARGIN]
+    for (a, b), inside in overlapping(base, regions(text)):
+        for start, end in gaps(a, b, inside):
+            if end - start >= 7:
+                segments, x = candidates(text, start, end)
+                if segments:
+                    scores = x @ w
+                    out += [(KINDS[y], *segments[k]) for k, y in forward(segments, scores, best=True) if scores[k, y] > MARGIN]
     return out
 
 
@@ -248,18 +279,20 @@ def disguised(kind: str, value: str, way: int) -> str:
 
 
 def training_windows(text: str, ordinal: int) -> list[tuple[str, list[Span]]]:
-    """Windows around a text's base spans, as they are and disguised, and around other digits."""
-    base, out = base_spans(text), []
-    for i, (kind, a, b) in enumerate(base[:8]):
-        left, right = text[max(0, a - 40) : a], text[b : b + 40]
-        if any(s < b + 40 and e > a - 40 and (s, e) != (a, b) for _, s, e in base):
-            continue
-        for value in (text[a:b], disguised(kind, text[a:b], ordinal + i)):
-            out.append((left + value + right, [(kind, len(left), len(left) + len(value))]))
-    for a, b in regions(text)[:4]:
-        if not any(s < b + 40 and e > a - 40 for _, s, e in base):
+    """Windows around all of a text's base spans that stand alone, as they are and disguised, and around its other digits."""
+    base, out = sorted(base_spans(text), key=lambda s: s[1]), []
+    ends = -40
+    for i, (kind, a, b) in enumerate(base):
+        alone = ends <= a - 40 and (i + 1 == len(base) or base[i + 1][1] >= b + 40)
+        ends = max(ends, b)
+        if alone:
+            left, right = text[max(0, a - 40) : a], text[b : b + 40]
+            for value in (text[a:b], disguised(kind, text[a:b], ordinal + i)):
+                out.append((left + value + right, [(kind, len(left), len(left) + len(value))]))
+    for (a, b), near in overlapping([(k, s - 40, e + 40) for k, s, e in base], regions(text)):
+        if not near:
             out.append((text[max(0, a - 40) : b + 40], []))
-    return out
+    return [w for w in out if len(w[0]) < WINDOW_CHARS]
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = WINDOWS) -> np.ndarray | None:
@@ -270,7 +303,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = WINDOWS)
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(hashlib.md5(repr((doc_id, k)).encode()).digest(), w, "".join(f"{kind}:{a}:{b}," for kind, a, b in spans)) for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch.column("text"))) for k, (w, spans) in enumerate(training_windows(text.decode(), doc_id or 0)) if len(w) < 400]
+            found = [(hashlib.md5(repr((doc_id, k)).encode()).digest(), w, "".join(f"{kind}:{a}:{b}," for kind, a, b in spans)) for doc_id, text in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch.column("text"))) for k, (w, spans) in enumerate(training_windows(text.decode(), doc_id or 0))]
             columns = list(zip(*found)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["key", "text", "spans"])
 
