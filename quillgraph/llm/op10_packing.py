@@ -14,6 +14,7 @@ no rows; extra columns are ignored. A piece must fit the capacities by itself, e
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -39,6 +40,19 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\s\x85\xa0a-zªµºß-öø-ſ0-9²³¹¼½¾]+", re.A)
 
 
+#: What the rules above stand for. A tokenizer with other parts is called on whole texts.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE writes a byte that is no printable Latin-1 character as the next letter from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,6 +67,9 @@ class ChunkCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        #: Whether the rules above are this tokenizer's; else whole texts go to it.
+        self.known = all(parts.get(k) == v for k, v in RULES.items())
         self.letters, self.old = _byte_letters(), {}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
@@ -96,6 +113,8 @@ def token_ids(text: bytes, path: str) -> bytes:
     cache = _caches.get(path)
     if cache is None:
         cache = _caches[path] = ChunkCache(path)
+    if not cache.known:
+        return np.array(cache.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
     return b"".join(map(cache.__getitem__, text.split()))
 
 
@@ -126,7 +145,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = 4096, en
 
 @dataclass(frozen=True)
 class Capacity:
-    """Of a sequence: tokens, documents, attention cost (sum of squared lengths); the weights of the choice; its rule."""
+    """Of a sequence: tokens, documents, attention cost (sum of squared lengths); the weights of the choice; its rule.
+
+    By default tokens alone can bind, as op10_best_fit_packing asks for as few sequences as it can: lengths that sum to 4096 are at most
+    4096 documents and cost at most 4096 squared. Smaller capacities bind together.
+    """
 
     tokens: int = 4096
     documents: int = 4096
@@ -171,9 +194,9 @@ def _pack(cap: Capacity, base: int, dissolve: float):
         table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         lengths = table["length"].to_numpy()
         bins, offsets = best_fit(lengths, cap)
-        fill = np.bincount(bins, lengths) / cap.tokens if len(bins) else np.zeros(0)
-        number = base + (table["__group"][0].as_py() << 32) + bins
-        out = table.drop_columns(["__group"]).append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        fill = np.max([np.bincount(bins, v) / most for v, most in ((lengths, cap.tokens), (np.ones(len(lengths)), cap.documents), (lengths.astype(float) ** 2, cap.attention))], axis=0) if len(bins) else np.zeros(0)
+        number = base + (table["group"][0].as_py() << 32) + bins
+        out = table.drop_columns(["group"]).append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
         return out.append_column("loose", pa.array(fill[bins] < dissolve, pa.bool_()))
 
     return pack
@@ -183,17 +206,24 @@ _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 
 def pack(parts: DataFrame, total_bytes: int, cap: Capacity = Capacity()) -> DataFrame:
-    """Adds sequence_id and offset to the pieces."""
+    """Adds sequence_id and offset to the pieces. They are written first, so that a row's number, which spreads rows that repeat over the groups, stays as it is."""
     groups = C.block_count(total_bytes, GROUP_BYTES, MIN_GROUPS)
-    dealt = parts.withColumn("__group", C.block_of(groups, "doc_id", "piece", "ids_crc32"))
-    first = C.materialize(dealt.groupBy("__group").applyInArrow(_pack(cap, 0, DISSOLVE), _PACKED), "packed")
+    deal = lambda df, n: df.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(n)).cast("int")).groupBy("group")
+    parts = C.materialize(parts, "pieces")
+    first = C.materialize(deal(parts, groups).applyInArrow(_pack(cap, 0, DISSOLVE), _PACKED), "packed")
+    C.discard(parts)
     loose = first.where("loose")
     again = max(1, -(-loose.count() // LEFTOVER_ROWS))
-    dealt = loose.drop("sequence_id", "offset", "loose").withColumn("__group", C.block_of(again, "doc_id", "piece", "ids_crc32"))
-    second = dealt.groupBy("__group").applyInArrow(_pack(cap, 1 << 62, 0.0), _PACKED)
+    second = deal(loose.drop("sequence_id", "offset", "loose"), again).applyInArrow(_pack(cap, 1 << 62, 0.0), _PACKED)
     return first.where(~F.col("loose")).unionByName(second).drop("loose")
 
 
+def fill(packed: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
+    """How full the sequences are: one row with sequences, and the mean share used of tokens, documents and attention cost."""
+    used = packed.groupBy("sequence_id").agg(F.sum("length").alias("t"), F.count("*").alias("d"), F.sum(F.col("length") * F.col("length")).alias("a"))
+    return used.agg(F.count("*").alias("sequences"), *[F.avg(F.col(c) / F.lit(most)).alias(name) for c, most, name in (("t", cap.tokens, "tokens"), ("d", cap.documents, "documents"), ("a", cap.attention, "attention"))])
+
+
 def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, cap: Capacity = Capacity(), end_id: int = 1) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(pieces(docs, tokenizer, cap.tokens, end_id), C.text_bytes(docs), cap)
