@@ -7,9 +7,9 @@ is the mixture over all depths with the weights that this gives; contexts withou
 estimate of their longest known suffix. The byte 0xFF, which UTF-8 never has, fills the context at the start and
 ends the text, so the probabilities of all texts sum to at most one.
 
-Counts cover every training text. They are gathered by (depth+1)-gram and by word; subtrees below three bytes of context are
-computed where their grams are, and only the top of the tree (contexts of at most two bytes: at most
-256 * 256 * 255 nodes, whatever the corpus) is seen by the driver. Texts are dealt to blocks; a block asks once for each word and gram it
+Counts cover every training text. They are gathered by (depth+1)-gram and by word; subtrees below two bytes of context are
+computed where their grams are, the two deepest levels some contexts at a time, and only the top of the tree (contexts of at most one byte: at most
+257 * 255 nodes, whatever the corpus) is seen by the driver. Texts are dealt to blocks; a block asks once for each word and gram it
 holds, so frequent ones cost a row a block, and no table that grows with the corpus is broadcast.
 
 Cases: null text counts as empty, which has the end alone; repeated rows are counted and scored each; a null id
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH, TOP = 4, 2
+DEPTH, MIDDLE, TOP = 4, 2, 1
 FOLDS = 10
 CHUNK = 8 << 20
+#: Grams in a partition of subtrees on average, and grams whose deepest levels are held together.
+PART_GRAMS, HELD_GRAMS = 500_000, 100_000
 END = b"\xff"
 WORD, GRAM = b"w", b"g"
 
@@ -162,14 +164,14 @@ def up(level: Level, depth: int) -> tuple[np.ndarray, ...]:
     return grouped(context << np.uint64(8) | node, level.zeros, level.ones, level.log_w)
 
 
-def deep_levels(codes: np.ndarray, n: np.ndarray) -> list[Level]:
-    """Levels TOP + 1 to DEPTH of the trees whose grams these are."""
+def deep_levels(codes: np.ndarray, n: np.ndarray, above: int = TOP) -> list[Level]:
+    """Levels above + 1 to DEPTH of the trees whose grams these are."""
     seen = n > 0
     keys, bit = _bits(codes[seen], DEPTH)
     weight = np.broadcast_to(n[seen].astype(float), keys.shape)
     k, zeros, ones = grouped(keys.ravel(), np.where(bit, 0, weight).ravel(), np.where(bit, weight, 0).ravel())
     levels = [level_of(k, zeros, ones, None)]
-    for depth in range(DEPTH - 1, TOP, -1):
+    for depth in range(DEPTH - 1, above, -1):
         levels.insert(0, level_of(*up(levels[0], depth)))
     return levels
 
@@ -198,6 +200,28 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return joined.cast(pa.binary())
 
 
+def below(levels: list[Level], first: int, codes: np.ndarray, q: np.ndarray | None = None) -> np.ndarray:
+    """Mixtures from level ``first`` down (8 rows), NaN where no context is known; q: those below these levels."""
+    p, left, last = mixed(levels, first, codes)
+    deeper = last if q is None else np.where(np.isnan(q), last, q)  # what is left goes to the longest known context
+    return np.where(np.isnan(deeper), np.nan, p + left * np.where(np.isnan(deeper), 0, deeper))
+
+
+def _context_chunks(codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """An order of grams by their last three bytes of context, newest first, and pieces of it of about HELD_GRAMS that cut no such context."""
+    context = codes >> np.uint64(8)
+    key = (context & np.uint64(0xFF)) << np.uint64(16) | context & np.uint64(0xFF00) | context >> np.uint64(16) & np.uint64(0xFF)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    cuts, pieces, start = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [], 0
+    for wish in range(HELD_GRAMS, len(codes), HELD_GRAMS):
+        k = np.searchsorted(cuts, max(wish, start + 1))
+        if wish > start and k < len(cuts):
+            pieces.append((start, int(cuts[k])))
+            start = int(cuts[k])
+    return order, [*pieces, (start, len(codes))]
+
+
 def _deep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Subtrees of this partition's contexts: grams with their deep mixture, and what the top of the tree needs of them."""
     held = [b for b in batches if b.num_rows]
@@ -206,15 +230,23 @@ def _deep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held).combine_chunks()
     _, codes = _codes(_whole(table["key"]))
     n = table["n"].to_numpy()
-    levels = deep_levels(codes, n)
-    p, left, last = mixed(levels, TOP + 1, codes)
-    q = p + left * np.where(np.isnan(last), 0, last)  # what is left goes to the longest known context
-    q[np.isnan(last)] = np.nan
-    packed = [r.tobytes() for r in np.ascontiguousarray(q.T)]
-    none = pa.nulls(len(codes), pa.float64())
-    yield from pa.table([pa.array(codes.astype(np.int64)), pa.array(packed, pa.binary()), none, none, none], ["code", "q", "zeros", "ones", "below"]).to_batches()
-    keys, zeros, ones, below = up(levels[0], TOP)
-    yield from pa.table([pa.array(keys.astype(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(zeros), pa.array(ones), pa.array(below)], ["code", "q", "zeros", "ones", "below"]).to_batches()
+    order, pieces = _context_chunks(codes)
+    codes, n = codes[order], n[order]
+    q, sums = np.empty((8, len(codes)), np.float32), []
+    for a, b in pieces:
+        levels = deep_levels(codes[a:b], n[a:b], MIDDLE)
+        q[:, a:b] = below(levels, MIDDLE + 1, codes[a:b])
+        sums.append(up(levels[0], MIDDLE))
+    middle = level_of(*grouped(*(np.concatenate(x) for x in zip(*sums))))
+    for a in range(0, len(codes), HELD_GRAMS):
+        part = codes[a : a + HELD_GRAMS]
+        packed = np.ascontiguousarray(below([middle], MIDDLE, part, q[:, a : a + HELD_GRAMS]).T)
+        offsets = np.arange(len(part) + 1, dtype=np.int32) * 64
+        packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
+        none = pa.nulls(len(part), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), packed, none, none, none], ["code", "q", "zeros", "ones", "below"])
+    keys, zeros, ones, sums = up(middle, TOP)
+    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.nulls(len(keys), pa.binary()), pa.array(zeros), pa.array(ones), pa.array(sums)], ["code", "q", "zeros", "ones", "below"])
 
 
 def top_levels(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[Level]:
@@ -236,11 +268,12 @@ def model(docs: DataFrame) -> tuple[DataFrame, int, int]:
     rows = docs.select("text", (C.held_in("doc_id", FOLDS) != 0).alias("training"))
     counts = C.materialize(rows.mapInArrow(_count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
     is_word = F.substring("key", 1, 1) == F.lit(WORD)
-    total, kinds = counts.where(is_word & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    known = is_word & (F.col("n") > 0)
+    total, kinds, n_grams = counts.agg(F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)), F.count(F.when(known, 1)), F.count(F.when(~is_word, 1))).first()
     grams = counts.where(~is_word)
-    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), n_grams // PART_GRAMS)
     deep = C.materialize(grams.repartition(parts, F.substring("key", DEPTH - TOP + 1, TOP + 1)).mapInArrow(_deep, "code long, q binary, zeros double, ones double, below double"), "lm-deep")
-    top = deep.where("q is null").groupBy("code").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow()  # at most 256 * 256 * 255 rows
+    top = deep.where("q is null").groupBy("code").agg(F.sum("zeros"), F.sum("ones"), F.sum("below")).toArrow()  # at most 256 * 255 rows
     order = np.argsort(top["code"].to_numpy())
     columns = [top.column(i).to_numpy()[order] for i in range(4)]
     levels = spark.sparkContext.broadcast(top_levels(columns[0].astype(np.uint64), *columns[1:]))
