@@ -154,7 +154,7 @@ def _bits(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def grouped(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     found, at = np.unique(keys, return_inverse=True)
-    return found, *(np.bincount(at, v, minlength=len(found)) for v in values)
+    return found, *(np.bincount(at, v, minlength=len(found)).astype(float) for v in values)
 
 
 def up(level: Level, depth: int) -> tuple[np.ndarray, ...]:
