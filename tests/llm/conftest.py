@@ -6,13 +6,21 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, h long, key string, owner long, rep long, n long, training boolean"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, block int, h long, key string, owner long, rep long, n long, training boolean,"
+    " __block int, __score double, __spans string, __id long, __items string, __n_words long, __positive string, digest long, node long, kept string"
+)
 
 
-def frame(spark, rows):
-    """documents with extra columns whose names clash with those that operators use inside."""
-    full = [(i, t, lang, "s", len(t or ""), 1, 2, "k", 3, 4, 5, True) for i, t, lang in rows]
-    return spark.createDataFrame(full, SCHEMA)
+@pytest.fixture(scope="session")
+def frame():
+    def made(spark, rows):
+        """documents with extra columns whose names clash with those that operators use inside."""
+        clash = (777, 2, "k", 3, 4, 5, True, 777, 0.5, "x", 6, "y", 7, "z", 8, 9, "w")
+        full = [(i, t, lang, "s", len(t or ""), *clash) for i, t, lang in rows]
+        return spark.createDataFrame(full, SCHEMA)
+
+    return made
 
 
 def words(n, seed):
@@ -37,10 +45,10 @@ def rows():
 
 
 @pytest.fixture()
-def docs(spark, rows):
+def docs(spark, rows, frame):
     return frame(spark, rows)
 
 
 @pytest.fixture()
-def empty(spark):
+def empty(spark, frame):
     return frame(spark, [])

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,23 +72,63 @@ def lines_by_force(rows):
 
 def test_line_dedup(spark, docs, rows, empty):
     out = op8.line_dedup(docs)
-    got = [(r["doc_id"], r["__n_lines"], r["__n_dropped"], r["__kept_sha256"]) for r in out.collect()]
+    names = op8.added_names(docs)
+    got = [(r["doc_id"], *(r[n] for n in names)) for r in out.collect()]
     assert key(got) == key(lines_by_force(rows))
-    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.columns[: len(docs.columns)] == docs.columns and {r["__block"] for r in out.collect()} == {r["__block"] for r in docs.collect()}
     assert op8.line_dedup(empty).count() == 0
 
 
-def test_line_table_is_reversible(spark, docs):
-    table = op8.LineTable(spark, 4).insert(docs)
-    before = {(bytes(r["key"]), r["refs"], r["owner"]) for r in table.repeats().collect()}
-    extra = spark.createDataFrame([(500, "This very common line stands in many documents.\nown line of twenty")], "doc_id long, text string")
-    table.insert(extra)
-    assert {(bytes(r["key"]), r["refs"], r["owner"]) for r in table.repeats().collect()} != before
-    table.delete(extra)
-    assert {(bytes(r["key"]), r["refs"], r["owner"]) for r in table.repeats().collect()} == before
-    table.delete(spark.createDataFrame([(20,), (21,)], "doc_id long"))
-    digest = op8.digest(b"this very common line stands in many documents.")
-    assert digest not in {bytes(r["key"]) for r in table.repeats().collect()}
+def repeats_by_force(rows):
+    holders = defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            k = low(x.strip(" \t\n\x0b\x0c\r"))
+            if len(k) >= 10:
+                holders[op8.digest(k.encode())].add(-(1 << 63) if i is None else i)
+    return {(k, len(v), min(v)) for k, v in holders.items() if len(v) > 1}
+
+
+def test_line_table_is_reversible(spark, docs, rows):
+    """After any insertions and deletions the repeats are those of the documents that are in, and changes add up to them."""
+    table, now, held = op8.LineTable(spark, 4), {i: t for i, t, _ in rows}, {}
+
+    def step(changes):
+        for r in changes.collect():
+            key = bytes(r["key"])
+            assert held.get(key, (None, None)) == (r["refs_before"], r["owner_before"])
+            held[key] = (r["refs"], r["owner"])
+        got = {(bytes(r["key"]), r["refs"], r["owner"]) for r in table.repeats().collect()}
+        assert got == repeats_by_force(now.items()) == {(k, *v) for k, v in held.items() if v[0]}
+        return got
+
+    before = step(table.insert(docs))
+    assert not table.insert(docs).count()  # the same again changes nothing
+    extra = {500: "This very common line stands in many documents.\nown line of twenty", 7: "own line of twenty\nshort"}
+    now |= extra
+    assert step(table.insert(spark.createDataFrame(list(extra.items()), "doc_id long, text string"))) != before
+    cleaned = {r["doc_id"]: r["text"] for r in table.clean(spark.createDataFrame([(20, now[20])], "doc_id long, text string")).collect()}
+    assert "own line" not in cleaned[20]
+    for gone in ([(500,), (7,)], [(20,), (21,)], [(i,) for i in now]):
+        for (i,) in gone:
+            now.pop(i, None)
+        left = step(table.delete(spark.createDataFrame(gone, "doc_id long")))
+        if gone[0] == (500,):
+            assert left == before
+    assert not left
+
+
+def test_untouched_shards_stay_in_their_files(spark):
+    table = op8.LineTable(spark, 64)
+    table.insert(spark.createDataFrame([(i, f"line number {i} of many\nanother line {i % 7} here") for i in range(200)], "doc_id long, text string"))
+    first, _ = table.state.versions[0]
+    table.insert(spark.createDataFrame([(900, "line number 3 of many")], "doc_id long, text string"))
+    assert table.state.versions[0][0] is first and len(table.state.versions[1][1]) == 1
+    for i in range(901, 912):
+        table.insert(spark.createDataFrame([(i, f"line number {i % 5} of many")], "doc_id long, text string"))
+    assert len(table.state.versions) <= op8.Sharded.MOST_VERSIONS
+    texts = [(i, f"line number {i} of many\nanother line {i % 7} here") for i in range(200)] + [(900, "line number 3 of many")] + [(i, f"line number {i % 5} of many") for i in range(901, 912)]
+    assert {(bytes(r["key"]), r["refs"], r["owner"]) for r in table.repeats().collect()} == repeats_by_force(texts)
 
 
 @settings(max_examples=30, deadline=None)
@@ -160,6 +201,70 @@ def test_jaccard_families(spark, monkeypatch, buckets, seed):
     assert key(tuple(x) for x in op6.jaccard_components(docs).collect()) == key(components_by_force(out))
 
 
+def family(n, share=0.03, length=200):
+    """Copies of one text with a share of its words changed at random: most pairs are just under the threshold."""
+    r = random.Random(n)
+    return [(i, " ".join(f"w{k}" if r.random() > share else f"v{r.randint(0, 10**9)}" for k in range(length)), "en") for i in range(n)]
+
+
+def test_pairs_of_a_family_around_the_threshold_are_not_listed(spark, monkeypatch):
+    """A family's candidates do not grow with the square of its size, and its components are those of brute force."""
+    sizes, whole = [], op6.candidates
+
+    def counted(*args):
+        out = whole(*args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(op6, "candidates", counted)
+    for n in (100, 400):
+        rows = family(n)
+        got = op6.jaccard_components(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+        assert key(tuple(x) for x in got.collect()) == key(components_by_force(rows))
+    assert sum(sizes[2:]) <= 400
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([2, 32]), st.sampled_from([1, 3, 12]), st.booleans())
+def test_lists_leave_every_linking_pair(seed, block, hot, far):
+    """Bounds, bitmaps, split lists and blocks never settle a pair that links: all pairs of linking sets of different components come out."""
+    import pyarrow as pa
+
+    r = random.Random(seed)
+    sets = []
+    for _ in range(3):
+        base = [r.getrandbits(63) for _ in range(r.choice([8, 60, 400]))]
+        for _ in range(12):
+            sets.append({x if r.random() > 0.12 else r.getrandbits(63) for x in base})
+    counts = defaultdict(int)
+    for s in sets:
+        for x in s:
+            counts[x] += 1
+    rows = []
+    for k, s in enumerate(sets):
+        tokens = np.array(sorted(s), np.uint64)
+        row = op6.described(k, tokens, np.array([counts[int(t)].bit_length() - 1 for t in tokens], np.uint8))
+        hub = k // 12 * 12 if far else k
+        if row[3] is not None:
+            rows.append((k, k, row[1], row[2], hub, len(s ^ sets[hub]), row[6], row[3], row[4]))
+    linking = {(a, b) for b in range(len(sets)) for a in range(b) if 7 * len(sets[a] & sets[b]) >= 3 * (len(sets[a]) + len(sets[b]))}
+    names = ("node", "comp", "n", "alone", "hub", "far", "map", "prefix", "kinds")
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names) if rows else None
+    old, op6.BLOCK, op6.HOT = (op6.BLOCK, op6.HOT), block, hot
+    try:
+        entries = pa.Table.from_batches(list(op6._entries(3)([batch]))) if rows else None
+        found = set()
+        for part in range(3 if rows else 0):
+            table = entries.filter(pa.compute.equal(entries["part"], part))
+            if table.num_rows:
+                out = op6._candidates(False)(table)
+                found |= set(zip(out["a"].to_pylist(), out["b"].to_pylist()))
+                assert out["bound"].to_pylist() == [3 * (len(sets[a]) + len(sets[b])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+    finally:
+        op6.BLOCK, op6.HOT = old
+    assert linking <= found
+
+
 def test_one_of_each_keeps_columns(spark, docs, rows):
     kept = op6.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -185,29 +290,26 @@ def hits_by_force(rows, bench, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [4 << 20, 60])
-def test_decontamination(spark, rows, empty, block):
-    from conftest import frame
-
+@pytest.mark.parametrize("block", [4 << 20, 600])
+def test_decontamination(spark, rows, empty, block, frame):
     extra = [(200, "Q1 q2 " + " ".join(f"Q{i}" for i in range(14)) + "; then a TINY, item!", "en"), (201, " ".join(f"q{i}" for i in range(20)) + " x " + " ".join(f"q{i}" for i in range(3, 13)), "en"), (202, "tiny tiny item item tiny item", "en")]
     few = [r for r in rows if r[0] != 30] + extra
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     docs = frame(spark, few)
     found = op9.find_benchmark(docs, bench, phrase_bytes=block)
-    got = [(r["doc_id"], r["__n_words"], sum(s["end"] - s["start"] for s in r["__spans"]), r["__items"]) for r in found.collect()]
+    n_words, spans, items = op9.added_names(docs)
+    got = [(r["doc_id"], r[n_words], sum(s["end"] - s["start"] for s in r[spans]), r[items]) for r in found.collect()]
     assert key(got) == key(hits_by_force(few, BENCH))
     assert {r["doc_id"] for r in op9.decontaminate(docs, bench).collect()} == {i for i, _, h, _ in hits_by_force(few, BENCH) if not h}
     cleaned = {r["doc_id"]: r["text"] for r in op9.remove_spans(docs, bench).collect()}
     assert cleaned[200] == "Q1 q2 ; then a !" and cleaned[10] == dict((i, t) for i, t, _ in few)[10]
     assert op9.find_benchmark(empty, bench).count() == 0
-    assert op9.find_benchmark(docs, bench.limit(0)).where("size(__spans) > 0").count() == 0
+    assert op9.find_benchmark(docs, bench.limit(0)).where(f"size({spans}) > 0").count() == 0
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.lists(st.integers(1, 3), min_size=1, max_size=4))
 def test_fm_index_finds_all(seq, phrase):
-    import numpy as np
-
     seq = [0, *seq, 0]
     index = op9.FMIndex(np.array(seq), 4)
     lo, hi = index.search(np.array([phrase + [0] * (4 - len(phrase))]), np.array([len(phrase)]))
@@ -245,10 +347,31 @@ def test_warc_round_trip(spark, tmp_path):
             *_, at = op2.read_record(data, at)
 
 
+def test_record_ids_are_unique_and_revisits_refer_to_one(spark):
+    """Rows that repeat a page_id, a payload or all of it, null ids included."""
+    pages = [(i % 3 if i % 4 else None, f"http://x/{i % 2}", f"<p>{i % 5 % 3}</p>") for i in range(60)] + [(7, "u", "same")] * 12
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    heads = []
+    for row in op2.write_bundles(df).collect():
+        reader = op2.BundleReader(bytes(row["data"]))
+        for x in row["index"]:
+            head, _, _, _ = reader.record(x["frame"], x["offset"])
+            assert head["WARC-Record-ID"] == f"<{x['record_id']}>"
+            heads.append(head)
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(pages)
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert revisits
+    for h in revisits:
+        top = by_id[h["WARC-Refers-To"]]
+        assert top["WARC-Type"] == "response" and top["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and top["X-Page-ID"] == h["X-Refers-To-Page-ID"]
+
+
 def test_frames_are_independent():
     bundle = op2.Bundle()
     for i in range(60):
-        bundle.add(f"r{i}", i, op2.write_record(i, "u", bytes([65 + i % 26]) * 20_000, None, f"r{i}"))
+        bundle.add(f"r{i}", i, op2.write_record(i, "u", bytes([65 + i % 26]) * 20_000, None, f"r{i}", "D"))
     data, index = bundle.close()
     reader = op2.BundleReader(data)
     assert len(reader.table) > 3
