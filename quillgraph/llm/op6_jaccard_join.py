@@ -46,8 +46,8 @@ BLOCK, TOGETHER = 32, 1 << 18
 BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1024, 1 << 16, 32 << 20
 #: Tokens of more than 2 ** HOT sets have their lists split.
 HOT = 12
-#: Bytes of lists in a part, and of sets in a block of comparisons.
-PART_BYTES, COMPARE_BYTES = 2 << 20, 8 << 20
+#: Parts of the lists at least (more than most sets have listed tokens, so that rows grow as the input does), bytes of lists in a part, and of sets in a block of comparisons.
+PARTS, PART_BYTES, COMPARE_BYTES = 1024, 2 << 20, 8 << 20
 #: Bits of the parity maps, and the largest set for each but the last.
 MAP_BITS, MAP_SIZES = (512, 2048, 8192), (256, 1024)
 _NO_ID = -(1 << 63)
@@ -428,8 +428,7 @@ def _candidates(best: bool):
 
 def candidates(listed: DataFrame, labels: DataFrame, best: bool, total: int) -> DataFrame:
     """Pairs of sets in different components that the index leaves open. labels: node, comp."""
-    spark = listed.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // PART_BYTES)
+    parts = max(PARTS, 2 * total // PART_BYTES)
     rows = listed.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     entries = rows.select("node", "comp", "n", "alone", "hub", "far", "map", "prefix", "kinds").mapInArrow(_entries(parts), _ENTRY)
     found = entries.groupBy("part").applyInArrow(_candidates(best), "a long, b long, bound long")
