@@ -141,7 +141,7 @@ def build_index(docs: DataFrame, total_bytes: int) -> DataFrame:
     """The index as a table of bucket entries in the shared folder: owner, bucket (prefix, local_depth), hash, place in the chain, answer."""
     bits = max(5, (total_bytes // OWNER_BYTES).bit_length())
     reps = docs.mapInArrow(_representatives, "h long, body binary, top long, n long").withColumn("owner", F.shiftrightunsigned("h", 64 - bits).cast("int"))
-    owned = reps.repartition(1 << bits, "owner").sortWithinPartitions("owner")
+    owned = C.dealt(reps, 1 << bits, "owner").sortWithinPartitions("owner")
     return C.materialize(owned.mapInArrow(_own(bits), _INDEX), "hash-index")
 
 

@@ -206,7 +206,7 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, int, str]:
     """Documents dealt to blocks, how many, and the name of the column. Rows of one id and different texts may lie apart: a key
     that they alone hold may then count as a repeat, but its owner is that id, so nothing is dropped."""
     n, name = C.block_count(C.text_bytes(docs)), C.free_name(docs, "block")
-    return docs.withColumn(name, C.block_of(n, "doc_id", "text")).repartition(n, name), n, name
+    return C.dealt(docs.withColumn(name, C.block_of(n, "doc_id", "text")), n, name), n, name
 
 
 def added_names(docs: DataFrame) -> list[str]:
@@ -214,18 +214,19 @@ def added_names(docs: DataFrame) -> list[str]:
     return [C.free_name(docs, x) for x in ("__n_lines", "__n_dropped", "__kept_sha256")]
 
 
-def _rebuilt(docs: DataFrame, blocks: DataFrame, block: str, repeats: DataFrame) -> DataFrame:
+def _rebuilt(docs: DataFrame, blocks: DataFrame, n: int, block: str, repeats: DataFrame) -> DataFrame:
     added = added_names(docs)
     schema = f"{C.schema_of(docs)}, `{added[0]}` long, `{added[1]}` long, `{added[2]}` string"
-    return blocks.groupBy(block).cogroup(repeats.groupBy("block")).applyInArrow(_rebuild(docs.columns, added), schema)
+    return blocks.groupBy(block).cogroup(C.dealt(repeats, n).groupBy("block")).applyInArrow(_rebuild(docs.columns, added), schema)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents with text rebuilt, all columns, and those of added_names."""
     blocks, n, block = _blocks(docs)
     keys = blocks.select("doc_id", "text", block).groupBy(block).applyInArrow(_keys(block, False), _KEYS)
-    repeats = keys.withColumn("shard", _shard_of(n)).groupBy("shard").applyInArrow(_shard, "block int, key binary, owner long")
-    return _rebuilt(docs, blocks, block, repeats)
+    shards = C.dealt(keys.withColumn("shard", _shard_of(n)), n, "shard")
+    repeats = shards.groupBy("shard").applyInArrow(_shard, "block int, key binary, owner long")
+    return _rebuilt(docs, blocks, n, block, repeats)
 
 
 # ---- later insertions and deletions --------------------------------------------------------------------
@@ -365,9 +366,9 @@ class LineTable:
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """Documents rebuilt by the present repeats, as line_dedup returns them."""
-        blocks, _, block = _blocks(docs)
+        blocks, n, block = _blocks(docs)
         asked = blocks.select("doc_id", "text", block).groupBy(block).applyInArrow(_keys(block, False), _KEYS)
-        return _rebuilt(docs, blocks, block, asked.select("block", "key").join(self.repeats(), "key").select("block", "key", "owner"))
+        return _rebuilt(docs, blocks, n, block, asked.select("block", "key").join(self.repeats(), "key").select("block", "key", "owner"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
