@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -199,14 +199,14 @@ def _draw(bits: int):
     return run
 
 
-def described_sets(blocks: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
-    """SETS of all nodes (rep, block, digest, node)."""
+def described_sets(docs: DataFrame, nodes: DataFrame, n: int, total: int) -> DataFrame:
+    """SETS of all nodes (rep, block, digest, node); documents and nodes have the same n blocks."""
     bits = (min(MOST_BUCKETS, max(BUCKETS, total // BUCKET_BYTES)) - 1).bit_length()
-    by_block = lambda df: df.groupBy("block")
-    offers = by_block(blocks).cogroup(by_block(nodes)).applyInArrow(_offer(bits), "block int, bucket int, tokens binary, n binary")
+    by_block = lambda df: C.dealt(df, n).groupBy("block")
+    offers = by_block(docs).cogroup(by_block(nodes)).applyInArrow(_offer(bits), "block int, bucket int, tokens binary, n binary")
     shared = C.materialize(offers.groupBy("bucket").applyInArrow(_classes, "block int, bucket int, tokens binary, kinds binary"), "jaccard-shared")
     side = shared.unionByName(nodes, allowMissingColumns=True)
-    out = C.materialize(by_block(blocks).cogroup(by_block(side)).applyInArrow(_draw(bits), SETS), "jaccard-sets")
+    out = C.materialize(by_block(docs).cogroup(by_block(side)).applyInArrow(_draw(bits), SETS), "jaccard-sets")
     C.discard(shared)
     return out
 
@@ -248,9 +248,9 @@ def _compare(apart: bool):
     return run
 
 
-def compared(sets: DataFrame, pairs: DataFrame, block: Column, anchors: DataFrame | None, name: str) -> DataFrame:
-    """a, b, o, linked (and rem, add where no anchors are given) of pairs (a, b, bound). A block asks once for each set and delta that it needs, so a hub costs a row a block."""
-    dealt = C.materialize(pairs.select(block.alias("block"), "a", "b", "bound"), f"{name}-dealt")
+def compared(sets: DataFrame, pairs: DataFrame, blocks: int, keys: tuple[str, ...], anchors: DataFrame | None, name: str) -> DataFrame:
+    """a, b, o, linked (and rem, add where no anchors are given) of pairs (a, b, bound), dealt to blocks by keys. A block asks once for each set and delta that it needs, so a hub costs a row a block."""
+    dealt = C.materialize(pairs.select(C.block_of(blocks, *keys).alias("block"), "a", "b", "bound"), f"{name}-dealt")
     wants = dealt.select("block", "a").union(dealt.select("block", "b")).distinct()
     rows = dealt
     if anchors is not None:
@@ -261,7 +261,7 @@ def compared(sets: DataFrame, pairs: DataFrame, block: Column, anchors: DataFram
     else:
         rows = rows.select("*", F.lit(None).cast("binary").alias("rem"), F.lit(None).cast("binary").alias("add"))
     rows = rows.unionByName(wants.join(sets.select(F.col("node").alias("a"), "shared"), "a"), allowMissingColumns=True)
-    out = C.materialize(rows.groupBy("block").applyInArrow(_compare(anchors is None), "a long, b long, o long, linked boolean, rem binary, add binary"), name)
+    out = C.materialize(C.dealt(rows, blocks).groupBy("block").applyInArrow(_compare(anchors is None), "a long, b long, o long, linked boolean, rem binary, add binary"), name)
     C.discard(dealt)
     return out
 
@@ -446,7 +446,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     words = C.materialize(keyed.mapInArrow(_digests, "doc_id long, block int, digest binary"), "jaccard-words")
     first = words.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "block")).alias("first"))
     nodes = C.materialize(first.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.block").alias("block"), F.monotonically_increasing_id().alias("node")), "jaccard-nodes")
-    sets = described_sets(keyed.repartition(n, "block"), nodes, total)
+    sets = described_sets(keyed, nodes, n, total)
     may = sets.where("prefix is not null")
     listed_bytes, shared_bytes = may.agg(F.coalesce(F.sum(F.octet_length("prefix") + F.octet_length("map")), F.lit(0)), F.coalesce(F.sum(F.octet_length("shared")), F.lit(0))).first()
     blocks = C.block_count(shared_bytes, COMPARE_BYTES)
@@ -456,7 +456,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hubs = bands.groupBy("band", "value").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "node", "n", "alone")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("band", "value", "hub")
     tried = bands.join(hubs, ["band", "value"]).where("node <> hub.node and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n) and 7 * (alone + hub.alone) <= n + hub.n")
     tried = tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), (3 * (F.col("n") + F.col("hub.n"))).alias("bound")).distinct()
-    stars = compared(may, tried, C.block_of(blocks, "a"), None, "jaccard-stars")
+    stars = compared(may, tried, blocks, ("a",), None, "jaccard-stars")
     labels = components(stars.where("linked"))
     anchors = stars.where("linked").groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("hub"), "rem", "add"), F.struct("o", "b")).alias("best")).select("a", "best.*")
     anchors = C.materialize(anchors, "jaccard-anchors")
@@ -472,7 +472,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for best in (True, False):
         pairs = candidates(listed, labels, best, int(listed_bytes)).join(done, ["a", "b"], "left_anti")
-        found = compared(may, pairs, C.block_of(blocks, "a", "b"), anchors, "jaccard-compared")
+        found = compared(may, pairs, blocks, ("a", "b"), anchors, "jaccard-compared")
         links, done = links.union(found.where("linked").select("a", "b")), done.union(found.select("a", "b"))
         labels = components(links)
     comp = nodes.join(labels, "node", "left").select("node", "digest", "rep", F.coalesce("comp", "node").alias("comp"))
