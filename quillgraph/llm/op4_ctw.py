@@ -240,8 +240,8 @@ def _deep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     middle = level_of(*grouped(*(np.concatenate(x) for x in zip(*sums))))
     for a in range(0, len(codes), HELD_GRAMS):
         part = codes[a : a + HELD_GRAMS]
-        packed = np.ascontiguousarray(below([middle], MIDDLE, part, q[:, a : a + HELD_GRAMS]).T)
-        offsets = np.arange(len(part) + 1, dtype=np.int32) * 64
+        packed = np.ascontiguousarray(below([middle], MIDDLE, part, q[:, a : a + HELD_GRAMS]).T, np.float32)
+        offsets = np.arange(len(part) + 1, dtype=np.int32) * 32
         packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
         none = pa.nulls(len(part), pa.float64())
         yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), packed, none, none, none], ["code", "q", "zeros", "ones", "below"])
@@ -263,7 +263,7 @@ def finished(levels: list[Level], codes: np.ndarray, q: np.ndarray) -> np.ndarra
 
 
 def model(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """A value for every word (log10 of its share) and gram (log10 of its symbol's probability) of the corpus; N and V."""
+    """A value for every word (log10 of its share, with the other sign if no training text has it) and gram (log10 of its symbol's probability, to seven digits) of the corpus; N and V."""
     spark = docs.sparkSession
     rows = docs.select("text", (C.held_in("doc_id", FOLDS) != 0).alias("training"))
     counts = C.materialize(rows.mapInArrow(_count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
@@ -281,12 +281,12 @@ def model(docs: DataFrame) -> tuple[DataFrame, int, int]:
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("code").to_numpy().astype(np.uint64)
-            q = np.frombuffer(b"".join(batch.column("q").to_pylist()), float).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([_gram_keys(codes), pa.array(finished(levels.value, codes, q))], ["key", "value"])
+            q = np.frombuffer(b"".join(batch.column("q").to_pylist()), np.float32).reshape(-1, 8).astype(float)
+            yield pa.RecordBatch.from_arrays([_gram_keys(codes), pa.array(finished(levels.value, codes, q).astype(np.float32).astype(float))], ["key", "value"])
 
-    of_grams = deep.where("q is not null").select("code", "q").mapInArrow(finish, "key binary, value double").withColumn("seen", F.lit(True))
+    of_grams = deep.where("q is not null").select("code", "q").mapInArrow(finish, "key binary, value double")
     share = F.log10((F.col("n") + 0.1) / F.lit(total + 0.1 * (kinds + 1)))
-    of_words = counts.where(is_word).select("key", share.alias("value"), (F.col("n") > 0).alias("seen"))
+    of_words = counts.where(is_word).select("key", F.when(F.col("n") > 0, share).otherwise(F.greatest(-share, F.lit(1e-300))).alias("value"))
     values = C.materialize(of_words.unionByName(of_grams), "lm-values")
     for done in (counts, deep):  # a value a gram is left of a count and eight mixtures
         C.discard(done)
@@ -307,19 +307,38 @@ def _ask(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.full(len(keys), block, np.int32)), keys], ["block", "key"])
 
 
+class Values:
+    """Values of distinct grams by a table of hashes; grams whose slot another has taken are found by bisection."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], values[order]
+        self.shift = np.uint64(64 - max(8, (8 * len(codes)).bit_length()))
+        self.slots = np.zeros(1 << 64 - int(self.shift), np.int32)
+        self.slots[self._slot(self.codes)] = np.arange(len(codes), dtype=np.int32)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return codes * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(codes)]
+        other = np.flatnonzero(self.codes[at] != codes)
+        at[other] = np.searchsorted(self.codes, codes[other])
+        return self.values[at]
+
+
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    keys, values, seen = _whole(answers["key"]), answers["value"].to_numpy(), answers["seen"].to_numpy()
+    keys, values = _whole(answers["key"]), answers["value"].to_numpy()
     gram, codes = _codes(keys)
-    order = np.argsort(codes)
-    codes, log_p = codes[order], values[gram][order]
+    log_p = Values(codes, values[gram])
     found = [k[1:] for k in keys.filter(pa.array(~gram)).to_pylist()]
-    words = dict(zip(found, values[~gram].tolist()))
-    unseen = {w for w, s in zip(found, seen[~gram]) if not s}
+    words = dict(zip(found, (-np.abs(values[~gram])).tolist()))
+    unseen = {w for w, s in zip(found, values[~gram] > 0) if s}
     out = []
     for part in C.gathered(docs.to_batches(), CHUNK // 2):
         texts = [t.lower() for t in C.texts_of(part["text"])]
         g, lengths = gram_codes(texts)
-        scores = np.add.reduceat(log_p[np.searchsorted(codes, g)], np.cumsum(lengths) - lengths)
+        scores = np.add.reduceat(log_p[g], np.cumsum(lengths) - lengths)
         bits = -scores * math.log2(10) / lengths
         for doc_id, held_out, text, score, per_byte in zip(part["doc_id"].to_pylist(), part["held_out"].to_pylist(), texts, scores, bits):
             tokens = [*text.split(), b""]
@@ -335,10 +354,11 @@ def score(docs: DataFrame) -> DataFrame:
     values, total, _ = model(docs)
     n = C.block_count(C.text_bytes(docs))
     held_out: Column = C.held_in("doc_id", FOLDS) == 0
-    blocks = docs.select("doc_id", "text", held_out.alias("held_out"), C.block_of(n, "doc_id").alias("block")).repartition(n, "block")
+    blocks = docs.select("doc_id", "text", held_out.alias("held_out"), C.block_of(n, "doc_id", "text").alias("block"))
+    blocks = C.dealt(blocks, n)
     asked = blocks.select("text", "block").groupBy("block").applyInArrow(_ask, "block int, key binary")
-    answers = asked.join(values, "key").select("block", "key", "value", "seen")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    answers = asked.join(values, "key").select("block", "key", "value")
+    scored = blocks.groupBy("block").cogroup(C.dealt(answers, n).groupBy("block")).applyInArrow(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
