@@ -1,19 +1,22 @@
 """Text semantics that every operator depends on, as Column expressions (JVM side).
 
 Normalisation is lower case, compatibility decomposition, then everything but letters, numbers, white space and hyphens becomes
-a space; so an accent becomes a space of its own (``été`` -> ``e te``). Latin letters are decomposed by
-expressions built from the Unicode tables; ``normalize_udf`` covers all scripts with an Arrow UDF.
+a space; so an accent becomes a space of its own (``été`` -> ``e te``). The decomposition is built from the Unicode tables: characters
+that become one letter are translated, with a space behind those that lose a mark; the few that become several, and Hangul syllables, are
+mapped one by one, in rows that have them.
+
+Null texts stay null; empty ones stay empty.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
+from functools import cache
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Words that carry no content.
 STOPWORDS = """a about above across after again against all almost also am among an and any are around as at be because been
@@ -38,18 +41,78 @@ def latin_decompositions() -> dict[str, str]:
     return groups
 
 
-def normalize(c: Column) -> Column:
-    """Normalised text of a column whose letters are Latin."""
-    low = F.lower(c)
-    low = reduce(lambda x, g: F.regexp_replace(x, f"[{g[1]}]", g[0]), latin_decompositions().items(), low)
-    return F.trim(F.regexp_replace(F.regexp_replace(low, rf"[^\p{{L}}\p{{N}} \t\n\r\f\x0B-]", " "), f"{_BLANK}+", " "))
+class Decomposition(NamedTuple):
+    """Of lower-case characters: those that become one letter, the letters, those of them that lose a mark, and what others become."""
+
+    letters: str
+    bases: str
+    marked: str
+    others: dict[str, str]
+
+
+@cache
+def decomposition(first: int, last: int, gap: str) -> Decomposition:
+    """For a range of code points, Hangul syllables left out. ``gap`` is what marks and signs become."""
+    letters, bases, marked, others = [], [], [], {}
+    for c in map(chr, range(first, last)):
+        if 0xD800 <= ord(c) <= 0xDFFF or 0xAC00 <= ord(c) <= 0xD7A3 or c.lower() != c:
+            continue
+        parts = unicodedata.normalize("NFKD", c)
+        to = re.sub(" +", " ", "".join(x if unicodedata.category(x)[0] in "LN" or x in "-_ " else gap for x in parts))
+        if parts == c or gap and to.strip("-_ ") == "":
+            continue
+        if len(to.rstrip() or to) == 1 and (not gap or to[0] != " "):
+            letters.append(c)
+            bases.append(to[0])
+            if to[1:]:
+                marked.append(c)
+        else:
+            others[c] = to
+    return Decomposition("".join(letters), "".join(bases), "".join(marked), others)
+
+
+def _ranges(chars: str) -> str:
+    """A character class of sorted characters, by ranges."""
+    out, codes = [], sorted(map(ord, chars))
+    for i, code in enumerate(codes):
+        if i and code == codes[i - 1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out)
+
+
+def _hangul(c: Column) -> Column:
+    """The two or three letters of a Hangul syllable, by the rule of its code."""
+    s = F.ascii(c) - 0xAC00
+    of = lambda start, n, i: F.get(F.array(*[F.lit(chr(start + k)) for k in range(n)]), i.cast("int"))
+    last = F.when(s % 28 > 0, of(0x11A8, 27, s % 28 - 1)).otherwise("")
+    return F.concat(of(0x1100, 19, F.floor(s / 588)), of(0x1161, 21, F.floor(s % 588 / 28)), last)
+
+
+def _decomposed(low: Column, first: int, last: int, gap: str = " ") -> Column:
+    """One range of code points; ``gap`` is what a mark becomes. The classes begin with the range, so that other characters are passed over at the first test."""
+    d, inside = decomposition(first, last, gap), rf"\x{{{first:x}}}-\x{{{last - 1:x}}}"
+    syllables = r"\x{ac00}-\x{d7a3}" if first <= 0xAC00 < last else ""
+    many = rf"[{inside}&&[{_ranges(''.join(d.others))}{syllables}]]"
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{to}" for c, to in d.others.items())), F.lit("\x01"), F.lit("\x02"))
+    is_syllable = lambda c: c.between(F.lit("\uac00"), F.lit("\ud7a3"))
+    spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.when(is_syllable(c), _hangul(c)).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
+    low = F.when(low.rlike(many), spelt).otherwise(low)
+    spaced = F.regexp_replace(low, rf"([{inside}&&[{_ranges(d.marked)}]])", f"$1{gap}") if gap else low
+    return F.when(low.rlike(f"[{inside}]"), F.translate(spaced, d.letters, d.bases)).otherwise(low)
+
+
+def _plain_letters(c: Column, gap: str) -> Column:
+    """Lower case, decomposed. Rows without letters beyond Latin skip the larger table, and rows of ASCII both."""
+    low = _decomposed(F.lower(c), 0xA0, 0x250, gap)
+    return F.when(low.rlike(r"[^\x00-\x{24f}]"), _decomposed(low, 0x250, 0x110000, gap)).otherwise(low)
 
 
-@F.pandas_udf(StringType())
-def normalize_udf(s: pd.Series) -> pd.Series:
-    """Normalised text in any script."""
-    s = s.str.lower().map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
-    return s.str.replace(r"[^\w\s-]|_", " ", regex=True).str.replace(r"\s+", " ", regex=True).str.strip()
+def normalize(c: Column) -> Column:
+    """Normalised text, in any script."""
+    low = _plain_letters(c, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N} \t\n\r\f\x0B-]", " "), f"{_BLANK}+", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -83,8 +146,8 @@ def content_sha256(c: Column) -> Column:
 
 
 def slugify(c: Column) -> Column:
-    """Word characters of the lower-case text, joined by hyphens; ``item`` if none is left."""
-    plain = F.regexp_replace(F.lower(c), r"[^A-Za-z0-9_ \t\n\r\f\x0B-]", "")
+    """ASCII word characters of the decomposed lower-case text, joined by hyphens; ``item`` if none is left."""
+    plain = F.regexp_replace(_plain_letters(c, ""), r"[^A-Za-z0-9_ \t\n\r\f\x0B-]", "")
     joined = F.regexp_replace(F.trim(plain), rf"[- \t\n\r\f\x0B]+", "-")
     return F.coalesce(F.nullif(F.regexp_replace(joined, "^-+|-+$", ""), F.lit("")), F.lit("item"))
 

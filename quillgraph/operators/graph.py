@@ -70,10 +70,19 @@ def context(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     return out.unionByName(into).join(known, "id", "left").select("direction", "relation", "id", F.coalesce("name", "id").alias("name"), F.coalesce("node_type", F.lit("Unknown")).alias("node_type"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
-    """id and depth of what is reached from ``seeds.id`` within so many steps (8 at most); direction out, in or both."""
+def _steps(edges: DataFrame, direction: str) -> DataFrame:
+    """a, b: every step from a to b in this direction."""
     out, into = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    steps = {"out": out, "in": into, "both": out.unionByName(into)}[direction]
+    return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+    """id and depth of what is reached from ``seeds.id`` within so many steps (8 at most); direction out, in or both.
+
+    The edges are written once, so that a step reads two columns and does not build them again; the frontier is the small side of each
+    join, and where it is not, skewed hubs are split by the adaptive plan. Unknown seeds are reached at depth 0; null ids match nothing.
+    """
+    steps = cut(_steps(edges, direction), "edges")
     frontier = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     seen = frontier
     for k in range(1, min(depth, 8) + 1):
@@ -88,19 +97,26 @@ def impact_risk(n: Column) -> Column:
     return F.when(n >= 18, "CRITICAL").when(n >= 10, "HIGH").when(n >= 5, "MEDIUM").otherwise("LOW")
 
 
-def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
-    """All simple paths of at most ``depth`` hops from ``sources.id`` to ``targets.id``: path (array), hops, score 1 / hops."""
-    steps = edges.select(F.col("src").alias("end"), F.col("dst").alias("next"))
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth: int, most: int | None = None, between: DataFrame | None = None) -> DataFrame:
+    """Simple paths of at most ``depth`` hops from ``sources.id`` to ``targets.id``: path (array), hops, score 1 / hops.
+
+    most: so many paths in all, fewest hops first, then by path (3 by default in a trace, 25 at most; None for all). between: ids that
+    paths may pass through. A path grows to targets alone in its last hop, so the widest frontier is never joined with all edges.
+    """
+    steps = cut(edges.select(F.col("src").alias("end"), F.col("dst").alias("next")), "edges")
     goal = targets.select(F.col("id").alias("end"))
     open_ = sources.select(F.array("id").alias("path"), F.col("id").alias("end"))
     found = None
     for hop in range(1, depth + 1):
-        grown = open_.join(steps, "end").where(~F.array_contains("path", F.col("next")))
+        last = steps if hop < depth else steps.join(goal.select(F.col("end").alias("next")), "next", "left_semi")
+        grown = open_.join(last, "end").where(~F.array_contains("path", F.col("next")))
         open_ = grown.select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("end"))
         done = open_.join(goal, "end", "left_semi").select("path", F.lit(hop).alias("hops"), F.lit(1.0 / hop).alias("score"))
         found = done if found is None else found.unionByName(done)
         open_ = open_.join(goal, "end", "left_anti")
-    return found
+        if between is not None:
+            open_ = open_.join(between.select(F.col("id").alias("end")), "end", "left_semi")
+    return found if most is None else found.orderBy("hops", "path").limit(min(most, 25))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:

@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.runtime import cut
+
 K1, B, RRF_K = 1.2, 0.75, 60  #: Fixed values.
 COLUMNS = 256  #: Queries whose scores a task holds at once.
 
@@ -30,17 +32,18 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, tokens: str, k: int) -> DataFrame:
     """Best k documents of each query: query, doc, score, rank (ties by doc). Query tokens count once.
 
-    Documents are cut down to the queries' tokens before they are counted, so the shuffle carries postings of these alone.
+    The documents' tokens are written once, as both the collection's statistics and the postings need them; the postings are cut down to
+    the queries' tokens before they are counted. No documents or queries give no rows.
     """
-    size = docs.select(doc, F.size(tokens).alias("len"))
-    n, mean = size.agg(F.count("*"), F.avg("len")).first()
+    docs = cut(docs.select(F.col(doc), F.col(tokens)), "tokens")
+    n, mean = docs.agg(F.count("*"), F.avg(F.size(tokens))).first()
     wanted = queries.select(query, F.explode(F.array_distinct(tokens)).alias("token"))
-    posting = docs.select(doc, F.explode(tokens).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-    counts = posting.groupBy(doc, "token").agg(F.count("*").alias("tf"))
+    posting = docs.select(doc, F.size(tokens).alias("len"), F.explode(tokens).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    counts = cut(posting.groupBy(doc, "len", "token").agg(F.count("*").alias("tf")), "postings")
     df = document_frequency(counts)
     idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-    weighted = counts.join(df, "token").join(size, doc).select(doc, "token", gain.alias("gain"))
+    weighted = counts.join(df, "token").select(doc, "token", gain.alias("gain"))
     scored = wanted.join(weighted, "token").groupBy(query, doc).agg(F.sum("gain").alias("score"))
     return top_k(scored, query, "score", doc, k)
 
@@ -52,6 +55,17 @@ def top_k(scored: DataFrame, query: str, score: str, tie: str, k: int) -> DataFr
     return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def total_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows that come before in an order: rows are dealt by ranges, and only a total a range is put in line."""
+    part = "range_of_order"
+    parts = cut(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    totals = parts.groupBy(part).agg(F.sum(value).alias("range_total"))  # as many rows as there are partitions
+    offset = F.coalesce(F.sum("range_total").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = parts.withColumn(name, inside).join(totals.select(part, offset.alias("range_offset")), part)
+    return joined.withColumn(name, F.col(name) + F.col("range_offset")).drop(part, "range_offset")
+
+
 def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and score of the k best rows of each column by (score rounded to 6 decimals, row), so rows stand in order of id."""
     scores = np.trunc(scores * 1e6 + np.copysign(0.5, scores)) / 1e6
@@ -88,6 +102,9 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, doc: str, query: str, ve
         kinds = dict(vectors.dtypes) | dict(queries.dtypes)
         scored = vectors.select(doc, vector).mapInPandas(best, f"{query} {kinds[query]}, {doc} {kinds[doc]}, score double")
         found = scored if found is None else found.unionByName(scored)
+    if found is None:  # no queries, no rows
+        kinds = dict(vectors.dtypes) | dict(queries.dtypes)
+        found = vectors.sparkSession.createDataFrame([], f"{query} {kinds[query]}, {doc} {kinds[doc]}, score double")
     return top_k(found.where(F.col(query) != F.col(doc)), query, "score", doc, k)
 
 

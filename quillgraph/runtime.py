@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests) a temporary folder."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder if all runs in one process, else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may have ended before; the folder then stays
+            return
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the shared folder and read again, so that a loop's plan stays short and lost executors cost one step."""
+    """Write to the shared folder and read again, so that a loop's plan stays short and lost executors cost one step. Removed when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean)
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
