@@ -46,7 +46,8 @@ def _candidates_sql(limit: int, scan: int) -> str:
     return f"""
 c0 AS (SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY rarest, doc) AS INTEGER) AS place FROM r QUALIFY place <= {scan}),
 c1 AS (SELECT query, max(place) AS k FROM c0 GROUP BY query HAVING max(place) < {limit}),
-c2 AS (SELECT query, k, doc FROM c1, (SELECT doc FROM d ORDER BY doc LIMIT {2 * limit}) ANTI JOIN c0 USING (query, doc)),
+h AS (SELECT c1.query, k, d.doc FROM c1 CROSS JOIN (SELECT doc FROM d ORDER BY doc LIMIT {2 * limit}) d),
+c2 AS (SELECT h.* FROM h ANTI JOIN c0 ON c0.query = h.query AND c0.doc = h.doc),
 c3 AS (SELECT query, doc, CAST(k + row_number() OVER (PARTITION BY query ORDER BY doc) AS INTEGER) AS place FROM c2 QUALIFY place <= {limit}),
 c AS (SELECT * FROM c0 UNION ALL SELECT * FROM c3)
 """
@@ -62,13 +63,13 @@ def scan_limited_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MIX = _LEXICAL + _candidates_sql(10, L.SCAN_LIMIT) + f""",
-g AS (SELECT query, doc, sum(CASE WHEN tf_t > 0 THEN m ELSE 0 END) AS in_t, sum(CASE WHEN tf_a > 0 THEN m ELSE 0 END) AS in_a, sum(m) AS in_c, count(*) FILTER (tf_t > 0) AS both,
+g AS (SELECT query, doc, sum(CASE WHEN tf_t > 0 THEN m ELSE 0 END) AS in_t, sum(CASE WHEN tf_a > 0 THEN m ELSE 0 END) AS in_a, sum(m) AS in_c, count(*) FILTER (tf_t > 0) AS shared,
   sum(CASE WHEN tf_t > 0 THEN ln(1 + (n - df_t + 0.5) / (df_t + 0.5)) * tf_t * 2.2 / (tf_t + 1.2 * (0.25 + 0.75 * n_t / lt)) ELSE 0 END) AS bm_t,
   sum(CASE WHEN tf_a > 0 THEN ln(1 + (n - df_a + 0.5) / (df_a + 0.5)) * tf_a * 2.2 / (tf_a + 1.2 * (0.25 + 0.75 * n_a / la)) ELSE 0 END) AS bm_a,
   sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf_t + tf_a) * 2.2 / (tf_t + tf_a + 1.2 * (0.25 + 0.75 * (n_t + n_a) / (lt + la)))) AS bm_c
   FROM m JOIN z USING (doc), n GROUP BY query, doc),
 qq AS (SELECT DISTINCT query, qid, facet, cq, nq, uq FROM w),
-s AS (SELECT query, doc, round(2.5 * coalesce(in_t, 0) / nq + 1.25 * coalesce(in_a, 0) / nq + 1.5 * coalesce(in_c, 0) / nq + CASE WHEN u_t > 0 THEN coalesce(both, 0) / CAST(uq + u_t - coalesce(both, 0) AS DOUBLE) ELSE 0 END
+s AS (SELECT query, doc, round(2.5 * coalesce(in_t, 0) / nq + 1.25 * coalesce(in_a, 0) / nq + 1.5 * coalesce(in_c, 0) / nq + CASE WHEN u_t > 0 THEN coalesce(shared, 0) / CAST(uq + u_t - coalesce(shared, 0) AS DOUBLE) ELSE 0 END
   + 2.25 * coalesce(bm_t, 0) + 1.5 * coalesce(bm_a, 0) + coalesce(bm_c, 0) + CASE WHEN cq = ct THEN 2.5 ELSE 0 END + CASE WHEN ct <> '' AND contains(ct, cq) THEN 1.5 ELSE 0 END
   + {_FACET} + CASE WHEN pid = qid THEN 2.5 ELSE 0 END, 6) AS score
   FROM c JOIN qq USING (query) JOIN z USING (doc) LEFT JOIN g USING (query, doc))
