@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 from typing import NamedTuple
 
@@ -59,7 +60,7 @@ def decomposition(first: int, last: int, gap: str) -> Decomposition:
             continue
         parts = unicodedata.normalize("NFKD", c)
         to = re.sub(" +", " ", "".join(x if unicodedata.category(x)[0] in "LN" or x in "-_ " else gap for x in parts))
-        if parts == c or gap and to.strip("-_ ") == "":
+        if parts == c or gap and to.strip("_ ") == "" and unicodedata.category(c)[0] not in "LN":
             continue
         if len(to.rstrip() or to) == 1 and (not gap or to[0] != " "):
             letters.append(c)
@@ -90,6 +91,11 @@ def _hangul(c: Column) -> Column:
     return F.concat(of(0x1100, 19, F.floor(s / 588)), of(0x1161, 21, F.floor(s % 588 / 28)), last)
 
 
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c evaluated once: what uses it several times stays a small expression, however deep."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def _decomposed(low: Column, first: int, last: int, gap: str = " ") -> Column:
     """One range of code points; ``gap`` is what a mark becomes. The classes begin with the range, so that other characters are passed over at the first test."""
     d, inside = decomposition(first, last, gap), rf"\x{{{first:x}}}-\x{{{last - 1:x}}}"
@@ -98,15 +104,16 @@ def _decomposed(low: Column, first: int, last: int, gap: str = " ") -> Column:
     table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{to}" for c, to in d.others.items())), F.lit("\x01"), F.lit("\x02"))
     is_syllable = lambda c: c.between(F.lit("\uac00"), F.lit("\ud7a3"))
     spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.when(is_syllable(c), _hangul(c)).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
-    low = F.when(low.rlike(many), spelt).otherwise(low)
-    spaced = F.regexp_replace(low, rf"([{inside}&&[{_ranges(d.marked)}]])", f"$1{gap}") if gap else low
-    return F.when(low.rlike(f"[{inside}]"), F.translate(spaced, d.letters, d.bases)).otherwise(low)
+    spaced = lambda x: F.regexp_replace(x, rf"([{inside}&&[{_ranges(d.marked)}]])", f"$1{gap}") if gap else x
+    plain = lambda x: F.when(x.rlike(f"[{inside}]"), F.translate(spaced(x), d.letters, d.bases)).otherwise(x)
+    return _let(F.when(low.rlike(many), spelt).otherwise(low), plain)
 
 
 def _plain_letters(c: Column, gap: str) -> Column:
     """Lower case, decomposed. Rows without letters beyond Latin skip the larger table, and rows of ASCII both."""
-    low = _decomposed(F.lower(c), 0xA0, 0x250, gap)
-    return F.when(low.rlike(r"[^\x00-\x{24f}]"), _decomposed(low, 0x250, 0x110000, gap)).otherwise(low)
+    latin = lambda x: F.when(x.rlike(r"[^\x00-\x7f]"), _decomposed(x, 0xA0, 0x250, gap)).otherwise(x)
+    wider = lambda x: F.when(x.rlike(r"[^\x00-\x{24f}]"), _decomposed(x, 0x250, 0x110000, gap)).otherwise(x)
+    return _let(_let(F.lower(c), latin), wider)
 
 
 def normalize(c: Column) -> Column:
