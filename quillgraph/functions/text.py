@@ -116,6 +116,11 @@ def _plain_letters(c: Column, gap: str) -> Column:
     return _let(_let(F.lower(c), latin), wider)
 
 
+def folded(c: Column) -> Column:
+    """Lower case, decomposed, marks removed."""
+    return _plain_letters(c, "")
+
+
 def normalize(c: Column) -> Column:
     """Normalised text, in any script."""
     low = _plain_letters(c, " ")

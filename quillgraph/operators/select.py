@@ -118,40 +118,24 @@ def dpp(candidates: list[dict], k: int, tokens: str, key: str = "id", utility: s
     return chosen
 
 
-#: Pairs of candidates up to which abilities are computed on the driver.
-LOCAL_PAIRS = 200_000
-
-
 def bradley_terry(decisions: DataFrame, rounds: int = 30, prior: float = 0.5) -> DataFrame:
     """id, ability (mean 1) and score in [.25, .75] from decisions(winner, loser, tie, weight), by minorise-maximise steps.
 
-    Decisions are first added up by pair. Up to ``LOCAL_PAIRS`` pairs (counted before they are fetched) the steps run in numpy; beyond that
-    each step is a join of the pair weights with the abilities and an aggregation by candidate, with a lineage cut.
+    Decisions are first added up by pair; each step joins the pair weights with the abilities and adds up by candidate, with a lineage cut.
     """
     from quillgraph.runtime import cut
 
-    spark = decisions.sparkSession
     d = decisions.select("winner", "loser", "tie", "weight")
     part = lambda c, won: d.select(F.col(c).alias("id"), F.when(F.col("tie"), F.col("weight") / 2).otherwise(won).alias("won"))
     wins = cut(part("winner", F.col("weight")).unionByName(part("loser", F.lit(0.0))).groupBy("id").agg(F.sum("won").alias("won")), "bt-wins")
-    pairs = cut(d.select(F.least("winner", "loser").alias("x"), F.greatest("winner", "loser").alias("y"), "weight").groupBy("x", "y").agg(F.sum("weight").alias("w")), "bt-pairs")
-    if pairs.count() <= LOCAL_PAIRS:
-        w, p = wins.orderBy("id").toPandas(), pairs.orderBy("x", "y").toPandas()
-        place = {k: i for i, k in enumerate(w["id"])}
-        x, y, weight, won = p["x"].map(place).to_numpy(), p["y"].map(place).to_numpy(), p["w"].to_numpy(), w["won"].to_numpy()
-        a = np.ones(len(w))
-        for _ in range(rounds):
-            share = weight / (a[x] + a[y])
-            a = (prior + won) / (prior + np.bincount(x, share, len(w)) + np.bincount(y, share, len(w)))
-            a /= a.mean()
-        ability = spark.createDataFrame([(k, float(v)) for k, v in zip(w["id"].tolist(), a)], f"id {dict(wins.dtypes)['id']}, a double")
-    else:
-        both = cut(pairs.select(F.col("x").alias("id"), F.col("y").alias("other"), "w").unionByName(pairs.select(F.col("y").alias("id"), F.col("x").alias("other"), "w")), "bt-both")
-        ability = wins.select("id", F.lit(1.0).alias("a"))
-        for _ in range(rounds):
-            terms = both.join(ability, "id").join(ability.select(F.col("id").alias("other"), F.col("a").alias("ao")), "other").groupBy("id").agg(F.sum(F.col("w") / (F.col("a") + F.col("ao"))).alias("s"))
-            fresh = cut(wins.join(terms, "id").select("id", ((prior + F.col("won")) / (prior + F.col("s"))).alias("a")), "bt-step")
-            ability = fresh.withColumn("a", F.col("a") / F.lit(fresh.agg(F.avg("a")).first()[0]))
+    pairs = d.select(F.least("winner", "loser").alias("x"), F.greatest("winner", "loser").alias("y"), "weight").groupBy("x", "y").agg(F.sum("weight").alias("w"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("other")), F.struct(F.col("y").alias("id"), F.col("x").alias("other")))).alias("p"), "w").select("p.id", "p.other", "w")
+    both = cut(both, "bt-pairs")
+    ability = wins.select("id", F.lit(1.0).alias("a"))
+    for _ in range(rounds):
+        terms = both.join(ability, "id").join(ability.select(F.col("id").alias("other"), F.col("a").alias("ao")), "other").groupBy("id").agg(F.sum(F.col("w") / (F.col("a") + F.col("ao"))).alias("s"))
+        fresh = cut(wins.join(terms, "id").select("id", ((prior + F.col("won")) / (prior + F.col("s"))).alias("a")), "bt-step")
+        ability = fresh.withColumn("a", F.col("a") / F.lit(fresh.agg(F.avg("a")).first()[0]))
     low, high = ability.agg(F.min("a"), F.max("a")).first()
     score = F.lit(0.5) if low is None or high <= low else 0.25 + 0.5 * (F.col("a") - F.lit(low)) / F.lit(high - low)
     return ability.select("id", F.round("a", 4).alias("ability"), F.round(score, 3).alias("score"))

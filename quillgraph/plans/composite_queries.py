@@ -22,39 +22,30 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("method_lineage", """
-WITH RECURSIVE e AS (SELECT l_partkey % 60 AS src, l_suppkey % 60 AS dst, round(max(l_discount) * 5 + 0.4 + min(l_quantity) / 500, 6) AS confidence FROM lineitem WHERE l_partkey % 60 <> l_suppkey % 60 GROUP BY ALL),
+WITH RECURSIVE x AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_discount, l_quantity FROM lineitem),
+e AS (SELECT src, dst, round(max(l_discount) * 5 + 0.4 + min(l_quantity) / 500, 6) AS confidence FROM x WHERE src <> dst GROUP BY ALL),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS rn FROM e) WHERE rn <= 3),
 p AS (SELECT [CAST(7 AS BIGINT)] AS path, CAST(7 AS BIGINT) AS last, 0 AS hops, CAST(0 AS DOUBLE) AS total UNION ALL SELECT list_append(path, s.dst), s.dst, hops + 1, total + confidence FROM p JOIN s ON s.src = p.last WHERE hops < 3 AND NOT list_contains(path, s.dst))
 SELECT array_to_string(path, '>') AS path, hops, round(total / hops, 6) AS score FROM p WHERE hops > 0 ORDER BY round(total / hops, 6) DESC, hops DESC, p.path LIMIT 5
 """)
 def method_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best five lineages of one method, three branches a step; the caps are the operator's definition."""
-    line = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 60).alias("src"), (F.col("l_suppkey") % 60).alias("dst"), "l_discount", "l_quantity").where("src <> dst")
+    """Best five lineages of one method, three branches a step; the caps are the operator's definition. A method leads to the next one of an order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), "l_discount", "l_quantity").where("src <> dst")
     e = line.groupBy("src", "dst").agg(F.round(F.max("l_discount") * 5 + 0.4 + F.min("l_quantity") / 500, 6).alias("confidence"))
     out = Y.lineages(e, F.lit(7).cast("long"))
     return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops", "score")
 
 
-@query("candidate_scores", """
-SELECT o_orderkey AS id, round(greatest(0.4, (o_orderkey % 10) / 10.0 + least(0.5, 0.5 * (o_orderkey % 4) / 3.0)) + least(0.3, 0.08 * (o_custkey % 5)) + least(0.3, log10(1 + o_totalprice / 1000) / 20) + CASE WHEN year(o_orderdate) >= 1999 THEN 0.12 ELSE 0 END + CASE WHEN o_orderstatus = 'O' THEN 0.12 ELSE 0 END + least(0.25, 0.12 * (o_orderkey % 3)), 6) AS score FROM orders
-""")
-def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discovery score: text or retrieval, providers, citations, recency against a given year, open access, venue (O151)."""
-    k = F.col("o_orderkey")
-    text = F.greatest(F.lit(0.4), k % 10 / 10.0 + F.least(F.lit(0.5), 0.5 * (k % 4) / 3.0))
-    score = text + F.least(F.lit(0.3), 0.08 * (F.col("o_custkey") % 5)) + F.least(F.lit(0.3), F.log10(1 + F.col("o_totalprice") / 1000) / 20) + F.when(F.year("o_orderdate") >= 1999, 0.12).otherwise(0.0) + F.when(F.col("o_orderstatus") == "O", 0.12).otherwise(0.0) + F.least(F.lit(0.25), 0.12 * (k % 3))
-    return table(spark, sf_dir, "orders").select(k.alias("id"), F.round(score, 6).alias("score"))
-
-
 @query("method_adaptation", """
-WITH need AS (SELECT s_nationkey AS problem, list_sort(list_distinct(list(s_suppkey % 12))) AS terms FROM supplier GROUP BY s_nationkey), have AS (SELECT p_brand AS method, list_distinct(list(p_size % 12)) AS terms FROM part WHERE p_partkey % 20 = 0 GROUP BY p_brand)
+WITH need AS (SELECT s_nationkey AS problem, list_sort(list_distinct(list(s_suppkey % 12))) AS terms FROM supplier GROUP BY s_nationkey), have AS (SELECT p_brand AS method, list_distinct(list(p_size % 12)) AS terms FROM part GROUP BY p_brand)
 SELECT problem, method, round(len(list_intersect(n.terms, h.terms)) / CAST(len(n.terms) AS DOUBLE), 6) AS fit, CASE WHEN len(list_intersect(n.terms, h.terms)) = len(n.terms) THEN 'hypothesis' ELSE 'needs_evidence' END AS status
 FROM need n, have h WHERE len(list_intersect(n.terms, h.terms)) > 0
 """)
 def method_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a problem's terms that a method meets, found by an equi-join on terms (O153)."""
     need = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("problem"), (F.col("s_suppkey") % 12).cast("int").alias("term")).distinct()
-    have = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_brand").alias("method"), (F.col("p_size") % 12).alias("term")).distinct()
+    have = table(spark, sf_dir, "part").select(F.col("p_brand").alias("method"), (F.col("p_size") % 12).alias("term")).distinct()
     met = need.join(have, "term").groupBy("problem", "method").agg(F.count("*").alias("met"))
     total = need.groupBy("problem").agg(F.count("*").alias("terms"))
     return met.join(total, "problem").select("problem", "method", F.round(F.col("met") / F.col("terms"), 6).alias("fit"), F.when(F.col("met") == F.col("terms"), "hypothesis").otherwise("needs_evidence").alias("status"))
@@ -76,19 +67,6 @@ def composition_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two).unionByName(full).withColumn("risk", F.when(F.col("hits") >= 1000, "high").when(F.col("hits") >= 1, "medium").otherwise("low"))
 
 
-@query("gap_patterns", """
-WITH g AS (SELECT s_suppkey AS gap, s_nationkey % 4 AS kind, s_suppkey % 6 AS hits FROM supplier), p AS (SELECT unnest(range(0, 8)) AS pattern),
-s AS (SELECT gap, pattern, round(CASE WHEN kind = pattern % 4 THEN 0.15 ELSE 0 END + CASE WHEN gap % 8 = pattern THEN 0.45 ELSE 0 END + least(0.4, 0.14 * ((hits + pattern) % 4)), 6) AS score FROM g, p)
-SELECT gap, pattern, score, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY gap ORDER BY score DESC, pattern) AS rn FROM s WHERE score >= 0.25) WHERE rn <= 2
-""")
-def gap_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two best innovation patterns of each gap from a fixed list of eight (O231, O233)."""
-    g = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gap"), (F.col("s_nationkey") % 4).alias("kind"), (F.col("s_suppkey") % 6).alias("hits"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("pattern"))
-    score = F.when(F.col("kind") == F.col("pattern") % 4, 0.15).otherwise(0.0) + F.when(F.col("gap") % 8 == F.col("pattern"), 0.45).otherwise(0.0) + F.least(F.lit(0.4), 0.14 * ((F.col("hits") + F.col("pattern")) % 4))
-    w = Window.partitionBy("gap").orderBy(F.desc("score"), "pattern")
-    return g.withColumn("score", F.round(score, 6)).where("score >= 0.25").withColumn("place", F.row_number().over(w)).where("place <= 2").select("gap", "pattern", "score", "place")
-
-
 @query("node_decisions", """
 WITH d AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'drop' WHEN 1 THEN 'rename' ELSE 'keep' END AS verdict FROM part)
 SELECT d.verdict, count(DISTINCT l_partkey) AS nodes, count(*) AS edges, min(CASE WHEN d.verdict = 'rename' THEN upper(p_name) ELSE p_name END) AS first_name FROM lineitem JOIN d ON d.p_partkey = l_partkey JOIN part p ON p.p_partkey = l_partkey WHERE d.verdict <> 'drop' GROUP BY d.verdict
@@ -99,16 +77,3 @@ def node_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(k == 0, "drop").when(k == 1, "rename").otherwise("keep")
     kept = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), verdict.alias("verdict"), F.when(k == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("name")).where("verdict <> 'drop'")
     return table(spark, sf_dir, "lineitem").select("l_partkey").join(kept, "l_partkey").groupBy("verdict").agg(F.countDistinct("l_partkey").alias("nodes"), F.count("*").alias("edges"), F.min("name").alias("first_name"))
-
-
-@query("semantic_admission", """
-WITH r AS (SELECT l_orderkey AS paper, l_linenumber AS item, l_returnflag AS type, least(0.99, greatest(0, l_discount * 6 + 0.3 + CASE WHEN l_tax > 0.04 THEN 0.1 ELSE 0 END - CASE WHEN l_quantity < 5 THEN 0.2 ELSE 0 END)) AS score FROM lineitem), a AS (SELECT *, row_number() OVER (PARTITION BY paper, type ORDER BY round(score, 6) DESC, item) AS rn FROM r WHERE round(score, 6) >= 0.68)
-SELECT type, CASE WHEN round(score, 6) >= 0.86 THEN 'high' WHEN round(score, 6) >= 0.72 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n FROM a WHERE rn <= 3 GROUP BY ALL
-""")
-def semantic_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission score, tier and at most three records a paper and type, as the operator defines (O59, O178)."""
-    score = F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.0), F.col("l_discount") * 6 + 0.3 + F.when(F.col("l_tax") > 0.04, 0.1).otherwise(0.0) - F.when(F.col("l_quantity") < 5, 0.2).otherwise(0.0))), 6)
-    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("type"), score.alias("score")).where("score >= 0.68")
-    w = Window.partitionBy("l_orderkey", "type").orderBy(F.desc("score"), "l_linenumber")
-    kept = r.withColumn("rn", F.row_number().over(w)).where("rn <= 3")
-    return kept.groupBy("type", F.when(F.col("score") >= 0.86, "high").when(F.col("score") >= 0.72, "medium").otherwise("low").alias("tier")).agg(F.count("*").alias("n"))

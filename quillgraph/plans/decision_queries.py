@@ -15,7 +15,7 @@ from quillgraph.runtime import table
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as candidates: utility by balance, domains and mechanisms by what they supply."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), ((F.col("s_acctbal") + 1000) / 11000).alias("utility"), F.array(F.col("s_nationkey").cast("string")).alias("domains"))
-    made = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
+    made = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
     sets = made.groupBy(F.col("l_suppkey").cast("string").alias("id")).agg(F.array_sort(F.collect_set("p_type")).alias("mechanisms"), F.array_sort(F.collect_set("p_brand")).alias("aspects"))
     return s.join(sets, "id")
 
@@ -26,13 +26,13 @@ def _frame(spark: SparkSession, chosen: list[dict]) -> DataFrame:
 
 @query("select_mmr")
 def select_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maximal marginal relevance of five candidates (O138, O141, O214)."""
+    """Maximal marginal relevance of five candidates (O138, O141)."""
     return _frame(spark, L.mmr(_candidates(spark, sf_dir), 5, ["domains", "mechanisms", "aspects"]))
 
 
 @query("select_submodular")
 def select_submodular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy coverage selection of five candidates (O139, O213)."""
+    """Greedy coverage selection of five candidates (O139)."""
     return _frame(spark, L.submodular(_candidates(spark, sf_dir), 5, ["domains", "mechanisms"], {"domains": 0.35, "mechanisms": 0.4, "aspects": 0.25}))
 
 
@@ -90,18 +90,6 @@ def posterior_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).join(top, "grp")
 
 
-@query("candidate_utility", """
-WITH c AS (SELECT p_partkey AS id, (p_partkey % 11) / 10.0 AS evidence, (p_partkey % 7) / 6.0 AS mechanism, (p_size % 10) / 9.0 AS feasibility, (p_partkey % 13) / 12.0 AS novelty, (p_partkey % 3) / 2.0 AS preference, (p_partkey % 5) / 4.0 AS readiness, (p_size % 4) / 3.0 AS risk FROM part)
-SELECT id, round(least(1, greatest(0, 0.28 * evidence + 0.24 * mechanism + 0.18 * feasibility + 0.14 * novelty + 0.1 * preference + 0.12 * readiness - 0.16 * risk + 0.07)), 4) AS utility, evidence < 0.2 AS needs_evidence FROM c
-""")
-def candidate_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted utility in [0, 1] with a flag for missing evidence (O146, O148, O149, O150, O212)."""
-    k, s = F.col("p_partkey"), F.col("p_size")
-    c = table(spark, sf_dir, "part").select(k.alias("id"), (k % 11 / 10.0).alias("evidence"), (k % 7 / 6.0).alias("mechanism"), (s % 10 / 9.0).alias("feasibility"), (k % 13 / 12.0).alias("novelty"), (k % 3 / 2.0).alias("preference"), (k % 5 / 4.0).alias("readiness"), (s % 4 / 3.0).alias("risk"))
-    u = sum((w * F.col(n) for n, w in (("evidence", 0.28), ("mechanism", 0.24), ("feasibility", 0.18), ("novelty", 0.14), ("preference", 0.1), ("readiness", 0.12), ("risk", -0.16))), F.lit(0.0)) + 0.07
-    return c.select("id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), u)), 4).alias("utility"), (F.col("evidence") < 0.2).alias("needs_evidence"))
-
-
 @query("offline_bandit", """
 WITH p AS (SELECT l_suppkey % 25 AS arm, (l_quantity - 1) / 49 AS reward FROM lineitem), n AS (SELECT count(*) AS n FROM p)
 SELECT arm, count(*) AS pulls, CAST(sum(CASE WHEN reward >= 0.55 THEN 1 ELSE 0 END) AS BIGINT) AS successes, round(avg(reward), 6) AS mean, round(avg(reward) + sqrt(2 * ln(any_value(n)) / count(*)), 6) AS ucb,
@@ -156,7 +144,7 @@ def import_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("coverage_matrix", """
-WITH a AS (SELECT r_regionkey AS area, r_name FROM region), k AS (SELECT DISTINCT c_mktsegment AS kind FROM customer), n AS (SELECT n_regionkey AS area, c_mktsegment AS kind, count(*) FILTER (c_acctbal > 9000) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+WITH a AS (SELECT r_regionkey AS area, r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)), k AS (SELECT DISTINCT c_mktsegment AS kind FROM customer), n AS (SELECT n_regionkey AS area, c_mktsegment AS kind, count(*) FILTER (c_acctbal > 9000) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
 SELECT a.r_name AS area, k.kind, coalesce(n.n, 0) AS n, CASE WHEN coalesce(n.n, 0) >= 3 THEN 'strong' WHEN coalesce(n.n, 0) >= 1 THEN 'partial' ELSE 'none' END AS coverage FROM a CROSS JOIN k LEFT JOIN n USING (area, kind)
 """)
 def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,27 +152,12 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("kind"), (F.col("c_acctbal") > 9000).cast("int").alias("hit"))
     places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("area"))
     n = c.groupBy("c_nationkey", "kind").agg(F.sum("hit").alias("n")).join(places, "c_nationkey").groupBy("area", "kind").agg(F.sum("n").alias("n"))
-    kinds = [r["kind"] for r in c.select("kind").distinct().orderBy("kind").limit(1000).collect()]
-    grid = table(spark, sf_dir, "region").select(F.col("r_name").alias("area"), F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    every = lambda df: df.distinct().withColumn("all", F.lit(1))
+    grid = every(places.select("area")).join(every(c.select("kind")), "all").drop("all")  # the matrix is every area by every kind
     full = grid.join(n, ["area", "kind"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.select("area", "kind", "n", F.when(F.col("n") >= 3, "strong").when(F.col("n") >= 1, "partial").otherwise("none").alias("coverage"))
 
 
-@query("novelty_certificate", """
-WITH c AS (SELECT o_custkey AS claim_set, o_orderkey, o_totalprice / 600000 AS novelty, CASE WHEN o_orderpriority LIKE '1%' THEN 1 WHEN o_orderpriority LIKE '2%' THEN 0.75 WHEN o_orderpriority LIKE '3%' THEN 0.35 ELSE 0 END AS tier, o_orderstatus <> 'P' AS grounded, year(o_orderdate) > 2000 AS future FROM orders)
-SELECT claim_set, round(avg(novelty) + 1e-9, 4) AS novelty, round(avg(tier) + 1e-9, 4) AS feasibility, round(avg(CASE WHEN grounded THEN 1.0 ELSE 0 END) + 1e-9, 4) AS grounding, CAST(CASE WHEN bool_or(future) THEN 0 ELSE 1 END AS INTEGER) AS temporal_validity, count(*) FILTER (NOT grounded) AS unsupported FROM c GROUP BY claim_set
-""")
-def novelty_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Axes of a certificate over claims (O191, O192, O194)."""
-    p = F.col("o_orderpriority")
-    tier = F.when(p.startswith("1"), 1.0).when(p.startswith("2"), 0.75).when(p.startswith("3"), 0.35).otherwise(0.0)
-    c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("claim_set"), (F.col("o_totalprice") / 600000).alias("novelty"), tier.alias("tier"), (F.col("o_orderstatus") != "P").alias("grounded"), (F.year("o_orderdate") > 2000).alias("future"))
-    return c.groupBy("claim_set").agg(
-        F.round(F.avg("novelty") + 1e-9, 4).alias("novelty"), F.round(F.avg("tier") + 1e-9, 4).alias("feasibility"), F.round(F.avg(F.when(F.col("grounded"), 1.0).otherwise(0.0)) + 1e-9, 4).alias("grounding"),
-        F.when(F.bool_or("future"), 0).otherwise(1).alias("temporal_validity"), F.count_if(~F.col("grounded")).alias("unsupported"),
-    )
-
-
 @query("storyline", """
 SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM conversations
 """)
@@ -195,12 +168,12 @@ def storyline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("chain_status", """
-WITH p AS (SELECT DISTINCT l_partkey AS metric FROM lineitem WHERE l_linenumber = 1), o AS (SELECT p_partkey AS metric, p_size FROM part WHERE p_size > 10)
+WITH p AS (SELECT DISTINCT l_partkey AS metric FROM lineitem), o AS (SELECT p_partkey AS metric, p_size FROM part WHERE p_size > 10)
 SELECT p.metric, CASE WHEN o.metric IS NULL THEN 'not_measured' WHEN o.p_size > 40 THEN 'unassessable' ELSE 'observed' END AS status FROM p LEFT JOIN o USING (metric)
 """)
 def chain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions by whether they were observed (O200, O201, O202)."""
-    p = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("metric")).distinct()
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("metric")).distinct()
     o = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("metric"), "p_size")
     return p.join(o, "metric", "left").select("metric", F.when(F.col("p_size").isNull(), "not_measured").when(F.col("p_size") > 40, "unassessable").otherwise("observed").alias("status"))
 
@@ -216,12 +189,12 @@ def judge_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("assumption_groups", """
-WITH a AS (SELECT DISTINCT lower(p_type) AS assumption, l_orderkey AS paper, p_brand AS method FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 2)
+WITH a AS (SELECT DISTINCT lower(p_type) AS assumption, l_orderkey AS paper, p_brand AS method FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT assumption, count(DISTINCT paper) AS papers, count(DISTINCT method) AS methods, CASE WHEN count(DISTINCT method) >= 3 THEN 'high' WHEN count(DISTINCT method) >= 2 OR count(DISTINCT paper) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM a GROUP BY assumption
 """)
 def assumption_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assumptions by papers and methods that share them (O227, O230, O231)."""
-    a = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
+    a = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
     m, p = F.countDistinct("p_brand"), F.countDistinct("l_orderkey")
     g = a.groupBy(F.lower("p_type").alias("assumption")).agg(p.alias("papers"), m.alias("methods"))
     return g.withColumn("confidence", F.when(F.col("methods") >= 3, "high").when((F.col("methods") >= 2) | (F.col("papers") >= 3), "medium").otherwise("low"))

@@ -235,18 +235,6 @@ def node_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("exact"), "priority", "name", "id"))).select("id", "type", "exact", "place")
 
 
-@query("edge_conflicts", """
-WITH e AS (SELECT DISTINCT l_partkey % 40 AS a, l_suppkey % 40 AS b FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40 AND l_quantity > 47)
-SELECT e.a, e.b, r.a IS NOT NULL AS demoted FROM e LEFT JOIN e r ON r.a = e.b AND r.b = e.a
-""")
-def edge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strong edges in both directions demote each other."""
-    line = table(spark, sf_dir, "lineitem").where("l_partkey % 40 <> l_suppkey % 40 and l_quantity > 47")
-    e = line.select((F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b")).distinct()
-    back = e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("demoted"))
-    return e.join(back, ["a", "b"], "left").select("a", "b", F.coalesce("demoted", F.lit(False)).alias("demoted"))
-
-
 @query("relation_rules", S.GRAPH + """
 , r(source_type, type, target_type) AS (VALUES ('Paper', 'USES', 'Method'), ('Paper', 'ADDRESSES', 'Problem'), ('Problem', 'BELONGS_TO_DOMAIN', 'Domain'))
 SELECT s.type AS source_type, e.type AS relation, t.type AS target_type, r.type IS NOT NULL AS allowed, count(*) AS n FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes t ON t.id = e.dst
@@ -311,14 +299,14 @@ def transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("link_prediction", """
-WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 200 AS m FROM lineitem WHERE l_quantity > 40), d AS (SELECT s, count(*) AS deg FROM e GROUP BY s),
+WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS m FROM lineitem), d AS (SELECT s, count(*) AS deg FROM e GROUP BY s),
 c AS (SELECT x.s AS a, y.s AS b, count(*) AS common FROM e x JOIN e y ON x.m = y.m AND x.s < y.s GROUP BY ALL),
 r AS (SELECT a, b, common, round(0.28 + 0.35 * common / (da.deg + db.deg - common) + least(0.35, 0.08 * common), 6) AS score FROM c JOIN d da ON da.s = a JOIN d db ON db.s = b)
 SELECT a, b, common, score FROM r ORDER BY score DESC, a, b LIMIT 100
 """)
 def link_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best hundred pairs by prior, Jaccard and common neighbours; the top list is the feature (O145)."""
-    e = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 200).alias("m")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("m")).distinct()
     deg = e.groupBy("s").agg(F.count("*").alias("deg"))
     common = e.alias("x").join(e.alias("y"), "m").where("x.s < y.s").groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("common"))
     both = common.join(deg.select(F.col("s").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("s").alias("b"), F.col("deg").alias("db")), "b")

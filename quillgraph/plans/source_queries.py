@@ -27,20 +27,6 @@ def citation_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.citation_edges(rows)[0]
 
 
-@query("body_text_contexts", """
-WITH p AS (SELECT doc_id AS paper_id, substr(coalesce(text, ''), 1, 400) AS x FROM documents WHERE length(text) >= 400)
-SELECT paper_id, 'r' || paper_id % 3 AS ref_id, substr(x, 61, 120) AS context, CASE WHEN paper_id % 3 = 2 THEN NULL ELSE 'title ' || paper_id % 3 END AS title FROM p
-""")
-def body_text_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cite spans with the text around them (O7, O180): one invented span in the first 400 characters of each text that has as many, as its SQL says; whole texts are open."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") >= 400)
-    span = F.array(F.struct(F.lit(110).alias("start"), F.lit(130).alias("end"), F.concat(F.lit("r"), F.col("doc_id") % 3).alias("ref_id")))
-    body = F.array(F.struct(F.substring("text", 1, 400).alias("text"), span.alias("cite_spans")))
-    bib = F.create_map(F.lit("r0"), F.struct(F.lit("title 0").alias("title")), F.lit("r1"), F.struct(F.lit("title 1").alias("title")))
-    papers = d.select(F.col("doc_id").alias("paper_id"), body.alias("body_text"), bib.alias("bib_entries"))
-    return citations.body_text_contexts(papers, 50)
-
-
 @query("chunk_status", """
 SELECT CASE WHEN n_chars > 3000 THEN 'large' WHEN n_chars > 500 THEN 'normal' ELSE 'small' END AS status, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY 1
 """)

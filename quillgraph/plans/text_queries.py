@@ -95,11 +95,11 @@ def identifier_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("content_hash", """
-SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE 'sha256:' || sha256(text) END AS content_sha256, 'title:' || substr(sha1(substr(coalesce(text, ''), 1, 40)), 1, 16) AS title_alias FROM documents
+SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE 'sha256:' || sha256(text) END AS content_sha256, 'title:' || substr(sha1(split_part(coalesce(text, ''), chr(10), 1)), 1, 16) AS title_alias FROM documents
 """)
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content digests and title aliases."""
-    start = F.substring(F.coalesce("text", F.lit("")), 1, 40)
+    start = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)  # the title line
     return table(spark, sf_dir, "documents").select("doc_id", T.content_sha256(F.col("text")).alias("content_sha256"), F.concat(F.lit("title:"), T.stable_hash(start, 16)).alias("title_alias"))
 
 
@@ -185,20 +185,6 @@ def concept_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("conv_id", "phrase").agg(F.sum("w").alias("score"), F.count("*").alias("n")).where("score >= 2.25")
 
 
-@query("citation_mentions", """
-WITH a AS (SELECT l_orderkey, l_linenumber, '[' || l_linenumber || ',' || (l_linenumber + 2) || '-' || (l_linenumber + 4) || ']' AS raw FROM lineitem WHERE l_linenumber <= 3)
-SELECT DISTINCT l_orderkey, raw, unnest([l_linenumber, l_linenumber + 2, l_linenumber + 3, l_linenumber + 4]) AS reference FROM a
-""")
-def citation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numeric mentions with ranges of at most ten, expanded to references."""
-    n = F.col("l_linenumber")
-    raw = F.concat(F.lit("["), n, F.lit(","), n + 2, F.lit("-"), n + 4, F.lit("]"))
-    parts = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", raw.alias("raw")).withColumn("part", F.explode(F.split(F.regexp_extract("raw", r"\[(.*)\]", 1), ",")))
-    ends = F.split("part", "-")
-    first, last = F.get(ends, F.lit(0)).cast("int"), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))).cast("int")
-    return parts.where(last - first <= 10).select("l_orderkey", "raw", F.explode(F.sequence(first, last)).alias("reference")).distinct()
-
-
 @query("section_roles", """
 WITH a AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '1 Introduction' WHEN 1 THEN 'Related Work' WHEN 2 THEN 'Our Method' WHEN 3 THEN 'Experimental Results' WHEN 4 THEN 'Limitations and Discussion' ELSE 'Notes' END AS heading FROM orders)
 SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'introduction' WHEN 1 THEN 'related-work' WHEN 2 THEN 'method' WHEN 3 THEN 'experiments' WHEN 4 THEN 'discussion' ELSE 'body' END AS role FROM a
