@@ -48,7 +48,7 @@ def certificate(proposals: DataFrame, fragments: DataFrame, claims: DataFrame, c
     c = claims.groupBy("proposal").agg(F.avg(_tier(F.col("tier"))).alias("feasibility"), F.avg((F.col("spans") > 0).cast("int")).alias("grounding"), F.count("*").alias("claims"), F.count_if(F.col("spans") == 0).alias("unsupported"))
     m = cited.groupBy("proposal").agg(F.avg(F.col("covered").cast("int")).alias("completeness"), F.count_if("future").alias("leaks"), F.count("*").alias("must_cites"))
     rows = proposals.select("proposal").distinct().join(f, "proposal", "left").join(c, "proposal", "left").join(m, "proposal", "left").fillna(0)
-    return rows.select("proposal", *[F.round(x, 4).alias(x) for x in ("novelty", "significance", "feasibility", "grounding", "completeness")], F.when(F.col("leaks") > 0, 0).otherwise(1).alias("temporal"), "claims", "unsupported", "must_cites", "leaks")
+    return rows.select("proposal", *[F.round(F.col(x) + 1e-9, 4).alias(x) for x in ("novelty", "significance", "feasibility", "grounding", "completeness")], F.when(F.col("leaks") > 0, 0).otherwise(1).alias("temporal"), "claims", "unsupported", "must_cites", "leaks")
 
 
 def concerns(claims: DataFrame, cited: DataFrame) -> DataFrame:

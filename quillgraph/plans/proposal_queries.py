@@ -41,7 +41,7 @@ cl AS (SELECT o.proposal, 'o' || o_orderkey AS claim, coalesce(k.n, 0) AS spans,
 fr AS (SELECT proposal, avg(least(1.0, greatest(0, round(o_totalprice / 600000, 6)))) AS novelty, avg(least(1.0, greatest(0, CASE WHEN round((y - 1992) / 8.0, 6) > 1 THEN round((y - 1992) / 8.0, 6) / 5 ELSE round((y - 1992) / 8.0, 6) END))) AS significance FROM o GROUP BY proposal),
 ca AS (SELECT proposal, avg(tier) AS feasibility, avg(CASE WHEN spans > 0 THEN 1.0 ELSE 0 END) AS grounding, count(*) AS claims, count(*) FILTER (spans = 0) AS unsupported FROM cl GROUP BY proposal),
 ma AS (SELECT proposal, avg(CASE WHEN covered THEN 1.0 ELSE 0 END) AS completeness, count(*) FILTER (future) AS leaks, count(*) AS must_cites FROM mc GROUP BY proposal),
-ct AS (SELECT c_custkey AS proposal, round(coalesce(novelty, 0), 4) AS novelty, round(coalesce(significance, 0), 4) AS significance, round(coalesce(feasibility, 0), 4) AS feasibility, round(coalesce(grounding, 0), 4) AS grounding, round(coalesce(completeness, 0), 4) AS completeness, CASE WHEN coalesce(leaks, 0) > 0 THEN 0 ELSE 1 END AS temporal,
+ct AS (SELECT c_custkey AS proposal, round(coalesce(novelty, 0) + 1e-9, 4) AS novelty, round(coalesce(significance, 0) + 1e-9, 4) AS significance, round(coalesce(feasibility, 0) + 1e-9, 4) AS feasibility, round(coalesce(grounding, 0) + 1e-9, 4) AS grounding, round(coalesce(completeness, 0) + 1e-9, 4) AS completeness, CASE WHEN coalesce(leaks, 0) > 0 THEN 0 ELSE 1 END AS temporal,
   coalesce(claims, 0) AS claims, coalesce(unsupported, 0) AS unsupported, coalesce(must_cites, 0) AS must_cites, coalesce(leaks, 0) AS leaks FROM customer LEFT JOIN fr ON fr.proposal = c_custkey LEFT JOIN ca ON ca.proposal = c_custkey LEFT JOIN ma ON ma.proposal = c_custkey),
 cn AS (SELECT proposal, 'reproducibility' AS role, 'major' AS severity, 'source_span_ids' AS gap, claim AS about FROM cl WHERE spans = 0 UNION ALL SELECT proposal, 'novelty', 'minor', 'citation_context', key FROM mc WHERE NOT covered UNION ALL SELECT proposal, 'methods', 'major', 'temporal_cutoff', key FROM mc WHERE future)
 """
