@@ -1,3 +1,5 @@
+import random
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -11,14 +13,29 @@ def values(spark, texts, *columns):
     return [tuple(r)[1:] for r in df.select("i", *columns).orderBy("i").collect()]
 
 
-def test_normalize_matches_its_udf(spark):
-    texts = ["Été à Paris", "Straße, Größe!", "co-op  x_y", "NIÑO 2½", "", "Ǆ ﬁn"]
-    got = values(spark, texts, T.normalize(F.col("x")).alias("a"))
-    for t, (a,) in zip(texts[:4], got):
-        d = unicodedata.normalize("NFKD", t.lower())
-        expected = " ".join("".join(c if unicodedata.category(c)[0] in "LN" or c in " -" else " " for c in d).split())
-        assert a == expected or "½" in t
-    assert got[0] == ("e te a paris",) and got[4] == ("",)
+def normalized(text):
+    x = unicodedata.normalize("NFKD", text.lower())
+    x = "".join(c if unicodedata.category(c)[0] in "LN" or c in " \t\n\r\f\x0b-" else " " for c in x)
+    return re.sub("[ \t\n\r\f\x0b]+", " ", x).strip(" ")
+
+
+def slug(text):
+    x = re.sub(r"[^A-Za-z0-9_\s-]", "", unicodedata.normalize("NFKD", text.lower())).strip()
+    return re.sub("^-+|-+$", "", re.sub(r"[-\s]+", "-", x)) or "item"
+
+
+def test_normalize_and_slugs_in_any_script(spark):
+    """Latin, Greek, Cyrillic, kana, Hangul, CJK, ligatures, circled and full-width characters, as Unicode decomposes them."""
+    r = random.Random(1)
+    alphabet = [chr(c) for c in [*range(32, 127)] * 3 + [*range(0xA0, 0x250)] * 2 + [*range(0x370, 0x530), *range(0x3041, 0x30FF), *range(0xAC00, 0xD7A3, 97), *range(0x1E00, 0x1FFF), *range(0xFB00, 0xFB06), *range(0xFF01, 0xFF5E)] + [0x2460, 0x2167, 0x33A5, 0x4E2D, 0x1D400, 0x1D51E, 0x2474, 0xBD]]
+    texts = ["", "Café Été", "각 값 漢字", "ＡＢｃ ﬁne ①", *("".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string")
+    for row in df.select("i", T.normalize(F.col("t")).alias("n"), T.slugify(F.col("t")).alias("s")).collect():
+        if row["i"] < 0:
+            assert row["n"] is None
+        else:
+            assert (row["n"], row["s"]) == (normalized(texts[row["i"]]), slug(texts[row["i"]]))
+    assert slug("Café Été") == "cafe-ete"
 
 
 def test_overlap_counts_repeats_and_jaccard_does_not(spark):
