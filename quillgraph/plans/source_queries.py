@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillgraph.plans.registry import query
 from quillgraph.runtime import table
@@ -12,7 +13,7 @@ from quillgraph.sources import citations, markdown
 
 @query("markdown_chunks")
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections and chunks of every document (O3, O15, O152, O223)."""
+    """Sections and chunks of every document."""
     return markdown.chunk_rows(table(spark, sf_dir, "documents"))
 
 
@@ -34,3 +35,54 @@ def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by status with totals (O19, O132, O133)."""
     n = F.col("n_chars")
     return table(spark, sf_dir, "documents").groupBy(F.when(n > 3000, "large").when(n > 500, "normal").otherwise("small").alias("status")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+
+
+def _pages_of_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with what papers hold beside sentences: axis ticks, a legend, a table with its caption, a figure's caption, fenced numbers."""
+    extra = "\\n0.10 0.20 0.30 0.40\\n[Ours] [Base] 1 2 3\\n??]\\nTable 1: Results of runs\\n\\n| name | value |\\n|---|:---:|\\n| a | 1 |\\n| b | 2 |\\n\\nFigure 2. A plot\\n```\\n0.1 0.2 0.3\\n```\\nTable 3 - Without rows"
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("lang") == "en", F.lit(extra.replace("\\n", "\n"))).otherwise("")).alias("text"))
+
+
+@query("markdown_cleaning", """
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, length(t) - length(replace(t, chr(10), '')) + 1 AS n, coalesce(lang = 'en', false) AS en FROM d)
+SELECT doc_id, CAST(CASE WHEN en THEN n + 15 ELSE n END AS INTEGER) AS n_lines, CASE WHEN en THEN 3 ELSE 0 END AS n_removed, CASE WHEN en THEN concat_ws(',', n + 1, n + 2, n + 3) ELSE '' END AS lines FROM n
+""")
+def markdown_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of charts that are taken out of Markdown, with a report (O4). The tables' own texts have no such lines."""
+    rows = markdown.cleaned_rows(_pages_of_charts(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.transform("removed", lambda x: x["line"].cast("string"))).alias("lines"))
+
+
+@query("markdown_materials", """
+SELECT doc_id, kind, place, caption, n_rows, n_columns FROM documents, (VALUES ('table', 1, 'Table 1: Results of runs', 2, 2), ('table', 2, 'Table 1: Results of runs', NULL, NULL), ('table', 3, 'Table 3 - Without rows', NULL, NULL), ('figure', 1, 'Figure 2. A plot', NULL, NULL)) v(kind, place, caption, n_rows, n_columns) WHERE lang = 'en'
+""")
+def markdown_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables and captions of Markdown; eight of a kind are the feature (O222)."""
+    return markdown.material_rows(_pages_of_charts(spark, sf_dir))
+
+
+@query("chunk_collection", """
+WITH c AS (SELECT l_suppkey AS pack, l_orderkey AS entry, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey) AS chunk, trim(repeat(p_name || ' ', 60)) AS text FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY entry, chunk) AS place FROM c) SELECT pack, CAST(place AS INTEGER) AS place, entry, CAST(chunk AS INTEGER) AS chunk, CASE WHEN length(text) > 900 THEN trim(substr(text, 1, 899)) || '...' ELSE text END AS text FROM n WHERE place <= 8
+""")
+def chunk_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight chunks of each pack's entries, with texts of 900 characters at most (O223)."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    place = F.row_number().over(Window.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    return markdown.first_chunks(rows.select(F.col("l_suppkey").alias("pack"), F.col("l_orderkey").alias("entry"), place.alias("chunk"), F.trim(F.repeat(F.concat("p_name", F.lit(" ")), 60)).alias("text")))
+
+
+_TITLES = """
+WITH t AS (SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN '# ' || p_name WHEN 1 THEN 'Abstract' WHEN 2 THEN chr(10) || '"' || p_name || '"' WHEN 3 THEN 'Ab' WHEN 4 THEN 'AB' WHEN 5 THEN '- Figure ' || p_size || ' shows' WHEN 6 THEN repeat(p_name, 40) WHEN 7 THEN '  ' ELSE 'untitled' END AS raw, p_size % 9 AS k, p_name FROM part)
+"""
+
+
+@query("title_validity", _TITLES + """
+SELECT p_partkey, CASE WHEN k IN (0, 2) THEN p_name WHEN k = 4 THEN 'AB' ELSE 'file' || p_partkey END AS title, k IN (0, 2, 4) AS valid, CASE k WHEN 1 THEN 'section-heading' WHEN 3 THEN 'too-short' WHEN 5 THEN 'caption-like' WHEN 6 THEN 'too-long' WHEN 7 THEN 'empty' WHEN 8 THEN 'placeholder-title' END AS reason FROM t
+""")
+def title_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may stand as a paper's title, else the file's name and the reason."""
+    k, name = F.col("p_size") % 9, F.col("p_name")
+    raw = F.when(k == 0, F.concat(F.lit("# "), name)).when(k == 1, "Abstract").when(k == 2, F.concat(F.lit('\n"'), name, F.lit('"'))).when(k == 3, "Ab").when(k == 4, "AB").when(k == 5, F.concat(F.lit("- Figure "), "p_size", F.lit(" shows"))).when(k == 6, F.repeat(name, 40)).when(k == 7, "  ").otherwise("untitled")
+    found = markdown.title_check(raw, F.concat(F.lit("papers/file"), "p_partkey", F.lit(".md")))
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("x")).select("p_partkey", "x.*")

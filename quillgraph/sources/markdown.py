@@ -9,8 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillgraph.functions.text import normalize
+from quillgraph.functions.text import normalize, title_problem
 
 #: What a heading must contain for a role; the first that fits counts.
 SECTION_ROLES = [
@@ -19,6 +20,19 @@ SECTION_ROLES = [
     ("discussion", "discussion"), ("conclusion", "conclusion"), ("references", "references"), ("bibliography", "references"), ("appendix", "appendix"),
 ]
 CHUNK_CHARS = 1200
+#: Titles that are none, with the reason; the first that fits counts.
+NO_TITLES = [
+    ("^abstract$", "section-heading"), ("^introduction$", "section-heading"), ("^background$", "section-heading"), ("^related work$", "section-heading"), ("^preliminaries$", "section-heading"),
+    ("^(method|methods|approach|implementation)$", "section-heading"), ("^(experiment|experiments|evaluation|results|analysis|discussion)$", "section-heading"), ("^(conclusion|conclusions)$", "section-heading"),
+    ("^(references|bibliography)$", "section-heading"), ("^(appendix|appendices)$", "section-heading"), ("^(acknowledg?ments?)$", "section-heading"), ("^(keywords?|index terms?)$", "metadata-heading"),
+    ("^(authors?|affiliations?)$", "metadata-heading"), (r"^(figure|table)\s+\w+", "caption-like"), ("^(overview|summary|contents?)$", "section-heading"),
+]
+TITLE_CHARS = (4, 220)
+CHUNKS, CHUNK_TEXT, MATERIALS = 8, 900, 8
+_TICKS = re.compile(r"[+-]?\d+\.\d+(?:\s+[+-]?\d+\.\d+){2,}")
+_LEGEND = re.compile(r"(?:\[[A-Za-z][\w-]*\]\s*){2,}[+ ]*\d+(?:\.\d+)?(?:\s+\d+(?:\.\d+)?){2,}")
+_MARKS = re.compile(r"[\[\]?'\"]+")
+_CAPTION = re.compile(r"(Table|Figure|Fig\.?)\s*[\w.-]*\s*[:.-]\s+.+", re.I)
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 _FENCE = re.compile(r"^\s*(```|~~~|\$\$)")
 
@@ -108,15 +122,131 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, CHUNK_SCHEMA)
 
 
-def tables(text: str, most: int = 8) -> list[tuple[str, int, int]]:
-    """Caption, rows and columns of pipe tables; a caption is the line before that begins with Table."""
-    out, lines, i = [], text.split("\n"), 0
-    while i < len(lines) and len(out) < most:
-        j = i
-        while j < len(lines) and lines[j].count("|") >= 2:
-            j += 1
-        if j - i >= 2 and re.fullmatch(r"[\s|:-]+", lines[i + 1]):
-            caption = lines[i - 1].strip() if i and re.match(r"(?i)\s*table\b", lines[i - 1]) else ""
-            out.append((caption, j - i - 2, len([c for c in lines[i].strip().strip("|").split("|")])))
-        i = max(j, i + 1)
-    return out
+def _noise(line: str) -> str:
+    """Why a line is left of a chart, or nothing: decimals in equal steps, a legend with numbers, or nothing but question marks and brackets."""
+    line = line.strip()
+    if _TICKS.fullmatch(line):
+        at = [float(x) for x in line.split()]
+        step = at[1] - at[0]
+        if step and all(abs(b - a - step) < 1e-8 for a, b in zip(at, at[1:])):
+            return "chart_tick_or_legend"
+    if _LEGEND.fullmatch(line):
+        return "punctuation_artifact" if "?" in line else "chart_tick_or_legend"
+    return "punctuation_artifact" if "?" in line and _MARKS.fullmatch(line) else ""
+
+
+def cleaned(text: str) -> tuple[str, list[tuple[int, int, int, str]]]:
+    """The text without chart noise, and line, start, end (in UTF-16 units of the original) and reason of what went.
+
+    Fenced code, display math, tables and indented lines are never touched.
+    """
+    kept, gone, at, fence, math = [], [], 0, "", False
+    for n, raw in enumerate(text.split("\n"), 1):
+        line, size = raw.removesuffix("\r"), len(raw.encode("utf-16-le")) // 2
+        bare, inside = line.strip(), bool(fence) or math
+        mark = re.match(r"`{3,}|~{3,}", bare)
+        if mark and not fence:
+            fence = mark[0]
+        elif mark and mark[0][0] == fence[0] and len(mark[0]) >= len(fence):
+            fence = ""
+        if not fence and bare in ("$$", r"\[", r"\]"):
+            math = not math
+        spared = inside or mark or math or "|" in bare or bare.startswith(("$$", r"\[", r"\]")) or line.startswith(("    ", "\t"))
+        reason = "" if spared else _noise(line)
+        if reason:
+            gone.append((n, at, at + size, reason))
+        else:
+            kept.append(line)
+        at += size + 1
+    return re.sub(r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+\Z", "", "\n".join(kept)), gone
+
+
+CLEAN_SCHEMA = "doc_id long, text string, n_lines int, n_removed int, removed array<struct<line:int,start:int,end:int,reason:string>>"
+
+
+def cleaned_rows(docs: DataFrame) -> DataFrame:
+    """Clean text and report of docs(doc_id, text); a null text is empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(d, *cleaned(t or ""), (t or "").count("\n") + 1) for d, t in zip(pdf["doc_id"], pdf["text"])]
+            yield pd.DataFrame([(d, t, n, len(g), [dict(zip(("line", "start", "end", "reason"), x)) for x in g]) for d, t, g, n in rows], columns=["doc_id", "text", "n_lines", "n_removed", "removed"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, CLEAN_SCHEMA)
+
+
+def title_check(raw: Column, path: Column) -> Column:
+    """title, valid and reason of what may be a paper's title: its first line that is not blank, without marks; the file's name stands for one that is no title."""
+    file = F.regexp_replace(F.substring_index(F.coalesce(path, F.lit("")), "/", -1), r"(?<=.)\.[^.]*$", "")
+    line = F.regexp_extract(F.regexp_replace(F.coalesce(raw, F.lit("")), "\r\n", "\n"), r"(?m)^.*\S.*$", 0)
+    for pattern in (r"^\s+|\s+$", r"^#{1,6}\s+", r"^[-*]\s+", "^[`\"'“”‘’]+|[`\"'“”‘’]+$", r"^\s+|\s+$"):
+        line = F.regexp_replace(line, pattern, "")
+    few, most = TITLE_CHARS
+    key = normalize(line)
+    reason = F.when(line == "", "empty").when(~line.rlike(r"[A-Za-z0-9\x{4e00}-\x{9fff}]"), "missing-alphanumeric").when(F.length(line) > most, "too-long").when((F.length(line) < few) & ~line.rlike("^[A-Z]{2,}$"), "too-short")
+    for pattern, why in NO_TITLES:
+        reason = reason.when(line.rlike(f"(?i){pattern}") | key.rlike(f"(?i){pattern}"), why)
+    reason = F.coalesce(reason, title_problem(line))
+    return F.struct(F.when(reason.isNull(), line).when(file != "", file).otherwise("paper").alias("title"), reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip() for c in line.strip().removeprefix("|").removesuffix("|").split("|")]
+
+
+def _caption(line: str) -> str:
+    found = _CAPTION.fullmatch(" ".join(line.split()))
+    return "" if not found else "table" if found[1].lower() == "table" else "figure"
+
+
+def tables(text: str, most: int = MATERIALS) -> list[tuple[str, int | None, int | None]]:
+    """Caption, rows and columns of pipe tables, then captions whose table is not there. A table's caption is the nearest line of text among the three before it."""
+    lines, out, used = re.split(r"\r?\n", text), [], set()
+    row = lambda x: "|" in x and len(_cells(x)) >= 2 and any(_cells(x))
+    i = 0
+    while i < len(lines) - 1 and len(out) < most:
+        marks = _cells(lines[i + 1])
+        if not row(lines[i]) or len(marks) < 2 or not all(re.fullmatch(":?-{3,}:?", m) for m in marks):
+            i += 1
+            continue
+        end = i + 2
+        while end < len(lines) and row(lines[end]):
+            end += 1
+        near = next((x for x in reversed(lines[max(0, i - 3) : i]) if x.strip()), "")
+        caption = " ".join(near.split()) if _caption(near) == "table" else ""
+        if caption:
+            used.add(i - 1)
+        out.append((caption, end - i - 2, len([c for c in _cells(lines[i]) if c])))
+        i = end
+    rest = [(" ".join(x.split()), None, None) for n, x in enumerate(lines) if n not in used and _caption(x) == "table"]
+    return (out + rest)[:most]
+
+
+def figures(text: str, most: int = MATERIALS) -> list[str]:
+    """Captions of figures."""
+    return [" ".join(x.split()) for x in re.split(r"\r?\n", text) if _caption(x) == "figure"][:most]
+
+
+MATERIAL_SCHEMA = "doc_id long, kind string, place int, caption string, n_rows int, n_columns int"
+
+
+def material_rows(docs: DataFrame) -> DataFrame:
+    """The first tables and figures of docs(doc_id, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, t in zip(pdf["doc_id"], pdf["text"]):
+                rows += [(d, "table", k, *x) for k, x in enumerate(tables(t or ""), 1)] + [(d, "figure", k, x, None, None) for k, x in enumerate(figures(t or ""), 1)]
+            out = pd.DataFrame(rows, columns=["doc_id", "kind", "place", "caption", "n_rows", "n_columns"])
+            yield out.astype({"place": "Int32", "n_rows": "Int32", "n_columns": "Int32"})
+
+    return docs.select("doc_id", "text").mapInPandas(run, MATERIAL_SCHEMA)
+
+
+def first_chunks(chunks: DataFrame, most: int = CHUNKS, chars: int = CHUNK_TEXT) -> DataFrame:
+    """pack, place, chunk, text of the first chunks(pack, entry, chunk, text) of each pack, in the order of entries and chunks, with clipped texts."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    clipped = F.when(F.length(text) > chars, F.concat(F.trim(F.substring(text, 1, chars - 1)), F.lit("..."))).otherwise(text)
+    order = Window.partitionBy("pack").orderBy("entry", "chunk")
+    return chunks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("pack", "place", "entry", "chunk", clipped.alias("text"))
