@@ -13,7 +13,7 @@ from quillgraph.runtime import table
 
 @query("communities")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leiden communities of part names that occur in the same orders; the projection's caps are its definition (O101 without sub-communities, O102)."""
+    """Leiden communities of part names that occur in the same orders; the projection's caps are its definition (O101)."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("concept"))
     m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), "l_partkey").join(part, "l_partkey")
     seeds = m.groupBy("concept").agg(F.count("*").alias("score"))
@@ -58,7 +58,7 @@ everything AS (SELECT '*' AS components, count(*) AS hits FROM (SELECT prior FRO
 SELECT *, CASE WHEN hits >= 1000 THEN 'high' WHEN hits >= 1 THEN 'medium' ELSE 'low' END AS risk FROM (FROM one UNION ALL FROM two UNION ALL FROM everything)
 """)
 def composition_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prior work that has one component, two, or all (O226, O227)."""
+    """Prior work that has one component, two, or all (O226)."""
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("component")), "l_partkey").select(F.col("l_orderkey").alias("prior"), "component").distinct()
     kinds = table(spark, sf_dir, "part").select("p_type").distinct().count()
     one = t.groupBy(F.col("component").alias("components")).agg(F.count("*").alias("hits"))
@@ -72,7 +72,7 @@ WITH d AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'drop' WHEN 1 THEN '
 SELECT d.verdict, count(DISTINCT l_partkey) AS nodes, count(*) AS edges, min(CASE WHEN d.verdict = 'rename' THEN upper(p_name) ELSE p_name END) AS first_name FROM lineitem JOIN d ON d.p_partkey = l_partkey JOIN part p ON p.p_partkey = l_partkey WHERE d.verdict <> 'drop' GROUP BY d.verdict
 """)
 def node_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep, rename or drop verdicts applied to nodes and their edges (O62, O111, O165)."""
+    """Counts of nodes and edges by verdict; node_verdicts applies verdicts."""
     k = F.col("p_partkey") % 5
     verdict = F.when(k == 0, "drop").when(k == 1, "rename").otherwise("keep")
     kept = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), verdict.alias("verdict"), F.when(k == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("name")).where("verdict <> 'drop'")

@@ -46,7 +46,7 @@ def select_dpp(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(s_suppkey AS VARCHAR) AS id, round((s_acctbal + 1000) / 11000, 6) AS utility, CAST(row_number() OVER (ORDER BY s_acctbal DESC, CAST(s_suppkey AS VARCHAR)) AS INTEGER) AS place FROM supplier WHERE s_nationkey % 5 <> 0 ORDER BY place LIMIT 10
 """)
 def select_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence gate, then the ten best (O64, O141, O215)."""
+    """The ten best of those that pass a gate (O141)."""
     s = table(spark, sf_dir, "supplier").where("s_nationkey % 5 <> 0").select(F.col("s_suppkey").cast("string").alias("id"), "s_acctbal")
     best = s.orderBy(F.desc("s_acctbal"), "id").limit(10)
     return best.select("id", F.round((F.col("s_acctbal") + 1000) / 11000, 6).alias("utility"), F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "id")).alias("place"))
@@ -117,7 +117,7 @@ def budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_returnflag AS phase, l_linestatus AS model, count(*) AS requests, CAST(sum(l_quantity) AS BIGINT) AS tokens FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))
 """)
 def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals overall, by phase and by model in one pass (O130, O131, O132, O133)."""
+    """Totals overall, by phase and by model in one pass (O131, O132, O133)."""
     line = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("phase"), F.col("l_linestatus").alias("model"), "l_quantity")
     return line.groupingSets([[], [F.col("phase")], [F.col("model")]], "phase", "model").agg(F.count("*").alias("requests"), F.sum("l_quantity").cast("long").alias("tokens"))
 
@@ -126,7 +126,7 @@ def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_type, event_id AS last_event, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn = 1
 """)
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered events folded into the present state of each key: one aggregation, no window (O161, O169, O176, O177)."""
+    """Ordered events folded into the present state of each key: one aggregation, no window (O176, O177)."""
     g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"), F.count("*").alias("n"))
     return g.select("user_id", F.col("last.event_type").alias("event_type"), F.col("last.event_id").alias("last_event"), "n")
 
@@ -136,7 +136,7 @@ WITH q AS (SELECT event_id, event_type, ts, CASE event_type WHEN 'click' THEN 'r
 SELECT event_id, status, CAST(row_number() OVER (ORDER BY CASE status WHEN 'running' THEN 0 ELSE 1 END, ts, event_id) AS INTEGER) AS place FROM q WHERE status IN ('running', 'queued') ORDER BY place LIMIT 50
 """)
 def import_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The next batch of tasks: running first, then oldest; the batch size is the feature (O167, O170, O171, O172)."""
+    """The next batch of tasks: running first, then oldest; the batch size is the feature (O172)."""
     kind = F.col("event_type")
     q = table(spark, sf_dir, "events").select("event_id", "ts", F.when(kind == "click", "running").when(kind == "view", "queued").when(kind == "error", "failed").otherwise("completed").alias("status")).where("status in ('running', 'queued')")
     order = [F.when(F.col("status") == "running", 0).otherwise(1), F.col("ts"), F.col("event_id")]
@@ -162,7 +162,7 @@ def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM conversations
 """)
 def storyline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered beats with the next one and a window of two around (O193, O232)."""
+    """Ordered beats with the next one and a window of two around: the windows that proposal_storyline uses."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.count("*").over(w.rowsBetween(-2, 2)).alias("around"))
 
@@ -172,7 +172,7 @@ WITH p AS (SELECT DISTINCT l_partkey AS metric FROM lineitem), o AS (SELECT p_pa
 SELECT p.metric, CASE WHEN o.metric IS NULL THEN 'not_measured' WHEN o.p_size > 40 THEN 'unassessable' ELSE 'observed' END AS status FROM p LEFT JOIN o USING (metric)
 """)
 def chain_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions by whether they were observed (O200, O201, O202)."""
+    """Metrics by whether they were observed."""
     p = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("metric")).distinct()
     o = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("metric"), "p_size")
     return p.join(o, "metric", "left").select("metric", F.when(F.col("p_size").isNull(), "not_measured").when(F.col("p_size") > 40, "unassessable").otherwise("observed").alias("status"))
@@ -183,7 +183,7 @@ WITH a AS (SELECT doc_id, quality AS verdict FROM labels), b AS (SELECT doc_id,
 SELECT lang, count(*) AS n, round(avg(CASE WHEN a.verdict = b.verdict THEN 1.0 ELSE 0 END), 6) AS match_rate FROM a JOIN b USING (doc_id) GROUP BY lang
 """)
 def judge_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match rate of two sets of verdicts (O129, O219)."""
+    """Match rate of two sets of verdicts (O219)."""
     b = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 300, 1).otherwise(0).alias("said"), "lang")
     return table(spark, sf_dir, "labels").join(b, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("quality") == F.col("said"), 1.0).otherwise(0.0)), 6).alias("match_rate"))
 
@@ -193,7 +193,7 @@ WITH a AS (SELECT DISTINCT lower(p_type) AS assumption, l_orderkey AS paper, p_b
 SELECT assumption, count(DISTINCT paper) AS papers, count(DISTINCT method) AS methods, CASE WHEN count(DISTINCT method) >= 3 THEN 'high' WHEN count(DISTINCT method) >= 2 OR count(DISTINCT paper) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM a GROUP BY assumption
 """)
 def assumption_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assumptions by papers and methods that share them (O227, O230, O231)."""
+    """Assumptions by papers and methods that share them (O230)."""
     a = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
     m, p = F.countDistinct("p_brand"), F.countDistinct("l_orderkey")
     g = a.groupBy(F.lower("p_type").alias("assumption")).agg(p.alias("papers"), m.alias("methods"))
@@ -206,7 +206,7 @@ UNION ALL SELECT 'lines_have_parts', count(*) = 0, count(*) FROM lineitem WHERE
 UNION ALL SELECT 'discount_in_range', count(*) = 0, count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 1
 """)
 def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named checks with their errors (O206, O207, O208)."""
+    """Named checks with their errors (O208)."""
     line, orders, part = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
     checks = {
         "orders_have_lines": orders.join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti"),
@@ -222,7 +222,7 @@ WITH l AS (SELECT s_suppkey AS limitation, s_nationkey AS area FROM supplier WHE
 SELECT limitation, support, round(1.4 * least(5, 2.4 + support / 20.0) + 1.3 * 4.2 + 1.1 * least(5, 2 + 0.8 * support / 20.0) + 1.2 * least(5, 1.6 + 0.5 * support / 20.0) - 0.9 * (1.7 + CASE WHEN support < 40 THEN 1.2 ELSE 0.4 END) - 0.6 * 1.5, 2) AS score FROM l JOIN m USING (area) JOIN c USING (area)
 """)
 def fragment_ideas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ideas from limitations with the weighted idea score (O146, O147, O184)."""
+    """One template of ideas, from limitations, with the weighted idea score (a part of O146)."""
     support = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("area")).agg(F.count("*").alias("support"))
     lim = table(spark, sf_dir, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").alias("limitation"), F.col("s_nationkey").alias("area"))
     s = F.col("support") / 20.0
