@@ -23,7 +23,7 @@ g AS (SELECT p_brand AS scope, count(*) AS match_count, sum(overlap * 3 + bonus
 SELECT scope, match_count, round(score, 6) AS score, first_id FROM g ORDER BY round(score, 6) DESC, match_count DESC, scope LIMIT 5
 """)
 def search_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped keyword search: methods by brand; the best five groups are the feature (O105, O57, O58, O72)."""
+    """Grouped keyword search: methods by brand; the best five groups are the feature (O105, O57, O58)."""
     hay = F.lower(F.concat_ws("\n", "p_name", "p_brand", "p_type"))
     q = T.content_tokens(T.normalize(F.lit(_SEARCH)))
     name = F.lower("p_name")
@@ -62,7 +62,7 @@ def impact_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, min(depth) AS depth FROM walk GROUP BY id
 """)
 def neighborhood_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected two-hop neighbourhood."""
+    """Undirected two-hop neighbourhood."""
     nodes, edges = G.graph_of_tables(spark, sf_dir)
     return G.bfs(edges, nodes.where("id = 'p:7'"), 2, "both")
 
@@ -72,7 +72,7 @@ def neighborhood_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT array_to_string(path, '>') AS path, hops, round(1.0 / hops, 6) AS score FROM p WHERE last = 'dom:2'
 """)
 def path_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simple paths of at most four hops from a benchmark to a domain."""
+    """Simple paths of at most four hops from a benchmark to a domain."""
     nodes, edges = G.graph_of_tables(spark, sf_dir)
     paths = G.simple_paths(edges, nodes.where("id = 'b:12'"), nodes.where("id = 'dom:2'"), 4)
     return paths.select(F.array_join("path", ">").alias("path"), "hops", F.round("score", 6).alias("score"))
@@ -142,7 +142,7 @@ def paper_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'Method' AS type, lower(p_name) AS name, count(*) AS mention_count, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS brands, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS types, max(p_retailprice) AS confidence FROM part GROUP BY lower(p_name)
 """)
 def global_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions with one type and normalised name become one node: unions, maximum, mentions (O108, O109, O156)."""
+    """Contributions with one type and normalised name become one node: unions, maximum, mentions (O156)."""
     union = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  brands and types are few, whatever the data's size
     return table(spark, sf_dir, "part").groupBy(F.lit("Method").alias("type"), F.lower("p_name").alias("name")).agg(F.count("*").alias("mention_count"), union("p_brand").alias("brands"), union("p_type").alias("types"), F.max("p_retailprice").alias("confidence"))
 
@@ -155,7 +155,7 @@ m AS (SELECT k.p_partkey, b.representative FROM k JOIN b USING (key) WHERE rn =
 SELECT m.representative, l_suppkey AS target, count(DISTINCT l_orderkey) AS edges FROM lineitem JOIN m ON l_partkey = m.p_partkey GROUP BY ALL
 """)
 def similar_node_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes with one key merge into the best-connected; edges are remapped and grouped (O110, O111, O112)."""
+    """Nodes with one key merge into the best-connected; edges are remapped and grouped (O110, O112)."""
     line = table(spark, sf_dir, "lineitem")
     keyed = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.regexp_replace(F.lower("p_name"), "s$", "").alias("key"))
     degree = line.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.countDistinct("l_orderkey").alias("degree"))
@@ -193,7 +193,7 @@ WITH e AS (SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem)
 SELECT dst, count(*) AS n, min(src) AS first_src FROM (SELECT * FROM e WHERE dst % 10 <> 4 AND src NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 4) AND NOT (src % 7 = 0 AND dst % 3 = 0) UNION SELECT o_orderkey, 1000000 FROM orders WHERE o_orderkey % 50 = 0) GROUP BY dst
 """)
 def delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletions with cascade, then upserts (O159, O161, O162)."""
+    """Deletions with cascade, then upserts (O159, O161)."""
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("ADDRESSES").alias("type")).distinct()
     nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     fresh = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("src"), F.lit(1000000).cast("long").alias("dst"), F.lit("ADDRESSES").alias("type"))
@@ -206,7 +206,7 @@ WITH x AS (SELECT l_orderkey, l_suppkey, l_partkey, row_number() OVER (PARTITION
 SELECT o_orderkey, o_orderpriority, l_suppkey AS problem, l_partkey AS method, rn AS place FROM orders JOIN x ON l_orderkey = o_orderkey WHERE rn <= 3
 """)
 def evidence_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paper, problem, method: the three strongest of each paper (O88, O142)."""
+    """Paper, problem, method: the three strongest of each paper."""
     best = G.first_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")], 3, "place")
     chained = table(spark, sf_dir, "orders").join(best, F.col("o_orderkey") == F.col("l_orderkey"))
     return chained.select("o_orderkey", "o_orderpriority", F.col("l_suppkey").alias("problem"), F.col("l_partkey").alias("method"), "place")
@@ -226,7 +226,7 @@ def chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, type, exact, CAST(row_number() OVER (ORDER BY exact DESC, priority, name, id) AS INTEGER) AS place FROM h ORDER BY place LIMIT 20
 """)
 def node_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates for a name: exact first, then type priority, then name; at most twenty by definition (O137, O143)."""
+    """Candidates for a name: exact first, then type priority, then name; at most twenty by definition (O137)."""
     nodes, _ = G.graph_of_tables(spark, sf_dir)
     name = F.lower("name")
     priority = F.when(F.col("type") == "Problem", 0).when(F.col("type") == "Method", 5).when(F.col("type") == "Paper", 8).when(F.col("type") == "Benchmark", 15).otherwise(20)
@@ -241,7 +241,7 @@ SELECT s.type AS source_type, e.type AS relation, t.type AS target_type, r.type
 LEFT JOIN r ON r.source_type = s.type AND r.type = e.type AND r.target_type = t.type GROUP BY ALL
 """)
 def relation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations by whether a rule allows their types."""
+    """Relations by whether a rule allows their types."""
     nodes, edges = G.graph_of_tables(spark, sf_dir)
     rules = spark.createDataFrame([("Paper", "USES", "Method"), ("Paper", "ADDRESSES", "Problem"), ("Problem", "BELONGS_TO_DOMAIN", "Domain")], "source_type string, relation string, target_type string").withColumn("allowed", F.lit(True))
     end = lambda c, name: nodes.select(F.col("id").alias(c), F.col("type").alias(name))
@@ -269,7 +269,7 @@ WITH d AS (SELECT l_partkey AS node, list_sort(list_distinct(list('nation ' || s
 SELECT node, CAST(len(tags) AS INTEGER) AS n_domains, tags[1] AS first_domain, CASE WHEN len(tags) >= 3 THEN 'high' WHEN len(tags) = 2 THEN 'medium' ELSE 'low' END AS transfer_potential FROM d
 """)
 def domain_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Methods inherit the domains of what they are used for; transfer potential by their number (O45, O113, O114)."""
+    """Methods inherit the domains of what they are used for; transfer potential by their number (O45, O113)."""
     tagged = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("node"), F.concat(F.lit("nation "), "s_nationkey").alias("tag"))
     tags = tagged.groupBy("node").agg(F.countDistinct("tag").cast("int").alias("n_domains"), F.min("tag").alias("first_domain"))
     return tags.withColumn("transfer_potential", F.when(F.col("n_domains") >= 3, "high").when(F.col("n_domains") == 2, "medium").otherwise("low"))
@@ -291,7 +291,7 @@ WITH m AS (SELECT DISTINCT p_name AS mechanism, p_brand AS domain FROM part), p
 SELECT a, b, support, round(least(0.95, 0.3 + 0.08 * support + CASE WHEN support > 1 THEN 0.05 ELSE 0 END), 4) AS score FROM p
 """)
 def transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Domains that share mechanisms, with a score by support."""
+    """Domains that share mechanisms, with a score by support."""
     m = table(spark, sf_dir, "part").select(F.col("p_name").alias("mechanism"), F.col("p_brand").alias("domain")).distinct()
     pairs = m.alias("x").join(m.alias("y"), "mechanism").where("x.domain < y.domain").groupBy(F.col("x.domain").alias("a"), F.col("y.domain").alias("b")).agg(F.count("*").alias("support"))
     bonus = F.when(F.col("support") > 1, 0.05).otherwise(0.0)

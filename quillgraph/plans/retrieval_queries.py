@@ -85,7 +85,7 @@ SELECT rel.item_id, k.k, CAST(coalesce(found, 0) > 0 AS DOUBLE) AS hit, round(co
 FROM rel CROSS JOIN k LEFT JOIN a USING (item_id, k) LEFT JOIN i USING (item_id, k)
 """)
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval metrics of BM25 against the documents that hold the passage (O81, O119, O121)."""
+    """Retrieval metrics of BM25 against the documents that hold the passage (O119)."""
     m = R.ranking_metrics(bm25_topk(spark, sf_dir), _gold(spark, sf_dir), "item_id", "doc_id", (1, 5, 10))
     return m.select("item_id", "k", *[F.round(c, 6).alias(c) for c in ("hit", "precision", "recall", "f1", "mrr", "map", "ndcg")])
 
@@ -177,7 +177,7 @@ c AS (SELECT label, sum(CASE WHEN gold = label AND predicted = label THEN 1 ELSE
 SELECT label, round(coalesce(tp / CAST(nullif(said, 0) AS DOUBLE), 0), 6) AS precision, round(coalesce(tp / CAST(nullif(support, 0) AS DOUBLE), 0), 6) AS recall, round(coalesce(2.0 * tp / nullif(said + support, 0), 0), 6) AS f1, CAST(support AS BIGINT) AS support FROM c
 """)
 def classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision, recall and F1 of each label (O125, O126)."""
+    """Precision, recall and F1 of each label (O125)."""
     s = R.label_scores(_predicted(spark, sf_dir), "gold", "predicted")
     return s.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
@@ -187,7 +187,7 @@ WITH p AS (SELECT doc_id, n_chars AS score, quality FROM labels JOIN documents U
 SELECT count(*) AS n, CAST(sum(quality) AS BIGINT) AS positives, round((sum(CASE WHEN quality = 1 THEN rank END) - sum(quality) * (sum(quality) + 1) / 2.0) / (sum(quality) * (count(*) - sum(quality))), 6) AS auc FROM r
 """)
 def ranking_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairwise AUC with ties at a half, from counts by score: no pair is formed and no global sort is needed beyond distinct scores (O124)."""
+    """Pairwise AUC with ties at a half, from counts by score: no pair is formed and no global sort is needed beyond distinct scores (a part of O124)."""
     p = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("score")), "doc_id")
     by = p.groupBy("score").agg(F.sum("quality").alias("pos"), F.sum(1 - F.col("quality")).alias("neg"))
     return X.auc_of_counts(by)
@@ -243,7 +243,7 @@ WITH r AS (SELECT DISTINCT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name EL
 SELECT p_partkey, title, t.p_name AS target, CASE WHEN title = t.p_name THEN 'exact' ELSE 'contained' END AS how FROM r JOIN t ON title = t.p_name OR (p_partkey % 2 = 1 AND title = t.p_name || ' revisited')
 """)
 def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References to titles: exact, else a title contained in the other among those that share tokens."""
+    """References to titles: exact, else a title contained in the other among those that share tokens."""
     part = table(spark, sf_dir, "part")
     refs = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" revisited"))).alias("title"))
     return X.title_links(refs, part.select(F.col("p_name").alias("target")).distinct(), "p_partkey", "title", "target")
@@ -254,7 +254,7 @@ WITH i AS (SELECT o_orderkey AS id, unnest(['custkey:' || o_custkey, 'day:' || s
 SELECT x.id AS a, y.id AS b, count(*) AS shared FROM i x JOIN i y ON x.ident = y.ident AND x.id < y.id GROUP BY ALL HAVING count(*) >= 2
 """)
 def identity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that share every identity, found through the joint identity (O78, O163)."""
+    """Records that share every identity, found through the joint identity."""
     i = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat_ws("|", "o_custkey", F.date_format("o_orderdate", "yyyyMMdd")).alias("ident"))
     return i.alias("x").join(i.alias("y"), "ident").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(2).cast("long").alias("shared"))
 
@@ -272,6 +272,6 @@ def relation_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hash_embeddings")
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic embeddings of part names: bucket and sign from SHA-256, 1 + ln(tf), unit length (O43, O181)."""
+    """Deterministic embeddings of part names: bucket and sign from SHA-256, 1 + ln(tf), unit length (O181)."""
     tokens = T.content_tokens(T.normalize(F.concat_ws(" ", "p_name", "p_type")))
     return X.hash_embeddings(table(spark, sf_dir, "part").select("p_partkey", tokens.alias("tokens")), "p_partkey", "tokens")

@@ -130,7 +130,7 @@ def stream_folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1
 """)
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest row of each key by idempotent micro-batches (O162, O170, O173)."""
+    """Latest row of each key by idempotent micro-batches (O162, O173)."""
     import uuid
 
     target = f"{shared_dir(spark)}/quillgraph/upsert-{uuid.uuid4().hex}"
