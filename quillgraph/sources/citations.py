@@ -37,13 +37,27 @@ def read_tei_references(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "biblStruct").load(path)
 
 
+def parsed_qrels(lines: DataFrame) -> DataFrame:
+    """query_id, corpus_id, score of lines(value): three columns, or four of which the second is 0; tabs separate where there are any. Headers and judgements of zero or less go."""
+    line = F.trim(F.coalesce("value", F.lit("")))
+    parts = F.filter(F.transform(F.when(line.contains("\t"), F.split(line, r"\t+")).otherwise(F.split(line, r"\s+")), lambda x: F.trim(x)), lambda x: x != "")
+    rows = lines.select(parts.alias("p")).where(F.size("p") >= 3)
+    second = F.get("p", F.lit(1))
+    four = (F.size("p") >= 4) & (second == "0")
+    out = rows.select(F.get("p", F.lit(0)).alias("query_id"), F.when(four, F.get("p", F.lit(2))).otherwise(second).alias("corpus_id"), F.when(four, F.get("p", F.lit(3))).otherwise(F.get("p", F.lit(2))).try_cast("int").alias("score"))
+    return out.where("score > 0")
+
+
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, corpus_id, score from TREC (four columns) or BEIR (three, with a header) files."""
-    parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(parts.alias("p")).where(F.size("p") >= 3)
-    trec = F.size("p") >= 4
-    out = rows.select(F.col("p")[0].alias("query_id"), F.when(trec, F.get("p", F.lit(2))).otherwise(F.col("p")[1]).alias("corpus_id"), F.when(trec, F.get("p", F.lit(3))).otherwise(F.col("p")[2]).try_cast("int").alias("score"))
-    return out.where("score is not null")
+    """query_id, corpus_id, score of relevance files."""
+    return parsed_qrels(spark.read.text(path))
+
+
+def read_benchmark(spark: SparkSession, root: str, qrels: str = "qrels/test.tsv") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """corpus(id, title, text), queries(id, text) and judgements of a folder with corpus.jsonl, queries.jsonl and a relevance file; judgements of unknown queries go."""
+    corpus = spark.read.schema("_id string, title string, text string").json(f"{root}/corpus.jsonl").withColumnRenamed("_id", "id")
+    queries = spark.read.schema("_id string, text string").json(f"{root}/queries.jsonl").withColumnRenamed("_id", "id").where("id is not null and trim(text) <> ''")
+    return corpus, queries, read_qrels(spark, f"{root}/{qrels}").join(queries.select(F.col("id").alias("query_id")), "query_id", "left_semi")
 
 
 def resolve_rankings(rankings: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
