@@ -37,11 +37,17 @@ def _clean() -> None:
             return
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write to the shared folder and read again, so that a loop's plan stays short and lost executors cost one step. Removed when the driver ends."""
-    path = f"{shared_dir(df.sparkSession)}/quillgraph/{name}-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
-    _written.append((df.sparkSession, path))
+    _written.append((spark, path))
+    return path
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write to the shared folder and read again, so that a loop's plan stays short and lost executors cost one step. Removed when the driver ends."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
