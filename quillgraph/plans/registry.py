@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("text_queries", "lexical_queries", "neighborhood_queries", "bridge_queries", "proposal_queries", "method_queries", "paper_queries", "corpus_queries", "evaluation_queries", "assessment_queries", "replay_queries", "idea_queries", "graph_queries", "retrieval_queries", "decision_queries", "stream_queries", "source_queries", "classify_queries", "composite_queries", "mutation_queries", "json_queries"):
+    for name in ("text_queries", "lexical_queries", "neighborhood_queries", "bridge_queries", "proposal_queries", "method_queries", "paper_queries", "corpus_queries", "evaluation_queries", "assessment_queries", "replay_queries", "idea_queries", "graph_queries", "retrieval_queries", "decision_queries", "stream_queries", "source_queries", "classify_queries", "composite_queries", "mutation_queries", "json_queries", "mechanism_queries"):
         import_module(f"quillgraph.plans.{name}")
 
 

@@ -138,3 +138,23 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = spark.read.parquet(f"{target}/v*").withColumn("file", F.input_file_name())
     last = versions.agg(F.max(F.regexp_extract("file", r"/v([0-9]{9})/", 1))).first()[0]
     return spark.read.parquet(f"{target}/v{last}").select("user_id", "event_id", "event_type")
+
+
+@query("event_tail", """
+SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, round(sum(value), 4) AS total FROM events GROUP BY event_type
+""")
+def event_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as JSON-lines logs, read as a stream with a cursor in three runs, between which the logs grow (O168)."""
+    from quillgraph.runtime import scratch
+    from quillgraph.streaming.event_log import event_stream
+
+    e = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct("event_id", "event_type", "value"))
+    root = scratch(spark, "events")
+    for k in range(3):  # files that come in between are growth; the tests let files themselves grow
+        e.where(F.pmod("event_id", F.lit(3)) == k).select(line.alias("value")).write.mode("append").text(f"{root}/log")
+        stream = event_stream(spark, f"{root}/log").select(F.from_json("event", "event_id long, event_type string, value double").alias("e")).select("e.*")
+        writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema("event_id long, event_type string, value double").parquet(f"{root}/out")
+    return seen.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"), F.round(F.sum("value"), 4).alias("total"))
