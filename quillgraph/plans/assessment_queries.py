@@ -15,12 +15,12 @@ from quillgraph.plans.registry import query
 from quillgraph.runtime import table
 
 _CHAIN = """
-WITH p AS (SELECT p_brand AS hypothesis, p_partkey AS prediction, CASE WHEN p_size < 30 THEN 'target' ELSE 'proxy' END AS role FROM part), o AS (SELECT l_partkey AS prediction, l_orderkey AS run, l_tax < 0.01 AS valid FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)
+WITH p AS (SELECT p_brand AS hypothesis, p_partkey AS prediction, CASE WHEN p_size < 30 THEN 'target' ELSE 'proxy' END AS role FROM part), o AS (SELECT l_partkey AS prediction, l_orderkey AS run, l_tax < 0.01 AS valid FROM lineitem)
 """
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("prediction"), F.col("l_orderkey").alias("run"), (F.col("l_tax") < 0.01).alias("valid"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("prediction"), F.col("l_orderkey").alias("run"), (F.col("l_tax") < 0.01).alias("valid"))
 
 
 @query("evidence_chain", _CHAIN + """
@@ -156,8 +156,8 @@ def analysis_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIELD = """
-WITH RECURSIVE m AS (SELECT p_partkey AS id, CASE WHEN p_size > 3 THEN 1990 + p_size % 12 END AS year FROM part), x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target, l_quantity, l_returnflag FROM lineitem),
-able AS (SELECT * FROM m WHERE year IS NULL OR year BETWEEN 1991 AND 1999), r AS (SELECT x.id, source, target, CASE l_returnflag WHEN 'A' THEN 'ADAPTS_METHOD' WHEN 'R' THEN 'REPLACES_METHOD' ELSE 'EXTENDS_METHOD' END AS type FROM x JOIN able a ON a.id = source JOIN able b ON b.id = target WHERE l_quantity > 48 AND NOT coalesce(a.year > b.year, false)),
+WITH RECURSIVE m AS (SELECT p_partkey AS id, CASE WHEN p_size > 3 THEN 1990 + p_size % 12 END AS year FROM part), x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS target, l_returnflag FROM lineitem),
+able AS (SELECT * FROM m WHERE year IS NULL OR year BETWEEN 1991 AND 1999), r AS (SELECT x.id, source, target, CASE l_returnflag WHEN 'A' THEN 'ADAPTS_METHOD' WHEN 'R' THEN 'REPLACES_METHOD' ELSE 'EXTENDS_METHOD' END AS type FROM x JOIN able a ON a.id = source JOIN able b ON b.id = target WHERE NOT coalesce(a.year > b.year, false)),
 core AS (SELECT id FROM able WHERE id IN (SELECT p_partkey FROM part WHERE p_size = 7)), u AS (SELECT source AS a, target AS b FROM r UNION SELECT target, source FROM r), w AS (SELECT id, 0 AS depth FROM core UNION SELECT b, depth + 1 FROM w JOIN u ON u.a = w.id WHERE depth < 2),
 f AS (SELECT w.id, year, CAST(min(depth) AS INTEGER) AS depth FROM w JOIN able USING (id) GROUP BY w.id, year), k AS (SELECT * FROM f ORDER BY depth, coalesce(year, 9999), id LIMIT 180), q AS (SELECT r.* FROM r WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k))
 """
@@ -165,11 +165,11 @@ f AS (SELECT w.id, year, CAST(min(depth) AS INTEGER) AS depth FROM w JOIN able U
 
 def _field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    owners = line.groupBy(F.col("l_partkey").alias("id")).agg(F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 49, F.col("l_orderkey")))).alias("papers"))
+    owners = line.groupBy(F.col("l_partkey").alias("id")).agg(F.array(F.min("l_orderkey")).alias("papers"))
     methods = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 3, 1990 + F.col("p_size") % 12).alias("year")).join(owners, "id", "left")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     kind = F.when(F.col("l_returnflag") == "A", "ADAPTS_METHOD").when(F.col("l_returnflag") == "R", "REPLACES_METHOD").otherwise("EXTENDS_METHOD")
-    relations = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("source"), F.lead("l_partkey").over(order).alias("target"), kind.alias("type"), "l_quantity").where("target is not null and l_quantity > 48").drop("l_quantity")
+    relations = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("source"), F.lead("l_partkey").over(order).alias("target"), kind.alias("type")).where("target is not null")
     core = part.where("p_size = 7").select(F.col("p_partkey").alias("id"))
     return A.field_methods(methods, relations, core.where("false"), core, 1991, 1999)
 
@@ -190,7 +190,7 @@ def field_turning_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("field_papers", _FIELD + """
-, o AS (SELECT l_partkey AS id, min(l_orderkey) AS paper FROM lineitem WHERE l_quantity > 49 GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) = 1)
+, o AS (SELECT l_partkey AS id, min(l_orderkey) AS paper FROM lineitem GROUP BY l_partkey)
 SELECT a.paper AS source, b.paper AS target, q.type, count(*) AS n FROM q JOIN o a ON a.id = q.source JOIN o b ON b.id = q.target WHERE a.paper <> b.paper GROUP BY ALL
 """)
 def field_papers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,12 +179,12 @@ def graph_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("refcount_delete", """
-WITH r AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS id FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.06), changed AS (SELECT o_orderkey AS source FROM orders WHERE o_orderstatus = 'P')
+WITH r AS (SELECT DISTINCT l_orderkey AS source, l_partkey || '-' || l_suppkey AS id FROM lineitem), changed AS (SELECT o_orderkey AS source FROM orders WHERE o_orderstatus = 'P')
 SELECT id FROM r GROUP BY id HAVING count(*) = 1 AND min(source) IN (SELECT source FROM changed)
 """)
 def refcount_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that only one changed source refers to (O158, O160)."""
-    refs = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_tax > 0.06").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("id"))
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("id"))
     return G.deletable(refs, table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("source")))
 
 

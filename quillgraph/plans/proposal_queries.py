@@ -225,13 +225,13 @@ def _card_sql(card: dict) -> str:
 
 
 @query("gap_patterns", f"""
-WITH g AS (SELECT l_suppkey AS gap, CASE WHEN avg(l_discount) > 0.05 THEN 'additive' ELSE 'subtractive' END AS kind, lower(min(p_type)) AS type, string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS text FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49 GROUP BY l_suppkey),
+WITH g AS (SELECT l_suppkey AS gap, CASE WHEN avg(l_discount) > 0.05 THEN 'additive' ELSE 'subtractive' END AS kind, lower(min(p_type)) AS type, string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS text FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey),
 n AS (SELECT gap, kind, type, {S.normalized("text")} AS norm FROM g), m AS (SELECT gap, unnest(list_sort(list_filter([{', '.join(map(_card_sql, _CARDS))}], lambda x: x.s <= -0.25))[1:2]) AS m, generate_subscripts(list_sort(list_filter([{', '.join(map(_card_sql, _CARDS))}], lambda x: x.s <= -0.25))[1:2], 1) AS place FROM n)
 SELECT gap, m.pattern AS pattern, -m.s AS score, CAST(place AS INTEGER) AS place FROM m
 """)
 def gap_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best of a stated list of patterns for each gap; a supplier's gap is told by the parts of its largest lines (O233)."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     gaps = rows.groupBy(F.col("l_suppkey").alias("gap")).agg(F.when(F.avg("l_discount") > 0.05, "additive").otherwise("subtractive").alias("kind"), F.lower(F.min("p_type")).alias("type"), F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("text"))
     return C.pattern_matches(gaps, _CARDS)
 

@@ -86,3 +86,43 @@ def title_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(k == 0, F.concat(F.lit("# "), name)).when(k == 1, "Abstract").when(k == 2, F.concat(F.lit('\n"'), name, F.lit('"'))).when(k == 3, "Ab").when(k == 4, "AB").when(k == 5, F.concat(F.lit("- Figure "), "p_size", F.lit(" shows"))).when(k == 6, F.repeat(name, 40)).when(k == 7, "  ").otherwise("untitled")
     found = markdown.title_check(raw, F.concat(F.lit("papers/file"), "p_partkey", F.lit(".md")))
     return table(spark, sf_dir, "part").select("p_partkey", found.alias("x")).select("p_partkey", "x.*")
+
+
+@query("tei_contexts", r"""
+WITH l AS (SELECT doc_id, k AS section, trim(regexp_replace(x, '[ \t\n\r\f\x0B]+', ' ', 'g')) AS t FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)))
+SELECT CAST(doc_id AS VARCHAR) AS paper, CAST(section AS INTEGER) AS section, CAST(CASE WHEN t = '' THEN 0 ELSE length(t) + 1 END AS INTEGER) AS start, '[' || section || ']' AS raw, CASE WHEN section % 3 = 0 THEN 'reference-missing' ELSE 'reference-resolved' END AS status,
+  CASE WHEN section % 3 > 0 THEN 'Title ' || section % 3 || ' & more' END AS ref_title FROM l
+""")
+def tei_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as TEI, a division each line with a citation inside inline markup at its end; places, headings' sections and references."""
+    from quillgraph.sources import structured
+
+    half = F.floor(F.length("x") / 2).cast("int")
+    clean = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "x")).withColumn("k", F.col("k") + 1)
+    line = F.concat(F.lit("<div><head>Part "), F.col("k"), F.lit("</head><p>"), clean(F.substring("x", F.lit(1), half)), F.lit("<hi rend='a>b'>"), clean(F.substring("x", half + 1, F.length("x"))), F.lit(" <ref type=\"bibr\" target=\"#b"), F.col("k") % 3, F.lit("\">["), F.col("k"), F.lit("]</ref></hi> end.</p></div>"))
+    books = "".join(f'<biblStruct xml:id="b{i}"><title level="a">Title {i} &amp; more</title><date when="200{i}"/></biblStruct>' for i in (1, 2))
+    body = docs.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("x")))), lambda s: s["x"]), "\n").alias("body"))  # a document's lines
+    xml = body.select("paper", F.concat(F.lit("<TEI><text><body>"), "body", F.lit(f"</body><back><listBibl>{books}</listBibl></back></text></TEI>")).alias("xml"))
+    return structured.tei_contexts(xml).select("paper", "section", "start", "raw", "status", "ref_title")
+
+
+@query("s2orc_contexts", r"""
+WITH d AS (SELECT doc_id, text AS t, length(text) // 2 AS s FROM documents WHERE trim(coalesce(text, '')) <> ''),
+w AS (SELECT doc_id, 'BIBREF0' AS ref_id, length(regexp_extract(substr(t, 1, s), '(?s)^.*[.!?\n]')) AS a, s + least(3, length(t) - s) AS e, t FROM d),
+c AS (SELECT doc_id, ref_id, substr(t, a + 1, e + length(regexp_extract(substr(t, e + 1), '(?s)^[^.!?\n]*[.!?\n]?')) - a) AS c, 'reference-resolved' AS status FROM w UNION ALL SELECT doc_id, 'BIBREF9', t, 'reference-missing' FROM d)
+SELECT CAST(doc_id AS VARCHAR) AS paper, ref_id, status, sha256(trim(regexp_replace(c, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS context FROM c
+""")
+def s2orc_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON papers with cite spans in the middle and beyond the end of the text, written and read back; sentences by place and entries by id."""
+    from quillgraph.runtime import scratch
+    from quillgraph.sources import structured
+
+    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("s", F.floor(F.length("text") / 2))
+    span = lambda a, b, ref: F.struct(a.alias("start"), b.alias("end"), F.lit("[1]").alias("text"), F.lit(ref).alias("ref_id"))
+    spans = F.array(span(F.col("s"), F.col("s") + 3, "BIBREF0"), span(F.length("text").cast("long"), F.length("text").cast("long") + 9, "BIBREF9"))
+    entries = F.create_map(F.lit("BIBREF0"), F.struct(F.lit("One").alias("title"), F.lit(2001).alias("year")))
+    paper = F.struct(F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("title"), F.array(F.struct("text", F.lit("Body").alias("section"), spans.alias("cite_spans"))).alias("body_text"), entries.alias("bib_entries"))
+    path = scratch(spark, "papers") + ".jsonl"
+    docs.select(F.to_json(paper).alias("value")).write.text(path)
+    return structured.read_body_contexts(spark, path).select("paper", "ref_id", "status", F.sha2("context", 256).alias("context"))

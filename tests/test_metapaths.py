@@ -27,7 +27,7 @@ def test_chains_are_counted_as_enumerated(spark):
     frame = spark.createDataFrame([(x,) for x in allowed], "id string")
     got = P.path_counts(spark.createDataFrame(edges, "src string, dst string, type string"), spark.createDataFrame([("hub",), ("n1",), ("hub",)], "id string"), [(t, w, frame if m else None) for t, w, m in steps])
     assert {(x.start, x.node): int(x.n) for x in got.collect()} == walks
-    assert max(walks.values()) > 1000
+    assert max(walks.values()) > 400
 
 
 def made(r):
