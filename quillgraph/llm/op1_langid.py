@@ -7,7 +7,7 @@ language in training) times the logistic loss of the bit's margin; the nearest c
 whose two nearest codewords are close is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` in all, shared evenly by the languages, chosen
-by a hash of the row); every whole text is predicted. The languages are those of the learnable rows, the ``MOST_LANGUAGES`` commonest if there are more.
+by a hash of the row); every whole text is predicted. The languages are those of the learnable rows, all of them; if they are more than the sample has rows, each has one row.
 
 Cases: null texts and texts without a letter give ``und`` with score 0; with no learnable row all texts do; with one
 language that language is predicted; empty tables give no rows; repeated rows get the same prediction each; ties go
@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
 BUCKETS, GRAMS = 4096, 3
-#: The fit: labelled rows in all, and languages, the commonest first.
-SAMPLE_ROWS, MOST_LANGUAGES = 4000, 500
+#: The fit: labelled rows in all, or one a language if there are more languages than that; rows that a language has at least where the total allows it.
+SAMPLE_ROWS, FEW = 4000, 8
 FOLDS, HELD_OUT = 4, 2
 #: Probability of the nearest codeword minus that of the second, below which a text is ambiguous.
 AMBIGUOUS = 0.2
@@ -129,15 +130,17 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     rows = docs.where(learnable()).select("doc_id", "lang", "text")
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in common.collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    each = max(1, sample_rows // len(counts))
+    each = max(FEW, sample_rows // languages)
+    # about twice what a language needs, by the id; then its first ones in the order of the draw, every language's first before any second
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 0.9 * each / n if n > each else 1.0) * (1 << 30))))])
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, x binary")
-    table = sample.limit(sample_rows).toArrow()
+    some = rows.join(counts, "lang").where(draw < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * each) / F.col("n"))).select("lang", "text", draw.alias("draw"))
+    placed = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("place") <= each)
+    sample = placed.orderBy("place", "draw", "lang", "text").limit(max(sample_rows, languages))
+    table = sample.select("lang", "text").mapInArrow(_features, "lang string, x binary").toArrow()
     if not table.num_rows:
         return None
     x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float16).reshape(table.num_rows, BUCKETS).astype(np.float32)

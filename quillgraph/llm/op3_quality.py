@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 POSITIVES, UNLABELLED = 4000, 8000
+#: Rows of the sample for each chosen id, on average: ids may repeat.
+ROWS_PER_ID = 4
 FOLDS, THRESHOLD = 5, 0.3
 _PUNCTUATION = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 _UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
@@ -147,9 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     below = lambda most, total: F.lit(int(min(1.0, 0.9 * most / total if total > most else 1.0) * (1 << 30)))
     chosen = rows.where((F.col("q") == 1) & (draw("p") < below(positives, ones))).select("id", F.lit(True).alias("positive"))
     chosen = chosen.unionByName(rows.where(draw("u") < below(unlabelled, n)).select("id", F.lit(False).alias("positive"))).distinct()
-    chosen = chosen.limit(positives + unlabelled)  # so many ids at most, which bounds the broadcast
+    chosen = chosen.orderBy(draw("order"), "id", "positive").limit(positives + unlabelled)  # so many ids at most, which bounds the broadcast; the same on every run
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "positive")
-    table = sample.mapInArrow(_features, "doc_id long, positive boolean, x binary").limit(4 * (positives + unlabelled)).toArrow()
+    table = sample.mapInArrow(_features, "doc_id long, positive boolean, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "positive", "x").limit(ROWS_PER_ID * (positives + unlabelled)).toArrow()
     x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f8").reshape(table.num_rows, WIDTH)
     flag = np.array(table["positive"].to_pylist(), bool)
     order = np.lexsort((x[:, 20], x[:, 0], np.array(table["doc_id"].to_pylist(), float)))

@@ -37,8 +37,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 
 MOST_TOKENS, MOST_DIGITS, MARGIN = 24, 20, 2.0
-#: The fit: texts that windows are drawn from, windows, and characters that a window has at most.
-SAMPLE_DOCS, WINDOWS, WINDOW_CHARS = 20_000, 1500, 400
+#: The fit: texts that windows are drawn from, and windows; places without a span are looked at in pieces of so many characters.
+SAMPLE_DOCS, WINDOWS, PIECE = 20_000, 1500, 400
 
 Span = tuple[str, int, int]
 
@@ -89,7 +89,7 @@ _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
 _MAIL_REGION = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 #: Wherever the pattern finds an address, its at sign is one of these.
 _MAIL_SIGN = re.compile(r"@|[\[({<]\s?at\s?[\])}>]|\sat\s", re.I)
-_DIGIT_REGION = re.compile(r"[+(]{0,2}[0-9](?:[ ().\[\]/_+-]{0,3}[0-9])+")
+_DIGIT_REGION = re.compile(r"(?:[+(]{1,2}\s?)?[0-9](?:[ ().\[\]/_+-]{0,3}[0-9])+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _HINTS = (re.compile(r"mail|contact|write", re.I), re.compile(r"\bip\b|host|server|address", re.I), re.compile(r"card|visa|pay", re.I), re.compile(r"phone|tel|call|fax|mobile", re.I))
 #: An address goes on behind its end, or before its start.
@@ -275,7 +275,9 @@ def disguised(kind: str, value: str, way: int) -> str:
     if kind == "card":
         d = digits_of(value)
         return (".", "/", "_", " - ")[way % 4].join(d[i : i + 4] for i in range(0, len(d), 4))
-    return ("00", "+ ", "(+")[way % 3] + value[1:]
+    d = digits_of(value)
+    groups = " ".join([d[:2], d[2:5], d[5:]])
+    return ("00" + value[1:], "+ " + value[1:], "(00) " + value[1:], "00" + d, "00" + groups, "+ " + groups, "00 " + value[1:].replace(" ", ""), "+ " + d)[way % 8].strip()
 
 
 def training_windows(text: str, ordinal: int) -> list[tuple[str, list[Span]]]:
@@ -291,8 +293,8 @@ def training_windows(text: str, ordinal: int) -> list[tuple[str, list[Span]]]:
                 out.append((left + value + right, [(kind, len(left), len(left) + len(value))]))
     for (a, b), near in overlapping([(k, s - 40, e + 40) for k, s, e in base], regions(text)):
         if not near:
-            out.append((text[max(0, a - 40) : b + 40], []))
-    return [w for w in out if len(w[0]) < WINDOW_CHARS]
+            out += [(text[max(0, s - 40) : min(b, s + PIECE) + 40], []) for s in range(a, b, PIECE)]
+    return out
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = WINDOWS) -> np.ndarray | None:
