@@ -213,7 +213,8 @@ def body_contexts(records: DataFrame) -> DataFrame:
     blank = F.from_json(F.lit("[]"), f"array<{_BLOCK}>")
     plain = F.when(F.col("_abstract").isNotNull() & ~F.col("_abstract").startswith("["), F.from_json(F.to_json(F.array(F.struct(F.col("_abstract").alias("text"), F.lit("Abstract").alias("section")))), f"array<{_BLOCK}>"))
     kinds = {"abstract": F.coalesce("p.abstract", plain, blank), "body_text": F.coalesce("p.body_text", "p.bodyText", blank)}
-    blocks = F.concat(*[F.transform(b, lambda x, i, k=k: F.struct(F.lit(k).alias("kind"), i.alias("block"), x.alias("b"))) for k, b in kinds.items()])
+    numbered = lambda k: lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("block"), x.alias("b"))
+    blocks = F.concat(*[F.transform(b, numbered(k)) for k, b in kinds.items()])
     rows = p.where("p is not null").select(name.alias("paper"), F.col("p.title").alias("title"), F.coalesce("p.bib_entries", "p.bibEntries").alias("bib"), F.explode(blocks).alias("x")).select("paper", "title", "bib", "x.kind", "x.block", "x.b.*").where("trim(text) <> ''")
     none = F.array().cast(f"array<{_SPAN}>")
     spans = F.concat(*[F.coalesce(c, none) for c in ("cite_spans", "citeSpans", "citation_spans")])
