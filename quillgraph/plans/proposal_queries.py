@@ -251,3 +251,36 @@ def semantic_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.when(F.col("role") == "user", "abstract").when(F.col("role") == "assistant", "results").otherwise("inferred")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper"), F.col("turn").alias("id"), kind.alias("type"), F.substring_index(text, ".", 1).alias("name"), text.alias("text"), (0.5 + 0.02 * (n % 20)).alias("confidence"), (F.col("role") == "user").alias("explicit"), section.alias("section"), (n % 2 == 0).alias("linked"))
     return C.admitted_records(rows)
+
+
+@query("proposal_merge", """
+WITH l AS (SELECT l_orderkey AS p, l_linenumber AS k, min(l_returnflag) AS f FROM lineitem GROUP BY ALL), t AS (SELECT *, 'n' || k AS id, 'a' || k AS a, (['Problem', 'Hypothesis', 'Mechanism', 'Method', 'NoveltyClaim', 'EvalPlan', 'Risk'])[(k - 1) % 7 + 1] AS type FROM l),
+e AS (SELECT t.p, t.id AS src, CASE WHEN x.p IS NULL THEN NULL ELSE 'n1' END AS dst FROM t LEFT JOIN t x ON x.p = t.p AND x.id = 'n1' WHERE t.f = 'A'), ok AS (SELECT *, 'edge:' || substr(sha256(src || chr(31) || 'supports' || chr(31) || dst), 1, 18) AS id FROM e WHERE dst IS NOT NULL),
+h AS (
+  SELECT p, sha256(concat_ws(chr(31), 'node', id, type, 'line', CASE WHEN f = 'N' THEN 'new ' || k ELSE 'old ' || k END, CASE WHEN f = 'R' THEN 'rejected' ELSE 'active' END, CASE WHEN f = 'R' THEN 'rejected' ELSE '' END, CASE f WHEN 'N' THEN 'previous_text=old ' || k || chr(30) || 'revision_action=' || a WHEN 'R' THEN 'label_reason=returned' ELSE '' END)) AS h FROM t
+  UNION SELECT p, sha256(concat_ws(chr(31), 'edge', id, src, dst, 'supports', 'active', '')) FROM ok
+), a4 AS (SELECT p, substr(h, 1, 4) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY p, substr(h, 1, 4)), a2 AS (SELECT p, substr(h, 1, 2) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM a4 GROUP BY p, substr(h, 1, 2)),
+g AS (SELECT p, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM a2 GROUP BY p)
+SELECT g.p AS proposal, digest, count(*) AS nodes, count(*) FILTER (f = 'R') AS rejected, any_value(coalesce(n, 0)) AS edges FROM g JOIN t USING (p) LEFT JOIN (SELECT p, count(*) AS n FROM ok GROUP BY p) c USING (p) GROUP BY g.p, digest
+""")
+def proposal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round of actions on each order's proposal, checked against its graph, merged and hashed (O196)."""
+    from quillgraph.operators import proposal_graph as G
+
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("proposal"), F.col("l_linenumber").alias("k")).agg(F.min("l_returnflag").alias("f"))
+    none, empty = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
+    name = lambda p: F.concat(F.lit(p), F.col("k"))
+    kinds = F.array(*[F.lit(x) for x in _TYPES[:7]])
+    nodes = line.select("proposal", name("n").alias("id"), F.get(kinds, ((F.col("k") - 1) % 7).cast("int")).alias("type"), F.lit("line").alias("title"), name("old ").alias("text"), F.lit("active").alias("status"), none.alias("label"), empty.alias("properties"))
+    edges = nodes.where("false").select("proposal", "id", F.col("id").alias("src"), F.col("id").alias("dst"), "type", "status", "properties")
+    digests = G.graph_digest(nodes, edges)
+    slates = digests.select("proposal", F.lit("s").alias("slate"), F.lit("1").alias("round"), F.lit("critic").alias("role"), F.col("digest").alias("snapshot"), F.lit(False).alias("skip"))
+    f = F.col("f")
+    kind = F.when(f == "A", "add_support_edge").when(f == "R", "reject_claim").otherwise("revise_node_text")
+    actions = line.select(
+        "proposal", F.lit("s").alias("slate"), name("a").alias("action"), kind.alias("type"), name("n").alias("source"), F.when(f == "A", "n1").otherwise(name("n")).alias("target"), F.lit(None).cast("struct<id:string,type:string,title:string,text:string>").alias("node"),
+        F.lit(None).cast("struct<id:string,src:string,dst:string,type:string>").alias("edge"), name("new ").alias("text"), F.when(f == "R", "returned").alias("reason"), F.lit(False).alias("must_cite"),
+    )
+    after, ties, _ = G.merge_actions(nodes, edges, G.checked_actions(actions, slates, nodes, digests))
+    counts = after.groupBy("proposal").agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "rejected").alias("rejected"))
+    return G.graph_digest(after, ties).join(counts, "proposal").join(ties.groupBy("proposal").agg(F.count("*").alias("edges")), "proposal", "left").fillna(0, ["edges"])
