@@ -67,3 +67,36 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d, s = F.col("l_orderkey").cast("string"), F.concat(F.lit("d"), "l_partkey"), (F.col("l_linenumber") - 1).cast("string")
     line = F.when(F.col("l_returnflag") == "R", F.concat_ws("\t", q, d, s)).when(F.col("l_returnflag") == "A", F.concat_ws(" ", q, F.lit("0"), d, s)).otherwise("query-id\tcorpus-id\tscore")
     return citations.parsed_qrels(table(spark, sf_dir, "lineitem").select(line.alias("value"))).groupBy("query_id", "corpus_id", "score").agg(F.count("*").alias("n"))
+
+
+@query("replay_gates", """
+WITH s AS (SELECT 's' || o_custkey AS suite, o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus <> 'P') AS cut, count(*) FILTER (o_orderpriority <> '1-URGENT') AS gold FROM orders GROUP BY ALL),
+g AS (
+  SELECT suite, 'replay_cases_present' AS gate, true AS ok FROM s UNION ALL SELECT suite, 'strict_time_cutoffs_present', cut = n FROM s UNION ALL SELECT suite, 'gold_labels_present', gold = n FROM s
+  UNION ALL SELECT suite, 'statistical_significance_present', o_custkey % 3 > 0 FROM s UNION ALL SELECT suite, 'suite_status_passed', o_custkey % 2 = 0 FROM s
+)
+SELECT gate, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS incomplete FROM g GROUP BY gate
+""")
+def replay_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suites of customers with their orders as cases, in records of three shapes; suites by gate and verdict (O207)."""
+    from quillgraph.operators import replay_suite as R
+
+    o = table(spark, sf_dir, "orders")
+    case = F.struct(
+        F.struct(F.lit(1).alias("a")).alias("candidate"), F.struct(F.lit(1).alias("a")).alias("baseline"), F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("time_cutoff"),
+        F.struct(F.when(F.col("o_orderpriority") != "1-URGENT", F.array(F.col("o_orderkey"))).alias("must_cite_set")).alias("gold"),
+    )
+    k = F.col("o_custkey")
+    numbers = lambda p: F.struct(F.lit("paired bootstrap").alias("test"), F.lit(p).alias("p_value"), F.lit("9").alias("n"), F.lit(0.2).alias("delta"))
+    metric = "must_cite_recall_at_k_improvement"
+    shapes = [F.to_json(F.struct(F.struct(F.struct(numbers(0.2).alias(metric)).alias("tests")).alias("statistical_significance"))), F.to_json(F.struct(F.array(F.struct(F.lit("recall_at_20_improvement").alias("metric"), F.lit("wilcoxon").alias("method"), F.lit(0.01).alias("pValue"), F.lit(5).alias("caseCount"), F.lit(1.5).alias("lift"))).alias("statistical_tests"))), F.to_json(F.struct(F.struct(F.struct(numbers(0.01).alias("mustCiteRecallAtKImprovement")).alias("significance")).alias("statistics")))]
+    # one record a part of the cases, and one with the rest, so that a suite of any size is rows of bounded size
+    held = o.groupBy("o_custkey", (F.col("o_orderkey") % 4).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), case))).alias("cases"))
+    suite = F.concat(F.lit("s"), k).alias("suite")
+    records = held.select(suite, F.to_json(F.struct("cases")).alias("value"))
+    heads = o.select("o_custkey").distinct()
+    status = heads.select(suite, F.to_json(F.struct(F.when(k % 2 == 0, "passed").otherwise("failed").alias("status"), F.struct(F.lit("masterset").alias("source")).alias("dataset"))).alias("value"))
+    tests = heads.select(suite, F.get(F.array(*shapes), (k % 3).cast("int")).alias("value"))
+    wanted = ["replay_cases_present", "strict_time_cutoffs_present", "gold_labels_present", "statistical_significance_present", "suite_status_passed"]
+    found = R.gates(records.unionByName(status).unionByName(tests)).where(F.col("gate").isin(wanted))
+    return found.groupBy("gate").agg(F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status") == "incomplete").alias("incomplete"))
