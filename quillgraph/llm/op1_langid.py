@@ -7,7 +7,7 @@ language in training) times the logistic loss of the bit's margin; the nearest c
 whose two nearest codewords are close is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` in all, shared evenly by the languages, chosen
-by a hash of the row); every whole text is predicted. The languages are those of the learnable rows, all of them; if they are more than the sample has rows, each has one row.
+by a hash of the row); every whole text is predicted. The languages are those of the learnable rows, all of them; if they are more than the sample has rows, each has one row. Rows without an id are not learned from.
 
 Cases: null texts and texts without a letter give ``und`` with score 0; with no learnable row all texts do; with one
 language that language is predicted; empty tables give no rows; repeated rows get the same prediction each; ties go
@@ -130,16 +130,15 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     rows = docs.where(learnable()).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    languages = counts.count()
+    languages = rows.select("lang").distinct().count()
     if not languages:
         return None
-    each = max(FEW, sample_rows // languages)
-    # about twice what a language needs, by the id; then its first ones in the order of the draw, every language's first before any second
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30))
-    some = rows.join(counts, "lang").where(draw < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(2.0 * each) / F.col("n"))).select("lang", "text", draw.alias("draw"))
-    placed = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("place") <= each)
-    sample = placed.orderBy("place", "draw", "lang", "text").limit(max(sample_rows, languages))
+    each, most = max(FEW, sample_rows // languages), max(sample_rows, languages)
+    # drawn by ids alone, every language's first one before any second; texts are read for those that were drawn
+    keys = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id", F.lit("langid")).alias("draw")).distinct()
+    placed = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("place") <= each)
+    chosen = placed.orderBy("place", "draw", "lang", "doc_id").limit(most)
+    sample = rows.join(chosen, ["doc_id", "lang"]).orderBy("place", "draw", "lang", "text").limit(most)
     table = sample.select("lang", "text").mapInArrow(_features, "lang string, x binary").toArrow()
     if not table.num_rows:
         return None
