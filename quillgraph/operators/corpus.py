@@ -160,10 +160,10 @@ def token_index(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(search_tokens(F.col("text"))).alias("token"), "id").distinct()
 
 
-def search(postings: DataFrame, text: Column, spark) -> DataFrame:
-    """id and hits of the nodes that have any token of a text, by a join with the postings."""
-    wanted = spark.range(1).select(F.explode(F.array_distinct(T.content_tokens(T.normalize(text)))).alias("token"))
-    return postings.join(F.broadcast(wanted), "token").groupBy("id").agg(F.count("*").alias("hits"))  # a query's tokens
+def search(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, id and hits of the nodes that share tokens with queries(query, text), by a join of tokens with the postings."""
+    wanted = queries.select("query", F.explode(F.array_distinct(T.content_tokens(T.normalize(F.coalesce("text", F.lit("")))))).alias("token")).distinct()
+    return postings.join(wanted, "token").groupBy("query", "id").agg(F.count("*").alias("hits"))
 
 
 def brainstorm_view(nodes: DataFrame) -> DataFrame:

@@ -137,12 +137,11 @@ def token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("token").agg(F.count("*").alias("nodes"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-@query("index_search", _INDEX + f", q AS (SELECT unnest(list_distinct({S.content_tokens(S.normalized('text'))})) AS token FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark WHERE text IS NOT NULL)) SELECT id, count(*) AS hits FROM ix JOIN q USING (token) GROUP BY id")
+@query("index_search", _INDEX + f", q AS (SELECT item_id AS query, unnest(list_distinct({S.content_tokens(S.normalized('text'))})) AS token FROM benchmark) SELECT query, id, count(*) AS hits FROM ix JOIN (SELECT DISTINCT * FROM q) q USING (token) GROUP BY query, id")
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that share tokens with the first benchmark item, by a join with the postings."""
-    first = table(spark, sf_dir, "benchmark").where("text is not null").orderBy("item_id").limit(1).collect()
+    """Nodes that share tokens with each benchmark item, by a join with the postings."""
     postings = C.token_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return C.search(postings, F.lit(first[0]["text"] if first else ""), spark)
+    return C.search(postings, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"))
 
 
 @query("graph_store", S.GRAPH + "SELECT n.type, count(*) AS nodes, min(id) AS first, max(length(name)) AS longest FROM nodes n GROUP BY n.type")

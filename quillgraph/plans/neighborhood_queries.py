@@ -141,3 +141,17 @@ def community_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains of each community with their shares (O104)."""
     _, labels, nodes, _ = _labelled(spark, sf_dir)
     return N.community_domains(_domains(nodes), labels)
+
+
+@query("community_structure")
+def community_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities that the concepts really form, with their boundary nodes, latent neighbours and the share of each domain (O101, O103, O104)."""
+    relations, memberships, nodes = _concepts(spark, sf_dir)
+    edges = cut(N.projection(relations, memberships, nodes), "concept-edges")
+    labels = N.partition(edges)
+    top = nodes.join(labels.select("node"), "node", "left_semi")
+    seeds = top.orderBy(F.desc("score"), F.desc("support"), "name", "node").limit(8).select("node")
+    boundary = cut(N.boundary_nodes(edges, labels, top), "boundary")
+    latent = N.latent_neighbors(edges, labels, top, seeds, boundary)
+    row = lambda df, part, score: df.select(F.lit(part).alias("part"), "node", score.cast("double").alias("score"))
+    return row(boundary, "boundary", F.col("score")).unionByName(row(latent, "latent", F.col("score"))).join(labels, "node", "left").select("part", "node", "community", "cluster", "score")

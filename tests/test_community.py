@@ -14,3 +14,28 @@ def test_lineages_skip_cycles(spark):
     e = spark.createDataFrame([("a", "b", 0.9), ("b", "a", 0.9), ("b", "c", 0.5), ("a", "d", 0.8), ("a", "e", 0.1), ("a", "f", 0.2)], "src string, dst string, confidence double")
     got = {tuple(r["path"]): r["score"] for r in Y.lineages(e, "a").collect()}
     assert got == {("a", "b"): 0.9, ("a", "d"): 0.8, ("a", "b", "c"): 0.7, ("a", "f"): 0.2}
+
+
+def test_boundary_nodes_of_real_communities(spark):
+    from quillgraph.operators import neighborhoods as N
+    from quillgraph.plans import neighborhood_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    relations, memberships, nodes = Q._concepts(spark, sf)
+    edges = [(r.a, r.b, r.weight) for r in N.projection(relations, memberships, nodes).collect()]
+    labels = {r.node: r.cluster for r in N.partition(spark.createDataFrame(edges, "a string, b string, weight double")).collect()}
+    scores = {r.node: r.score for r in nodes.collect()}
+    want = {}
+    for v, own in labels.items():
+        by = {}
+        for a, b, w in edges:
+            if v in (a, b):
+                other = labels[b if v == a else a]
+                by[other] = by.get(other, 0) + w
+        top = max((w for c, w in by.items() if c != own), default=0)
+        if by.get(own, 0) > 0.4 and top >= 0.65:
+            want[v] = round(top + by[own] + scores[v], 3)
+    rows = Q.community_structure(spark, sf).collect()
+    got = {r.node: r.score for r in rows if r.part == "boundary"}
+    assert set(got) == set(want) and all(abs(got[v] - want[v]) < 2e-3 for v in want) and len(set(labels.values())) > 1
+    assert {r.node for r in rows} <= set(labels)
