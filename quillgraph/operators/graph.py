@@ -101,14 +101,16 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, depth
     """Simple paths of at most ``depth`` hops from ``sources.id`` to ``targets.id``: path (array), hops, score 1 / hops.
 
     most: so many paths in all, fewest hops first, then by path (3 by default in a trace, 25 at most; None for all). between: ids that
-    paths may pass through. A path grows to targets alone in its last hop, so the widest frontier is never joined with all edges.
+    paths may pass through. A node that no target can be reached from in the hops that are left is never entered: those that can are found
+    backwards from the targets first, so the open paths are those that have an end.
     """
     steps = cut(edges.select(F.col("src").alias("end"), F.col("dst").alias("next")), "edges")
     goal = targets.select(F.col("id").alias("end"))
+    back = bfs(steps.select(F.col("end").alias("src"), F.col("next").alias("dst")), targets, depth - 1, "in").select(F.col("id").alias("next"), F.col("depth").alias("_left")) if depth > 2 else None
     open_ = sources.select(F.array("id").alias("path"), F.col("id").alias("end"))
     found = None
     for hop in range(1, depth + 1):
-        last = steps if hop < depth else steps.join(goal.select(F.col("end").alias("next")), "next", "left_semi")
+        last = steps.join(goal.select(F.col("end").alias("next")), "next", "left_semi") if hop == depth else steps if back is None else steps.join(back.where(F.col("_left") <= depth - hop), "next", "left_semi")
         grown = open_.join(last, "end").where(~F.array_contains("path", F.col("next")))
         open_ = grown.select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("end"))
         done = open_.join(goal, "end", "left_semi").select("path", F.lit(hop).alias("hops"), F.lit(1.0 / hop).alias("score"))

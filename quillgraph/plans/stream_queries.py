@@ -131,13 +131,11 @@ SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITIO
 """)
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest row of each key by idempotent micro-batches (O162, O173)."""
-    import uuid
+    from quillgraph.runtime import scratch
 
-    target = f"{shared_dir(spark)}/quillgraph/upsert-{uuid.uuid4().hex}"
+    target = scratch(spark, "upsert")
     logs.run_to_table(_log(spark, sf_dir), "append", logs.upsert_sink(target))
-    versions = spark.read.parquet(f"{target}/v*").withColumn("file", F.input_file_name())
-    last = versions.agg(F.max(F.regexp_extract("file", r"/v([0-9]{9})/", 1))).first()[0]
-    return spark.read.parquet(f"{target}/v{last}").select("user_id", "event_id", "event_type")
+    return logs.upserted(spark, target).select("user_id", "event_id", "event_type")
 
 
 @query("event_tail", """
