@@ -19,7 +19,8 @@ Sets are distinct hashes of five-word shingles, 64 bits each: "exact" holds up t
    between components. Pairs whose components have merged are never written.
 6. Components of all links, by minimum labels with pointer jumping.
 
-The answer is each document's component: links within one are not counted, as in a group of near copies they are quadratic.
+The answer of ``jaccard_components`` is each document's component: links within one are not counted, as in a group of near copies they are
+quadratic. ``jaccard_links`` lists all of them, between texts with different words, and counts those of each document.
 
 Cases: null, empty and wordless texts have the empty set, link with nothing and are their own component; fewer than five words
 are one shingle; repeated rows get the same answer each; rows of one id and different texts are compared like any others; a null id is
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ from . import common as C
 WORDS, BANDS = 5, 4
 #: Entries in a block of a list, and pairs that are looked at together.
 BLOCK, TOGETHER = 32, 1 << 18
+#: Pairs of a part that are kept to tell repeated ones apart.
+HELD = 4 * TOGETHER
 #: Buckets of tokens at least and at most, and bytes of text for each between.
 BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1024, 1 << 16, 32 << 20
 #: Tokens of more than 2 ** HOT sets have their lists split.
@@ -135,14 +139,16 @@ def _nodes(docs: pa.Table, nodes: dict) -> Iterator[tuple[int, np.ndarray]]:
 
 def _offer(bits: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
-        """A block's distinct tokens by bucket, and how many of its nodes have each (255 at most)."""
+        """A block's distinct tokens by bucket, and how many of its nodes have each: a byte, or 255 and four bytes in ``more``."""
         found = [_NONE]
         for _, s in _nodes(docs, dict(zip(zip(side["rep"].to_pylist(), side["digest"].to_pylist()), side["node"].to_pylist()))):
             found.append(s >> np.uint64(32 - bits))
         keys, n = np.unique(np.concatenate(found), return_counts=True)
         bucket, cuts = _cut(keys)
         block = np.full(len(bucket), docs["block"][0].as_py() if docs.num_rows else 0, np.int32)
-        return pa.table([pa.array(block), pa.array(bucket), _packed(keys.astype(np.uint32), cuts), _packed(np.minimum(n, 255).astype(np.uint8), cuts)], ["block", "bucket", "tokens", "n"])
+        many = n >= 255
+        more = _packed(n[many].astype(np.uint32), np.r_[0, np.cumsum(many)][cuts])
+        return pa.table([pa.array(block), pa.array(bucket), _packed(keys.astype(np.uint32), cuts), _packed(np.minimum(n, 255).astype(np.uint8), cuts), more], ["block", "bucket", "tokens", "n", "more"])
 
     return run
 
@@ -151,7 +157,8 @@ def _classes(table: pa.Table) -> pa.Table:
     """From a bucket's offers: for each block its tokens that two nodes or more have, with the logarithm of their number."""
     sizes = [len(x) // 4 for x in table["tokens"].to_pylist()]
     tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32)
-    counts = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint8)
+    counts = np.frombuffer(b"".join(table["n"].to_pylist()), np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(b"".join(table["more"].to_pylist()), np.uint32)
     _, at = np.unique(tokens, return_inverse=True)
     total = np.bincount(at, counts)[at]
     shared = total > 1
@@ -203,7 +210,7 @@ def described_sets(docs: DataFrame, nodes: DataFrame, n: int, total: int) -> Dat
     """SETS of all nodes (rep, block, digest, node); documents and nodes have the same n blocks."""
     bits = (min(MOST_BUCKETS, max(BUCKETS, total // BUCKET_BYTES)) - 1).bit_length()
     by_block = lambda df: C.dealt(df, n).groupBy("block")
-    offers = by_block(docs).cogroup(by_block(nodes)).applyInArrow(_offer(bits), "block int, bucket int, tokens binary, n binary")
+    offers = by_block(docs).cogroup(by_block(nodes)).applyInArrow(_offer(bits), "block int, bucket int, tokens binary, n binary, more binary")
     shared = C.materialize(offers.groupBy("bucket").applyInArrow(_classes, "block int, bucket int, tokens binary, kinds binary"), "jaccard-shared")
     side = shared.unionByName(nodes, allowMissingColumns=True)
     out = C.materialize(by_block(docs).cogroup(by_block(side)).applyInArrow(_draw(bits), SETS), "jaccard-sets")
@@ -400,10 +407,11 @@ class Lists:
 
 
 def _candidates(best: bool):
-    def run(table: pa.Table) -> pa.Table:
-        """a, b, bound: pairs of a part that may link; with ``best`` the nearest of every two components."""
-        lists = Lists(table)
-        held = [np.zeros((3, 0), np.int64)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """a, b, bound: pairs of a part that may link; with ``best`` the nearest of every two components. No more than HELD are kept: pairs
+        beyond go out at once, and may come again."""
+        lists = Lists(pa.Table.from_batches(list(batches)))
+        held, size = [np.zeros((3, 0), np.int64)], 0
 
         def distinct() -> np.ndarray:
             x, y, least = np.concatenate(held, axis=1)
@@ -413,15 +421,22 @@ def _candidates(best: bool):
             first = np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])][: len(order)]
             return np.stack([x, y, least])[:, order[first]]
 
+        def given(pairs: np.ndarray) -> pa.RecordBatch:
+            a, b = lists.node[pairs[0]], lists.node[pairs[1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(3 * (lists.n[pairs[0]] + lists.n[pairs[1]]))], ["a", "b", "bound"])
+
         for places in lists.places():
             found = lists.survivors(*places)
             if len(found[0]):
                 held.append(np.stack(found))
-                if sum(h.shape[1] for h in held) > 4 * TOGETHER:
-                    held = [distinct()]
-        x, y, _ = distinct()
-        a, b = np.minimum(lists.node[x], lists.node[y]), np.maximum(lists.node[x], lists.node[y])
-        return pa.table([pa.array(a), pa.array(b), pa.array(3 * (lists.n[x] + lists.n[y]))], ["a", "b", "bound"])
+                size += len(found[0])
+            if size > HELD:
+                held = [distinct()]
+                if held[0].shape[1] > HELD // 2:
+                    yield given(held[0])
+                    held = [np.zeros((3, 0), np.int64)]
+                size = held[0].shape[1]
+        yield given(distinct())
 
     return run
 
@@ -438,8 +453,30 @@ def candidates(listed: DataFrame, labels: DataFrame, best: bool, total: int) ->
 # ---- the join ------------------------------------------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+class Prepared(NamedTuple):
+    """Steps 1 to 3: what the index is built on. words: doc_id, digest; nodes: digest, rep, block, node; stars: compared pairs of sets and hubs."""
+
+    words: DataFrame
+    nodes: DataFrame
+    sets: DataFrame
+    may: DataFrame
+    listed: DataFrame
+    stars: DataFrame
+    anchors: DataFrame
+    listed_bytes: int
+    blocks: int
+
+    def left(self, labels: DataFrame, best: bool, done: DataFrame) -> DataFrame:
+        """Answers on pairs between components that the index leaves open and that are not done."""
+        pairs = candidates(self.listed, labels, best, self.listed_bytes).join(done, ["a", "b"], "left_anti")
+        return compared(self.may, pairs, self.blocks, ("a", "b"), self.anchors, "jaccard-compared")
+
+    def tried(self) -> DataFrame:
+        """The pairs of stars, smaller node first."""
+        return self.stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def prepared(docs: DataFrame) -> Prepared:
     total = C.text_bytes(docs)
     n = C.block_count(total)
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text").withColumn("block", C.block_of(n, "doc_id", "text"))
@@ -457,7 +494,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tried = bands.join(hubs, ["band", "value"]).where("node <> hub.node and 4 * least(n, hub.n) >= 3 * greatest(n, hub.n) and 7 * (alone + hub.alone) <= n + hub.n")
     tried = tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), (3 * (F.col("n") + F.col("hub.n"))).alias("bound")).distinct()
     stars = compared(may, tried, blocks, ("a",), None, "jaccard-stars")
-    labels = components(stars.where("linked"))
     anchors = stars.where("linked").groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("hub"), "rem", "add"), F.struct("o", "b")).alias("best")).select("a", "best.*")
     anchors = C.materialize(anchors, "jaccard-anchors")
     sizes = may.select("node", "n")
@@ -466,23 +502,54 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nearest = nearest.union(is_hub).groupBy(F.col("a").alias("node")).agg(F.min(F.struct("far", F.col("b").alias("hub"))).alias("near")).select("node", "near.hub", "near.far")
     listed = may.drop("bands", "shared").join(nearest, "node", "left").withColumns({"hub": F.coalesce("hub", "node"), "far": F.coalesce("far", F.lit(0).cast("long"))})
     listed = C.materialize(listed, "jaccard-listed")
+    return Prepared(words, nodes, sets, may, listed, stars, anchors, int(listed_bytes), blocks)
 
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id."""
+    p = prepared(docs)
     # the index: first what merges components, then all that is left between them
-    links = stars.where("linked").select("a", "b")
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links, done = p.stars.where("linked").select("a", "b"), p.tried()
+    labels = components(links)
     for best in (True, False):
-        pairs = candidates(listed, labels, best, int(listed_bytes)).join(done, ["a", "b"], "left_anti")
-        found = compared(may, pairs, blocks, ("a", "b"), anchors, "jaccard-compared")
+        found = p.left(labels, best, done)
         links, done = links.union(found.where("linked").select("a", "b")), done.union(found.select("a", "b"))
         labels = components(links)
-    comp = nodes.join(labels, "node", "left").select("node", "digest", "rep", F.coalesce("comp", "node").alias("comp"))
+    comp = p.nodes.join(labels, "node", "left").select("node", "digest", "rep", F.coalesce("comp", "node").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
-    by_digest = comp.join(sets.select("node", "n"), "node").join(least, "comp").select("digest", "n", "least")
-    answers = words.select("doc_id", "digest").join(by_digest, "digest", "left")
+    by_digest = comp.join(p.sets.select("node", "n"), "node").join(least, "comp").select("digest", "n", "least")
+    answers = p.words.select("doc_id", "digest").join(by_digest, "digest", "left")
     given = lambda c: F.when(c != _NO_ID, c)
     return answers.select(given(F.col("doc_id")).alias("doc_id"), F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), given(F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links. A class is the documents with the same words in the same order.
+
+    First the documents: doc_id, class (hexadecimal; null without words), n_shingles, n_links (how many other rows each is linked with, its
+    copies included). Second the links between classes: class_a < class_b, n_common and n_union shingles. Copies are never paired; the links
+    between different texts are all there, so their number is what it is: quadratic in a family of near copies.
+    """
+    p = prepared(docs)
+    each = docs.sparkSession.createDataFrame([], "node long, comp long")  # every set is its own component
+    stars = p.stars.where("linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o").distinct()
+    found = p.left(each, False, p.tried().distinct()).where("linked").select("a", "b", "o")
+    about = p.nodes.select("node", F.lower(F.hex("digest")).alias("class")).join(p.sets.select("node", "n"), "node")
+    side = lambda x: about.toDF(x, f"class_{x}", f"n_{x}")
+    pairs = stars.union(found).join(side("a"), "a").join(side("b"), "b")
+    low = F.col("class_a") < F.col("class_b")
+    links = pairs.select(F.when(low, F.col("class_a")).otherwise(F.col("class_b")).alias("class_a"), F.when(low, F.col("class_b")).otherwise(F.col("class_a")).alias("class_b"), F.col("o").alias("n_common"), (F.col("n_a") + F.col("n_b") - F.col("o")).alias("n_union"))
+    links = C.materialize(links, "jaccard-links")
+    words = p.words.select("doc_id", F.lower(F.hex("digest")).alias("class"))
+    sizes = words.where("class is not null").groupBy("class").agg(F.count("*").alias("size"))
+    ends = links.select(F.col("class_a").alias("of"), F.col("class_b").alias("class")).union(links.select("class_b", "class_a"))
+    others = ends.join(sizes, "class").groupBy(F.col("of").alias("class")).agg(F.sum("size").alias("others"))
+    by_class = sizes.join(others, "class", "left").join(about.select("class", "n"), "class").select("class", "n", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    none = F.lit(0).cast("long")
+    rows = words.join(by_class, "class", "left").select(F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"), "class", F.coalesce("n", none).alias("n_shingles"), F.coalesce("n_links", none).alias("n_links"))
+    return rows, links
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their component, columns as they were; rows that repeat that id all stay."""
     key = C.free_name(docs, "kept")

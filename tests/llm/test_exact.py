@@ -156,11 +156,15 @@ def test_cuckoo_filter_grows_and_keeps_all():
     assert sum(shard.filter.contains(op8.digest(b"x%d" % i)) for i in range(5000)) < 25
 
 
+def shingle_set(w):
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
 def components_by_force(rows):
     sets = []
     for i, t, _ in rows:
         w = low(t).encode().split()
-        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
+        sets.append((i, shingle_set(w)))
     parent = list(range(len(sets)))
 
     def find(x):
@@ -257,7 +261,7 @@ def test_lists_leave_every_linking_pair(seed, block, hot, far):
         for part in range(3 if rows else 0):
             table = entries.filter(pa.compute.equal(entries["part"], part))
             if table.num_rows:
-                out = op6._candidates(False)(table)
+                out = pa.Table.from_batches(list(op6._candidates(False)(iter(table.to_batches()))))
                 found |= set(zip(out["a"].to_pylist(), out["b"].to_pylist()))
                 assert out["bound"].to_pylist() == [3 * (len(sets[a]) + len(sets[b])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
     finally:
@@ -265,6 +269,42 @@ def test_lists_leave_every_linking_pair(seed, block, hot, far):
     assert linking <= found
 
 
+def test_jaccard_links(spark, docs, rows, empty, monkeypatch):
+    """Documents with their numbers of links, and links between classes, against all pairs; also with tokens counted by more than a byte and pairs that go out early."""
+    out = []
+    for held, data in ((op6.HELD, None), (4, family(60, 0.02))):
+        monkeypatch.setattr(op6, "HELD", held)
+        given = rows if data is None else [(i, t, None) for i, t, *_ in data]
+        found, links = op6.jaccard_links(docs if data is None else spark.createDataFrame([r[:2] for r in given], "doc_id long, text string"))
+        sets = [(i, low(t).encode().split(), shingle_set(low(t).encode().split())) for i, t, _ in given]
+        linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+        want = [(i, op6.digest(w).hex() if w else None, len(s), sum(linked(s, y) for k, (_, _, y) in enumerate(sets) if k != j)) for j, (i, w, s) in enumerate(sets)]
+        assert key(tuple(r) for r in found.collect()) == key(want)
+        classes = {op6.digest(w).hex(): s for _, w, s in sets if w}
+        pairs = {(a, b, len(classes[a] & classes[b]), len(classes[a] | classes[b])) for a in classes for b in classes if a < b and linked(classes[a], classes[b])}
+        got = [tuple(r) for r in links.collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs
+        out.append(len(got))
+    assert out[0] and out[1] > 100
+    assert [x.count() for x in op6.jaccard_links(empty)] == [0, 0]
+
+
+def test_offers_count_past_a_byte():
+    import pyarrow as pa
+
+    texts = [f"one two three four five six own{i} words{i} of{i} this{i}" for i in range(700)]
+    docs = pa.table([pa.array(range(700)), pa.array(texts), pa.array([3] * 700, pa.int32())], ["doc_id", "text", "block"])
+    side = pa.table([pa.array(range(700)), pa.array([op6.digest(t.encode().split()) for t in texts]), pa.array(range(700))], ["rep", "digest", "node"])
+    offer = op6._offer(4)(docs, side)
+    found = []
+    for bucket in set(offer["bucket"].to_pylist()):
+        out = op6._classes(offer.filter(pa.compute.equal(offer["bucket"], bucket)))
+        for tokens, kinds in zip(out["tokens"].to_pylist(), out["kinds"].to_pylist()):
+            assert len(tokens) == 4 * len(kinds)
+            found += list(kinds)
+    assert found == [9, 9]  # two shingles are in all 700 texts, 2 ** 9 <= 700 < 2 ** 10; all others in one
+
+
 def test_one_of_each_keeps_columns(spark, docs, rows):
     kept = op6.one_of_each(docs)
     assert kept.columns == docs.columns
