@@ -4,10 +4,11 @@ A shard is the texts that a task holds at a time. Its words are coded by the wor
 separators (no phrase can cross them), so the indexed sequence is the runs of phrase words that are long enough for the shortest
 phrase. On it: suffix array by prefix doubling, Burrows-Wheeler transform, wavelet matrix for ranks, suffix positions sampled
 every eighth word and at the start of each run. All phrases are searched backward at once; occurrences are located by walking
-back to a sampled position, and the spans of a document are merged. No row is shuffled.
+back to a sampled position, and the spans of a document are merged.
 
-Windows are cut from the items where these lie and made distinct; they come in blocks of about ``PHRASE_BYTES``, each of which is broadcast. The
-documents stream through one pass a block, and each pass is written before the next, so a large benchmark or item costs passes and not memory.
+Windows are cut from the items where these lie, made distinct and numbered; they come in blocks of about ``PHRASE_BYTES``, each of which is broadcast
+without items, so a window of very many items is one row there. The documents are read once a block, and a pass writes only what it has found: the digest of
+a text with hits, its spans and the numbers of its windows. Items are joined by number afterwards, once for each distinct set of windows.
 
 Cases: null text has no words and no hits; an item with null or wordless text has no window; equal windows belong to all
 their items; a repeated item id counts once; a null item id is listed as the empty text; an empty benchmark or an empty document table gives zeros or no rows; extra columns are carried
@@ -21,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -157,18 +158,16 @@ def _windows(window: int):
 
 
 class Phrases:
-    """A block of windows (words joined by a space, item), coded by their own vocabulary (codes from 1)."""
+    """A block of distinct windows (number, words joined by a space), coded by their own vocabulary (codes from 1)."""
 
-    def __init__(self, rows: Iterable[tuple[bytes, str]], window: int = WINDOW) -> None:
-        found: dict[bytes, set] = {}
-        for win, item in rows:
-            found.setdefault(bytes(win), set()).add(item)
-        windows = [w.split(b" ") for w in found]
+    def __init__(self, rows: Iterable[tuple[int, bytes]], window: int = WINDOW) -> None:
+        rows = list(rows)
+        windows = [bytes(w).split(b" ") for _, w in rows]
+        self.numbers = np.array([n for n, _ in rows], np.int64)
         self.code: dict[bytes, int] = {}
         for w in windows:
             for x in w:
                 self.code.setdefault(x, len(self.code) + 1)
-        self.items = [sorted(x) for x in found.values()]
         self.lengths = np.array([len(w) for w in windows], np.int64)
         self.words = np.zeros((len(windows), window), np.int64)
         for i, w in enumerate(windows):
@@ -176,8 +175,8 @@ class Phrases:
         self.least = int(self.lengths.min()) if windows else 0
 
 
-def _shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """For each text: words, merged hit spans in words, items found."""
+def _shard(texts: list[bytes], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[int]]]:
+    """For each text: merged hit spans in words, numbers of the windows found."""
     counts, runs, origin = [], [np.zeros(1, np.int64)], [np.full(1, -1, np.int64)]
     get, base = phrases.code.get, 0
     for text in texts:
@@ -192,7 +191,7 @@ def _shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[i
                     origin += [np.arange(base + a, base + b), np.full(1, -1, np.int64)]
         base += len(words)
     spans: list[list] = [[] for _ in texts]
-    items: list[set] = [set() for _ in texts]
+    found: list[set] = [set() for _ in texts]
     seq = np.concatenate(runs)
     if len(seq) > 1:
         index = FMIndex(seq, len(phrases.code) + 1)
@@ -210,8 +209,8 @@ def _shard(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[i
                 spans[d][-1] = (spans[d][-1][0], max(b, spans[d][-1][1]))
             else:
                 spans[d].append((a, b))
-            items[d].update(phrases.items[which[k]])
-    return [(c, s, sorted(i)) for c, s, i in zip(counts, spans, items)]
+            found[d].add(int(phrases.numbers[which[k]]))
+    return [(s, sorted(w)) for s, w in zip(spans, found)]
 
 
 def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -224,8 +223,9 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_ADDED = ("long", "array<struct<start: bigint, end: bigint>>", "array<string>")
+_SPANS, _SPANS_DDL = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "array<struct<start: bigint, end: bigint>>"
+#: The words of words_of, in a text as it is.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def added_names(docs: DataFrame) -> list[str]:
@@ -233,46 +233,92 @@ def added_names(docs: DataFrame) -> list[str]:
     return [C.free_name(docs, x) for x in ("__n_words", "__spans", "__items")]
 
 
-def _pass(broadcast, first: bool, added: list[str]):
+def _text_key() -> Column:
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _as_spans(spans: Iterable[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS)
+
+
+def _pass(broadcast):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """digest, spans and windows of the texts that have hits."""
+        for table in C.gathered(batches, SHARD_BYTES):
+            hits = [(d, *f) for d, f in zip(table["digest"].to_pylist(), _shard(C.texts_of(table["text"]), broadcast.value)) if f[0]]
+            if hits:
+                digests, spans, wins = zip(*hits)
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), _as_spans(spans), pa.array(wins, pa.list_(pa.int64()))], ["digest", "spans", "wins"])
+
+    return run
+
+
+def _without(broadcast):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = broadcast.value
+        """The rows whose texts have no hit."""
         for table in C.gathered(batches, SHARD_BYTES):
-            found = _shard(C.texts_of(table["text"]), phrases)
-            counts, spans, items = zip(*found)
-            if not first:
-                spans = [merge_spans([*s, *((x["start"], x["end"]) for x in old)]) for s, old in zip(spans, table[added[1]].to_pylist())]
-                items = [sorted({*i, *old}) for i, old in zip(items, table[added[2]].to_pylist())]
-                table = table.drop_columns(added)
-            spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
-            for name, values, kind in zip(added, (counts, spans, items), (pa.int64(), _SPANS, pa.list_(pa.string()))):
-                table = table.append_column(name, pa.array(values, kind))
-            yield from table.combine_chunks().to_batches()
+            yield from table.filter(pa.array([not spans for spans, _ in _shard(C.texts_of(table["text"]), broadcast.value)], pa.bool_())).combine_chunks().to_batches()
 
     return run
 
 
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [merge_spans((x["start"], x["end"]) for x in row) for row in batch.column("spans").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("spans"), "spans", _as_spans(spans))
+
+
+class Benchmark:
+    """The windows of a benchmark: item pairs, distinct windows with numbers, and their blocks."""
+
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> None:
+        items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+        self.window = window
+        self.pairs = C.materialize(items.mapInArrow(_windows(window), "win binary, item string").distinct(), "decontaminate-windows")
+        self.windows = C.materialize(self.pairs.select("win").distinct().select(F.monotonically_increasing_id().alias("number"), "win"), "decontaminate-numbers")
+        self.blocks = C.block_count(int(self.windows.agg(F.sum(F.octet_length("win"))).first()[0] or 0), phrase_bytes, 1)
+
+    def broadcast(self, k: int):
+        rows = self.windows.where(C.block_of(self.blocks, "win") == k).collect()  # about phrase_bytes, by hash of short rows, each window once
+        return self.windows.sparkSession.sparkContext.broadcast(Phrases(rows, self.window))
+
+    def hits(self, docs: DataFrame) -> DataFrame:
+        """digest, spans, wins of each distinct text with hits, a row a block that has some. Written."""
+        texts, out = docs.select(_text_key().alias("digest"), "text"), None
+        for k in range(self.blocks):
+            phrases = self.broadcast(k)
+            found = C.materialize(texts.mapInArrow(_pass(phrases), f"digest binary, spans {_SPANS_DDL}, wins array<bigint>").dropDuplicates(["digest"]), "decontaminate-pass")
+            phrases.destroy()
+            out = found if out is None else out.union(found)
+        return out
+
+    def items(self, hits: DataFrame) -> DataFrame:
+        """digest, spans, items: hits of all blocks, merged, and the sorted items of their windows."""
+        hits = hits.withColumn("set", F.sha2(F.array_join("wins", ","), 256))
+        numbers = hits.dropDuplicates(["set"]).select("set", F.explode("wins").alias("number"))
+        named = self.pairs.join(self.windows, "win").select("number", "item")
+        by_set = numbers.join(named, "number").groupBy("set").agg(F.collect_set("item").alias("items"))
+        whole = hits.join(by_set, "set").groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return whole.mapInArrow(_merged, f"digest binary, spans {_SPANS_DDL}, items array<string>")
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
-    """The documents with the columns of added_names: words, spans (merged, in words) and items."""
-    spark, added = docs.sparkSession, added_names(docs)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    windows = C.materialize(items.mapInArrow(_windows(window), "win binary, item string").distinct(), "decontaminate-windows")
-    blocks = C.block_count(int(windows.agg(F.sum(F.octet_length("win") + F.octet_length("item"))).first()[0] or 0), phrase_bytes, 1)
-    schema = f"{C.schema_of(docs)}, " + ", ".join(f"`{name}` {kind}" for name, kind in zip(added, _ADDED))
-    before = None
-    for k in range(blocks):
-        rows = windows.where(C.block_of(blocks, "win") == k).collect()  # about phrase_bytes, by hash of short rows
-        docs = docs.mapInArrow(_pass(spark.sparkContext.broadcast(Phrases(rows, window)), k == 0, added), schema)
-        if k + 1 < blocks:
-            docs = C.materialize(docs, "decontaminate-pass")
-            if before is not None:
-                C.discard(before)
-            before = docs
-    return docs
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit, columns as they were."""
-    return find_benchmark(docs, benchmark).where(F.size(added_names(docs)[1]) == 0).select(docs.columns)
+    """The documents with the columns of added_names: words, spans (merged, in words) and items. What was found is joined by digests of texts."""
+    (n_words, spans, items), key = added_names(docs), C.free_name(docs, "__text")
+    bench = Benchmark(benchmark, window, phrase_bytes)
+    found = bench.items(bench.hits(docs)).toDF(key, spans, items)
+    words = F.coalesce(F.regexp_count("text", F.lit(_WORD)).cast("long"), F.lit(0).cast("long"))
+    rows = docs.withColumns({key: _text_key(), n_words: words}).join(found, key, "left")
+    return rows.select(*docs.columns, n_words, F.coalesce(spans, F.array().cast(_SPANS_DDL)).alias(spans), F.coalesce(items, F.array().cast("array<string>")).alias(items))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
+    """The documents without any hit, columns as they were: by one narrow pass if one block holds all windows, else by the digests of all that have hits."""
+    bench = Benchmark(benchmark, phrase_bytes=phrase_bytes)
+    if bench.blocks == 1:
+        return docs.mapInArrow(_without(bench.broadcast(0)), C.schema_of(docs))
+    key = C.free_name(docs, "__text")
+    return docs.withColumn(key, _text_key()).join(bench.hits(docs).select(F.col("digest").alias(key)), key, "left_anti").select(docs.columns)
 
 
 def _clean(names: list[str], spans_name: str):

@@ -340,13 +340,27 @@ def test_decontamination(spark, rows, empty, block, frame):
     n_words, spans, items = op9.added_names(docs)
     got = [(r["doc_id"], r[n_words], sum(s["end"] - s["start"] for s in r[spans]), r[items]) for r in found.collect()]
     assert key(got) == key(hits_by_force(few, BENCH))
-    assert {r["doc_id"] for r in op9.decontaminate(docs, bench).collect()} == {i for i, _, h, _ in hits_by_force(few, BENCH) if not h}
+    assert {r["doc_id"] for r in op9.decontaminate(docs, bench, block).collect()} == {i for i, _, h, _ in hits_by_force(few, BENCH) if not h}
     cleaned = {r["doc_id"]: r["text"] for r in op9.remove_spans(docs, bench).collect()}
     assert cleaned[200] == "Q1 q2 ; then a !" and cleaned[10] == dict((i, t) for i, t, _ in few)[10]
     assert op9.find_benchmark(empty, bench).count() == 0
     assert op9.find_benchmark(docs, bench.limit(0)).where(f"size({spans}) > 0").count() == 0
 
 
+def test_decontamination_window_of_many_items(spark):
+    """A line that all items share is one window there; a pass writes texts with hits alone, and no text."""
+    line = " ".join(f"shared{i}" for i in range(10))
+    bench = spark.createDataFrame([(i, f"{line} own{i}") for i in range(500)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {line} after {i % 2}" if i % 3 else f"clean {i}") for i in range(60)], "doc_id long, text string")
+    windows = op9.Benchmark(bench, phrase_bytes=4096)
+    assert windows.blocks > 1 and windows.windows.count() == 501 and windows.pairs.count() == 1000
+    hits = windows.hits(docs)
+    assert hits.columns == ["digest", "spans", "wins"] and hits.count() == 2
+    rows = op9.find_benchmark(docs, bench, phrase_bytes=4096).collect()
+    assert {r["doc_id"]: len(r["__items"]) for r in rows} == {i: 500 if i % 3 else 0 for i in range(60)}
+    assert all(r["__items"] == sorted(map(str, range(500))) and [tuple(s) for s in r["__spans"]] == [(1, 11)] for r in rows if r["doc_id"] % 3)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.lists(st.integers(1, 3), min_size=1, max_size=4))
 def test_fm_index_finds_all(seq, phrase):
