@@ -30,3 +30,10 @@ def same(spark, name, sf):
 def test_citation_mentions_of_keys_like_years(spark, tmp_path):
     got = same(spark, "citation_mentions", tables(tmp_path, [(1, 1, 0, 1912, 0.05), (1, 2, 1, 20011, 0.05), (2, 1, 2, 7, 0.05)]))
     assert {"supplier 1912", "supplier 2001", "supplier7 1996"} <= set(got["reference"])
+
+
+def test_gap_patterns_of_a_mean_at_the_bound(spark, tmp_path):
+    # summed as doubles in this order the mean of .05 is above .05, so the gap was additive and lost its pattern
+    path = tables(tmp_path, [(1, k, 0, 7, d) for k, d in enumerate([0.0, 0.05, 0.1])], ["small ring"])
+    got = registry.queries()["gap_patterns"](spark, path).toPandas()
+    assert list(got["pattern"]) == ["shrink"]
