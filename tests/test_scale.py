@@ -2,10 +2,14 @@
 
 import datetime
 
+import random
+
 import duckdb
 import pandas as pd
-
 from compare import connect, rows
+from pyspark.sql import functions as F
+
+from quillgraph.operators import papers as P
 from quillgraph.plans import registry
 
 PARTS = ["red ring", "red bolt", "old plate", "hot ring", "blue plate"]
@@ -37,3 +41,23 @@ def test_gap_patterns_of_a_mean_at_the_bound(spark, tmp_path):
     path = tables(tmp_path, [(1, k, 0, 7, d) for k, d in enumerate([0.0, 0.05, 0.1])], ["small ring"])
     got = registry.queries()["gap_patterns"](spark, path).toPandas()
     assert list(got["pattern"]) == ["shrink"]
+
+
+def test_claim_matches_equal_all_pairs_and_join_few(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choices(["sparse", "dense", "graph", "model", "helps", "fails", "small", "large"], k=rng.choice([1, 2, 3, 4, 6, 9])))
+    said, gold = ([(k % 3, k, text(), rng.choice("fm")) for k in range(90)] for _ in range(2))
+    sets = lambda x: set(x[2].split())
+    score = lambda g, p: round(len(sets(g) & sets(p)) / len(sets(g) | sets(p)), 6)
+    best = {}
+    for g in gold:
+        like = sorted((-score(g, p), p[1]) for p in said if p[0] == g[0] and score(g, p) >= 0.55)
+        if like:
+            best.setdefault((g[0], like[0][1]), (g[1], -like[0][0]))
+    a, b = spark.createDataFrame(said, "paper int, id int, text string, type string"), spark.createDataFrame(gold, "paper int, gold int, text string, type string")
+    assert {(r["paper"], r["id"]): (r["gold"], r["score"]) for r in P.claim_matches(a, b).collect()} == best
+    # a word that all claims of a paper share joined all of them with each other
+    wide = spark.range(300).select(F.lit(1).alias("paper"), "id", F.array(F.lit("claim"), *[F.concat(F.lit(x), "id") for x in "uvw"]).alias("x"))
+    df = wide.select(F.explode("x").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    keys = P._pair_keys(wide, "id", "x", df, 0.55)
+    assert keys.alias("a").join(keys.alias("b"), ["paper", "key"]).select("a.id", "b.id").distinct().count() == 300
