@@ -9,6 +9,7 @@ import pandas as pd
 from compare import connect, rows
 from pyspark.sql import functions as F
 
+from quillgraph.operators import corpus as C
 from quillgraph.operators import papers as P
 from quillgraph.plans import registry
 
@@ -61,3 +62,19 @@ def test_claim_matches_equal_all_pairs_and_join_few(spark):
     df = wide.select(F.explode("x").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     keys = P._pair_keys(wide, "id", "x", df, 0.55)
     assert keys.alias("a").join(keys.alias("b"), ["paper", "key"]).select("a.id", "b.id").distinct().count() == 300
+
+
+def test_reachable_in_lists_of_few(spark, monkeypatch):
+    monkeypatch.setattr(C, "LISTED", 3)
+    rng = random.Random(7)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(160)}
+    pairs = [(a, (a * 7 + k) % 40) for a in range(40) for k in range(3)]
+    want = {}
+    for s, t in pairs:
+        at = {s}
+        for hop in range(1, 6):
+            at = {b for a, b in edges if a in at}
+            if t in at:
+                want.setdefault((s, t), hop)
+    got = C.reachable(spark.createDataFrame(sorted(edges), "src int, dst int"), spark.createDataFrame(pairs, "source int, target int"), 5)
+    assert {(x["source"], x["target"]): x["hops"] for x in got.collect()} == want
