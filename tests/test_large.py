@@ -27,3 +27,20 @@ def test_claim_patterns_stand_once_in_the_plan(spark):
     found = P.claims(sections)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("facilitates") == 1 and found.count() == 1
+
+
+def test_duplicate_papers_of_one_title_or_size_make_no_pairs(spark, monkeypatch):
+    # papers of a title were joined with each other though their sizes tell them apart, and those of a size by their titles
+    from quillgraph.operators import corpus as C
+
+    rows_of = {}
+    cut = C.cut
+    monkeypatch.setattr(C, "cut", lambda df, name="step": rows_of.setdefault(name, cut(df, name)))
+    papers = [(k, k % 7, False, ["", "License", f"Title {k}"][k % 3], [["a"], ["b"], None][k % 3], [f"size:{k % 50}"]) for k in range(600)]
+    df = spark.createDataFrame(papers, "id long, score int, markdown boolean, title string, authors array<string>, ids array<string>")
+    got = {x["id"]: x["keeper"] for x in C.duplicate_papers(df).collect()}
+    best = {}
+    for p in sorted(papers, key=lambda p: (-p[1], p[0])):
+        best.setdefault(p[5][0], p[0])
+    assert got == {p[0]: best[p[5][0]] for p in papers}
+    assert rows_of["duplicates-described"].count() == 50 and rows_of["duplicates"].count() == 0
