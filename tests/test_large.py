@@ -44,3 +44,26 @@ def test_duplicate_papers_of_one_title_or_size_make_no_pairs(spark, monkeypatch)
         best.setdefault(p[5][0], p[0])
     assert got == {p[0]: best[p[5][0]] for p in papers}
     assert rows_of["duplicates-described"].count() == 50 and rows_of["duplicates"].count() == 0
+
+
+def test_cited_papers_from_the_best_score_down(spark, monkeypatch):
+    from quillgraph.operators import overlay as O
+
+    r = random.Random(11)
+    words = ["ring", "bolt", "plate", "cold", "hot", "small", "large", "gear"]
+    titles = [f"p{i}" for i in range(60)], [" ".join(r.sample(words, r.randint(2, 6))) for _ in range(60)]
+    papers = list(zip(*titles))
+    refs = [(f"c{i}", r.choice([titles[1][i], " ".join(r.sample(words, r.randint(2, 6))), " ".join(r.sample(titles[1][i].split(), titles[1][i].count(" ") + 1)), titles[1][i] + " gadget"])) for i in range(60)]
+
+    def score(a, b):
+        x, y = set(a.split()), set(b.split())
+        near = len(x & y) / max(len(x), len(y))
+        return max(1.0 if a == b else 0, 0.9 if f" {a} " in f" {b} " or f" {b} " in f" {a} " else 0, near if near >= 0.72 else 0)
+
+    want = {c: max(score(t, p[1]) for p in papers) for c, t in refs}
+    met, near = [], O._near
+    monkeypatch.setattr(O, "_near", lambda left, *rest: met.append(left.count()) or near(left, *rest))
+    got = {x["context"]: (x["cited"], x["score"]) for x in O.cited_papers(spark.createDataFrame(refs, "context string, ref_title string"), spark.createDataFrame(papers, "paper string, title string")).collect()}
+    assert {c: s for c, (_, s) in got.items()} == {c: s for c, s in want.items() if s}
+    assert all(score(dict(refs)[c], dict(papers)[p]) == s for c, (p, s) in got.items())
+    assert met and met[0] < 60  # references with an equal title met all titles with which they shared a word
