@@ -67,3 +67,28 @@ def test_cited_papers_from_the_best_score_down(spark, monkeypatch):
     assert {c: s for c, (_, s) in got.items()} == {c: s for c, s in want.items() if s}
     assert all(score(dict(refs)[c], dict(papers)[p]) == s for c, (p, s) in got.items())
     assert met and met[0] < 60  # references with an equal title met all titles with which they shared a word
+
+
+def test_concepts_of_a_paper_meet_in_one_row(spark):
+    # concepts of a paper were joined with each other by paper, after several shuffles of all lines
+    from itertools import combinations
+
+    from quillgraph.operators import neighborhoods as N
+
+    r = random.Random(2)
+    nodes = [(f"n{k}", f"{r.choice(['red', 'blue'])} c{k % 5}", r.choice(["Method", "Problem", "Other"]), float(r.randint(1, 4)), r.randint(1, 3)) for k in range(30)]
+    rows = [(r.randrange(12), [f"n{r.randrange(34)}" for _ in range(r.randint(0, 9))]) for _ in range(40)]
+    of, rank = {n[0]: n for n in nodes}, lambda n: (-n[3], -n[4], n[1], n[0])
+    want = {}
+    for p in range(12):
+        best = sorted((of[x] for x in {x for q, c in rows if q == p for x in c} if x in of), key=rank)[:12]
+        for x, y in combinations(sorted(best), 2):
+            s, t = set(x[1].split()), set(y[1].split())
+            like, high = len(s & t) / len(s | t), [n[2] in N.HIGH_VALUE for n in (x, y)]
+            if any(high) and (all(high) or like >= N.LEAST_SIMILARITY):
+                want.setdefault((x[0], y[0]), []).append(like)
+    papers = N.gathered(spark.createDataFrame(rows, "paper int, concepts array<string>"))
+    found = N.weak_weights(papers, spark.createDataFrame(nodes, "node string, name string, type string, score double, support int"))
+    got = {(x["a"], x["b"]): x["weight"] for x in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - (0.35 + min(0.35, 0.18 * (len(v) - 1)) + min(0.22, 0.3 * v[0]))) < 1e-9 for k, v in want.items())
+    assert papers._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
