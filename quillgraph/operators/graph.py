@@ -168,3 +168,25 @@ def apply_delta(nodes: DataFrame, edges: DataFrame, delete_nodes: DataFrame, del
     keep = keep.join(upsert_edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti").unionByName(upsert_edges)
     rest = nodes.join(delete_nodes.select("id"), "id", "left_anti").join(upsert_nodes.select("id"), "id", "left_anti")
     return rest.unionByName(upsert_nodes), keep
+
+
+def edge_cube(edges: DataFrame, by: tuple[str, str] = ("type", "layer_scope")) -> DataFrame:
+    """The two columns, n, sources, targets: edges(src, dst) and their distinct ends in every combination of two columns of few values; null where a column is left out.
+
+    Ends are counted by the set of values that they occur with, so each edge is shuffled once an end, and not once a combination and count; combinations are made of the sets.
+    """
+    x, y = by
+    combos = lambda g: F.array(*[F.struct(F.lit(k).alias("level"), (g[x] if k in (0, 1) else F.lit(None)).alias(x), (g[y] if k in (0, 2) else F.lit(None)).alias(y)) for k in range(4)])
+    zero = F.lit(0).cast("long")
+
+    def spread(groups: DataFrame, name: str) -> DataFrame:
+        each = groups.select("k", F.explode(F.array_distinct(F.flatten(F.transform("g", combos)))).alias("c"))
+        return each.select("c.*", *[(F.col("k") if c == name else zero).alias(c) for c in ("n", "sources", "targets")])
+
+    def ends(end: str) -> DataFrame:
+        of = edges.where(F.col(end).isNotNull()).select(end, F.struct(*by).alias("g")).repartition(end).distinct().groupBy(end).agg(F.array_sort(F.collect_set("g")).alias("g"))
+        return of.groupBy("g").agg(F.count("*").alias("k"))
+
+    rows = spread(edges.groupBy(*by).agg(F.count("*").alias("k")).select("k", F.array(F.struct(*by)).alias("g")), "n")
+    rows = rows.unionByName(spread(ends("src"), "sources")).unionByName(spread(ends("dst"), "targets"))
+    return rows.groupBy("level", *by).agg(*[F.sum(c).alias(c) for c in ("n", "sources", "targets")]).drop("level")

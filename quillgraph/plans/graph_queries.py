@@ -93,7 +93,7 @@ SELECT type, layer_scope, count(*) AS n, count(DISTINCT src) AS sources, count(D
 def edge_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges by type and layer scope, every combination (O54, O107)."""
     _, edges = G.graph_of_tables(spark, sf_dir)
-    return edges.cube("type", "layer_scope").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    return G.edge_cube(edges)
 
 
 @query("layer_and_year_filter", S.GRAPH + """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import classify as K
 from quillgraph.operators import papers as P
+from quillgraph.plans import registry
 
 TEXTS = ["This Improves recall", "we Propose a NEW model", "by 3.5 % gain", "it FAILED", "no claim at all", "modified and applied", "vs. others", "uses it", "The study found 2 pts lower", "disproves unimproved"]
 
@@ -92,3 +93,17 @@ def test_concepts_of_a_paper_meet_in_one_row(spark):
     got = {(x["a"], x["b"]): x["weight"] for x in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - (0.35 + min(0.35, 0.18 * (len(v) - 1)) + min(0.22, 0.3 * v[0]))) < 1e-9 for k, v in want.items())
     assert papers._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+
+
+def test_edge_cube_makes_no_row_for_each_combination(spark):
+    # the two distinct counts of the cube were made from twelve rows an edge
+    from quillgraph.operators import graph as G
+
+    r = random.Random(4)
+    edges = [(f"s{r.randrange(9)}", r.choice([None, "t1", "t2", "t3"]), r.choice(["USES", "HAS", None]), r.choice(["x", "y"])) for _ in range(120)]
+    df = spark.createDataFrame(edges, "src string, dst string, type string, layer_scope string")
+    want = sorted(df.cube("type", "layer_scope").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets")).collect(), key=str)
+    found = G.edge_cube(df)
+    assert sorted(found.collect(), key=str) == want
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in registry.queries()["edge_cube"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
