@@ -107,3 +107,15 @@ def test_edge_cube_makes_no_row_for_each_combination(spark):
     assert sorted(found.collect(), key=str) == want
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in registry.queries()["edge_cube"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_years_are_not_sent_to_the_driver(spark, monkeypatch):
+    # each round broadcast the years of all methods, so what passed the driver grew with them
+    from quillgraph.operators import overlay as O
+
+    plans, cut = [], O.cut
+    monkeypatch.setattr(O, "cut", lambda df, name="step": plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, name))
+    nodes = spark.createDataFrame([(k, 2000 + k if k % 5 == 0 else None) for k in range(20)], "id int, year int")
+    got = {x.id: x.year for x in O.filled_years(nodes, spark.createDataFrame([(k + 1, k) for k in range(19)], "src int, dst int")).collect()}
+    assert got == {k: 2000 + k // 5 * 5 for k in range(20)}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
