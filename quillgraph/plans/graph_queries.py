@@ -10,7 +10,7 @@ from quillgraph.functions import text as T
 from quillgraph.operators import graph as G
 from quillgraph.plans import sqltext as S
 from quillgraph.plans.registry import query
-from quillgraph.runtime import table
+from quillgraph.runtime import cut, table
 
 _SEARCH = "red widget"
 
@@ -298,6 +298,33 @@ def transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("score", F.round(F.least(F.lit(0.95), 0.3 + 0.08 * F.col("support") + bonus), 4))
 
 
+#: Neighbours in one list of a shared node, and pairs that one task counts.
+_LIST, _TASK_PAIRS = 1024, 4_000_000
+
+
+def likely_links(edges: DataFrame) -> DataFrame:
+    """a, b, common, score of all pairs a < b that share a neighbour in edges(s, m).
+
+    Each a is sent the lists of its neighbours' other neighbours, not a row a pair, and its pairs are counted and scored where the lists arrive; the number of
+    such places grows with the number of pairs. A neighbour's list is cut into pieces of some ``_LIST``, so no row holds that of a hub."""
+    e = edges.where("s is not null").repartition("s").distinct()
+    e = cut(e.join(e.groupBy("s").agg(F.count("*").cast("int").alias("deg")), "s").where("m is not null"), "link-edges")
+    sizes = e.groupBy("m").agg(F.count("*").alias("n"))
+    pairs = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    # lists in order, so that each neighbour takes what stands behind it
+    cell = F.pmod(F.xxhash64("s"), F.ceil(F.col("n") / _LIST))
+    lists = e.join(sizes, "m").groupBy("m", cell.alias("cell")).agg(F.array_sort(F.collect_list(F.struct("s", "deg"))).alias("x"))
+    lists = lists.select("m", F.col("x.s").alias("to"), F.col("x.deg").alias("degs"), F.element_at("x.s", -1).alias("last"))
+    sent = e.join(lists, "m").where("last > s").select(F.col("s").alias("a"), F.col("deg").alias("da"), "to", "degs")
+    behind = F.size(F.filter("to", lambda b: b <= F.col("a"))) + 1
+    sent = sent.select("a", "da", F.slice("to", behind, F.size("to")).alias("to"), F.slice("degs", behind, F.size("to")).alias("degs"))
+    held = sent.repartition(int(pairs // _TASK_PAIRS) + 1, "a").select("a", "da", F.explode(F.arrays_zip("to", "degs")).alias("x"))
+    c = F.col("common")
+    both = held.groupBy("a", F.col("x.to").alias("b"), "da", F.col("x.degs").alias("db")).agg(F.count("*").alias("common"))
+    score = 0.28 + 0.35 * c / (F.col("da") + F.col("db") - c) + F.least(F.lit(0.35), 0.08 * c)
+    return both.select("a", "b", "common", F.round(score, 6).alias("score"))
+
+
 @query("link_prediction", """
 WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS m FROM lineitem), d AS (SELECT s, count(*) AS deg FROM e GROUP BY s),
 c AS (SELECT x.s AS a, y.s AS b, count(*) AS common FROM e x JOIN e y ON x.m = y.m AND x.s < y.s GROUP BY ALL),
@@ -306,10 +333,5 @@ SELECT a, b, common, score FROM r ORDER BY score DESC, a, b LIMIT 100
 """)
 def link_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best hundred pairs by prior, Jaccard and common neighbours; the top list is the feature (O145)."""
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("m")).distinct()
-    deg = e.groupBy("s").agg(F.count("*").alias("deg"))
-    common = e.alias("x").join(e.alias("y"), "m").where("x.s < y.s").groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("common"))
-    both = common.join(deg.select(F.col("s").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("s").alias("b"), F.col("deg").alias("db")), "b")
-    c = F.col("common")
-    score = 0.28 + 0.35 * c / (F.col("da") + F.col("db") - c) + F.least(F.lit(0.35), 0.08 * c)
-    return both.select("a", "b", "common", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "a", "b").limit(100)
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("m"))
+    return likely_links(e).orderBy(F.desc("score"), "a", "b").limit(100)

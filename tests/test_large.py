@@ -119,3 +119,26 @@ def test_years_are_not_sent_to_the_driver(spark, monkeypatch):
     got = {x.id: x.year for x in O.filled_years(nodes, spark.createDataFrame([(k + 1, k) for k in range(19)], "src int, dst int")).collect()}
     assert got == {k: 2000 + k // 5 * 5 for k in range(20)}
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_likely_links_by_lists_of_any_cut_count_all_pairs(spark, monkeypatch):
+    import random
+
+    from quillgraph.plans import graph_queries as Q
+
+    monkeypatch.setattr(Q, "_LIST", 3)
+    monkeypatch.setattr(Q, "_TASK_PAIRS", 40)
+    r = random.Random(5)
+    edges = [(r.randint(0, 25), r.randint(0, 12)) for _ in range(120)] + [(s, 99) for s in range(30)] + [(3, None), (None, 99)]
+    of = {}
+    for s, m in set(edges):
+        if s is not None:
+            of.setdefault(s, set()).add(m)
+    want = {}
+    for a in of:
+        for b in of:
+            n = len((of[a] & of[b]) - {None})
+            if a < b and n:
+                want[a, b] = (n, round(0.28 + 0.35 * n / (len(of[a]) + len(of[b]) - n) + min(0.35, 0.08 * n), 6))
+    got = Q.likely_links(spark.createDataFrame(edges, "s long, m long")).collect()
+    assert len(got) == len(want) and {(x.a, x.b): (x.common, x.score) for x in got} == want
