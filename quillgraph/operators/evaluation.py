@@ -60,22 +60,26 @@ def relation_matches(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     Similarity: a third each of the ends' and types' token Jaccard, from .72 on. Predictions choose in order of place, each gold relation once; a prediction whose
     first choices are taken by earlier ones takes its next.
     """
-    sim = lambda a, b: T.jaccard(F.array_distinct(T.tokens(T.normalize(F.coalesce(a, F.lit(""))))), F.array_distinct(T.tokens(T.normalize(F.coalesce(b, F.lit(""))))))
-    keyed = lambda df, k: df.withColumn("key", F.explode(F.array_distinct(T.tokens(T.normalize(F.concat_ws(" ", "source", "target"))))))
-    p, g = keyed(predicted, "place"), keyed(gold.withColumnsRenamed({"source": "s2", "target": "t2", "type": "k2"}).withColumns({"source": F.col("s2"), "target": F.col("t2")}), "gold")
-    near = p.join(g.select("query", "key", "gold", "s2", "t2", "k2"), ["query", "key"]).select("query", "place", "source", "target", "type", "gold", "s2", "t2", "k2").distinct()
-    kind = F.when(F.col("type") == F.col("k2"), 1.0).otherwise(sim(F.col("type"), F.col("k2")))
-    scored = near.withColumn("similarity", F.round((sim(F.col("source"), F.col("s2")) + sim(F.col("target"), F.col("t2")) + kind) / 3, 6)).where(F.col("similarity") >= RELATION_MATCH)
-    choices = scored.groupBy("query", "place").agg(F.array_sort(F.collect_list("gold")).alias("choices")).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "choices"))).alias("rows"))
+    words = lambda c: F.array_distinct(T.tokens(T.normalize(F.coalesce(F.col(c), F.lit("")))))
+    # a text is normalised once, not once a pair
+    read = lambda df, at, *names: df.distinct().select("query", at, F.col("type").alias(names[3]), *[words(c).alias(n) for c, n in zip(("source", "target", "type"), names)])
+    p, g = read(predicted, "place", "s1", "t1", "w1", "k1"), read(gold, "gold", "s2", "t2", "w2", "k2")
+    # targets of a match share a token, as the other two parts are 1 at most; a pair is met at the first one that they share
+    keyed = lambda df, c: df.select("*", F.explode(c).alias("key"))
+    near = keyed(p, "t1").join(keyed(g, "t2"), ["query", "key"]).where(F.col("key") == F.array_min(F.array_intersect("t1", "t2")))
+    kind = F.when(F.col("k1") == F.col("k2"), 1.0).otherwise(T.jaccard(F.col("w1"), F.col("w2")))
+    similarity = F.round((T.jaccard(F.col("s1"), F.col("s2")) + T.jaccard(F.col("t1"), F.col("t2")) + kind) / 3, 6)
+    scored = near.select("query", "place", "gold", similarity.alias("similarity")).where((F.col("similarity") >= RELATION_MATCH) & F.col("gold").isNotNull())
+    choices = scored.repartition("query").groupBy("query", "place").agg(F.array_sort(F.collect_list(F.struct("gold", "similarity"))).alias("choices")).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "choices"))).alias("rows"))
 
     def take(acc: Column, row: Column) -> Column:
-        free = F.filter(row["choices"], lambda g: ~F.exists(acc, lambda t: t["gold"] == g))
-        return F.when(F.size(free) > 0, F.array_append(acc, F.struct(row["place"].alias("place"), F.get(free, F.lit(0)).alias("gold")))).otherwise(acc)
+        free = F.filter(row["choices"], lambda c: ~F.exists(acc, lambda t: t["gold"] == c["gold"]))
+        return F.when(F.size(free) > 0, F.array_append(acc, F.struct(row["place"].alias("place"), F.get(free, F.lit(0))["gold"].alias("gold"), F.filter(free, lambda c: c["gold"] == F.get(free, F.lit(0))["gold"]).alias("same")))).otherwise(acc)
 
     kinds = dict(predicted.dtypes)["place"], dict(gold.dtypes)["gold"]
-    start = F.array().cast(f"array<struct<place: {kinds[0]}, gold: {kinds[1]}>>")
-    taken = choices.select("query", F.explode(F.aggregate("rows", start, take)).alias("t")).select("query", "t.place", "t.gold")
-    return taken.join(scored.select("query", "place", "gold", "similarity"), ["query", "place", "gold"])
+    start = F.array().cast(f"array<struct<place: {kinds[0]}, gold: {kinds[1]}, same: array<struct<gold: {kinds[1]}, similarity: double>>>>")
+    taken = choices.select("query", F.explode(F.aggregate("rows", start, take)).alias("t")).where("t.place is not null")
+    return taken.select("query", "t.place", "t.gold", F.explode("t.same.similarity").alias("similarity"))
 
 
 def agreement(labels: DataFrame) -> DataFrame:

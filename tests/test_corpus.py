@@ -158,3 +158,12 @@ def test_title_check(spark):
     assert {r["raw"]: (r["x"]["title"], r["x"]["reason"]) for r in df.collect()} == cases
     none = spark.range(1).select(M.title_check(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("x")).first()["x"]
     assert (none["title"], none["valid"], none["reason"]) == ("paper", False, "empty")
+
+
+def test_relation_matches_normalises_each_text_once(spark):
+    predicted = [(1, 1, "alpha model", "beta data set", "USES"), (1, 1, "alpha model", "beta data set", "USES"), (1, 2, "alpha model", "data beta", "USES"), (1, 3, "alpha", "gamma", "USES")]
+    gold = [(1, 7, "alpha model", "beta data set", "uses"), (1, 8, "alpha model", "set of beta data", "USES"), (1, 9, "alpha", "other", "USES")]
+    out = E.relation_matches(spark.createDataFrame(predicted, "query int, place int, source string, target string, type string"), spark.createDataFrame(gold, "query int, gold int, source string, target string, type string"))
+    assert sorted((r.place, r.gold, r.similarity) for r in out.collect()) == [(1, 7, 1.0), (2, 8, round((1 + 2 / 4 + 1) / 3, 6))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # pairs are made once, not once more to look their similarity up
