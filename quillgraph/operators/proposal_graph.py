@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.runtime import cut
+
 #: Types of nodes and edges, what an edge's ends must be, and actions by what they need.
 NODE_TYPES = ("Problem", "Hypothesis", "Mechanism", "Method", "EvidenceNeed", "EvidenceAttachment", "NoveltyClaim", "EvalPlan", "Risk", "Assumption", "Repair", "StoryBeat")
 EDGE_TYPES = ("supports", "contradicts", "depends_on", "requires_evidence", "repairs", "refines", "transfers_from", "overlaps_prior", "evaluated_by", "falsified_by", "grounded_in", "must_cite", "storyline_next")
@@ -101,7 +103,8 @@ def _made(prefix: str, *parts: Column) -> Column:
 
 def merge_actions(nodes: DataFrame, edges: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes and edges after the valid actions of a round, and effects(proposal, action, effect): added, reused, updated, conflict."""
-    ok = checked.where("error is null and slate_error is null and type <> 'skip'")
+    # read by each kind of action, so checked once and not once a kind
+    ok = cut(checked.where("error is null and slate_error is null and type <> 'skip'"), "proposal-actions")
     none, active = F.lit(None).cast("string"), F.lit("active")
     kind = F.col("type")
     props = lambda *x: F.map_filter(F.create_map(*x), lambda k, v: v.isNotNull())

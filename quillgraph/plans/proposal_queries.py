@@ -15,7 +15,7 @@ from quillgraph.operators import proposals as P
 from quillgraph.operators import scoring as C
 from quillgraph.plans import sqltext as S
 from quillgraph.plans.registry import query
-from quillgraph.runtime import table
+from quillgraph.runtime import cut, table
 
 
 def _proposals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -268,6 +268,7 @@ def proposal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.operators import proposal_graph as G
 
     line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("proposal"), F.col("l_linenumber").alias("k")).agg(F.min("l_returnflag").alias("f"))
+    line = cut(line, "proposal-lines")
     none, empty = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
     name = lambda p: F.concat(F.lit(p), F.col("k"))
     kinds = F.array(*[F.lit(x) for x in _TYPES[:7]])
@@ -282,5 +283,6 @@ def proposal_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("struct<id:string,src:string,dst:string,type:string>").alias("edge"), name("new ").alias("text"), F.when(f == "R", "returned").alias("reason"), F.lit(False).alias("must_cite"),
     )
     after, ties, _ = G.merge_actions(nodes, edges, G.checked_actions(actions, slates, nodes, digests))
+    after, ties = cut(after, "proposal-nodes"), cut(ties, "proposal-edges")
     counts = after.groupBy("proposal").agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "rejected").alias("rejected"))
     return G.graph_digest(after, ties).join(counts, "proposal").join(ties.groupBy("proposal").agg(F.count("*").alias("edges")), "proposal", "left").fillna(0, ["edges"])

@@ -99,3 +99,14 @@ def test_a_changed_log_is_found(spark):
     assert {tuple(r) for r in G.verify(changed).collect()} == {("p", 5, None), ("q", 5, 3), ("r", 4, 3)}
     one = sound.where("round = 1").select(G.chained(F.lit(None).cast("string"), F.col("actions"), F.col("graph")).alias("c"), "chain").collect()
     assert all(r.c == r.chain for r in one)
+
+
+def test_actions_are_checked_once_for_all_kinds(spark):
+    nodes, edges = start(spark)
+    actions = spark.createDataFrame(acts(random.Random(2)), ACTIONS)
+    digests = G.graph_digest(nodes, edges)
+    slates = digests.select("proposal", F.lit("s1").alias("slate"), F.lit("1").alias("round"), F.lit("critic").alias("role"), F.col("digest").alias("snapshot"), F.lit(False).alias("skip"))
+    after, ties, effects = G.merge_actions(nodes, edges, G.checked_actions(actions, slates, nodes, digests))
+    for df in (after, ties, effects):
+        assert "snapshot" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert any("proposal-actions" in f for f in df.inputFiles())
