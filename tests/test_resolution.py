@@ -137,3 +137,29 @@ def test_components(spark):
                 label[n] = both
     got = {x.node: x.component for x in R.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: min(s) for n, s in label.items()}
+
+
+def plain_candidate(i, **other):
+    title = "neural graph learning"
+    own = {"component": 0, "idx": i, "title": title, "norm_title": title, "class": 0, "raw": title.split(), "norm": title.split(), "ids": {"doi": str(i)}, "aliases": [f"doi:{i}", f"title:{title}"], "year": 2000, "authors": [], "author_keys": ["lee"]}
+    return own | {"venue": None, "venue_tokens": [], "venue_family": None, "venue_packs": [], "provider": None, "citations": None, "near": []} | other
+
+
+def test_groups_that_conflict_are_not_looked_at(monkeypatch):
+    seen, real = [], R.evidence
+    monkeypatch.setattr(R, "evidence", lambda g, c: seen.append(1) or real(g, c))
+    groups = []
+    R.settle([plain_candidate(i) for i in range(300)], groups)
+    assert len(groups) == 300 and len(seen) <= 300
+
+
+def test_a_round_gets_no_group_that_its_candidates_cannot_join(spark):
+    groups = [R.opened(plain_candidate(i)) for i in range(50)]
+    state = spark.createDataFrame([tuple(g[n] for n in R._STATE_NAMES) for g in groups], R.STATE)
+    schema = "component long, idx long, norm_title string, class long, ids map<string,string>, aliases array<string>, year int, near array<long>"
+    asked = lambda *rows: {x.grp for x in R.reached(spark.createDataFrame([tuple(c[n.strip().split(" ")[0]] for n in ("component", "idx", "norm_title", "class", "ids", "aliases", "year", "near")) for c in rows], schema), state).collect()}
+    assert asked(plain_candidate(60)) == set()
+    assert asked(plain_candidate(61, ids={"doi": "7"}, aliases=["doi:7", "title:neural graph learning"])) == {7}
+    other = {"ids": {"pmid": "1"}, "aliases": ["pmid:1", "title:neural graph learning"]}
+    assert asked(plain_candidate(62, **other), plain_candidate(63, **other)) == {0, 1}
+    assert asked(plain_candidate(64, ids={}, aliases=["title:neural graph learning"])) == {0}
