@@ -24,9 +24,10 @@ def must_cite(papers: DataFrame, spans: DataFrame, k: int = MUST_CITE, cutoff_ye
     """
     first = papers.where((F.coalesce("key", F.lit("")) != "") | (F.coalesce("title", F.lit("")) != "")).withColumn("n", F.row_number().over(Window.partitionBy("proposal").orderBy("place")))
     first = first.where(F.col("n") <= min(max(1, k), MOST_CITE))
-    by = lambda c: first.where(F.coalesce(c, F.lit("")) != "").select("proposal", "n", c).join(spans.where(F.coalesce(c, F.lit("")) != "").select("proposal", "span", c), ["proposal", c]).select("proposal", "n", "span")
-    found = by("key").union(by("title")).distinct().groupBy("proposal", "n").agg(F.count("*").alias("spans"))
-    out = first.join(found, ["proposal", "n"], "left").withColumn("spans", F.coalesce("spans", F.lit(0)))
+    # both names of a paper, or of a span, are looked up by one join
+    named = lambda df, *keep: df.select(*keep, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{c}:"), F.col(c))) for c in ("key", "title")]))).alias("name"))
+    found = named(first, "proposal", "n", "key", "year").join(named(spans, "proposal", "span"), ["proposal", "name"], "left")
+    out = found.groupBy("proposal", "n", "key", "year").agg(F.countDistinct("span").alias("spans"))
     future = F.coalesce(F.col("year") > F.lit(cutoff_year).cast("int"), F.lit(False))
     return out.select("proposal", F.col("n").alias("place"), "key", F.when(F.col("n") == 1, "baseline_or_method_anchor").otherwise("supporting_prior").alias("obligation"), "spans", (F.col("spans") > 0).alias("covered"), future.alias("future"))
 
@@ -44,10 +45,13 @@ def certificate(proposals: DataFrame, fragments: DataFrame, claims: DataFrame, c
     fragments(proposal, novelty, usefulness); claims(proposal, claim, spans, tier); cited from must_cite.
     """
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.when(F.col(c) > 1, F.col(c) / 5).otherwise(F.col(c)), F.lit(0.5))))
-    f = fragments.groupBy("proposal").agg(F.avg(unit("novelty")).alias("novelty"), F.avg(unit("usefulness")).alias("significance"))
-    c = claims.groupBy("proposal").agg(F.avg(_tier(F.col("tier"))).alias("feasibility"), F.avg((F.col("spans") > 0).cast("int")).alias("grounding"), F.count("*").alias("claims"), F.count_if(F.col("spans") == 0).alias("unsupported"))
-    m = cited.groupBy("proposal").agg(F.avg(F.col("covered").cast("int")).alias("completeness"), F.count_if("future").alias("leaks"), F.count("*").alias("must_cites"))
-    rows = proposals.select("proposal").distinct().join(f, "proposal", "left").join(c, "proposal", "left").join(m, "proposal", "left").fillna(0)
+    wide = lambda df, **have: df.select("proposal", *[have.get(c, F.lit(None)).cast("double").alias(c) for c in ("listed", "novelty", "usefulness", "tier", "spans", "covered", "future", "is_claim", "is_cited")])
+    all_ = wide(proposals, listed=F.lit(1)).unionByName(wide(fragments, novelty=unit("novelty"), usefulness=unit("usefulness")))
+    all_ = all_.unionByName(wide(claims, is_claim=F.lit(1), tier=_tier(F.col("tier")), spans=F.col("spans"))).unionByName(wide(cited, is_cited=F.lit(1), covered=F.col("covered").cast("int"), future=F.col("future").cast("int")))
+    rows = all_.groupBy("proposal").agg(
+        F.max("listed").alias("listed"), F.avg("novelty").alias("novelty"), F.avg("usefulness").alias("significance"), F.avg("tier").alias("feasibility"), F.avg((F.col("spans") > 0).cast("int")).alias("grounding"), F.count("is_claim").alias("claims"), F.count_if(F.col("spans") == 0).alias("unsupported"),
+        F.avg("covered").alias("completeness"), F.count_if(F.col("future") > 0).alias("leaks"), F.count("is_cited").alias("must_cites"),
+    ).where("listed = 1").fillna(0)
     return rows.select("proposal", *[F.round(F.col(x) + 1e-9, 4).alias(x) for x in ("novelty", "significance", "feasibility", "grounding", "completeness")], F.when(F.col("leaks") > 0, 0).otherwise(1).alias("temporal"), "claims", "unsupported", "must_cites", "leaks")
 
 

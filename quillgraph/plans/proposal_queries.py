@@ -15,7 +15,7 @@ from quillgraph.operators import proposals as P
 from quillgraph.operators import scoring as C
 from quillgraph.plans import sqltext as S
 from quillgraph.plans.registry import query
-from quillgraph.runtime import cut, table
+from quillgraph.runtime import cut, dealt, table
 
 
 def _proposals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -24,9 +24,11 @@ def _proposals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     place = F.row_number().over(Window.partitionBy("proposal").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     key = F.concat(F.lit("o"), F.col("o_orderkey"))
     papers = o.select("proposal", place.alias("place"), key.alias("key"), F.concat(F.lit("paper "), F.col("o_orderkey")).alias("title"), "year")
-    back = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").join(o.select("o_orderkey", "proposal"), "o_orderkey")
+    lines = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    lines, owners = dealt(t("lineitem").count(), (lines, "o_orderkey"), (o.select("o_orderkey", "proposal"), "o_orderkey"))
+    back = lines.join(owners, "o_orderkey")
     spans = back.select("proposal", F.concat_ws(":", "o_orderkey", "l_linenumber").alias("span"), key.alias("key"), F.lit(None).cast("string").alias("title"))
-    per_claim = back.groupBy("o_orderkey").agg(F.countDistinct("l_linenumber").alias("spans"))
+    per_claim = t("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.countDistinct("l_linenumber").alias("spans"))
     tier = F.when(F.col("o_orderpriority").startswith("1"), "strong").when(F.col("o_orderpriority").startswith("2"), "moderate").when(F.col("o_orderpriority").startswith("3"), "weak").otherwise("missing")
     claims = o.select("proposal", "o_orderkey", tier.alias("tier")).join(per_claim, "o_orderkey", "left").select("proposal", key.alias("claim"), F.coalesce("spans", F.lit(0)).alias("spans"), "tier")
     fragments = o.select("proposal", F.round(F.col("o_totalprice") / 600000, 6).alias("novelty"), F.round((F.col("year") - 1992) / 8, 6).alias("usefulness"))
@@ -73,8 +75,9 @@ SELECT proposal, novelty AS novelty_score, feasibility AS methods_score, groundi
 def review_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewers' scores, concerns and recommendation of each proposal (O194)."""
     p = _proposals(spark, sf_dir)
-    certified, cited = _certified(p)
-    return P.review(certified, P.concerns(p["claims"], cited))
+    claims = cut(p["claims"], "claims")
+    cited = cut(P.must_cite(p["papers"], p["spans"], cutoff_year=1998), "cited")
+    return P.review(P.certificate(p["proposals"], p["fragments"], claims, cited), P.concerns(claims, cited))
 
 
 _STORY = _PROPOSALS + """,
@@ -92,10 +95,11 @@ SELECT proposal, b.place AS place, b.beat AS beat, b.next_beat AS next_beat, arr
 def proposal_storyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven beats of each proposal with what they refer to (O193)."""
     p = _proposals(spark, sf_dir)
-    raised = P.concerns(p["claims"], _certified(p)[1]).where("severity = 'major'")
+    claims = cut(p["claims"], "claims")
+    raised = P.concerns(claims, P.must_cite(p["papers"], p["spans"], cutoff_year=1998)).where("severity = 'major'")
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("proposal"), "o_orderkey", "o_orderstatus", "o_orderpriority")
     row = lambda df, kind, ref: df.select("proposal", F.lit(kind).alias("kind"), ref.alias("place"), ref.alias("ref")).distinct()
-    refs = row(p["claims"].where("spans > 0"), "claim", F.col("claim")).unionByName(row(o.where("o_orderstatus = 'P'"), "challenge", F.concat(F.lit("z"), F.col("o_orderkey")))).unionByName(row(o.where("o_orderpriority like '5%'"), "takeaway", F.concat(F.lit("t"), F.col("o_orderkey")))).unionByName(row(raised, "concern", F.col("about")))
+    refs = row(claims.where("spans > 0"), "claim", F.col("claim")).unionByName(row(o.where("o_orderstatus = 'P'"), "challenge", F.concat(F.lit("z"), F.col("o_orderkey")))).unionByName(row(o.where("o_orderpriority like '5%'"), "takeaway", F.concat(F.lit("t"), F.col("o_orderkey")))).unionByName(row(raised, "concern", F.col("about")))
     return P.storyline(p["proposals"], refs)
 
 

@@ -142,3 +142,19 @@ def test_likely_links_by_lists_of_any_cut_count_all_pairs(spark, monkeypatch):
                 want[a, b] = (n, round(0.28 + 0.35 * n / (len(of[a]) + len(of[b]) - n) + min(0.35, 0.08 * n), 6))
     got = Q.likely_links(spark.createDataFrame(edges, "s long, m long")).collect()
     assert len(got) == len(want) and {(x.a, x.b): (x.common, x.score) for x in got} == want
+
+
+def test_a_certificate_is_one_aggregation_and_citations_are_one_join(spark):
+    from quillgraph.operators import proposals as P
+
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    papers = spark.createDataFrame([(1, 1, "a", "x", 2000), (1, 2, "b", None, 1990), (1, 3, None, "y", None), (2, 1, "a", "a", 1990)], "proposal long, place int, key string, title string, year int")
+    spans = spark.createDataFrame([(1, "s1", "a", None), (1, "s1", None, "x"), (1, "s2", None, "x"), (1, "s3", "x", "a"), (1, "s4", "", "y"), (2, "s5", "b", "c")], "proposal long, span string, key string, title string")
+    cited = P.must_cite(papers, spans, cutoff_year=1998)
+    assert joins(cited) == 1
+    assert sorted((r.proposal, r.place, r.spans, r.covered, r.future) for r in cited.collect()) == [(1, 1, 2, True, True), (1, 2, 0, False, False), (1, 3, 1, True, False), (2, 1, 0, False, False)]
+    claims = spark.createDataFrame([(1, "c", 0, "strong"), (1, "d", 2, None), (3, "e", 1, "weak")], "proposal long, claim string, spans long, tier string")
+    fragments = spark.createDataFrame([(1, 2.0, None)], "proposal long, novelty double, usefulness double")
+    all_ = P.certificate(spark.createDataFrame([(1,), (1,), (2,)], "proposal long"), fragments, claims, cited)
+    assert joins(all_) == 1
+    assert sorted(tuple(r) for r in all_.collect()) == [(1, 0.4, 0.5, 0.675, 0.5, 0.6667, 0, 2, 1, 3, 1), (2, 0.0, 0.0, 0.0, 0.0, 0.0, 1, 0, 0, 1, 0)]
