@@ -69,3 +69,10 @@ def test_all_records_and_none(spark):
     key = lambda rows: {(x.doc, x.type, x.name) for x in rows}
     assert key(some) < key(every) and all(x.place <= X.MOST.get(x.type, 15) for x in some)
     assert X.records(papers.limit(0), frame.limit(0)).count() == 0
+
+
+def test_sections_are_scanned_once(spark):
+    sections = spark.createDataFrame([("a", 0, "results", "", "Results show that accuracy is 3.")], "doc string, ord long, role string, heading string, text string")
+    found = X.records(spark.createDataFrame([("a", "Nets for maps")], "doc string, title string"), sections)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.type for r in found.collect()} >= {"finding", "metric", "method", "problem"}
