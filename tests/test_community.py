@@ -39,3 +39,17 @@ def test_boundary_nodes_of_real_communities(spark):
     got = {r.node: r.score for r in rows if r.part == "boundary"}
     assert set(got) == set(want) and all(abs(got[v] - want[v]) < 2e-3 for v in want) and len(set(labels.values())) > 1
     assert {r.node for r in rows} <= set(labels)
+
+
+def test_all_concepts_of_a_paper_meet(spark):
+    # of a paper with more than twelve concepts those behind the twelfth met none
+    from itertools import combinations
+
+    from quillgraph.operators import neighborhoods as N
+
+    nodes = [(f"n{k:02}", f"ring c{k}", "Method", 1.0, 1) for k in range(20)]
+    papers = N.gathered(spark.createDataFrame([(1, [n[0] for n in nodes]), (2, ["n18", "n19"])], "paper int, concepts array<string>"))
+    relations = spark.createDataFrame([], "src string, dst string, type string")
+    got = {(e.a, e.b): e.weight for e in N.projection(relations, papers, spark.createDataFrame(nodes, "node string, name string, type string, score double, support int")).collect()}
+    alike = lambda papers: round(0.35 + min(0.35, 0.18 * (papers - 1)) + min(0.22, 0.3 / 3), 3)
+    assert got == {(a, b): alike(2 if a == "n18" else 1) for a, b in combinations([n[0] for n in nodes], 2)}
