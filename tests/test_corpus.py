@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import corpus as C
 from quillgraph.operators import evaluation as E
+from quillgraph.plans import registry
 from quillgraph.sources import markdown as M
 
 
@@ -45,6 +46,26 @@ def test_duplicate_papers(spark, seed):
     assert C.duplicate_papers(df.limit(0)).count() == 0
 
 
+def test_duplicate_papers_by_canonical_name_and_normal_authors(spark, tmp_path):
+    """Names link papers whatever their titles, unless identifiers conflict; authors count by their normal names, and a heading is no title."""
+    rows = [(1, 9, "one title", ["Ann  Lee"], [], "arxiv:1"), (2, 8, None, [], [], "arxiv:1"), (3, 7, "one title", ["ann lee"], [], None), (4, 6, "one title", ["Bo"], [], ""), (5, 9, "x", [], ["doi:1"], "n"), (6, 8, "y", [], ["doi:2"], "n"), (7, 7, "z", [], [], "n")]
+    df = spark.createDataFrame([(i, s, False, *r) for i, s, *r in rows], "id long, score long, markdown boolean, title string, authors array<string>, ids array<string>, canonical string")
+    assert {x["id"]: x["keeper"] for x in C.duplicate_papers(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 5}
+    texts = [(1, "Introduction\na", 9), (2, "Introduction\nb", None), (3, "A real name\nc", 8), (4, "a real  name\nd", None), (5, "A real name\ne", None)]
+    docs = spark.createDataFrame([(i, t, "en", f"src{i}" if i > 3 else "src0", n) for i, t, n in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["id"]: x["keeper"] for x in registry.queries()["duplicate_papers"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3}
+
+
+def test_documents_without_a_size_are_named_by_their_titles(spark, tmp_path):
+    texts = [(1, "A real name\na", "src1"), (2, "a real  name\nb", "src2"), (3, "Table 3 of it", "src1"), (4, "Table 3 of it", "src1")]
+    docs = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["id"]: x["keeper"] for x in registry.queries()["duplicate_papers"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_merged_identity(spark):
     rows = [(1, 1, "2101.00001v1", None, None, None, None), (1, 2, "arXiv:2101.00001v3", "10.1/A", None, None, "T"), (1, 3, None, "10.2/b", None, None, None), (2, 1, None, None, None, None, "Only A Title"), (3, 1, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "grp int, place int, arxiv string, doi string, pmid string, pmcid string, title string")
