@@ -46,6 +46,12 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1_$2"), r"([A-Z])([A-Z][a-z])", "$1_$2")), r"[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def _named(pattern: str, *parts: str) -> Column:
+    """Whether a plain name of the path matches; the plain names are made only if the path has one of ``parts``, which every match has."""
+    whole = F.lower(F.array_join("path", "\n"))
+    return reduce(lambda a, b: a | b, [F.contains(whole, F.lit(x)) for x in parts]) & F.exists("path", lambda k: plain(k).rlike(pattern))
+
+
 def scalars(records: DataFrame) -> DataFrame:
     """suite, path (keys and places), key (the last name in it), text of every scalar in records(suite, value); null scalars go."""
     spark = records.sparkSession
@@ -53,10 +59,12 @@ def scalars(records: DataFrame) -> DataFrame:
     out = None
     nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
     while True:
-        level = cut(level, "variant-level")
-        found = level.where(~nested).select("suite", "path", "key", F.try_variant_get("v", "$", "string").alias("text")).where("text is not null")
+        # told apart where a level is written, so that whatever reads scalars reads texts alone
+        text = F.when(~nested, F.try_variant_get("v", "$", "string"))
+        level = cut(level.select("suite", "path", "key", text.alias("text"), F.when(nested, F.col("v")).alias("v")), "variant-level")
+        found = level.where("text is not null").select("suite", "path", "key", "text")
         out = found if out is None else out.unionByName(found)
-        deeper = level.where(nested)
+        deeper = level.where("v is not null").drop("text")
         if deeper.isEmpty():
             return out
         each = deeper.alias("t").lateralJoin(spark.tvf.variant_explode(F.col("t.v").outer()).alias("x"))
@@ -71,7 +79,8 @@ def _first(names: tuple[str, ...], kind: str) -> Column:
 
 def entries(rows: DataFrame) -> DataFrame:
     """suite, metric, test, p, low, effect, n, issues of the statistical entries of rows(scalars), whatever holds them."""
-    inside = rows.where(F.exists("path", lambda k: plain(k).isin("statistical_significance", "statistical_tests")) | (plain(F.get("path", F.lit(0))) == "statistics"))
+    first = F.get("path", F.lit(0))
+    inside = rows.where(_named("^(statistical_significance|statistical_tests)$", "statistical") | (F.contains(F.lower(first), F.lit("statistics")) & (plain(first) == "statistics")))
     # an interval's bounds belong to the object around it
     depth = F.size("path")
     last, up = plain(F.element_at("path", -1)), plain(F.get("path", depth - 2))
@@ -118,7 +127,7 @@ def gates(records: DataFrame) -> DataFrame:
         F.max(F.when((F.size("path") == 1) & (at(0) == "status"), text)).alias("status"), source.alias("source"), has((at(0) == "dataset") & at(1).isin("license_scope", "licenseScope") & text.isNotNull()).alias("license"),
         has(~at(0).isin("cases", "statistical_significance", "statistical_tests", "statistics") & F.col("text").rlike(FIXTURE)).alias("fixture"), F.max(F.when((at(0) == "config") & at(1).isin("primaryCutoff", "primary_cutoff"), number)).alias("cutoff_at"),
         *[has(at(0).isin("dataset", "name", "adapter", "suite", "id") & F.lower("text").rlike(p)).alias(f"family_{f}") for f, (p, _, _) in FAMILIES.items()], *[v.alias(k) for k, v in limits.items()],
-        has(F.exists("path", lambda k: plain(k).rlike("holdout")) & F.lower("text").rlike(r"venue|year|true")).alias("holdout"), has(F.exists("path", lambda k: plain(k).rlike("time_slice|time_split|temporal")) & ~F.lower("text").isin("false", "none", "")).alias("slice"),
+        has(_named("holdout", "holdout") & F.lower("text").rlike(r"venue|year|true")).alias("holdout"), has(_named("time_slice|time_split|temporal", "slice", "split", "temporal") & ~F.lower("text").isin("false", "none", "")).alias("slice"),
     )
     # lists of objects: an input's role beside its hash, a gate's name beside its status
     pairs = rows.where(at(0).isin("inputs", "gates") & (F.size("path") == 3)).groupBy("suite", at(0).alias("list"), at(1).alias("i")).agg(*[F.max(F.when(F.col("path")[2].isin(*names), text)).alias(a) for a, names in (("role", ("role",)), ("hash", ("sha256", "hash", "checksum")), ("name", ("name",)), ("state", ("status",)))])

@@ -4,6 +4,7 @@ import copy
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.operators import replay_suite as R
 
@@ -72,3 +73,21 @@ def test_significance_in_any_shape(verdicts):
 def test_records_without_anything(verdicts):
     for s in ("not json", "empty", "null"):
         assert verdicts[s]["replay_cases_present"] == ("incomplete", "no cases") and verdicts[s]["suite_status_passed"] == ("incomplete", "status unknown")
+
+
+def test_plain_names_are_made_only_of_paths_that_can_match(spark):
+    # each scalar's path went through all expressions of plain names, for every gate that asks for one
+    rows = [(i, p) for i, p in enumerate([["config", "HoldoutPolicy"], ["a", "hold_out"], ["timeSlice"], ["Time-Split", "x"], ["slices"], ["x", "spaTemporal"], ["Statistical Tests", "0"], ["statisticalSignificance"], ["statistical"], ["x"], []])]
+    df = spark.createDataFrame(rows, "i int, path array<string>")
+    for pattern, parts in (("holdout", ["holdout"]), ("time_slice|time_split|temporal", ["slice", "split", "temporal"]), ("^(statistical_significance|statistical_tests)$", ["statistical"])):
+        got = df.select(R._named(pattern, *parts).alias("got"), F.exists("path", lambda k: R.plain(k).rlike(pattern)).alias("want")).collect()  # noqa: B023
+        assert all(r.got == r.want for r in got) and any(r.want for r in got)
+
+
+def test_levels_hold_scalars_as_texts(spark, monkeypatch):
+    # every reader of the scalars parsed all values of a level once more
+    levels = []
+    monkeypatch.setattr(R, "cut", lambda df, name="step", cut=R.cut: levels.append(cut(df, name)) or levels[-1])
+    found = R.scalars(spark.createDataFrame([("s", '{"a": [1, {"b": "x"}], "c": null, "d": true}')], "suite string, value string"))
+    assert sorted((r.path, r.key, r.text) for r in found.collect()) == [(["a", "0"], "a", "1"), (["a", "1", "b"], "b", "x"), (["d"], "d", "true")]
+    assert all({"text", "v"} <= set(x.columns) and x.where("text is not null and v is not null").isEmpty() for x in levels)
